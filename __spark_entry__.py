@@ -8,20 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import oracles as O
-from orderloom.operators import clean, demand
-from orderloom.params import DEFAULTS
+from orderloom.operators import assign, clean, demand, forecast, stock
+from orderloom.params import DEFAULTS, SERVICE_LEVELS
 from orderloom.plans.run import Run
 from orderloom.sources.tables import testdata_txn
 
 SMOKE_DIR = "/root/testdata/sf0.001"
-_RUNS: dict[tuple[str, str, str], Run] = {}
+_RUNS: dict[tuple[str, ...], Run] = {}
 
 
-def run_for(spark: SparkSession, folder: str, grain: str = "name") -> Run:
-    """The run over ``folder``, shared by all queries of one session."""
-    key = (spark.sparkContext.applicationId, folder, grain)
+def run_for(spark: SparkSession, folder: str, grain: str = "name", models: str = "closed") -> Run:
+    """The run over ``folder``, shared by all queries of one session.
+
+    ``closed`` leaves out the regression, the one model plain SQL cannot recompute.
+    """
+    key = (spark.sparkContext.applicationId, folder, grain, models)
     if key not in _RUNS:
-        _RUNS[key] = Run(testdata_txn(spark, folder, grain), DEFAULTS)
+        registry = forecast.MODELS if models == "all" else forecast.CLOSED_FORM
+        _RUNS[key] = Run(testdata_txn(spark, folder, grain), DEFAULTS, registry)
     return _RUNS[key]
 
 
@@ -41,11 +45,11 @@ Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, grain: str = "name"):
+def query(name: str, sql: str | None = None, grain: str = "name", models: str = "closed"):
     """Register ``fn(run)`` as a query, with its DuckDB statement if there is one."""
 
     def add(fn):
-        Q[name] = lambda spark, folder: fn(run_for(spark, folder, grain))
+        Q[name] = lambda spark, folder: fn(run_for(spark, folder, grain, models))
         if sql is not None:
             SQL[name] = O.statement(sql, grain)
         return fn
@@ -109,6 +113,96 @@ query("busiest_window", "SELECT * FROM win")(lambda r: r.window)
 query("window_lines", "SELECT * FROM win_lines")(lambda r: r.window_lines)
 query("modal_description", "SELECT * FROM described", "brand_type")(lambda r: r.descriptions)
 
+# ---- forecast
+for _grain in ("name", "brand_type"):
+    query(
+        f"classify_{_grain}",
+        "SELECT * REPLACE (round(adi, 9) AS adi, round(cv2, 9) AS cv2) FROM classes",
+        _grain,
+    )(lambda r: rounded(r.classes, adi=9, cv2=9))
+    query(f"rolling_origin_folds_{_grain}", "SELECT * FROM foldrows", _grain)(lambda r: r.folds)
+for _model in forecast.CLOSED_FORM:
+    query(
+        f"model_{_model}",
+        "SELECT stock_code, fold, i + 1 AS step, round(pred, 6) AS pred FROM preds "
+        f"WHERE model = '{_model}' AND fold > 0",
+        "brand_type",
+    )(
+        lambda r, m=_model: rounded(
+            r.models[m](r.fold_frames, r.params.horizon)
+            .select("stock_code", "fold", F.posexplode("pred").alias("_i", "pred"))
+            .select("stock_code", "fold", (F.col("_i") + 1).alias("step"), "pred"),
+            pred=6,
+        )
+    )
+query("model_lag_linear", None, "name", "all")(
+    lambda r: r.models["lag_linear"](r.fold_frames, r.params.horizon)
+    .select("stock_code", "fold", F.posexplode("pred").alias("_i", "pred"))
+    .select("stock_code", "fold", (F.col("_i") + 1).alias("step"), "pred")
+)
+_CV = "SELECT stock_code, class, model, fold, train_weeks, round(mase, 6) AS mase, round(mae, 6) AS mae"
+for _grain in ("name", "brand_type"):
+    query(f"cross_validate_{_grain}", _CV + " FROM cv", _grain)(
+        lambda r: rounded(r.cv.drop("errors"), mase=6, mae=6)
+    )
+    query(
+        f"class_winners_{_grain}", "SELECT * REPLACE (round(mean_mase, 6) AS mean_mase) FROM winners", _grain
+    )(lambda r: rounded(r.class_winners, mean_mase=6))
+    query(f"forecast_sigma_{_grain}", "SELECT stock_code, round(sigma, 6) AS sigma FROM sigmas", _grain)(
+        lambda r: rounded(forecast.sigma(r.cv, r.choices), sigma=6)
+    )
+    query(
+        f"final_forecast_{_grain}",
+        "SELECT * REPLACE (round(units, 6) AS units, round(sigma, 6) AS sigma) FROM forecasts",
+        _grain,
+    )(lambda r: rounded(r.forecasts, units=6, sigma=6))
+query("forecast_all_models", None, "brand_type", "all")(lambda r: r.forecasts)
+query("class_winners_all_models", None, "brand_type", "all")(lambda r: r.class_winners)
+
+# ---- replenishment
+_PLAN_DOUBLES = ("mu_weekly", "sigma", "safety_stock", "reorder_point", "order_up_to", "order_qty", "expected_stock")
+_PLAN_ROUND = ", ".join(f"round({c}, 6) AS {c}" for c in _PLAN_DOUBLES)
+for _grain in ("name", "brand_type"):
+    query(f"replenishment_plan_{_grain}", f"SELECT * REPLACE ({_PLAN_ROUND}) FROM plan", _grain)(
+        lambda r: rounded(r.plan, **dict.fromkeys(_PLAN_DOUBLES, 6))
+    )
+    query(
+        f"stock_class_summary_{_grain}",
+        """
+SELECT class, count(*) AS items, round(sum(mu_weekly), 4) AS mu_weekly, round(sum(safety_stock), 4) AS safety_stock,
+       round(sum(order_up_to), 4) AS order_up_to, round(avg(lead_time_weeks), 6) AS mean_lead,
+       round(sum(sigma) / greatest(sum(mu_weekly), 1e-9), 6) AS sigma_over_mu,
+       round(sum(safety_stock) / greatest(sum(mu_weekly), 1e-9), 6) AS ss_weeks
+FROM plan GROUP BY 1""",
+        _grain,
+    )(
+        lambda r: rounded(
+            stock.class_summary(r.plan), mu_weekly=4, safety_stock=4, order_up_to=4, mean_lead=6,
+            sigma_over_mu=6, ss_weeks=6,
+        )
+    )
+query(
+    "plan_by_service_level",
+    " UNION ALL ".join(
+        f"SELECT {level}::DOUBLE AS service_level, * REPLACE ({_PLAN_ROUND}) FROM ({O.plan_sql(z)})"
+        for level, z in O.Z.items()
+    ),
+)(lambda r: rounded(stock.plan_by_level(r.plan, SERVICE_LEVELS, r.params), **dict.fromkeys(_PLAN_DOUBLES, 6)))
+
+# ---- assigned attributes
+for _grain in ("name", "brand_type"):
+    query(f"item_physical_{_grain}", "SELECT * FROM physical", _grain)(lambda r: r.physical)
+query("lead_times", "SELECT * FROM leads", "part")(lambda r: r.lead_times)
+query("rack_slots", "SELECT slots.* FROM slots WHERE (SELECT count(*) FROM items) > 0")(
+    lambda r: r.slots.filter(r.items.agg(F.count(F.lit(1)).alias("n")).scalar() > 0)
+)
+query("customer_lookup", "SELECT * FROM lookup")(lambda r: r.customers)
+query(
+    "customer_xy",
+    "SELECT invoice, customer_key, country, round(x_km, 6) AS x_km, round(y_km, 6) AS y_km FROM placed",
+)(lambda r: rounded(assign.with_customer_xy(r.customers, r.params), x_km=6, y_km=6))
+
+
 
 def entry(spark: SparkSession) -> DataFrame:
     """Zero-filled weekly demand of the tracked items."""

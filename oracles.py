@@ -117,3 +117,158 @@ def statement(final: str, grain: str = "name", **overrides: str) -> str:
     if not done:
         return final
     return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({parts[n]}\n)" for n in done) + "\n" + final
+
+
+def u(seed: int, salt: str, key: str) -> str:
+    """Keyed uniform draw: first 48 bits of md5('seed:salt:key') over 2^48."""
+    return f"(CAST('0x' || substr(md5('{seed}:{salt}:' || {key}), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE)"
+
+
+# ---- forecast
+PARTS["classes"] = """
+SELECT *, CASE WHEN nonzero = 0 THEN 'no-demand'
+               WHEN adi < 1.32 AND cv2 < 0.49 THEN 'smooth' WHEN adi < 1.32 THEN 'erratic'
+               WHEN cv2 < 0.49 THEN 'intermittent' ELSE 'lumpy' END AS class,
+       nonzero >= 5 AND n >= 38 AS eligible
+FROM (
+  SELECT stock_code, count(*) AS n, count(*) FILTER (units > 0) AS nonzero,
+         count(*)::DOUBLE / nullif(count(*) FILTER (units > 0), 0) AS adi,
+         CASE WHEN count(*) FILTER (units > 0) > 1
+              THEN var_pop(units) FILTER (units > 0) / pow(avg(units) FILTER (units > 0), 2)
+              WHEN count(*) FILTER (units > 0) = 1 THEN 0.0 END AS cv2
+  FROM demand GROUP BY 1
+)"""
+PARTS["foldrows"] = """
+SELECT stock_code, row_number() OVER (PARTITION BY stock_code ORDER BY k) AS fold, origin, origin AS train_weeks
+FROM (SELECT stock_code, k, n - 8 - (2 - k) * 8 AS origin FROM classes, range(3) t(k) WHERE eligible)
+WHERE origin >= 30"""
+PARTS["origins"] = """
+SELECT stock_code, fold, origin FROM foldrows
+UNION ALL SELECT stock_code, 0, n FROM classes WHERE eligible"""
+PARTS["points"] = """
+SELECT stock_code, fold, units, k, idx - coalesce(before, -1) AS gap,
+       count(*) OVER (PARTITION BY stock_code, fold) AS kk
+FROM (
+  SELECT o.stock_code, o.fold, d.units, d.idx,
+         row_number() OVER w AS k, lag(d.idx) OVER w AS before
+  FROM origins o JOIN demand d ON d.stock_code = o.stock_code AND d.idx < o.origin
+  WHERE d.units > 0 WINDOW w AS (PARTITION BY o.stock_code, o.fold ORDER BY d.idx)
+)"""
+PARTS["rates"] = """
+SELECT stock_code, fold, 0.95 * sum(w * units) / greatest(sum(w * gap), 1.0) AS rate
+FROM (SELECT *, CASE WHEN k = 1 THEN pow(0.9, kk - 1) ELSE 0.1 * pow(0.9, kk - k) END AS w FROM points)
+GROUP BY 1, 2"""
+PARTS["preds"] = """
+SELECT o.stock_code, o.fold, 'naive' AS model, i, greatest(d.units, 0.0) AS pred
+FROM origins o JOIN demand d ON d.stock_code = o.stock_code AND d.idx = o.origin - 1, range(8) t(i)
+UNION ALL
+SELECT o.stock_code, o.fold, 'seasonal_naive', i, greatest(d.units, 0.0)
+FROM origins o CROSS JOIN range(8) t(i)
+JOIN demand d ON d.stock_code = o.stock_code
+  AND d.idx = CASE WHEN o.origin < 52 THEN o.origin - 1 ELSE o.origin - 52 + i % 52 END
+UNION ALL
+SELECT o.stock_code, o.fold, 'croston_sba', i, coalesce(r.rate, 0.0)
+FROM origins o LEFT JOIN rates r ON r.stock_code = o.stock_code AND r.fold = o.fold, range(8) t(i)"""
+PARTS["scales"] = """
+SELECT stock_code, fold, nullif(avg(abs(step)), 0) AS scale
+FROM (
+  SELECT o.stock_code, o.fold, d.units - lag(d.units) OVER (PARTITION BY o.stock_code, o.fold ORDER BY d.idx) AS step
+  FROM foldrows o JOIN demand d ON d.stock_code = o.stock_code AND d.idx < o.origin
+) GROUP BY 1, 2"""
+PARTS["errs"] = """
+SELECT p.stock_code, p.fold, p.model, p.i, d.units - p.pred AS e
+FROM preds p JOIN foldrows f ON f.stock_code = p.stock_code AND f.fold = p.fold
+JOIN demand d ON d.stock_code = p.stock_code AND d.idx = f.origin + p.i"""
+PARTS["cv"] = """
+SELECT e.stock_code, c.class, e.model, e.fold, any_value(f.train_weeks) AS train_weeks,
+       avg(abs(e.e)) / any_value(s.scale) AS mase, avg(abs(e.e)) AS mae, list(e.e ORDER BY e.i) AS errors
+FROM errs e JOIN classes c USING (stock_code) JOIN foldrows f USING (stock_code, fold)
+JOIN scales s USING (stock_code, fold)
+GROUP BY 1, 2, 3, 4"""
+PARTS["winners"] = """
+SELECT class, model, mean_mase, cells,
+       row_number() OVER (PARTITION BY class ORDER BY mean_mase, model) = 1 AS winner
+FROM (SELECT class, model, avg(mase) AS mean_mase, count(mase) AS cells FROM cv GROUP BY 1, 2)
+WHERE mean_mase IS NOT NULL"""
+PARTS["chosen"] = """
+SELECT c.stock_code, c.class, coalesce(w.model, 'naive') AS model
+FROM classes c LEFT JOIN (SELECT * FROM winners WHERE winner) w USING (class) WHERE eligible"""
+PARTS["sigmas"] = """
+SELECT e.stock_code, stddev_pop(e.e) AS sigma FROM errs e JOIN chosen USING (stock_code, model) GROUP BY 1"""
+PARTS["forecasts"] = """
+SELECT c.stock_code, last_week + 7 * (p.i::INT + 1) AS week, p.pred AS units, s.sigma, c.model, c.class
+FROM chosen c JOIN preds p ON p.stock_code = c.stock_code AND p.model = c.model AND p.fold = 0
+JOIN sigmas s ON s.stock_code = c.stock_code
+JOIN (SELECT stock_code, max(week) AS last_week FROM demand GROUP BY 1) m ON m.stock_code = c.stock_code"""
+
+# ---- replenishment and assigned attributes
+Z = {0.90: "1.2815515655446004", 0.95: "1.6448536269514715", 0.99: "2.3263478740408408"}
+PARTS["leads"] = f"""
+SELECT i.stock_code, coalesce(f.class, 'unclassified') AS class,
+       CASE f.class WHEN 'smooth' THEN 2 WHEN 'erratic' THEN 3 WHEN 'intermittent' THEN 4
+                    WHEN 'lumpy' THEN 4 ELSE 3 END
+       + CAST(floor({u(43, 'lead', 'i.stock_code')} * 2) AS INT) AS lead_time_weeks
+FROM items i LEFT JOIN (SELECT DISTINCT stock_code, class FROM forecasts) f USING (stock_code)"""
+
+
+def plan_sql(z: str, source: str = "forecasts") -> str:
+    return f"""
+SELECT stock_code, class, model, mu_weekly, sigma, lead_time_weeks,
+       {z} * sqrt(lead_time_weeks + 1) * sigma AS safety_stock,
+       mu_weekly * lead_time_weeks + {z} * sqrt(lead_time_weeks) * sigma AS reorder_point,
+       mu_weekly * (lead_time_weeks + 1) + {z} * sqrt(lead_time_weeks + 1) * sigma AS order_up_to,
+       mu_weekly * (lead_time_weeks + 1) + {z} * sqrt(lead_time_weeks + 1) * sigma AS order_qty,
+       order_week, mu_weekly / 2 + {z} * sqrt(lead_time_weeks + 1) * sigma AS expected_stock
+FROM (SELECT stock_code, any_value(class) AS class, any_value(model) AS model, avg(units) AS mu_weekly,
+             any_value(sigma) AS sigma, min(week) AS order_week FROM {source} GROUP BY 1)
+JOIN (SELECT stock_code, lead_time_weeks FROM leads) USING (stock_code)"""
+
+
+PARTS["plan"] = plan_sql(Z[0.95])
+_RANGES = {
+    "small": ((5, 15), (4, 12), (3, 10), (0.05, 0.40)),
+    "medium": ((15, 35), (10, 25), (8, 20), (0.30, 2.00)),
+    "large": ((35, 70), (25, 50), (20, 45), (1.50, 8.00)),
+}
+
+
+def _draw(k: int, name: str, digits: int) -> str:
+    lo = " ".join(f"WHEN '{c}' THEN {r[k][0]}" for c, r in _RANGES.items())
+    hi = " ".join(f"WHEN '{c}' THEN {r[k][1]}" for c, r in _RANGES.items())
+    a, b = f"(CASE size_class {lo} END)::DOUBLE", f"(CASE size_class {hi} END)::DOUBLE"
+    return f"round({a} + ({b} - {a}) * {u(42, name, 'stock_code')}, {digits}) AS {name}"
+
+
+_LARGE = "JUMBO|GIANT|LARGE|BIG|CABINET|CHEST|DRAWER|DOORMAT|PARASOL|STOOL|CAKESTAND|HAMPER"
+_SMALL = "MINI|SMALL|TINY|CHARM|KEYRING|KEY RING|PENCIL|CARD|BADGE|MAGNET|BUTTON|EGG|TRINKET"
+PARTS["sized"] = f"""
+SELECT stock_code, CASE WHEN regexp_matches(upper(description), '{_LARGE}') THEN 'large'
+                        WHEN regexp_matches(upper(description), '{_SMALL}') THEN 'small'
+                        ELSE 'medium' END AS size_class
+FROM described"""
+PARTS["physical"] = f"""
+SELECT stock_code, size_class, {_draw(0, 'length_cm', 1)}, {_draw(1, 'width_cm', 1)},
+       {_draw(2, 'height_cm', 1)}, {_draw(3, 'weight_kg', 3)}
+FROM sized"""
+PARTS["slots"] = """
+SELECT s::INT AS slot_id, (s // 25)::INT AS aisle, (s % 25)::INT AS bay,
+       round(3.0::DOUBLE * (s // 25), 2) AS x_m, round(4.0::DOUBLE + 1.2::DOUBLE * (s % 25), 2) AS y_m,
+       round(3.0::DOUBLE * (s // 25) + 4.0::DOUBLE + 1.2::DOUBLE * (s % 25), 2) AS distance_m
+FROM range(200) t(s)"""
+PARTS["lookup"] = """
+SELECT invoice, coalesce('cust:' || arg_min(customer_id, (invoice_ts, customer_id)) FILTER (customer_id IS NOT NULL),
+                         'guest:' || invoice) AS customer_key,
+       arg_min(country, (invoice_ts, country)) FILTER (country IS NOT NULL) AS country
+FROM sales GROUP BY 1"""
+
+
+def xy(name: str, fn: str) -> str:
+    r = (
+        "sqrt(CASE WHEN country = 'United Kingdom' THEN 25.0::DOUBLE + (14400.0 - 25.0) * "
+        f"{u(42, 'radius', 'customer_key')} ELSE 22500.0::DOUBLE + (90000.0 - 22500.0) * "
+        f"{u(42, 'radius', 'customer_key')} END)"
+    )
+    return f"{r} * {fn}({u(42, 'angle', 'customer_key')} * 2 * pi()) AS {name}"
+
+
+PARTS["placed"] = f"SELECT invoice, customer_key, country, {xy('x_km', 'cos')}, {xy('y_km', 'sin')} FROM lookup"

@@ -7,14 +7,17 @@ from functools import cached_property
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from orderloom.operators import clean, demand
+from orderloom.operators import assign, clean, demand, forecast, stock
 from orderloom.params import DEFAULTS, Params
 
 
 class Run:
-    def __init__(self, txn: DataFrame, params: Params = DEFAULTS):
+    def __init__(
+        self, txn: DataFrame, params: Params = DEFAULTS, models: dict[str, forecast.Model] | None = None
+    ):
         self.txn = txn
         self.params = params
+        self.models = forecast.MODELS if models is None else models
         self.spark = txn.sparkSession
         self._kept: list[DataFrame] = []
 
@@ -72,3 +75,58 @@ class Run:
     @cached_property
     def descriptions(self) -> DataFrame:
         return demand.modal_description(self.sales, self.items, self.params.n_items)
+
+    # stage 1: forecast
+    @cached_property
+    def classes(self) -> DataFrame:
+        return forecast.classify(self.demand, self.params)
+
+    @cached_property
+    def folds(self) -> DataFrame:
+        return forecast.folds(self.classes.filter("eligible"), self.params)
+
+    @cached_property
+    def fold_frames(self) -> DataFrame:
+        return forecast.fold_frames(self.series, self.folds, self.params.horizon)
+
+    @cached_property
+    def cv(self) -> DataFrame:
+        return self._keep(
+            forecast.cross_validate(self.fold_frames, self.classes, self.models, self.params.horizon)
+        )
+
+    @cached_property
+    def class_winners(self) -> DataFrame:
+        return forecast.class_winners(self.cv)
+
+    @cached_property
+    def choices(self) -> DataFrame:
+        return forecast.choices(self.classes, self.class_winners)
+
+    @cached_property
+    def forecasts(self) -> DataFrame:
+        return self._keep(
+            forecast.final_forecast(self.series, self.choices, self.cv, self.models, self.params.horizon)
+        )
+
+    # assigned attributes
+    @cached_property
+    def physical(self) -> DataFrame:
+        return self._keep(assign.item_physical(self.descriptions, self.params.seed))
+
+    @cached_property
+    def lead_times(self) -> DataFrame:
+        return assign.lead_times(self.items, self.forecasts, self.params.seed)
+
+    @cached_property
+    def slots(self) -> DataFrame:
+        return assign.make_slots(self.spark, self.params.n_items)
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        return assign.customer_lookup(self.sales)
+
+    # stage 2: replenishment
+    @cached_property
+    def plan(self) -> DataFrame:
+        return self._keep(stock.plan(self.forecasts, self.lead_times, self.params))
