@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderloom.session import require_checkpoint_dir
+from orderloom.session import shared_folder
 
 # Groups or tables up to this many rows may be ordered inside one task.
 ONE_TASK_ROWS = 100_000
@@ -25,7 +25,7 @@ def lay_out(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     Later passes must see one and the same layout, also after an executor is lost, so the layout is
     written to the checkpoint folder.
     """
-    require_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     laid = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = laid.withColumn("_at", F.monotonically_increasing_id())
     return (

@@ -1,14 +1,18 @@
-"""One run of the whole chain. Stages are built on first use; nothing executes before an action."""
+"""One run of the whole chain, built stage by stage on first use.
+
+Operators stay lazy. Frames that several later stages read are written once as stage tables;
+everything else is planned into the query that asks for it.
+"""
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from orderloom.operators import assign, clean, demand, forecast, stock
 from orderloom.params import DEFAULTS, Params
+from orderloom.sources.stage import StageTables
 
 
 class Run:
@@ -19,22 +23,18 @@ class Run:
         self.params = params
         self.models = forecast.MODELS if models is None else models
         self.spark = txn.sparkSession
-        self._kept: list[DataFrame] = []
+        self.stages = StageTables(self.spark)
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        """Frames read by several later stages are computed once and may spill to disk."""
-        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-        self._kept.append(kept)
-        return kept
+    def _keep(self, name: str, df: DataFrame) -> DataFrame:
+        return self.stages.keep(name, df)
 
     def close(self) -> None:
-        while self._kept:
-            self._kept.pop().unpersist()
+        self.stages.drop()
 
     # stage 0: clean, demand, lines
     @cached_property
     def sales(self) -> DataFrame:
-        return self._keep(clean.sales_lines(self.txn))
+        return self._keep("sales", clean.sales_lines(self.txn))
 
     @cached_property
     def returns(self) -> DataFrame:
@@ -46,15 +46,15 @@ class Run:
 
     @cached_property
     def items(self) -> DataFrame:
-        return self._keep(demand.tracked_items(self.sales, self.params.n_items))
+        return self._keep("items", demand.tracked_items(self.sales, self.params.n_items))
 
     @cached_property
     def weeks(self) -> DataFrame:
-        return self._keep(demand.weekly_index(self.sales))
+        return self._keep("weeks", demand.weekly_index(self.sales))
 
     @cached_property
     def demand(self) -> DataFrame:
-        return self._keep(demand.weekly_demand(self.sales, self.items, self.weeks, self.params.n_items))
+        return self._keep("demand", demand.weekly_demand(self.sales, self.items, self.weeks, self.params.n_items))
 
     @cached_property
     def series(self) -> DataFrame:
@@ -62,11 +62,11 @@ class Run:
 
     @cached_property
     def lines(self) -> DataFrame:
-        return self._keep(demand.invoice_lines(self.sales, self.items, self.weeks, self.params.n_items))
+        return self._keep("lines", demand.invoice_lines(self.sales, self.items, self.weeks, self.params.n_items))
 
     @cached_property
     def window(self) -> DataFrame:
-        return self._keep(demand.busiest_window(self.lines, self.weeks, self.params.window_weeks))
+        return self._keep("window", demand.busiest_window(self.lines, self.weeks, self.params.window_weeks))
 
     @cached_property
     def window_lines(self) -> DataFrame:
@@ -92,6 +92,7 @@ class Run:
     @cached_property
     def cv(self) -> DataFrame:
         return self._keep(
+            "cv",
             forecast.cross_validate(self.fold_frames, self.classes, self.models, self.params.horizon)
         )
 
@@ -106,13 +107,14 @@ class Run:
     @cached_property
     def forecasts(self) -> DataFrame:
         return self._keep(
+            "forecasts",
             forecast.final_forecast(self.series, self.choices, self.cv, self.models, self.params.horizon)
         )
 
     # assigned attributes
     @cached_property
     def physical(self) -> DataFrame:
-        return self._keep(assign.item_physical(self.descriptions, self.params.seed))
+        return self._keep("physical", assign.item_physical(self.descriptions, self.params.seed))
 
     @cached_property
     def lead_times(self) -> DataFrame:
@@ -129,4 +131,4 @@ class Run:
     # stage 2: replenishment
     @cached_property
     def plan(self) -> DataFrame:
-        return self._keep(stock.plan(self.forecasts, self.lead_times, self.params))
+        return self._keep("plan", stock.plan(self.forecasts, self.lead_times, self.params))

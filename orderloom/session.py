@@ -21,18 +21,20 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     )
 
 
-def require_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; invent one only in local mode.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder every executor can reach; invented only in local mode.
 
-    A checkpoint must outlive the executor that wrote it, so outside local mode a
-    missing ``spark.checkpoint.dir`` is an error and never replaced by a local path.
+    What is written there must outlive the executor that wrote it, so outside local mode a missing
+    ``spark.checkpoint.dir`` is an error and never replaced by a local path.
     """
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
+    current = context._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="orderloom-checkpoint-")
     context.setCheckpointDir(shared)
+    return context._jsc.sc().getCheckpointDir().get()
