@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import oracles as O
-from orderloom.operators import assign, clean, demand, forecast, stock
+from orderloom.operators import assign, clean, demand, forecast, fulfil, slotting, stock
 from orderloom.params import DEFAULTS, SERVICE_LEVELS
 from orderloom.plans.run import Run
 from orderloom.sources.tables import testdata_txn
@@ -24,8 +24,10 @@ def run_for(spark: SparkSession, folder: str, grain: str = "name", models: str =
     """
     key = (spark.sparkContext.applicationId, folder, grain, models)
     if key not in _RUNS:
-        registry = forecast.MODELS if models == "all" else forecast.CLOSED_FORM
-        _RUNS[key] = Run(testdata_txn(spark, folder, grain), DEFAULTS, registry)
+        if models == "all":
+            _RUNS[key] = run_for(spark, folder, grain).with_models(forecast.MODELS)
+        else:
+            _RUNS[key] = Run(testdata_txn(spark, folder, grain), DEFAULTS, forecast.CLOSED_FORM)
     return _RUNS[key]
 
 
@@ -203,6 +205,107 @@ query(
 )(lambda r: rounded(assign.with_customer_xy(r.customers, r.params), x_km=6, y_km=6))
 
 
+# ---- slotting and picks
+query("pick_velocity", "SELECT * FROM vel", "part")(lambda r: r.velocity)
+for _variant in ("random", "abc", "optimal"):
+    query(
+        f"slot_{_variant}", f"SELECT stock_code, slot_id FROM slotting WHERE variant = '{_variant}'", "brand_type"
+    )(lambda r, v=_variant: r.slotting.filter(F.col("variant") == v).select("stock_code", "slot_id"))
+query(
+    "slotting_objective",
+    "SELECT variant, round(sum(velocity * distance_m), 4) AS weighted_m "
+    "FROM slotting JOIN slots USING (slot_id) JOIN vel USING (stock_code) GROUP BY 1",
+    "brand_type",
+)(lambda r: rounded(slotting.objective(r.slotting, r.slots, r.velocity), weighted_m=4))
+query(
+    "slotting_table",
+    "SELECT stock_code, slot_id, distance_m, velocity AS velocity_lines "
+    "FROM slotting JOIN slots USING (slot_id) JOIN vel USING (stock_code) WHERE variant = 'optimal'",
+)(lambda r: slotting.slotting_table(r.slotting, r.slots, r.velocity, "optimal"))
+query(
+    "slot_distance",
+    """
+SELECT a.slot_id AS from_slot, b.slot_id AS to_slot,
+       round(CASE WHEN a.x_m = b.x_m THEN abs(a.y_m - b.y_m) ELSE abs(a.x_m - b.x_m) + a.y_m + b.y_m END, 6) AS metres
+FROM slotting p JOIN slotting q ON q.stock_code = p.stock_code AND q.variant = 'abc'
+JOIN slots a ON a.slot_id = p.slot_id JOIN slots b ON b.slot_id = q.slot_id WHERE p.variant = 'random'""",
+)(
+    lambda r: r.slotting.filter("variant = 'random'").select("stock_code", F.col("slot_id").alias("from_slot"))
+    .join(r.slotting.filter("variant = 'abc'").select("stock_code", F.col("slot_id").alias("to_slot")), "stock_code")
+    .join(r.slots.select(F.col("slot_id").alias("from_slot"), F.col("x_m").alias("x1"), F.col("y_m").alias("y1")), "from_slot")
+    .join(r.slots.select(F.col("slot_id").alias("to_slot"), F.col("x_m").alias("x2"), F.col("y_m").alias("y2")), "to_slot")
+    .select(
+        "from_slot", "to_slot",
+        F.round(slotting.slot_distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")), 6).alias("metres"),
+    )
+)
+for _grain in ("name", "brand_type"):
+    query(f"pick_tours_{_grain}", "SELECT variant, invoice, travel_m FROM tours", _grain)(
+        lambda r: r.evaluated.select("variant", "invoice", "travel_m")
+    )
+query("evaluate_slotting", "SELECT * REPLACE (round(time_min, 6) AS time_min) FROM evaluated")(
+    lambda r: rounded(r.evaluated, time_min=6)
+)
+query(
+    "slotting_summary",
+    """
+SELECT variant, invoices, lines, round(mean_travel_m, 6) AS mean_travel_m, round(total_travel_m, 3) AS total_travel_m,
+       round(100 * (mean_travel_m / (SELECT mean_travel_m FROM layout_totals WHERE variant = 'random') - 1), 6)
+         AS delta_vs_random_pct
+FROM layout_totals""",
+)(lambda r: rounded(slotting.summary(r.evaluated), mean_travel_m=6, total_travel_m=3, delta_vs_random_pct=6))
+
+# ---- fulfilment
+query("cartons", "SELECT * FROM packed", "brand_type")(lambda r: fulfil.cartons(r.quantities, r.params))
+query("carton_lower_bound", "SELECT * FROM least_boxes", "brand_type")(
+    lambda r: fulfil.carton_lower_bound(r.quantities, r.params)
+)
+query(
+    "order_frame",
+    "SELECT * REPLACE (round(pick_minutes, 6) AS pick_minutes, round(weight_kg, 6) AS weight_kg) FROM ord",
+)(lambda r: rounded(r.orders, pick_minutes=6, weight_kg=6))
+_LOG = ("start_of_day_min", "finish_of_day_min", "start_min", "finish_min", "wait_min", "pick_minutes", "weight_kg")
+_LOG_ROUND = ", ".join(f"round({c}, 6) AS {c}" for c in _LOG)
+query("fulfilment_log_lanes", f"SELECT * REPLACE ({_LOG_ROUND}) FROM flog")(
+    lambda r: rounded(r.log, **dict.fromkeys(_LOG, 6))
+)
+query(
+    "fulfilment_log_ample",
+    """
+SELECT invoice, round(epoch(arrival - (SELECT min(arrival) FROM ord)) / 60.0, 6) AS start_min,
+       round(epoch(arrival - (SELECT min(arrival) FROM ord)) / 60.0 + pick_minutes, 6) AS finish_min,
+       0.0 AS wait_min, (arrival + to_microseconds((pick_minutes * 60000000)::BIGINT))::DATE AS day
+FROM ord""",
+)(
+    lambda r: rounded(
+        fulfil.fulfilment_log(r.orders, r.params, "ample").select("invoice", "start_min", "finish_min", "wait_min", "day"),
+        start_min=6, finish_min=6, wait_min=6,
+    ).withColumn("wait_min", F.abs("wait_min"))
+)
+query(
+    "concurrency_profile",
+    """
+SELECT arrival_day, sum(started)::BIGINT AS orders, max(doing) AS peak_in_progress,
+       round(sum(greatest(0, least(started, doing - 4))) / sum(started), 6) AS share_above_crew
+FROM busy GROUP BY 1""",
+)(lambda r: rounded(fulfil.concurrency_profile(r.log, r.params), share_above_crew=6))
+query(
+    "fulfilment_per_day",
+    "SELECT * REPLACE (round(labour_hours, 6) AS labour_hours, round(weight_kg, 4) AS weight_kg) FROM fday",
+)(lambda r: rounded(r.per_day, labour_hours=6, weight_kg=4))
+query(
+    "crew_summary",
+    """
+SELECT (SELECT count(*) FROM fday) AS days, round(sum(pick_minutes) / 60.0, 6) AS labour_hours,
+       round(sum(pick_minutes) / 60.0 / ((SELECT count(*) FROM fday) * 32.0), 6) AS utilisation,
+       round(avg(wait_min), 6) AS mean_wait_min, round(quantile_cont(wait_min, 0.95), 6) AS p95_wait_min
+FROM flog""",
+)(
+    lambda r: rounded(
+        fulfil.crew_summary(r.log, r.per_day, r.params), labour_hours=6, utilisation=6, mean_wait_min=6, p95_wait_min=6
+    )
+)
+
 
 def entry(spark: SparkSession) -> DataFrame:
     """Zero-filled weekly demand of the tracked items."""

@@ -272,3 +272,110 @@ def xy(name: str, fn: str) -> str:
 
 
 PARTS["placed"] = f"SELECT invoice, customer_key, country, {xy('x_km', 'cos')}, {xy('y_km', 'sin')} FROM lookup"
+
+# ---- slotting and pick tours
+PARTS["vel"] = """
+SELECT i.stock_code, count(l.stock_code) AS velocity FROM items i LEFT JOIN lines l USING (stock_code) GROUP BY 1"""
+PARTS["slotting"] = f"""
+WITH near AS (SELECT slot_id, row_number() OVER (ORDER BY distance_m, slot_id) AS place FROM slots),
+     mixed AS (SELECT slot_id, row_number() OVER (ORDER BY {u(44, 'slot', 'slot_id')}, slot_id) AS place FROM slots)
+SELECT 'random' AS variant, stock_code, slot_id
+FROM (SELECT stock_code, row_number() OVER (ORDER BY stock_code) AS place FROM vel) JOIN mixed USING (place)
+UNION ALL
+SELECT 'abc', stock_code, slot_id
+FROM (SELECT stock_code, row_number() OVER (ORDER BY velocity DESC, stock_code) AS place FROM vel) JOIN near USING (place)
+UNION ALL
+SELECT 'optimal', stock_code, slot_id
+FROM (SELECT stock_code, row_number() OVER (ORDER BY velocity DESC, stock_code DESC) AS place FROM vel)
+JOIN near USING (place)"""
+PARTS["tour_stops"] = """
+SELECT s.variant, l.invoice,
+       list(DISTINCT {'id': t.slot_id, 'px': round(t.x_m * 100)::BIGINT, 'py': round(t.y_m * 100)::BIGINT}) AS todo
+FROM lines l JOIN slotting s USING (stock_code) JOIN slots t USING (slot_id) GROUP BY 1, 2"""
+PARTS["tours"] = """
+WITH RECURSIVE walk AS (
+  SELECT variant, invoice, 0::BIGINT AS x, 0::BIGINT AS y, 0::BIGINT AS walked, todo FROM tour_stops
+  UNION ALL
+  SELECT variant, invoice, best.px, best.py, walked + best.d, list_filter(todo, lambda s: s.id <> best.id)
+  FROM (
+    SELECT *, list_min(list_transform(todo, lambda s: {
+      'd': CASE WHEN s.px = x THEN abs(s.py - y) ELSE abs(s.px - x) + s.py + y END,
+      'id': s.id, 'px': s.px, 'py': s.py})) AS best
+    FROM walk WHERE len(todo) > 0
+  )
+)
+SELECT variant, invoice, (walked + x + y) / 100.0::DOUBLE AS travel_m FROM walk WHERE len(todo) = 0"""
+PARTS["evaluated"] = """
+SELECT t.variant, t.invoice, n.lines, n.units, t.travel_m, (t.travel_m / 1.2 + n.lines * 10.0) / 60.0 AS time_min
+FROM tours t
+JOIN (SELECT invoice, count(*) AS lines, sum(quantity)::DOUBLE AS units FROM lines GROUP BY 1) n USING (invoice)"""
+PARTS["layout_totals"] = """
+SELECT variant, count(DISTINCT invoice) AS invoices, sum(lines)::BIGINT AS lines,
+       avg(travel_m) AS mean_travel_m, sum(travel_m) AS total_travel_m
+FROM evaluated GROUP BY 1"""
+
+# ---- fulfilment
+PARTS["unit_sizes"] = """
+SELECT stock_code, length_cm * width_cm * height_cm AS unit_cm3, weight_kg AS unit_kg FROM physical"""
+PARTS["quantities"] = """
+SELECT invoice, stock_code, sum(quantity)::BIGINT AS quantity, any_value(unit_cm3) AS unit_cm3,
+       any_value(unit_kg) AS unit_kg
+FROM win_lines JOIN unit_sizes USING (stock_code) GROUP BY 1, 2"""
+_TAKE = "least(a.n, floor(c.v / i.v + 1e-9), floor(c.w / i.w + 1e-9))::BIGINT"
+_FRESH = "least(floor(96000.0::DOUBLE / i.v + 1e-9), floor(20.0::DOUBLE / i.w + 1e-9))::BIGINT"
+PARTS["packed"] = f"""
+SELECT invoice,
+       coalesce(sum(quantity) FILTER (unit_cm3 > 96000 OR unit_kg > 20), 0)::BIGINT
+       + len(list_reduce(
+           coalesce(list({{'v': unit_cm3, 'w': unit_kg, 'q': quantity}} ORDER BY unit_cm3 DESC, unit_kg DESC)
+                    FILTER (unit_cm3 <= 96000 AND unit_kg <= 20), []),
+           lambda boxes, i: list_transform([list_reduce(boxes,
+               lambda a, c: {{'n': a.n - {_TAKE},
+                              'done': list_append(a.done, {{'v': c.v - {_TAKE} * i.v, 'w': c.w - {_TAKE} * i.w}})}},
+               {{'n': i.q, 'done': []::STRUCT(v DOUBLE, w DOUBLE)[]}})],
+             lambda r: list_concat(r.done, list_transform(range(ceil(r.n / {_FRESH})::BIGINT),
+               lambda k: {{'v': 96000.0::DOUBLE - least({_FRESH}, r.n - k * {_FRESH}) * i.v,
+                           'w': 20.0::DOUBLE - least({_FRESH}, r.n - k * {_FRESH}) * i.w}})))[1],
+           []::STRUCT(v DOUBLE, w DOUBLE)[])) AS cartons
+FROM quantities GROUP BY 1"""
+PARTS["least_boxes"] = """
+SELECT invoice, (sum(CASE WHEN big THEN quantity ELSE 0 END)
+       + greatest(ceil(sum(CASE WHEN big THEN 0 ELSE quantity * unit_cm3 END) / 96000.0::DOUBLE - 1e-9),
+                  ceil(sum(CASE WHEN big THEN 0 ELSE quantity * unit_kg END) / 20.0::DOUBLE - 1e-9)))::BIGINT AS least_cartons
+FROM (SELECT *, unit_cm3 > 96000 OR unit_kg > 20 AS big FROM quantities) GROUP BY 1"""
+PARTS["ord"] = """
+SELECT a.invoice, a.arrival, e.time_min AS pick_minutes, e.lines, e.units, p.cartons, a.weight_kg
+FROM (SELECT invoice, min(invoice_ts) AS arrival, sum(quantity * unit_kg) AS weight_kg
+      FROM win_lines JOIN unit_sizes USING (stock_code) GROUP BY 1) a
+JOIN evaluated e ON e.invoice = a.invoice AND e.variant = 'optimal'
+JOIN packed p ON p.invoice = a.invoice"""
+PARTS["queued"] = """
+SELECT *, turn % 4 AS lane, turn // 4 AS k, epoch(arrival - arrival_day::TIMESTAMP) / 60.0 AS at_min
+FROM (SELECT *, arrival::DATE AS arrival_day,
+             row_number() OVER (PARTITION BY arrival::DATE ORDER BY arrival, invoice) - 1 AS turn FROM ord)"""
+PARTS["worked"] = """
+WITH RECURSIVE chain AS (
+  SELECT *, at_min + pick_minutes AS ends FROM queued WHERE k = 0
+  UNION ALL
+  SELECT q.*, greatest(q.at_min, c.ends) + q.pick_minutes
+  FROM chain c JOIN queued q ON q.arrival_day = c.arrival_day AND q.lane = c.lane AND q.k = c.k + 1
+)
+SELECT * FROM chain"""
+PARTS["flog"] = """
+SELECT invoice, arrival, arrival_day, lane, ends - pick_minutes AS start_of_day_min, ends AS finish_of_day_min,
+       ends - pick_minutes + shift AS start_min, ends + shift AS finish_min, ends - pick_minutes - at_min AS wait_min,
+       pick_minutes, lines, units, cartons, weight_kg, arrival_day + floor(ends / 1440)::INT AS day
+FROM (SELECT *, epoch(arrival_day::TIMESTAMP - (SELECT min(arrival) FROM ord)) / 60.0 AS shift FROM worked)"""
+PARTS["fday"] = """
+SELECT day, count(*) AS orders, sum(lines)::BIGINT AS lines, sum(units) AS units,
+       sum(pick_minutes) / 60.0 AS labour_hours, sum(cartons)::BIGINT AS cartons, sum(weight_kg) AS weight_kg
+FROM flog GROUP BY 1"""
+PARTS["moments"] = """
+SELECT arrival_day, t, count(*) FILTER (up) AS started FROM (
+  SELECT arrival_day, round(start_of_day_min, 6) AS t, true AS up FROM flog
+  UNION ALL SELECT arrival_day, round(finish_of_day_min, 6), false FROM flog
+) GROUP BY 1, 2"""
+PARTS["busy"] = """
+SELECT m.arrival_day, m.t, any_value(m.started) AS started,
+       count(*) FILTER (round(l.start_of_day_min, 6) <= m.t) - count(*) FILTER (round(l.finish_of_day_min, 6) <= m.t) AS doing
+FROM moments m JOIN flog l ON l.arrival_day = m.arrival_day GROUP BY 1, 2"""

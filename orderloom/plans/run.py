@@ -10,7 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from orderloom.operators import assign, clean, demand, forecast, stock
+from orderloom.operators import assign, clean, demand, forecast, fulfil, slotting, stock
 from orderloom.params import DEFAULTS, Params
 from orderloom.sources.stage import StageTables
 
@@ -28,6 +28,13 @@ class Run:
     def _keep(self, name: str, df: DataFrame) -> DataFrame:
         return self.stages.keep(name, df)
 
+    def with_models(self, models: dict[str, forecast.Model]) -> Run:
+        """A run with another model registry that shares this run's model-free stages."""
+        other = Run(self.txn, self.params, models)
+        for name in ("sales", "items", "weeks", "demand", "lines", "window", "descriptions", "physical"):
+            other.__dict__[name] = getattr(self, name)
+        return other
+
     def close(self) -> None:
         self.stages.drop()
 
@@ -132,3 +139,44 @@ class Run:
     @cached_property
     def plan(self) -> DataFrame:
         return self._keep("plan", stock.plan(self.forecasts, self.lead_times, self.params))
+
+    # stage 3: slotting and picks
+    @cached_property
+    def velocity(self) -> DataFrame:
+        return self._keep("velocity", slotting.velocity(self.lines, self.items))
+
+    @cached_property
+    def slotting(self) -> DataFrame:
+        return self._keep(
+            "slotting", slotting.slot(self.velocity, self.slots, self.params.n_items, self.params.seed)
+        )
+
+    @cached_property
+    def evaluated(self) -> DataFrame:
+        return self._keep(
+            "evaluated", slotting.evaluate(self.lines, self.slotting, self.slots, self.params)
+        )
+
+    @cached_property
+    def picks(self) -> DataFrame:
+        """Pick work under the deployed layout."""
+        return self.evaluated.filter("variant = 'optimal'").drop("variant")
+
+    # stage 4a: fulfilment
+    @cached_property
+    def quantities(self) -> DataFrame:
+        return fulfil.item_quantities(self.window_lines, self.physical, self.params)
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return self._keep(
+            "orders", fulfil.orders(self.window_lines, self.picks, self.quantities, self.params)
+        )
+
+    @cached_property
+    def log(self) -> DataFrame:
+        return self._keep("log", fulfil.fulfilment_log(self.orders, self.params))
+
+    @cached_property
+    def per_day(self) -> DataFrame:
+        return fulfil.per_day(self.log)
