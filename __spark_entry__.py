@@ -11,7 +11,7 @@ import oracles as O
 from orderloom.operators import assign, clean, demand, forecast, fulfil, slotting, stock
 from orderloom.params import DEFAULTS, SERVICE_LEVELS
 from orderloom.plans.run import Run
-from orderloom.sources.tables import testdata_txn
+from orderloom.sources.tables import published_revenue, testdata_txn
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 _RUNS: dict[tuple[str, ...], Run] = {}
@@ -27,7 +27,10 @@ def run_for(spark: SparkSession, folder: str, grain: str = "name", models: str =
         if models == "all":
             _RUNS[key] = run_for(spark, folder, grain).with_models(forecast.MODELS)
         else:
-            _RUNS[key] = Run(testdata_txn(spark, folder, grain), DEFAULTS, forecast.CLOSED_FORM)
+            _RUNS[key] = Run(
+                testdata_txn(spark, folder, grain), DEFAULTS, forecast.CLOSED_FORM,
+                published_revenue(spark, folder, grain),
+            )
     return _RUNS[key]
 
 

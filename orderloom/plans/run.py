@@ -6,20 +6,33 @@ everything else is planned into the query that asks for it.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame
-
-from orderloom.operators import assign, clean, demand, forecast, fulfil, slotting, stock
-from orderloom.params import DEFAULTS, Params
+from pyspark.sql import functions as F
+
+from orderloom.functions.provenance import ASSIGNED, DERIVED, REAL
+from orderloom.operators import (
+    assign, clean, costs, delivery, demand, forecast, fulfil, readout, reconcile, slotting, stock, whatif,
+)
+from orderloom.operators.reconcile import Entry
+from orderloom.params import DEFAULTS, VARIANTS, Params
 from orderloom.sources.stage import StageTables
 
 
 class Run:
+    """``published`` is the revenue another source states for the same lines: a one-row frame."""
+
     def __init__(
-        self, txn: DataFrame, params: Params = DEFAULTS, models: dict[str, forecast.Model] | None = None
+        self,
+        txn: DataFrame,
+        params: Params = DEFAULTS,
+        models: dict[str, forecast.Model] | None = None,
+        published: DataFrame | None = None,
     ):
         self.txn = txn
+        self.published = published
         self.params = params
         self.models = forecast.MODELS if models is None else models
         self.spark = txn.sparkSession
@@ -30,7 +43,7 @@ class Run:
 
     def with_models(self, models: dict[str, forecast.Model]) -> Run:
         """A run with another model registry that shares this run's model-free stages."""
-        other = Run(self.txn, self.params, models)
+        other = Run(self.txn, self.params, models, self.published)
         for name in ("sales", "items", "weeks", "demand", "lines", "window", "descriptions", "physical"):
             other.__dict__[name] = getattr(self, name)
         return other
@@ -180,3 +193,220 @@ class Run:
     @cached_property
     def per_day(self) -> DataFrame:
         return fulfil.per_day(self.log)
+
+    # stage 4b: delivery
+    @cached_property
+    def shipments(self) -> DataFrame:
+        return self._keep("shipments", delivery.shipments(self.log, self.customers, self.params))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return delivery.territories(self.shipments, self.params)
+
+    @cached_property
+    def routes(self) -> DataFrame:
+        return self._keep("routes", delivery.savings_routes(self.nodes, self.params))
+
+    @cached_property
+    def route_lengths(self) -> DataFrame:
+        return delivery.route_km(self.routes, self.shipments)
+
+    @cached_property
+    def delivery_daily(self) -> DataFrame:
+        return self._keep(
+            "delivery_daily", delivery.per_day(self.route_lengths, self.shipments, self.params)
+        )
+
+    # stage 5: costs
+    @cached_property
+    def revenue_lines(self) -> DataFrame:
+        return costs.window_revenue_lines(self.sales, self.items, self.window, self.params)
+
+    @cached_property
+    def per_invoice(self) -> DataFrame:
+        return self._keep(
+            "per_invoice",
+            costs.per_invoice(self.log, self.revenue_lines, self.delivery_daily, self.window, self.params),
+        )
+
+    @cached_property
+    def per_item(self) -> DataFrame:
+        return self._keep(
+            "per_item", costs.per_item(self.items, self.revenue_lines, self.plan, self.window, self.params)
+        )
+
+    @cached_property
+    def ledger_lines(self) -> DataFrame:
+        return self._keep(
+            "ledger_lines",
+            costs.ledger_lines(
+                self.per_day, self.delivery_daily, self.per_item, self.revenue_lines, self.window, self.params
+            ),
+        )
+
+    # stage 6: ledger and identities; both sides of an identity come from different frames
+    def _ledger_sources(self) -> list[DataFrame]:
+        one, distinct = F.count(F.lit(1)), F.count_distinct
+        in_range = demand.sales_in_window(self.sales, self.items, self.weeks, self.params.n_items)
+        in_window = demand.sales_in_window(self.sales, self.items, self.window, self.params.n_items)
+        made = reconcile.entries
+
+        def of_variant(column: str, variant: str):
+            return F.when(F.col("variant") == variant, F.col(column))
+
+        travel = [
+            entry
+            for v in VARIANTS
+            for entry in (
+                Entry(f"warehouse/travel_mean_{v}", F.avg(of_variant("travel_m", v)), "m/invoice", ASSIGNED, f"{v} layout"),
+                Entry(f"warehouse/invoices_{v}", F.count(of_variant("invoice", v)), "invoices", ASSIGNED, f"{v} layout"),
+                Entry(f"warehouse/lines_{v}", F.sum(of_variant("lines", v)), "lines", ASSIGNED, f"{v} layout"),
+            )
+        ]
+        booked = [
+            Entry(
+                "costing/" + item.replace(" ", "_"), F.sum(F.when(F.col("item") == item, F.col("gbp"))), "GBP", tag,
+                "ledger line",
+            )
+            for item, tag in (
+                ("labour", ASSIGNED), ("transport", ASSIGNED), ("holding", ASSIGNED), ("facility", ASSIGNED),
+                ("total cost", ASSIGNED), ("window revenue", REAL),
+            )
+        ]
+        parts = F.sum(F.when(F.col("item").isin(*costs.COST_LINES), F.col("gbp")))
+        sources = [
+            made(self.sales, [Entry("ingest/revenue_gbp", F.sum("revenue"), "GBP", REAL, "cleaned revenue")]),
+            made(self.demand, [Entry("ingest/demand_units", F.sum("units"), "units", REAL, "sum of weekly demand")]),
+            made(in_range, [
+                Entry("ingest/line_units", F.sum("quantity"), "units", REAL, "sum of line quantities"),
+                Entry("ingest/line_count", one, "lines", REAL, "sales lines of tracked items"),
+            ]),
+            made(self.lines, [Entry("invoice_stream/line_count", one, "lines", REAL, "lines to pick")]),
+            made(self.forecasts, [
+                Entry("forecast/rows", one, "rows", DERIVED, "item x future week"),
+                Entry("forecast/items", distinct("stock_code"), "items", DERIVED, "items with a forecast"),
+            ]),
+            made(self.plan, [
+                Entry("inventory/plan_items", distinct("stock_code"), "items", ASSIGNED, "items with a plan"),
+                Entry("inventory/safety_stock_units", F.sum("safety_stock"), "units", ASSIGNED, "stands on assigned lead times"),
+            ]),
+            made(self.velocity, [Entry("warehouse/velocity_lines", F.sum("velocity"), "lines", REAL, "lines per item, summed")]),
+            made(self.picks, [Entry("warehouse/picked_lines_total", F.sum("lines"), "lines", ASSIGNED, "lines over all tours")]),
+            made(self.evaluated, travel),
+            made(self.window, [Entry("window/weeks", one, "weeks", REAL, "weeks of the window")]),
+            made(self.window_lines, [Entry("window/stream_lines", one, "lines", REAL, "recount of the window")]),
+            made(self.log, [
+                Entry("fulfil/picked_lines", F.sum("lines"), "lines", ASSIGNED, "order log"),
+                Entry("fulfil/orders", one, "orders", ASSIGNED, "orders shipped"),
+                Entry("fulfil/cartons_packed", F.sum("cartons"), "cartons", ASSIGNED, "per order"),
+            ]),
+            made(self.per_day, [
+                Entry("fulfil/cartons_shipped", F.sum("cartons"), "cartons", ASSIGNED, "per day"),
+                Entry("fulfil/labour_hours", F.sum("labour_hours"), "hours", ASSIGNED, "picking labour"),
+            ]),
+            made(
+                delivery.routed_drops(self.route_lengths, self.shipments),
+                [Entry("transport/routed_drops", F.sum("routed_drops"), "orders", ASSIGNED, "counted from routes")],
+            ),
+            made(self.delivery_daily, [
+                Entry("transport/savings_km", F.sum("km"), "km", ASSIGNED, "savings routes"),
+                Entry("transport/out_and_back_km", F.sum("hi_km"), "km", ASSIGNED, "one trip per drop"),
+            ]),
+            made(self.ledger_lines, [*booked, Entry("costing/component_sum", parts, "GBP", ASSIGNED, "four lines added again")]),
+            made(in_window, [Entry("ingest/window_revenue", F.sum("revenue"), "GBP", REAL, "range filter")]),
+        ]
+        if self.published is not None:
+            value = F.sum(self.published.columns[0])
+            sources.append(made(self.published, [Entry("published/revenue_gbp", value, "GBP", REAL, "stated elsewhere")]))
+        return sources
+
+    @cached_property
+    def ledger(self) -> DataFrame:
+        return self._keep("ledger", reconcile.register(*self._ledger_sources()))
+
+    def checks_for(self, ledger: DataFrame, forecasts: DataFrame, plan: DataFrame) -> DataFrame:
+        """The cross-stage identities for every scenario found in ``ledger``."""
+        spec = [i for i in reconcile.IDENTITIES if self.published is not None or not i.name.startswith("(a)")]
+        scenarios = ledger.select("scenario_id").distinct()
+        layouts = reconcile.same_invoices(self.evaluated).drop("scenario_id")
+        parts = [
+            reconcile.check(ledger, reconcile.literal_table(self.spark, spec)),
+            reconcile.forecast_coverage(forecasts, self.items),
+            reconcile.replenishment_coverage(plan, forecasts),
+            scenarios.withColumn("_g", layouts.select(F.struct("*").alias("g")).scalar()).select("scenario_id", "_g.*"),
+            reconcile.provenance_audit(ledger),
+        ]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+    @cached_property
+    def checks(self) -> DataFrame:
+        return self._keep("checks", self.checks_for(self.ledger, self.forecasts, self.plan))
+
+    # readouts
+    @cached_property
+    def economics(self) -> DataFrame:
+        return readout.order_economics(self.per_invoice)
+
+    @cached_property
+    def by_cost(self) -> DataFrame:
+        return self._keep("by_cost", readout.by_cost(self.economics))
+
+    @cached_property
+    def drivers(self) -> DataFrame:
+        return readout.drivers(self.ledger, self.params)
+
+    # what-ifs
+    @property
+    def scenario_drivers(self) -> DataFrame:
+        """The one-row quantities that no scenario moves."""
+        base = self.ledger.filter(F.col("scenario_id") == reconcile.BASE)
+
+        def value(key: str):
+            return F.max(F.when(F.col("key") == key, F.col("value")))
+
+        return base.agg(
+            value("fulfil/labour_hours").alias("labour_hours"), value("transport/savings_km").alias("km"),
+            value("window/weeks").alias("weeks"), value("costing/window_revenue").alias("window_revenue"),
+        )
+
+    def what_if(self, scenarios: list[whatif.Scenario]) -> WhatIf:
+        return WhatIf(self, scenarios)
+
+
+class WhatIf:
+    """Plans, costs, ledger and identities of several scenarios, each table keyed by ``scenario_id``."""
+
+    def __init__(self, run: Run, scenarios: list[whatif.Scenario]):
+        self.run = run
+        self.scenarios = scenarios
+        self.tag = f"whatif-{uuid.uuid4().hex[:8]}"
+
+    @cached_property
+    def forecasts(self) -> DataFrame:
+        return whatif.scenario_forecasts(self.run.forecasts, self.scenarios)
+
+    @cached_property
+    def plans(self) -> DataFrame:
+        return self.run._keep(
+            f"{self.tag}-plans",
+            whatif.scenario_plan(self.run.forecasts, self.run.lead_times, self.scenarios, self.run.params),
+        )
+
+    @cached_property
+    def costs(self) -> DataFrame:
+        return self.run._keep(
+            f"{self.tag}-costs",
+            whatif.scenario_costs(self.plans, self.run.scenario_drivers, self.scenarios, self.run.params),
+        )
+
+    @cached_property
+    def ledger(self) -> DataFrame:
+        return whatif.scenario_ledger(self.run.ledger, self.costs, self.scenarios)
+
+    @cached_property
+    def checks(self) -> DataFrame:
+        kept = self.run._keep(f"{self.tag}-ledger", self.ledger)
+        return self.run._keep(f"{self.tag}-checks", self.run.checks_for(kept, self.forecasts, self.plans))

@@ -58,3 +58,17 @@ def testdata_txn(spark: SparkSession, folder: str, item_grain: str = "name") ->
         F.lit("lineitem").alias("source"),
         F.explode(F.sequence(F.lit(1), copies)).alias("_copy"),
     ).drop("_copy")
+
+
+def published_revenue(spark: SparkSession, folder: str, item_grain: str = "name") -> DataFrame:
+    """Revenue of the cleaned lines straight from the raw tables: one row, extended prices, no cleaning code."""
+    item = {"name": "p_name", "brand_type": "concat_ws('|', p_brand, p_type)", "part": "l_partkey"}[item_grain]
+    lines, parts = table(spark, folder, "lineitem"), table(spark, folder, "part")
+    sold = lines.filter(
+        "l_returnflag <> 'R' AND l_partkey % 83 <> 0 AND l_partkey % 89 <> 0 AND l_partkey % 79 <> 0"
+    ).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    same_line = sold.select(
+        "l_orderkey", F.expr(item).alias("item"), F.when(F.col("l_partkey") % 71 != 0, F.col("p_name")).alias("text"),
+        "l_quantity", "l_extendedprice",
+    ).distinct()
+    return same_line.agg(F.sum(F.col("l_extendedprice").cast("decimal(18,4)")).alias("revenue_gbp"))
