@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import oracles as O
-from orderloom.operators import assign, clean, demand, forecast, fulfil, slotting, stock
+from orderloom.functions import provenance
+from orderloom.operators import (
+    assign, clean, costs, delivery, demand, forecast, fulfil, readout, reconcile, slotting, stock, whatif,
+)
 from orderloom.params import DEFAULTS, SERVICE_LEVELS
 from orderloom.plans.run import Run
+from orderloom.sources import receipts, sample, transactions
 from orderloom.sources.tables import published_revenue, testdata_txn
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -309,6 +313,351 @@ FROM flog""",
     )
 )
 
+# ---- delivery
+_KM = {"x_km": 6, "y_km": 6, "direct_km": 6}
+query(
+    "shipments",
+    "SELECT * EXCLUDE (away) REPLACE (round(x_km, 6) AS x_km, round(y_km, 6) AS y_km, round(direct_km, 6) AS direct_km) FROM ship",
+)(lambda r: rounded(r.shipments, **_KM))
+query(
+    "savings_best_partner",
+    """
+SELECT day, 0 AS territory, invoice, arg_max(partner, (s, partner)) AS partner, max(s) AS saving_km
+FROM (
+  SELECT day, invoice_i AS invoice, invoice_j AS partner, round(saving, 6) AS s FROM pairs
+  UNION ALL SELECT day, invoice_j, invoice_i, round(saving, 6) FROM pairs
+) WHERE s > 0 GROUP BY 1, 3""",
+)(lambda r: delivery.best_savings(r.nodes))
+query(
+    "savings_routes",
+    "SELECT day, stops, array_to_string(visits, ' ') AS visits, round(km, 6) AS km FROM route_sums",
+)(
+    lambda r: rounded(
+        r.routes.groupBy("day", "territory", "route")
+        .agg(F.array_join(F.array_sort(F.collect_list(F.struct("seq", "invoice")))["invoice"], " ").alias("visits"))
+        .join(r.route_lengths, ["day", "territory", "route"])
+        .select("day", "stops", "visits", "km"),
+        km=6,
+    )
+)
+_DAILY = {"km": 4, "lo_km": 4, "hi_km": 4}
+query(
+    "delivery_per_day",
+    "SELECT * REPLACE (round(km, 4) AS km, round(lo_km, 4) AS lo_km, round(hi_km, 4) AS hi_km) FROM dday",
+)(lambda r: rounded(r.delivery_daily, **_DAILY))
+query(
+    "routed_drops",
+    "SELECT (SELECT count(*) FROM tour_rows) + (SELECT count(*) FROM ship WHERE NOT is_node) AS routed_drops",
+)(lambda r: delivery.routed_drops(r.route_lengths, r.shipments))
+query(
+    "method_record",
+    """
+SELECT count(*) FILTER (km < hi_km - 1e-6) AS wins, count(*) FILTER (abs(km - hi_km) <= 1e-6) AS ties,
+       count(*) FILTER (km > hi_km + 1e-6) AS losses, round(100 * sum(km - hi_km) / sum(hi_km), 6) AS delta_pct
+FROM dday""",
+)(lambda r: rounded(delivery.method_record(r.delivery_daily), delta_pct=6))
+query("km_bounds", "SELECT day FROM dday WHERE km < lo_km - 1e-6 OR km > hi_km + 1e-6")(
+    lambda r: delivery.bound_breaches(r.delivery_daily).select("day")
+)
+
+# ---- costs
+query(
+    "window_revenue",
+    "SELECT stock_code, sum(revenue) AS revenue, sum(quantity)::BIGINT AS units, count(*) AS lines FROM rev_lines GROUP BY 1",
+)(
+    lambda r: r.revenue_lines.groupBy("stock_code").agg(
+        F.sum("revenue").alias("revenue"), F.sum("quantity").alias("units"), F.count(F.lit(1)).alias("lines")
+    )
+)
+_INV = {"revenue": 4, "labour_cost": 6, "transport_cost": 6, "facility_cost": 6}
+query(
+    "cost_per_invoice",
+    "SELECT invoice, day, round(revenue, 4) AS revenue, round(labour_cost, 6) AS labour_cost, "
+    "round(transport_cost, 6) AS transport_cost, round(facility_cost, 6) AS facility_cost FROM inv_cost",
+)(lambda r: rounded(r.per_invoice, **_INV))
+query(
+    "cost_per_item",
+    "SELECT stock_code, round(revenue, 4) AS revenue, units, round(safety_stock, 6) AS safety_stock, "
+    "round(holding_cost, 6) AS holding_cost FROM item_cost",
+)(lambda r: rounded(r.per_item, revenue=4, safety_stock=6, holding_cost=6))
+query("ledger_lines", "SELECT * REPLACE (round(gbp, 3) AS gbp) FROM cost_lines")(
+    lambda r: rounded(r.ledger_lines, gbp=3)
+)
+query(
+    "cost_share_of_revenue",
+    "SELECT round(total, 3) AS total_cost, round(revenue, 3) AS window_revenue, round(100 * total / revenue, 6) AS cost_pct FROM booked",
+)(lambda r: rounded(costs.cost_share_of_revenue(r.ledger_lines), total_cost=3, window_revenue=3, cost_pct=6))
+
+# ---- ledger and identities
+query("ledger", "SELECT key, round(value, 3) AS value, unit, provenance FROM ledger")(
+    lambda r: rounded(r.ledger.select("key", "value", "unit", "provenance"), value=3)
+)
+query("ledger_table", "SELECT key, round(value, 3) AS value, unit, '[' || provenance || ']' AS provenance FROM ledger")(
+    lambda r: rounded(reconcile.ledger_table(r.ledger).drop("note"), value=3)
+)
+query(
+    "provenance_combine",
+    """
+SELECT split_part(key, '/', 1) AS stage,
+       CASE min(s) WHEN 3 THEN 'real' WHEN 2 THEN 'derived' ELSE 'synthetic-assigned' END AS combined,
+       CASE least(min(s), 2) WHEN 2 THEN 'derived' ELSE 'synthetic-assigned' END AS derived
+FROM (SELECT key, CASE provenance WHEN 'real' THEN 3 WHEN 'derived' THEN 2 ELSE 1 END AS s FROM ledger) GROUP BY 1""",
+)(
+    lambda r: r.ledger.groupBy(F.split_part("key", F.lit("/"), F.lit(1)).alias("stage")).agg(
+        provenance.combine_agg(F.col("provenance")).alias("combined"),
+        provenance.derive_agg(F.col("provenance")).alias("derived"),
+    )
+)
+
+
+def _pairs_sql() -> str:
+    rows = ", ".join(f"('{i.name}', '{i.lhs}', '{i.rhs}', {i.tolerance!r}::DOUBLE)" for i in reconcile.IDENTITIES)
+    return f"""
+SELECT t.name, t.lhs_label, round(a.value, 3) AS lhs, t.rhs_label, round(b.value, 3) AS rhs, t.tolerance,
+       a.unit = b.unit AND abs(a.value - b.value) <= t.tolerance AS passed, a.unit
+FROM (VALUES {rows}) t(name, lhs_label, rhs_label, tolerance)
+JOIN ledger a ON a.key = t.lhs_label JOIN ledger b ON b.key = t.rhs_label"""
+
+
+_SHOWN = ("name", "lhs_label", "lhs", "rhs_label", "rhs", "tolerance", "passed", "unit")
+
+
+def shown(checks: DataFrame) -> DataFrame:
+    return rounded(checks.select(*_SHOWN), lhs=3, rhs=3)
+
+
+query("identity_pairs", _pairs_sql())(
+    lambda r: shown(reconcile.check(r.ledger, reconcile.literal_table(r.spark, reconcile.IDENTITIES)))
+)
+
+
+def identity(letter: str, fn, lhs: str, rhs: str, passed: str, tolerance: float = 0.0) -> None:
+    """Register one identity with its own SQL for both sides."""
+
+    def labelled(r):
+        return shown(fn(r)).select("name", "lhs", "rhs", "tolerance", "passed")
+
+    name = {
+        "d": "(d) forecast coverage", "e": "(e) replenishment coverage", "g": "(g) same-invoice evaluation",
+        "h": "(h) provenance audit", "n": "(n) cost-driver reconstruction", "o": "(o) forecast-error containment",
+        "p": "(p) order-level allocation",
+    }[letter]
+    sql = f"""
+SELECT '{name}' AS name, round(({lhs})::DOUBLE, 3) AS lhs, round(({rhs})::DOUBLE, 3) AS rhs,
+       {tolerance}::DOUBLE AS tolerance, ({passed}) AS passed"""
+    query(f"identity_{letter}", sql)(labelled)
+
+
+identity(
+    "d", lambda r: reconcile.forecast_coverage(r.forecasts, r.items),
+    "SELECT count(DISTINCT stock_code) FROM forecasts WHERE stock_code IN (SELECT stock_code FROM items)",
+    "SELECT count(DISTINCT stock_code) FROM forecasts",
+    "SELECT count(*) = 0 FROM forecasts WHERE stock_code NOT IN (SELECT stock_code FROM items)",
+)
+identity(
+    "e", lambda r: reconcile.replenishment_coverage(r.plan, r.forecasts),
+    "SELECT count(DISTINCT stock_code) FROM plan", "SELECT count(DISTINCT stock_code) FROM forecasts",
+    "SELECT count(*) = 0 FROM ((SELECT stock_code FROM plan EXCEPT SELECT stock_code FROM forecasts) UNION ALL "
+    "(SELECT stock_code FROM forecasts EXCEPT SELECT stock_code FROM plan))",
+)
+identity(
+    "g", lambda r: reconcile.same_invoices(r.evaluated),
+    "SELECT min(lines) FROM layout_totals", "SELECT max(lines) FROM layout_totals",
+    "SELECT min(lines) = max(lines) AND min(invoices) = max(invoices) FROM layout_totals",
+)
+identity(
+    "h", lambda r: reconcile.provenance_audit(r.ledger),
+    "SELECT count(*) FROM ledger WHERE (key IN ('ingest/demand_units', 'warehouse/velocity_lines') AND provenance = 'real') "
+    "OR ((key LIKE 'warehouse/travel_mean_%' OR key = 'inventory/safety_stock_units') AND provenance = 'synthetic-assigned')",
+    "6", "true",
+)
+identity(
+    "n", lambda r: readout.driver_reconstruction(r.drivers),
+    "SELECT hours * 14.5 + km * 0.85 + stock * 0.02 * weeks + weeks * 2500 FROM cost_parts",
+    "SELECT total FROM booked", "true", 0.005,
+)
+identity(
+    "o", lambda r: whatif.forecast_containment(r.grid),
+    "SELECT total_cost FROM scen WHERE scenario_id = 'book x1.20'", "SELECT total + 0.2 * holding FROM booked",
+    "SELECT bool_and(abs(s.total_cost - b.total - (s.demand_factor - 1) * b.holding) <= 0.005) FROM scen s, booked b "
+    "WHERE s.scenario_id LIKE 'book%'", 0.005,
+)
+identity(
+    "p", lambda r: reconcile.allocation(r.economics, r.per_item, r.ledger_lines, r.log),
+    "SELECT sum(delivered_cost) + (SELECT sum(holding_cost) FROM item_cost) FROM econ", "SELECT total FROM booked",
+    "SELECT count(*) = count(DISTINCT invoice) AND count(*) = (SELECT count(*) FROM flog) AND count(revenue) = count(*) FROM econ",
+    0.005,
+)
+query("verdict", "SELECT 'base' AS scenario_id, 13 AS passed, 13 AS total, true AS all_passed FROM booked")(
+    lambda r: reconcile.verdict(r.checks)
+)
+
+# ---- what-ifs
+query("most_populous_class", "SELECT class, count(DISTINCT stock_code) AS items FROM forecasts WHERE class = (SELECT class FROM top_class) GROUP BY 1")(
+    lambda r: whatif.most_populous_class(r.forecasts)
+)
+query(
+    "class_surge",
+    "SELECT stock_code, week, round(units * f, 6) AS units, round(sigma * f, 6) AS sigma, model, class FROM "
+    "(SELECT *, CASE WHEN class = 'smooth' THEN 1.2 ELSE 1 END::DOUBLE AS f FROM forecasts)",
+)(lambda r: rounded(whatif.surge(r.forecasts, "smooth", 1.2), units=6, sigma=6))
+query(
+    "book_surge",
+    "SELECT * REPLACE (round(units * 1.1::DOUBLE, 6) AS units, round(sigma * 1.1::DOUBLE, 6) AS sigma) FROM forecasts",
+    "brand_type",
+)(lambda r: rounded(whatif.book_surge(r.forecasts, 1.1), units=6, sigma=6))
+query(
+    "rate_shock",
+    "SELECT scenario_id, round(labour, 3) AS labour, round(transport, 3) AS transport, round(holding, 3) AS holding, "
+    "round(facility, 3) AS facility, round(total_cost, 3) AS total_cost FROM scen WHERE scenario_id LIKE '% rate'",
+)(
+    lambda r: rounded(
+        r.rate_shocks.costs.select("scenario_id", "labour", "transport", "holding", "facility", "total_cost"),
+        labour=3, transport=3, holding=3, facility=3, total_cost=3,
+    )
+)
+query(
+    "scenario_deltas",
+    """
+WITH long AS (
+  SELECT scenario_id, u.* FROM scen, LATERAL (VALUES
+    ('1 forecast', 'forecast units', 'units', 'derived', forecast_units),
+    ('2 inventory', 'safety stock', 'units', 'synthetic-assigned', ss_units),
+    ('2 inventory', 'order-up-to', 'units', 'synthetic-assigned', order_up_to_units),
+    ('4b transport', 'route km', 'km', 'synthetic-assigned', km),
+    ('5 costing', 'holding cost', 'GBP', 'synthetic-assigned', holding),
+    ('5 costing', 'transport cost', 'GBP', 'synthetic-assigned', transport),
+    ('5 costing', 'labour cost', 'GBP', 'synthetic-assigned', labour),
+    ('5 costing', 'facility cost', 'GBP', 'synthetic-assigned', facility),
+    ('5 costing', 'total cost', 'GBP', 'synthetic-assigned', total_cost),
+    ('6 ledger', 'window revenue', 'GBP', 'real', window_revenue)) u(stage, metric, unit, provenance, v)
+)
+SELECT p.scenario_id, p.stage, p.metric, p.unit, p.provenance, round(b.v, 3) AS baseline, round(p.v, 3) AS perturbed,
+       round(p.v - b.v, 3) AS delta, round(100 * (p.v - b.v) / nullif(b.v, 0), 6) AS pct
+FROM long p JOIN long b ON b.metric = p.metric AND b.scenario_id = 'base'
+WHERE p.scenario_id IN ('class surge', 'transport rate')""",
+)(
+    lambda r: rounded(
+        whatif.deltas(r.shocks.costs, r.shocks.forecasts), baseline=3, perturbed=3, delta=3, pct=6
+    )
+)
+_GRID = {"ss_units": 4, "holding": 3, "labour": 3, "transport": 3, "facility": 3, "total_cost": 3, "window_revenue": 3,
+         "holding_elasticity": 6, "total_elasticity": 6, "holding_share": 9}
+query(
+    "sensitivity_grid",
+    """
+SELECT s.scenario_id, s.demand_factor AS factor, round(s.ss_units, 4) AS ss_units, round(s.holding, 3) AS holding,
+       round(s.labour, 3) AS labour, round(s.transport, 3) AS transport, round(s.facility, 3) AS facility,
+       round(s.total_cost, 3) AS total_cost, round(s.window_revenue, 3) AS window_revenue,
+       13 AS identities_passed, 13 AS identities_total,
+       CASE WHEN s.demand_factor <> 1 THEN round((s.holding / b.holding - 1) / (s.demand_factor - 1), 6) END AS holding_elasticity,
+       CASE WHEN s.demand_factor <> 1 THEN round((s.total_cost / b.total - 1) / (s.demand_factor - 1), 6) END AS total_elasticity,
+       round(s.holding / s.total_cost, 9) AS holding_share
+FROM scen s, booked b WHERE s.scenario_id LIKE 'book%'""",
+)(lambda r: rounded(r.grid, **_GRID))
+query(
+    "class_containment",
+    """
+SELECT (SELECT class FROM top_class) AS target_class, 1.2::DOUBLE AS factor, round(c.class_ss, 4) AS class_ss, round(b.stock, 4) AS total_ss,
+       round(b.holding / b.total, 9) AS holding_share,
+       round((s.total_cost / b.total - 1) / 0.2, 6) AS measured_elasticity,
+       round(b.holding / b.total * c.class_ss / b.stock, 6) AS predicted_elasticity, true AS holds
+FROM booked b, scen s, (SELECT sum(safety_stock) AS class_ss FROM plan WHERE class = (SELECT class FROM top_class)) c
+WHERE s.scenario_id = 'class surge'""",
+)(
+    lambda r: rounded(
+        whatif.class_containment(r.shocks.costs, r.shocks.plans, r.shocks.checks), class_ss=4, total_ss=4,
+        holding_share=9, measured_elasticity=6, predicted_elasticity=6,
+    )
+)
+
+# ---- readouts
+query(
+    "driver_breakdown",
+    """
+SELECT line, round(quantity, 4) AS quantity, rate::DOUBLE AS rate, round(rebuilt_gbp, 3) AS rebuilt_gbp, round(registered, 3) AS registered_gbp,
+       abs(rebuilt_gbp - registered) <= 0.005 AS agrees, round(registered / total, 9) AS share
+FROM booked, LATERAL (VALUES
+  ('labour', hours, 14.5, hours * 14.5, labour), ('transport', km, 0.85, km * 0.85, transport),
+  ('holding', stock, 0.02, stock * 0.02 * weeks, holding), ('facility', weeks, 2500, weeks * 2500, facility)
+) u(line, quantity, rate, rebuilt_gbp, registered)""",
+)(
+    lambda r: rounded(
+        r.drivers.withColumn("agrees", F.abs("residual_gbp") <= 0.005).select(
+            "line", "quantity", "rate", "rebuilt_gbp", "registered_gbp", "agrees", "share"
+        ),
+        quantity=4, rebuilt_gbp=3, registered_gbp=3, share=9,
+    )
+)
+query(
+    "verify_elasticity",
+    """
+SELECT split_part(s.scenario_id, ' ', 1) AS line, round(CASE split_part(s.scenario_id, ' ', 1)
+         WHEN 'labour' THEN b.labour WHEN 'transport' THEN b.transport WHEN 'holding' THEN b.holding ELSE b.facility END / b.total, 6) AS share,
+       round((s.total_cost / b.total - 1) / 0.1, 6) AS measured, true AS agrees
+FROM scen s, booked b WHERE s.scenario_id LIKE '% rate'""",
+)(
+    lambda r: rounded(
+        readout.elasticity_check(r.drivers, r.rate_shocks.costs).select("line", "share", "measured", "agrees"),
+        share=6, measured=6,
+    )
+)
+query(
+    "order_economics",
+    "SELECT invoice, round(revenue, 4) AS revenue, round(delivered_cost, 6) AS delivered_cost, round(gap, 4) AS gap FROM econ",
+)(
+    lambda r: rounded(r.economics.select("invoice", "revenue", "delivered_cost", "gap"), revenue=4, delivered_cost=6, gap=4)
+)
+query(
+    "distribution_stats",
+    """
+SELECT count(*) AS n_orders, round(sum(delivered_cost), 3) AS delivered_total, round(sum(revenue), 3) AS revenue_total,
+       round(avg(delivered_cost), 6) AS mean_cost, round(median(delivered_cost), 6) AS median_cost,
+       round(quantile_cont(delivered_cost, 0.9), 6) AS p90_cost, round(min(delivered_cost), 6) AS min_cost,
+       round(max(delivered_cost), 6) AS max_cost,
+       round(sum(delivered_cost) FILTER (down <= greatest(1, n // 10)) / sum(delivered_cost), 6) AS top_decile_share,
+       round(2 * sum(up * delivered_cost) / (count(*) * sum(delivered_cost)) - (count(*) + 1) / count(*), 6) AS gini,
+       count(*) FILTER (delivered_cost > revenue) AS uncovered_orders,
+       coalesce(sum(revenue) FILTER (delivered_cost > revenue), 0) AS uncovered_revenue,
+       coalesce(sum(delivered_cost) FILTER (delivered_cost > revenue), 0) AS uncovered_delivered
+FROM cost_rank""",
+)(
+    lambda r: rounded(
+        readout.distribution_stats(r.by_cost), delivered_total=3, revenue_total=3, mean_cost=6, median_cost=6, p90_cost=6,
+        min_cost=6, max_cost=6, top_decile_share=6, gini=6,
+    )
+)
+query(
+    "gini_revenue",
+    """
+SELECT round(2 * sum(r * revenue) / (count(*) * sum(revenue)) - (count(*) + 1) / count(*), 6) AS gini
+FROM (SELECT revenue, row_number() OVER (ORDER BY revenue, invoice) AS r FROM econ)""",
+)(lambda r: rounded(readout.gini(r.economics, "revenue", "invoice"), gini=6))
+query(
+    "whale_curve",
+    "SELECT invoice, round(gap, 4) AS gap, rank, n_rows, round(cum_gap, 3) AS cum_gap FROM curve",
+)(lambda r: rounded(readout.whale_curve(r.economics), gap=4, cum_gap=3))
+query(
+    "whale_summary",
+    """
+SELECT any_value(n_rows) AS n_orders, round(max(cum_gap), 3) AS peak_gbp, arg_max(rank, (cum_gap, -rank)) AS peak_orders,
+       round(arg_max(cum_gap, rank), 3) AS end_gbp, round(max(cum_gap) - arg_max(cum_gap, rank), 3) AS erosion_gbp FROM curve""",
+)(lambda r: rounded(readout.whale_summary(readout.whale_curve(r.economics)), peak_gbp=3, end_gbp=3, erosion_gbp=3))
+query(
+    "decile_table",
+    """
+SELECT decile::INT AS decile, orders, round(delivered, 3) AS delivered_gbp, round(revenue, 3) AS revenue_gbp, round(gap, 3) AS gap_gbp, uncovered_orders,
+       round(delivered / sum(delivered) OVER (), 6) AS cost_share,
+       round(sum(delivered) OVER (ORDER BY decile) / sum(delivered) OVER (), 6) AS cum_cost_share
+FROM (SELECT decile, count(*) AS orders, sum(delivered_cost) AS delivered, sum(revenue) AS revenue, sum(gap) AS gap,
+             count(*) FILTER (delivered_cost > revenue) AS uncovered_orders FROM cost_rank GROUP BY 1)""",
+)(
+    lambda r: rounded(
+        readout.decile_table(r.by_cost), delivered_gbp=3, revenue_gbp=3, gap_gbp=3, cost_share=6, cum_cost_share=6
+    )
+)
+query("boundary_map")(lambda r: readout.boundary_map(r.ledger))
+
 
 def entry(spark: SparkSession) -> DataFrame:
     """Zero-filled weekly demand of the tracked items."""

@@ -379,3 +379,188 @@ PARTS["busy"] = """
 SELECT m.arrival_day, m.t, any_value(m.started) AS started,
        count(*) FILTER (round(l.start_of_day_min, 6) <= m.t) - count(*) FILTER (round(l.finish_of_day_min, 6) <= m.t) AS doing
 FROM moments m JOIN flog l ON l.arrival_day = m.arrival_day GROUP BY 1, 2"""
+
+# ---- delivery
+PARTS["ship"] = """
+SELECT *, rem > 0 OR full_trips = 0 AS is_node, 2 * away * full_trips AS direct_km
+FROM (
+  SELECT l.invoice, l.day, p.customer_key, p.country, p.x_km, p.y_km, l.cartons AS packed,
+         greatest(1, l.cartons) AS cartons, greatest(1, l.cartons) // 80 AS full_trips,
+         greatest(1, l.cartons) % 80 AS rem, sqrt(p.x_km * p.x_km + p.y_km * p.y_km) AS away
+  FROM flog l JOIN placed p USING (invoice)
+)"""
+PARTS["stops"] = """
+SELECT day, invoice, x_km, y_km, away, rem AS load, row_number() OVER (PARTITION BY day ORDER BY invoice) AS k
+FROM ship WHERE is_node"""
+PARTS["pairs"] = """
+SELECT a.day, a.k AS i, b.k AS j, a.invoice AS invoice_i, b.invoice AS invoice_j,
+       a.away + b.away - sqrt((a.x_km - b.x_km) * (a.x_km - b.x_km) + (a.y_km - b.y_km) * (a.y_km - b.y_km)) AS saving
+FROM stops a JOIN stops b ON a.day = b.day AND a.k < b.k"""
+PARTS["tried"] = """
+SELECT s.day, s.alone, coalesce(p.pairs, []) AS pairs
+FROM (SELECT day, list({'seq': [k], 'load': load::BIGINT} ORDER BY k) AS alone FROM stops GROUP BY 1) s
+LEFT JOIN (SELECT day, list({'i': i, 'j': j} ORDER BY saving DESC, i DESC, j DESC) AS pairs
+           FROM pairs WHERE saving > 0 GROUP BY 1) p USING (day)"""
+PARTS["joined"] = """
+SELECT day, list_reduce(pairs, lambda rs, p:
+  list_transform([{'a': list_filter(rs, lambda r: r.seq[1] = p.i OR r.seq[-1] = p.i),
+                   'b': list_filter(rs, lambda r: r.seq[1] = p.j OR r.seq[-1] = p.j)}],
+    lambda m: CASE
+      WHEN len(m.a) = 1 AND len(m.b) = 1 AND m.a[1].seq <> m.b[1].seq AND m.a[1].load + m.b[1].load <= 80
+      THEN list_append(
+        list_filter(rs, lambda r: r.seq <> m.a[1].seq AND r.seq <> m.b[1].seq),
+        {'seq': list_concat(CASE WHEN m.a[1].seq[1] = p.i THEN list_reverse(m.a[1].seq) ELSE m.a[1].seq END,
+                            CASE WHEN m.b[1].seq[-1] = p.j THEN list_reverse(m.b[1].seq) ELSE m.b[1].seq END),
+         'load': m.a[1].load + m.b[1].load})
+      ELSE rs END)[1], alone) AS routes
+FROM tried"""
+PARTS["tour_rows"] = """
+SELECT r.day, r.route, r.pos, r.size, s.invoice, s.x_km, s.y_km, s.away
+FROM (
+  SELECT day, route, generate_subscripts(seq, 1) AS pos, len(seq) AS size, unnest(seq) AS k
+  FROM (SELECT day, generate_subscripts(routes, 1) AS route, unnest(routes).seq AS seq FROM joined)
+) r JOIN stops s ON s.day = r.day AND s.k = r.k"""
+PARTS["route_sums"] = """
+SELECT day, route, count(*) AS stops, list(invoice ORDER BY pos) AS visits,
+       sum(CASE WHEN pos = 1 THEN away ELSE leg END) + sum(CASE WHEN pos = size THEN away ELSE 0 END) AS km
+FROM (SELECT *, sqrt(pow(x_km - lag(x_km) OVER w, 2) + pow(y_km - lag(y_km) OVER w, 2)) AS leg
+      FROM tour_rows WINDOW w AS (PARTITION BY day, route ORDER BY pos))
+GROUP BY 1, 2"""
+PARTS["dday"] = """
+SELECT s.day, s.drops, s.cartons, s.direct_trips, coalesce(r.km, 0) + s.direct_km AS km,
+       coalesce(r.routes, 0) + s.direct_trips AS vehicles, s.lo_km, s.hi_km
+FROM (
+  SELECT day, count(*) AS drops, sum(packed)::BIGINT AS cartons, sum(full_trips)::BIGINT AS direct_trips,
+         sum(direct_km) AS direct_km, sum(2 * away * cartons / 80) AS lo_km,
+         sum(2 * away * (full_trips + is_node::INT)) AS hi_km
+  FROM ship GROUP BY 1
+) s LEFT JOIN (SELECT day, sum(km) AS km, count(*) AS routes FROM route_sums GROUP BY 1) r USING (day)"""
+
+# ---- costs
+PARTS["rev_lines"] = """
+SELECT * FROM sales s WHERE EXISTS (SELECT 1 FROM win w WHERE w.week = s.week)
+  AND EXISTS (SELECT 1 FROM items i WHERE i.stock_code = s.stock_code)"""
+PARTS["inv_cost"] = """
+SELECT l.invoice, l.day, r.revenue, l.pick_minutes / 60 * 14.5 AS labour_cost,
+       l.cartons / d.cartons * d.km * 0.85 AS transport_cost,
+       2500.0::DOUBLE * (SELECT count(*) FROM win) / (SELECT count(*) FROM flog) AS facility_cost
+FROM flog l
+LEFT JOIN (SELECT invoice, sum(revenue)::DOUBLE AS revenue FROM rev_lines GROUP BY 1) r USING (invoice)
+JOIN dday d ON d.day = l.day"""
+PARTS["item_cost"] = """
+SELECT i.stock_code, coalesce(r.revenue, 0) AS revenue, coalesce(r.units, 0) AS units,
+       coalesce(p.safety_stock, 0) AS safety_stock,
+       coalesce(p.safety_stock, 0) * 0.02 * (SELECT count(*) FROM win) AS holding_cost
+FROM items i
+LEFT JOIN (SELECT stock_code, sum(revenue)::DOUBLE AS revenue, sum(quantity)::DOUBLE AS units FROM rev_lines GROUP BY 1) r
+  USING (stock_code)
+LEFT JOIN plan p USING (stock_code)"""
+PARTS["cost_parts"] = """
+SELECT (SELECT sum(pick_minutes) / 60 FROM flog) AS hours, (SELECT sum(km) FROM dday) AS km,
+       (SELECT sum(safety_stock) FROM plan) AS stock, (SELECT count(*) FROM win) AS weeks,
+       (SELECT sum(revenue)::DOUBLE FROM rev_lines) AS revenue"""
+PARTS["booked"] = """
+SELECT hours * 14.5 AS labour, km * 0.85 AS transport, stock * 0.02 * weeks AS holding, weeks * 2500.0::DOUBLE AS facility,
+       hours * 14.5 + km * 0.85 + stock * 0.02 * weeks + weeks * 2500.0::DOUBLE AS total, revenue, hours, km, stock, weeks
+FROM cost_parts"""
+PARTS["cost_lines"] = """
+SELECT u.item, u.gbp, u.basis, u.provenance FROM booked, LATERAL (VALUES
+  ('labour', labour, printf('%.1f picking hours x 14.50/h', hours), 'synthetic-assigned'),
+  ('transport', transport, printf('%.1f km x 0.85/km', km), 'synthetic-assigned'),
+  ('holding', holding, printf('%.0f units x 0.02/unit-week x %d weeks', stock, weeks), 'synthetic-assigned'),
+  ('facility', facility, printf('2500/week x %d weeks', weeks), 'synthetic-assigned'),
+  ('total cost', total, 'sum of the four cost lines', 'synthetic-assigned'),
+  ('window revenue', revenue, printf('sales of the same %d weeks', weeks), 'real')
+) u(item, gbp, basis, provenance)"""
+PARTS["raw_revenue"] = """
+SELECT sum(l_extendedprice::DECIMAL(18,4))::DOUBLE AS v FROM (
+  SELECT DISTINCT l_orderkey, p_name, l_partkey % 71 = 0 AS hidden, l_quantity, l_extendedprice
+  FROM lineitem JOIN part ON p_partkey = l_partkey
+  WHERE l_returnflag <> 'R' AND l_partkey % 83 <> 0 AND l_partkey % 89 <> 0 AND l_partkey % 79 <> 0)"""
+_A, _R, _D = "'synthetic-assigned'", "'real'", "'derived'"
+PARTS["ledger"] = f"""
+SELECT u.* FROM booked, layout_pivot, LATERAL (VALUES
+  ('ingest/revenue_gbp', (SELECT sum(revenue)::DOUBLE FROM sales), 'GBP', {_R}),
+  ('published/revenue_gbp', (SELECT v FROM raw_revenue), 'GBP', {_R}),
+  ('ingest/demand_units', (SELECT sum(units) FROM demand), 'units', {_R}),
+  ('ingest/line_units', (SELECT sum(quantity)::DOUBLE FROM window_sales), 'units', {_R}),
+  ('ingest/line_count', (SELECT count(*) FROM window_sales), 'lines', {_R}),
+  ('invoice_stream/line_count', (SELECT count(*) FROM lines), 'lines', {_R}),
+  ('forecast/rows', (SELECT count(*) FROM forecasts), 'rows', {_D}),
+  ('forecast/items', (SELECT count(DISTINCT stock_code) FROM forecasts), 'items', {_D}),
+  ('inventory/plan_items', (SELECT count(DISTINCT stock_code) FROM plan), 'items', {_A}),
+  ('inventory/safety_stock_units', stock, 'units', {_A}),
+  ('warehouse/velocity_lines', (SELECT sum(velocity)::DOUBLE FROM vel), 'lines', {_R}),
+  ('warehouse/picked_lines_total', optimal_lines, 'lines', {_A}),
+  ('warehouse/travel_mean_random', random_m, 'm/invoice', {_A}),
+  ('warehouse/travel_mean_abc', abc_m, 'm/invoice', {_A}),
+  ('warehouse/travel_mean_optimal', optimal_m, 'm/invoice', {_A}),
+  ('warehouse/invoices_random', random_n, 'invoices', {_A}),
+  ('warehouse/invoices_abc', abc_n, 'invoices', {_A}),
+  ('warehouse/invoices_optimal', optimal_n, 'invoices', {_A}),
+  ('warehouse/lines_random', random_lines, 'lines', {_A}),
+  ('warehouse/lines_abc', abc_lines, 'lines', {_A}),
+  ('warehouse/lines_optimal', optimal_lines, 'lines', {_A}),
+  ('window/weeks', weeks, 'weeks', {_R}),
+  ('window/stream_lines', (SELECT count(*) FROM win_lines), 'lines', {_R}),
+  ('fulfil/picked_lines', (SELECT sum(lines)::DOUBLE FROM flog), 'lines', {_A}),
+  ('fulfil/orders', (SELECT count(*) FROM flog), 'orders', {_A}),
+  ('fulfil/cartons_packed', (SELECT sum(cartons)::DOUBLE FROM flog), 'cartons', {_A}),
+  ('fulfil/cartons_shipped', (SELECT sum(cartons)::DOUBLE FROM fday), 'cartons', {_A}),
+  ('fulfil/labour_hours', hours, 'hours', {_A}),
+  ('transport/routed_drops', (SELECT count(*) FROM tour_rows) + (SELECT count(*) FROM ship WHERE NOT is_node), 'orders', {_A}),
+  ('transport/savings_km', km, 'km', {_A}),
+  ('transport/out_and_back_km', (SELECT sum(hi_km) FROM dday), 'km', {_A}),
+  ('costing/labour', labour, 'GBP', {_A}), ('costing/transport', transport, 'GBP', {_A}),
+  ('costing/holding', holding, 'GBP', {_A}), ('costing/facility', facility, 'GBP', {_A}),
+  ('costing/total_cost', total, 'GBP', {_A}), ('costing/component_sum', total, 'GBP', {_A}),
+  ('costing/window_revenue', revenue, 'GBP', {_R}),
+  ('ingest/window_revenue', (SELECT sum(revenue)::DOUBLE FROM window_sales
+      WHERE week BETWEEN (SELECT min(week) FROM win) AND (SELECT max(week) FROM win)), 'GBP', {_R})
+) u(key, value, unit, provenance)"""
+PARTS["layout_pivot"] = "SELECT " + ", ".join(
+    f"max(CASE WHEN variant = '{v}' THEN mean_travel_m END) AS {v}_m, "
+    f"max(CASE WHEN variant = '{v}' THEN invoices END) AS {v}_n, "
+    f"max(CASE WHEN variant = '{v}' THEN lines END) AS {v}_lines"
+    for v in ("random", "abc", "optimal")
+) + " FROM layout_totals"
+
+# ---- order economics
+PARTS["econ"] = """
+SELECT *, labour_cost + transport_cost + facility_cost AS delivered_cost,
+       revenue - (labour_cost + transport_cost + facility_cost) AS gap FROM inv_cost"""
+PARTS["cost_rank"] = """
+SELECT *, row_number() OVER (ORDER BY delivered_cost, invoice DESC) AS up,
+       row_number() OVER (ORDER BY delivered_cost DESC, invoice) AS down,
+       ntile(10) OVER (ORDER BY delivered_cost DESC, invoice) AS decile, count(*) OVER () AS n FROM econ"""
+PARTS["curve"] = """
+SELECT invoice, gap, row_number() OVER (ORDER BY gap DESC, invoice) AS rank, count(*) OVER () AS n_rows,
+       sum(gap) OVER (ORDER BY gap DESC, invoice ROWS UNBOUNDED PRECEDING) AS cum_gap FROM econ"""
+
+# ---- what-ifs
+PARTS["top_class"] = """
+SELECT class FROM forecasts GROUP BY 1 ORDER BY count(DISTINCT stock_code) DESC, class LIMIT 1"""
+_SCENARIOS = (
+    [("base", "none", 1.0, 1, 1, 1, 1), ("class surge", "class", 1.2, 1, 1, 1, 1), ("transport rate", "none", 1.0, 1, 1.1, 1, 1)]
+    + [(f"book x{f:.2f}", "book", f, 1, 1, 1, 1) for f in (0.8, 0.9, 1.0, 1.1, 1.2)]
+    + [("labour rate", "none", 1.0, 1.1, 1, 1, 1), ("holding rate", "none", 1.0, 1, 1, 1.1, 1),
+       ("facility rate", "none", 1.0, 1, 1, 1, 1.1)]
+)
+PARTS["scenarios"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"('{i}', '{s}', {f}::DOUBLE, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for i, s, f, a, b, c, d in _SCENARIOS
+) + ") t(scenario_id, reach, f, lab, tra, hol, fac)"
+PARTS["surged"] = """
+SELECT s.scenario_id, p.stock_code, p.class,
+       CASE WHEN s.reach = 'book' OR (s.reach = 'class' AND p.class = (SELECT class FROM top_class)) THEN s.f ELSE 1 END AS by
+FROM plan p, scenarios s"""
+PARTS["scen"] = """
+SELECT s.scenario_id, s.f AS demand_factor, t.ss_units, t.order_up_to_units, b.km, t.forecast_units,
+       b.labour * s.lab AS labour, b.transport * s.tra AS transport, t.ss_units * 0.02 * b.weeks * s.hol AS holding,
+       b.facility * s.fac AS facility,
+       b.labour * s.lab + b.transport * s.tra + t.ss_units * 0.02 * b.weeks * s.hol + b.facility * s.fac AS total_cost,
+       b.revenue AS window_revenue
+FROM scenarios s, booked b, (
+  SELECT scenario_id, sum(safety_stock * by) AS ss_units, sum(order_up_to * by) AS order_up_to_units,
+         sum(CASE WHEN class = (SELECT class FROM top_class) THEN mu_weekly * 8 * by ELSE 0 END) AS forecast_units
+  FROM surged JOIN (SELECT stock_code, safety_stock, order_up_to, mu_weekly FROM plan) p USING (stock_code) GROUP BY 1
+) t WHERE t.scenario_id = s.scenario_id"""

@@ -375,6 +375,23 @@ class Run:
     def what_if(self, scenarios: list[whatif.Scenario]) -> WhatIf:
         return WhatIf(self, scenarios)
 
+    @cached_property
+    def shocks(self) -> WhatIf:
+        """The base, a surge of the most populous class and a transport rate shock."""
+        return self.what_if([whatif.BASE, whatif.CLASS_SURGE, whatif.TRANSPORT_SHOCK])
+
+    @cached_property
+    def book_factors(self) -> WhatIf:
+        return self.what_if(whatif.book_scenarios())
+
+    @cached_property
+    def rate_shocks(self) -> WhatIf:
+        return self.what_if(whatif.rate_scenarios())
+
+    @cached_property
+    def grid(self) -> DataFrame:
+        return self._keep("grid", whatif.grid(self.book_factors.costs, self.book_factors.checks))
+
 
 class WhatIf:
     """Plans, costs, ledger and identities of several scenarios, each table keyed by ``scenario_id``."""
