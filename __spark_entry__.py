@@ -14,6 +14,7 @@ from orderloom.operators import (
 )
 from orderloom.params import DEFAULTS, SERVICE_LEVELS
 from orderloom.plans.run import Run
+from orderloom.plans.summary import stage_summary
 from orderloom.sources import receipts, sample, transactions
 from orderloom.sources.tables import published_revenue, testdata_txn
 
@@ -356,9 +357,10 @@ SELECT count(*) FILTER (km < hi_km - 1e-6) AS wins, count(*) FILTER (abs(km - hi
        count(*) FILTER (km > hi_km + 1e-6) AS losses, round(100 * sum(km - hi_km) / sum(hi_km), 6) AS delta_pct
 FROM dday""",
 )(lambda r: rounded(delivery.method_record(r.delivery_daily), delta_pct=6))
-query("km_bounds", "SELECT day FROM dday WHERE km < lo_km - 1e-6 OR km > hi_km + 1e-6")(
-    lambda r: delivery.bound_breaches(r.delivery_daily).select("day")
-)
+query(
+    "km_bounds",
+    "SELECT day, round(lo_km, 4) AS lo_km, round(km, 4) AS km, round(hi_km, 4) AS hi_km, true AS inside FROM dday",
+)(lambda r: rounded(delivery.km_bounds(r.delivery_daily), **_DAILY))
 
 # ---- costs
 query(
@@ -519,6 +521,7 @@ query(
 query(
     "scenario_deltas",
     """
+SELECT * FROM (
 WITH long AS (
   SELECT scenario_id, u.* FROM scen, LATERAL (VALUES
     ('1 forecast', 'forecast units', 'units', 'derived', forecast_units),
@@ -535,7 +538,7 @@ WITH long AS (
 SELECT p.scenario_id, p.stage, p.metric, p.unit, p.provenance, round(b.v, 3) AS baseline, round(p.v, 3) AS perturbed,
        round(p.v - b.v, 3) AS delta, round(100 * (p.v - b.v) / nullif(b.v, 0), 6) AS pct
 FROM long p JOIN long b ON b.metric = p.metric AND b.scenario_id = 'base'
-WHERE p.scenario_id IN ('class surge', 'transport rate')""",
+WHERE p.scenario_id IN ('class surge', 'transport rate'))""",
 )(
     lambda r: rounded(
         whatif.deltas(r.shocks.costs, r.shocks.forecasts), baseline=3, perturbed=3, delta=3, pct=6
@@ -656,7 +659,101 @@ FROM (SELECT decile, count(*) AS orders, sum(delivered_cost) AS delivered, sum(r
         readout.decile_table(r.by_cost), delivered_gbp=3, revenue_gbp=3, gap_gbp=3, cost_share=6, cum_cost_share=6
     )
 )
-query("boundary_map")(lambda r: readout.boundary_map(r.ledger))
+_BOUNDARY = ", ".join(f"('{b.quantity}', '{b.provenance}', '{b.note}')" for b in readout.BOUNDARY)
+query(
+    "boundary_map",
+    f"""
+SELECT t.quantity, t.provenance, t.note, (SELECT count(*) FROM ledger l WHERE l.provenance = t.provenance) AS ledger_entries
+FROM (VALUES {_BOUNDARY}) t(quantity, provenance, note)""",
+)(lambda r: readout.boundary_map(r.ledger))
+query(
+    "stage_summary",
+    """
+SELECT u.* FROM booked b, layout_pivot l, LATERAL (VALUES
+  (0, 'headline', (SELECT sum(revenue)::DOUBLE FROM sales)), (0, 'raw_rows', (SELECT n0 FROM log_counts)),
+  (0, 'sales_rows', (SELECT n5 FROM log_counts)), (0, 'returns_rows', (SELECT count(*) FROM returned)),
+  (0, 'tracked_items', (SELECT count(*) FROM items)), (0, 'tracked_lines', (SELECT count(*) FROM window_sales)),
+  (0, 'weeks', (SELECT count(*) FROM weeks)), (0, 'invoices', (SELECT count(DISTINCT invoice) FROM lines)),
+  (0, 'stream_lines', (SELECT count(*) FROM lines)),
+  (1, 'headline', (SELECT count(DISTINCT stock_code) FROM forecasts)), (1, 'rows', (SELECT count(*) FROM forecasts)),
+  (1, 'horizon_weeks', 8), (1, 'classes_with_winner', (SELECT count(*) FROM winners WHERE winner)),
+  (2, 'headline', stock), (2, 'items_planned', (SELECT count(*) FROM plan)),
+  (2, 'order_up_to_units', (SELECT sum(order_up_to) FROM plan)), (2, 'service_level', 0.95),
+  (3, 'headline', optimal_m), (3, 'abc_m', abc_m), (3, 'random_m', random_m),
+  (4, 'headline', (SELECT count(*) FROM flog)), (4, 'window_weeks', b.weeks), (4, 'crew', 4),
+  (4, 'lines_picked', (SELECT sum(lines) FROM flog)), (4, 'cartons_shipped', (SELECT sum(cartons) FROM flog)),
+  (4, 'days', (SELECT count(*) FROM fday)), (4, 'labour_hours', b.hours),
+  (4, 'mean_wait_min', (SELECT avg(wait_min) FROM flog)), (4, 'p95_wait_min', (SELECT quantile_cont(wait_min, 0.95) FROM flog)),
+  (5, 'headline', b.km), (5, 'out_and_back_km', (SELECT sum(hi_km) FROM dday)), (5, 'delivery_days', (SELECT count(*) FROM dday)),
+  (5, 'vehicle_days', (SELECT sum(vehicles) FROM dday)), (5, 'drops_routed', (SELECT count(*) FROM ship)),
+  (5, 'wins', (SELECT count(*) FROM dday WHERE km < hi_km - 1e-6)), (5, 'ties', (SELECT count(*) FROM dday WHERE abs(km - hi_km) <= 1e-6)),
+  (5, 'losses', (SELECT count(*) FROM dday WHERE km > hi_km + 1e-6)),
+  (5, 'delta_pct', (SELECT 100 * sum(km - hi_km) / sum(hi_km) FROM dday)),
+  (6, 'headline', b.total), (6, 'window_revenue', b.revenue), (6, 'labour', b.labour), (6, 'transport', b.transport),
+  (6, 'holding', b.holding), (6, 'facility', b.facility), (6, 'cost_pct', 100 * b.total / b.revenue)
+) u(stage_id, detail, value)""".replace("SELECT u.* FROM", "SELECT u.stage_id, u.detail, round(u.value::DOUBLE, 3) AS value FROM"),
+)(
+    lambda r: rounded(
+        stage_summary(r).select(
+            "stage_id", F.explode(F.map_concat("detail", F.create_map(F.lit("headline"), "value"))).alias("detail", "value")
+        ),
+        value=3,
+    )
+)
+
+# ---- sources and receipts on the run's own tables
+def _reread(r: Run, fmt: str) -> DataFrame:
+    """Write the lines under the source's own headings, then read them as a source."""
+    names = {v: k for k, v in transactions.HEADINGS.items() if k != "CustomerID"}
+    path = f"{r.stages.folder}/source-{fmt}"
+    getattr(r.txn.select(*transactions.COLUMNS).withColumnsRenamed(names).write.mode("overwrite"), fmt)(
+        path, **({"header": True} if fmt == "csv" else {})
+    )
+    return transactions.read_transactions(r.spark, path, fmt)
+
+
+for _fmt in ("csv", "parquet"):
+    query(f"read_transactions_{_fmt}", f"SELECT {O.EIGHT} FROM txn")(lambda r, f=_fmt: _reread(r, f).drop("source"))
+query("type_cast", f"SELECT {O.EIGHT} FROM txn")(
+    lambda r: transactions.type_cast(r.txn.select(*[F.col(c).cast("string").alias(c) for c in transactions.COLUMNS]))
+)
+query("cached_copy", f"SELECT {O.EIGHT} FROM txn WHERE price <= 0")(
+    lambda r: transactions.cached_copy(r.txn.select(*transactions.COLUMNS), f"{r.stages.folder}/cache").filter("price <= 0")
+)
+query("stratified_sample", "SELECT * FROM sampled")(lambda r: sample.stratified_sample(r.txn))
+
+
+def _receipt(r: Run, run_id: str, ledger: DataFrame) -> DataFrame:
+    folder = f"{r.stages.folder}/receipts"
+    receipts.write_run(folder, run_id, {"ledger": ledger, "checks": r.checks, "stages": stage_summary(r)})
+    return receipts.read_run(r.spark, folder, "ledger", run_id)
+
+
+query("receipt_ledger", "SELECT key, round(value, 3) AS value, unit FROM ledger")(
+    lambda r: rounded(_receipt(r, "first", r.ledger).select("key", "value", "unit"), value=3)
+)
+query(
+    "run_diff",
+    "SELECT key, 'changed' AS difference FROM ledger WHERE key IN "
+    "('inventory/safety_stock_units', 'costing/holding', 'costing/total_cost', 'costing/component_sum')",
+)(
+    lambda r: receipts.run_diff(
+        _receipt(r, "base", r.ledger).select("key", F.round("value", 3).alias("value")),
+        _receipt(r, "surged", r.shocks.ledger.filter("scenario_id = 'class surge'")).select("key", F.round("value", 3).alias("value")),
+        ["key"],
+    ).select("key", "difference")
+)
+
+
+def _decile_csv(r: Run) -> DataFrame:
+    path, table = f"{r.stages.folder}/deciles-csv", readout.decile_table(r.by_cost)
+    receipts.write_sorted_csv(table, path, ["decile"])
+    return r.spark.read.option("header", True).schema(table.schema).csv(path).select("decile", "orders")
+
+
+query("decile_csv", "SELECT decile::INT AS decile, count(*) AS orders FROM cost_rank GROUP BY 1")(
+    lambda r: _decile_csv(r)
+)
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -551,7 +551,7 @@ PARTS["scenarios"] = "SELECT * FROM (VALUES " + ", ".join(
 ) + ") t(scenario_id, reach, f, lab, tra, hol, fac)"
 PARTS["surged"] = """
 SELECT s.scenario_id, p.stock_code, p.class,
-       CASE WHEN s.reach = 'book' OR (s.reach = 'class' AND p.class = (SELECT class FROM top_class)) THEN s.f ELSE 1 END AS by
+       CASE WHEN s.reach = 'book' OR (s.reach = 'class' AND p.class = (SELECT class FROM top_class)) THEN s.f ELSE 1 END AS grow
 FROM plan p, scenarios s"""
 PARTS["scen"] = """
 SELECT s.scenario_id, s.f AS demand_factor, t.ss_units, t.order_up_to_units, b.km, t.forecast_units,
@@ -560,7 +560,34 @@ SELECT s.scenario_id, s.f AS demand_factor, t.ss_units, t.order_up_to_units, b.k
        b.labour * s.lab + b.transport * s.tra + t.ss_units * 0.02 * b.weeks * s.hol + b.facility * s.fac AS total_cost,
        b.revenue AS window_revenue
 FROM scenarios s, booked b, (
-  SELECT scenario_id, sum(safety_stock * by) AS ss_units, sum(order_up_to * by) AS order_up_to_units,
-         sum(CASE WHEN class = (SELECT class FROM top_class) THEN mu_weekly * 8 * by ELSE 0 END) AS forecast_units
+  SELECT scenario_id, sum(safety_stock * grow) AS ss_units, sum(order_up_to * grow) AS order_up_to_units,
+         sum(CASE WHEN class = (SELECT class FROM top_class) THEN mu_weekly * 8 * grow ELSE 0 END) AS forecast_units
   FROM surged JOIN (SELECT stock_code, safety_stock, order_up_to, mu_weekly FROM plan) p USING (stock_code) GROUP BY 1
 ) t WHERE t.scenario_id = s.scenario_id"""
+
+# ---- sampling
+def _key(stratum: str) -> str:
+    return (
+        f"md5(concat_ws('|', '42:{stratum}', invoice, stock_code, coalesce(description, ''), quantity::VARCHAR, "
+        "strftime(invoice_ts, '%Y-%m-%d %H:%M:%S'), coalesce(round(price * 10000)::BIGINT::VARCHAR, ''), "
+        "coalesce(customer_id::VARCHAR, ''), coalesce(country, '')))"
+    )
+
+
+_LISTED = f"(stock_code IN ({CODES}) OR starts_with(lower(stock_code), 'gift_'))"
+PARTS["busiest"] = f"""
+SELECT stock_code FROM txn WHERE NOT {_LISTED} AND NOT starts_with(invoice, 'C')
+GROUP BY 1 ORDER BY count(*) DESC, stock_code LIMIT 10"""
+PARTS["sampled"] = f"""
+SELECT {EIGHT}, 'focus' AS stratum FROM (
+  SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY {_key('focus')}) AS r
+  FROM txn WHERE stock_code IN (SELECT stock_code FROM busiest)) WHERE r <= 300
+UNION ALL (SELECT {EIGHT}, 'random' FROM txn ORDER BY {_key('random')} LIMIT 1200)
+UNION ALL (SELECT {EIGHT}, 'cancelled' FROM txn WHERE starts_with(invoice, 'C') ORDER BY {_key('cancelled')} LIMIT 120)
+UNION ALL (SELECT {EIGHT}, 'non-product' FROM txn WHERE {_LISTED} ORDER BY {_key('non-product')} LIMIT 80)
+UNION ALL (SELECT {EIGHT}, 'zero price' FROM txn WHERE price <= 0 ORDER BY {_key('zero price')} LIMIT 50)
+UNION ALL
+SELECT {EIGHT}, 'duplicate' FROM (
+  SELECT {EIGHT}, unnest(range(n)) FROM (
+    SELECT * FROM (SELECT {EIGHT}, count(*) AS n FROM txn GROUP BY ALL) WHERE n > 1
+    ORDER BY {_key('duplicate')} LIMIT 15))"""

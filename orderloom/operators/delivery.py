@@ -194,6 +194,7 @@ def method_record(daily: DataFrame, plan: str = "km", other: str = "hi_km") -> D
     )
 
 
-def bound_breaches(daily: DataFrame) -> DataFrame:
-    """Days whose distance leaves its bounds; always empty for a valid plan."""
-    return daily.filter((F.col("km") < F.col("lo_km") - TIE_KM) | (F.col("km") > F.col("hi_km") + TIE_KM))
+def km_bounds(daily: DataFrame) -> DataFrame:
+    """The day's distance between its radial lower bound and one trip per drop; ``inside`` for every valid plan."""
+    inside = (F.col("km") >= F.col("lo_km") - TIE_KM) & (F.col("km") <= F.col("hi_km") + TIE_KM)
+    return daily.select("day", "lo_km", "km", "hi_km", inside.alias("inside"))
