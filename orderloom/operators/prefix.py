@@ -20,18 +20,18 @@ _POSITION_BITS = 33
 
 
 def lay_out(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Range-partition and sort by ``order`` (which must end in a unique key); adds ``_part`` and ``_pos``.
+    """Range-partition and sort by ``order`` (which must end in a unique key); adds ``_gp_part`` and ``_gp_pos``.
 
     Later passes must see one and the same layout, also after an executor is lost, so the layout is
     written to the checkpoint folder.
     """
     shared_folder(df.sparkSession)
     laid = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = laid.withColumn("_at", F.monotonically_increasing_id())
+    placed = laid.withColumn("_gp_at", F.monotonically_increasing_id())
     return (
-        placed.withColumn("_part", F.shiftright("_at", _POSITION_BITS))
-        .withColumn("_pos", F.col("_at").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)))
-        .drop("_at")
+        placed.withColumn("_gp_part", F.shiftright("_gp_at", _POSITION_BITS))
+        .withColumn("_gp_pos", F.col("_gp_at").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)))
+        .drop("_gp_at")
         .checkpoint()
     )
 
@@ -39,23 +39,23 @@ def lay_out(df: DataFrame, order: Sequence[Column]) -> DataFrame:
 def global_prefix(df: DataFrame, order: Sequence[Column], sums: Sequence[str] = ()) -> DataFrame:
     """Adds ``rank`` (1-based), ``n_rows`` and, per column in ``sums``, ``cum_<column>``."""
     laid = lay_out(df, order)
-    totals = laid.groupBy("_part").agg(
+    totals = laid.groupBy("_gp_part").agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_t_{c}") for c in sums]
     )
     # one row per range: bounded by the number of partitions
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = Window.orderBy("_gp_part").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("_gp_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = totals.select(
-        "_part",
+        "_gp_part",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rank0"),
         F.sum("_n").over(everything).alias("n_rows"),
         *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums],
     )
-    joined = laid.join(F.broadcast(offsets), "_part")
-    local = Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    joined = laid.join(F.broadcast(offsets), "_gp_part")
+    local = Window.partitionBy("_gp_part").orderBy("_gp_pos").rowsBetween(Window.unboundedPreceding, 0)
     return joined.select(
         *df.columns,
-        (F.col("_rank0") + F.col("_pos") + 1).alias("rank"),
+        (F.col("_rank0") + F.col("_gp_pos") + 1).alias("rank"),
         "n_rows",
         *[(F.col(f"_o_{c}") + F.sum(c).over(local)).alias(f"cum_{c}") for c in sums],
     )
@@ -106,13 +106,13 @@ def queue_scan(
         return worked.withColumn(name, F.col("_c") + F.max(slack).over(window)).drop("_c")
 
     laid = lay_out(df, [*[F.col(s) for s in segment], *order])
-    piece = ["_part", *segment]
-    local = Window.partitionBy(*piece).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    piece = ["_gp_part", *segment]
+    local = Window.partitionBy(*piece).orderBy("_gp_pos").rowsBetween(Window.unboundedPreceding, 0)
     worked = laid.withColumn("_c", F.sum(service).over(local))
     worked = worked.withColumn("_m", F.max(F.col(arrive) - (F.col("_c") - F.col(service))).over(local))
     # one row per (range, segment): at most ranges + segments rows
     pieces = worked.groupBy(*piece).agg(F.sum(service).alias("_s"), F.max("_m").alias("_top"))
-    prior = Window.partitionBy(*segment).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    prior = Window.partitionBy(*segment).orderBy("_gp_part").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.withColumn("_o", F.coalesce(F.sum("_s").over(prior), F.lit(0.0)))
     pieces = pieces.withColumn("_in", F.max(F.col("_top") - F.col("_o")).over(prior))
     carried = worked.join(pieces.select(*piece, "_o", "_in"), piece)
