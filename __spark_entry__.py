@@ -73,7 +73,7 @@ query("testdata_txn_brand_type", "SELECT * FROM txn", "brand_type")(lambda r: r.
 query(
     "drop_exact_duplicates",
     f"SELECT {O.EIGHT}, source, count(*) AS copies FROM txn GROUP BY ALL",
-)(lambda r: clean.drop_exact_duplicates(r.txn))
+)(lambda r: r.classified.drop("step_no"))
 query("clean_sales", "SELECT * EXCLUDE (week) FROM sales")(lambda r: r.sales)
 query("clean_returns", "SELECT * FROM returned")(lambda r: r.returns)
 query(
@@ -720,17 +720,17 @@ query("type_cast", f"SELECT {O.EIGHT} FROM txn")(
 query("cached_copy", f"SELECT {O.EIGHT} FROM txn WHERE price <= 0")(
     lambda r: transactions.cached_copy(r.txn.select(*transactions.COLUMNS), f"{r.stages.folder}/cache").filter("price <= 0")
 )
-query("stratified_sample", "SELECT * FROM sampled")(lambda r: sample.stratified_sample(r.txn))
+query("stratified_sample", "SELECT * FROM sampled")(lambda r: sample.stratified_sample(r.classified))
 
 
-def _receipt(r: Run, run_id: str, ledger: DataFrame) -> DataFrame:
+def _receipt(r: Run, run_id: str, ledger: DataFrame, **more: DataFrame) -> DataFrame:
     folder = f"{r.stages.folder}/receipts"
-    receipts.write_run(folder, run_id, {"ledger": ledger, "checks": r.checks, "stages": stage_summary(r)})
+    receipts.write_run(folder, run_id, {"ledger": ledger, **more})
     return receipts.read_run(r.spark, folder, "ledger", run_id)
 
 
 query("receipt_ledger", "SELECT key, round(value, 3) AS value, unit FROM ledger")(
-    lambda r: rounded(_receipt(r, "first", r.ledger).select("key", "value", "unit"), value=3)
+    lambda r: rounded(_receipt(r, "first", r.ledger, checks=r.checks, stages=stage_summary(r)).select("key", "value", "unit"), value=3)
 )
 query(
     "run_diff",

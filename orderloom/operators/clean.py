@@ -17,12 +17,7 @@ class Cleaned(NamedTuple):
     log: DataFrame
 
 
-def _priced():
-    return F.coalesce(F.col("price") > 0, F.lit(False))
-
-
-def _shipped():
-    return F.coalesce(F.col("quantity") > 0, F.lit(False))
+CANCELLED, NON_PRODUCT, NO_PRICE, NO_QUANTITY, KEPT = 2, 3, 4, 5, 6
 
 
 def drop_exact_duplicates(txn: DataFrame) -> DataFrame:
@@ -41,44 +36,40 @@ def with_derived(df: DataFrame) -> DataFrame:
     )
 
 
-def sales_lines(txn: DataFrame) -> DataFrame:
-    """Product sales with a price and a quantity; unknown customers are flagged and kept.
+def classified(txn: DataFrame) -> DataFrame:
+    """Distinct lines with ``copies`` and ``step_no``: the first cleaning step that takes the line out of sales.
 
-    All filters read grouping columns, so Catalyst moves them below the de-duplication shuffle.
+    Sales, returns and the log are all read from this one frame, so the lines are shuffled once.
     """
-    kept = (
-        drop_exact_duplicates(txn)
-        .filter(~is_cancelled(F.col("invoice")))
-        .filter(~is_non_product(F.col("stock_code")))
-        .filter(_priced())
-        .filter(_shipped())
+    step = (
+        F.when(is_cancelled(F.col("invoice")), CANCELLED)
+        .when(is_non_product(F.col("stock_code")), NON_PRODUCT)
+        .when(~F.coalesce(F.col("price") > 0, F.lit(False)), NO_PRICE)
+        .when(~F.coalesce(F.col("quantity") > 0, F.lit(False)), NO_QUANTITY)
+        .otherwise(KEPT)
     )
-    return with_derived(kept.drop("copies").withColumn("known_customer", F.col("customer_id").isNotNull()))
+    return drop_exact_duplicates(txn).withColumn("step_no", step)
 
 
-def return_lines(txn: DataFrame) -> DataFrame:
+def sales_of(lines: DataFrame) -> DataFrame:
+    """Product sales with a price and a quantity; unknown customers are flagged and kept."""
+    kept = lines.filter(F.col("step_no") == KEPT).drop("copies", "step_no")
+    return with_derived(kept.withColumn("known_customer", F.col("customer_id").isNotNull()))
+
+
+def returns_of(lines: DataFrame) -> DataFrame:
     """Cancelled product lines; price and quantity are deliberately not filtered."""
-    kept = (
-        drop_exact_duplicates(txn)
-        .filter(is_cancelled(F.col("invoice")))
-        .filter(~is_non_product(F.col("stock_code")))
-    )
-    return with_derived(kept.drop("copies"))
+    kept = lines.filter(F.col("step_no") == CANCELLED).filter(~is_non_product(F.col("stock_code")))
+    return with_derived(kept.drop("copies", "step_no"))
 
 
-def cleaning_log(txn: DataFrame) -> DataFrame:
-    """Rows in, out and removed per step, in one pass: each distinct line meets the first step that drops it."""
-    distinct = drop_exact_duplicates(txn)
-    cancelled, listed = is_cancelled(F.col("invoice")), is_non_product(F.col("stock_code"))
-    dropped_by = (
-        F.when(cancelled, 2).when(listed, 3).when(~_priced(), 4).when(~_shipped(), 5).otherwise(6)
-    )
-    labelled = distinct.select("copies", "customer_id", dropped_by.alias("step_no"))
-    counts = labelled.agg(
+def log_of(lines: DataFrame) -> DataFrame:
+    """Rows in, out and removed per cleaning step, from one aggregate."""
+    counts = lines.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("n0"),
         F.count(F.lit(1)).alias("n1"),
-        *[F.count_if(F.col("step_no") > k).alias(f"n{k}") for k in (2, 3, 4, 5)],
-        F.count_if((F.col("step_no") == 6) & F.col("customer_id").isNull()).alias("unknown"),
+        *[F.count_if(F.col("step_no") > k).alias(f"n{k}") for k in (CANCELLED, NON_PRODUCT, NO_PRICE, NO_QUANTITY)],
+        F.count_if((F.col("step_no") == KEPT) & F.col("customer_id").isNull()).alias("unknown"),
     )
     flagged = F.concat(F.format_number("unknown", 0), F.lit(" rows flagged, kept for revenue"))
     steps = [
@@ -108,5 +99,17 @@ def cleaning_log(txn: DataFrame) -> DataFrame:
     return counts.select(F.inline(rows))
 
 
+def sales_lines(txn: DataFrame) -> DataFrame:
+    return sales_of(classified(txn))
+
+
+def return_lines(txn: DataFrame) -> DataFrame:
+    return returns_of(classified(txn))
+
+
+def cleaning_log(txn: DataFrame) -> DataFrame:
+    return log_of(classified(txn))
+
+
 def clean(txn: DataFrame) -> Cleaned:
     return Cleaned(sales_lines(txn), return_lines(txn), cleaning_log(txn))

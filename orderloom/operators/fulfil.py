@@ -24,7 +24,9 @@ def item_quantities(lines: DataFrame, physical: DataFrame, p: Params = DEFAULTS)
         F.col("weight_kg").alias("unit_kg"),
     )
     known = F.broadcast(unit) if p.n_items <= ONE_TASK_ROWS else unit
-    folded = lines.groupBy("invoice", "stock_code").agg(F.sum("quantity").alias("quantity"))
+    folded = lines.groupBy("invoice", "stock_code").agg(
+        F.sum("quantity").alias("quantity"), F.min("invoice_ts").alias("arrival")
+    )
     return folded.join(known, "stock_code")
 
 
@@ -85,25 +87,30 @@ def _place(runs: Column, unit: Column, p: Params) -> Column:
     return F.aggregate(runs, start, into, close)
 
 
-def cartons(quantities: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+def pack(quantities: DataFrame, p: Params = DEFAULTS, *also: Column) -> DataFrame:
     """Cartons per invoice: largest units first, each into the first carton with room; oversize alone.
 
     Open cartons with equal space left are held as one run with a count, so the state grows with the
-    number of items and not with the quantity ordered.
+    number of items and not with the quantity ordered. ``also`` are further aggregates per invoice.
     """
     too_big = _oversize(F.col("unit_cm3"), F.col("unit_kg"), p)
-    wanted = quantities.filter(F.col("quantity") > 0)
+    wanted = F.col("quantity") > 0
     unit = F.struct(
         (-F.col("unit_cm3")).alias("_v"), (-F.col("unit_kg")).alias("_w"), "unit_cm3", "unit_kg", "quantity"
     )
-    gathered = wanted.groupBy("invoice").agg(
-        F.coalesce(F.sum(F.when(too_big, F.col("quantity"))), F.lit(0)).alias("alone"),
-        F.array_sort(F.collect_list(F.when(~too_big, unit))).alias("units"),
+    gathered = quantities.groupBy("invoice").agg(
+        F.coalesce(F.sum(F.when(wanted & too_big, F.col("quantity"))), F.lit(0)).alias("_alone"),
+        F.array_sort(F.collect_list(F.when(wanted & ~too_big, unit))).alias("_units"),
+        *also,
     )
     none = F.filter(F.array(_run(F.lit(0.0), F.lit(0.0), F.lit(0))), lambda r: F.lit(False))
-    packed = F.aggregate("units", none, lambda runs, u: _place(runs, u, p))
+    packed = F.aggregate("_units", none, lambda runs, u: _place(runs, u, p))
     count = F.aggregate(packed, F.lit(0).cast("bigint"), lambda a, r: a + r["n"])
-    return gathered.select("invoice", (F.col("alone") + count).alias("cartons"))
+    return gathered.withColumn("cartons", F.col("_alone") + count).drop("_alone", "_units")
+
+
+def cartons(quantities: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    return pack(quantities, p)
 
 
 def carton_lower_bound(quantities: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -121,14 +128,15 @@ def carton_lower_bound(quantities: DataFrame, p: Params = DEFAULTS) -> DataFrame
     return sums.select("invoice", (F.col("alone") + least).alias("least_cartons"))
 
 
-def orders(lines: DataFrame, picks: DataFrame, quantities: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+def orders(quantities: DataFrame, picks: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """One row per invoice of the window: arrival, pick work, cartons and weight."""
-    arrivals = lines.groupBy("invoice").agg(F.min("invoice_ts").alias("arrival"))
-    weights = quantities.groupBy("invoice").agg(F.sum(F.col("quantity") * F.col("unit_kg")).alias("weight_kg"))
+    shipped = pack(
+        quantities, p, F.min("arrival").alias("arrival"),
+        F.sum(F.col("quantity") * F.col("unit_kg")).alias("weight_kg"),
+    )
     work = picks.select("invoice", "lines", "units", F.col("time_min").alias("pick_minutes"))
-    return (
-        arrivals.join(work, "invoice").join(weights, "invoice").join(cartons(quantities, p), "invoice")
-        .select("invoice", "arrival", "pick_minutes", "lines", "units", "cartons", "weight_kg")
+    return shipped.join(work, "invoice").select(
+        "invoice", "arrival", "pick_minutes", "lines", "units", "cartons", "weight_kg"
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderloom.functions.provenance import ASSIGNED, REAL
-from orderloom.params import PENNY
+from orderloom.params import PENNY, VARIANTS
 
 BASE = "base"
 ENTRY = ("scenario_id", "key", "value", "unit", "provenance", "note")
@@ -188,15 +188,16 @@ def same_invoices(evaluated: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("invoices"), F.sum("lines").alias("lines")
     )
     spread = totals.agg(
-        F.count(F.lit(1)).alias("variants"),
         F.min("invoices").alias("ilo"), F.max("invoices").alias("ihi"),
         F.min("lines").alias("lo"), F.max("lines").alias("hi"),
     )
-    variants = totals.agg(F.count(F.lit(1)).alias("n")).scalar()
+    # one bit per variant: an invoice is even when every bit is set by exactly one row
+    bit = F.coalesce(*[F.when(F.col("variant") == v, F.lit(1 << k)) for k, v in enumerate(VARIANTS)])
     odd = evaluated.groupBy("invoice").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("variant").alias("v"),
-        F.min("lines").alias("a"), F.max("lines").alias("b"),
-    ).filter((F.col("n") != F.col("v")) | (F.col("v") != variants) | (F.col("a") != F.col("b")))
+        F.count(F.lit(1)).alias("n"), F.bit_or(bit).alias("v"), F.min("lines").alias("a"), F.max("lines").alias("b")
+    ).filter(
+        (F.col("n") != len(VARIANTS)) | (F.col("v") != (1 << len(VARIANTS)) - 1) | (F.col("a") != F.col("b"))
+    )
     uneven = odd.agg(F.count(F.lit(1)).alias("n")).scalar()
     one = spread.withColumn("uneven", uneven)
     passed = (F.col("ilo") == F.col("ihi")) & (F.col("lo") == F.col("hi")) & (F.col("uneven") == 0)

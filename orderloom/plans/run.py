@@ -38,13 +38,13 @@ class Run:
         self.spark = txn.sparkSession
         self.stages = StageTables(self.spark)
 
-    def _keep(self, name: str, df: DataFrame) -> DataFrame:
-        return self.stages.keep(name, df)
+    def _keep(self, name: str, df: DataFrame, by: str | None = None) -> DataFrame:
+        return self.stages.keep(name, df, by)
 
     def with_models(self, models: dict[str, forecast.Model]) -> Run:
         """A run with another model registry that shares this run's model-free stages."""
         other = Run(self.txn, self.params, models, self.published)
-        for name in ("sales", "items", "weeks", "demand", "lines", "window", "descriptions", "physical"):
+        for name in ("classified", "sales", "items", "weeks", "demand", "lines", "window", "window_lines", "descriptions", "physical"):
             other.__dict__[name] = getattr(self, name)
         return other
 
@@ -52,17 +52,22 @@ class Run:
         self.stages.drop()
 
     # stage 0: clean, demand, lines
+    @cached_property
+    def classified(self) -> DataFrame:
+        """Distinct lines; sales, returns and the log each read only the folders of their own steps."""
+        return self._keep("classified", clean.classified(self.txn), by="step_no")
+
     @cached_property
     def sales(self) -> DataFrame:
-        return self._keep("sales", clean.sales_lines(self.txn))
+        return clean.sales_of(self.classified)
 
     @cached_property
     def returns(self) -> DataFrame:
-        return clean.return_lines(self.txn)
+        return clean.returns_of(self.classified)
 
     @cached_property
     def cleaning_log(self) -> DataFrame:
-        return clean.cleaning_log(self.txn)
+        return clean.log_of(self.classified)
 
     @cached_property
     def items(self) -> DataFrame:
@@ -90,7 +95,7 @@ class Run:
 
     @cached_property
     def window_lines(self) -> DataFrame:
-        return demand.window_lines(self.lines, self.window)
+        return self._keep("window_lines", demand.window_lines(self.lines, self.window))
 
     @cached_property
     def descriptions(self) -> DataFrame:
@@ -167,7 +172,7 @@ class Run:
     @cached_property
     def evaluated(self) -> DataFrame:
         return self._keep(
-            "evaluated", slotting.evaluate(self.lines, self.slotting, self.slots, self.params)
+            "evaluated", slotting.evaluate(self.lines, self.slotting, self.slots, self.params), by="variant"
         )
 
     @cached_property
@@ -182,9 +187,7 @@ class Run:
 
     @cached_property
     def orders(self) -> DataFrame:
-        return self._keep(
-            "orders", fulfil.orders(self.window_lines, self.picks, self.quantities, self.params)
-        )
+        return self._keep("orders", fulfil.orders(self.quantities, self.picks, self.params))
 
     @cached_property
     def log(self) -> DataFrame:
@@ -197,7 +200,9 @@ class Run:
     # stage 4b: delivery
     @cached_property
     def shipments(self) -> DataFrame:
-        return self._keep("shipments", delivery.shipments(self.log, self.customers, self.params))
+        # only the invoices of the window need a customer
+        shipped = self.sales.join(self.log.select("invoice"), "invoice", "left_semi")
+        return self._keep("shipments", delivery.shipments(self.log, assign.customer_lookup(shipped), self.params))
 
     @cached_property
     def nodes(self) -> DataFrame:

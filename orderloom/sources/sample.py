@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.functions.expr import is_cancelled, is_non_product
-from orderloom.operators.clean import drop_exact_duplicates
 from orderloom.sources.transactions import COLUMNS
 
 _SALTS = 32
+_BLOCK = 65_536
 
 
 class SampleSizes(NamedTuple):
@@ -36,41 +36,58 @@ def row_key(seed: int, stratum: str) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def _some(df: DataFrame, stratum: str, n: int, seed: int) -> DataFrame:
-    """``n`` lines in key order, as a top-n: each task keeps at most ``n`` rows."""
-    drawn = df.orderBy(row_key(seed, stratum)).limit(n)
-    return drawn.withColumn("stratum", F.lit(stratum))
+def _up_to(distinct: DataFrame, n: int) -> DataFrame:
+    """Each line as often as it occurs, but at most ``n`` times: a draw of ``n`` lines cannot use more."""
+    times = F.least(F.col("copies"), F.lit(n))
+    return distinct.withColumn("_c", F.explode(F.sequence(F.lit(1), times.cast("int")))).drop("_c", "copies")
 
 
-def stratified_sample(txn: DataFrame, s: SampleSizes = SampleSizes()) -> DataFrame:
-    """Lines of the busiest items, random lines, and some of every kind that cleaning removes."""
-    lines = txn.select(*COLUMNS)
+def _whole(groups: DataFrame) -> DataFrame:
+    """Every copy of the given lines; a large group is cut into blocks that spread over the tasks."""
+    blocks = groups.withColumn("_b", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / _BLOCK))))
+    left = F.least(F.col("copies") - F.col("_b") * _BLOCK, F.lit(_BLOCK))
+    spread = blocks.withColumn("_n", left.cast("int")).repartition("invoice", "_b")
+    return spread.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*COLUMNS)
+
+
+def _some(distinct: DataFrame, stratum: str, n: int, seed: int) -> DataFrame:
+    """``n`` lines in key order, as a top-n over the distinct lines and then over their copies."""
+    drawn = distinct.withColumn("_k", row_key(seed, stratum)).orderBy("_k").limit(n)
+    return _up_to(drawn, n).orderBy("_k").limit(n).select(*COLUMNS, F.lit(stratum).alias("stratum"))
+
+
+def stratified_sample(distinct: DataFrame, s: SampleSizes = SampleSizes()) -> DataFrame:
+    """Lines of the busiest items, random lines, and some of every kind that cleaning removes.
+
+    ``distinct`` holds each distinct line once with its number of ``copies``.
+    """
+    lines = distinct.select(*COLUMNS, "copies")
     cancelled, listed = is_cancelled(F.col("invoice")), is_non_product(F.col("stock_code"))
     product = lines.filter(~listed)
     busiest = (
-        product.filter(~cancelled).groupBy("stock_code").agg(F.count(F.lit(1)).alias("n"))
+        product.filter(~cancelled).groupBy("stock_code").agg(F.sum("copies").alias("n"))
         .orderBy(F.col("n").desc(), "stock_code").limit(s.focus_items)
     )
-    focus = product.join(F.broadcast(busiest.select("stock_code")), "stock_code", "left_semi").select(*COLUMNS)
+    focus = product.join(F.broadcast(busiest.select("stock_code")), "stock_code", "left_semi")
     # first within salted parts of each item, so that no task ranks all lines of a hot item
     keyed = focus.withColumn("_k", row_key(s.seed, "focus")).withColumn("_s", F.crc32(F.col("_k")) % _SALTS)
     for part in (["stock_code", "_s"], ["stock_code"]):
         order = Window.partitionBy(*part).orderBy("_k")
         keyed = keyed.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= s.focus_rows).drop("_r")
-    focus = keyed.select(*COLUMNS, F.lit("focus").alias("stratum"))
+    once = Window.partitionBy("stock_code").orderBy("_k")  # at most focus_rows squared rows per item
+    keyed = _up_to(keyed, s.focus_rows).withColumn("_r", F.row_number().over(once)).filter(F.col("_r") <= s.focus_rows)
+    out = keyed.select(*COLUMNS, F.lit("focus").alias("stratum"))
 
-    copied = drop_exact_duplicates(txn).filter(F.col("copies") > 1)
-    groups = copied.orderBy(row_key(s.seed, "duplicate")).limit(s.duplicate_groups)
-    whole = groups.select(
-        *COLUMNS, F.lit("duplicate").alias("stratum"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_c")
-    ).drop("_c")
-    parts = [
+    groups = (
+        lines.filter(F.col("copies") > 1).withColumn("_k", row_key(s.seed, "duplicate"))
+        .orderBy("_k").limit(s.duplicate_groups)
+    )
+    for part in (
         _some(lines, "random", s.random_rows, s.seed),
         _some(lines.filter(cancelled), "cancelled", s.cancellations, s.seed),
         _some(lines.filter(listed), "non-product", s.non_product, s.seed),
         _some(lines.filter(F.col("price") <= 0), "zero price", s.zero_price, s.seed),
-        whole,
-    ]
-    for part in parts:
-        focus = focus.unionByName(part)
-    return focus
+        _whole(groups).withColumn("stratum", F.lit("duplicate")),
+    ):
+        out = out.unionByName(part)
+    return out

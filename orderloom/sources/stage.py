@@ -18,10 +18,12 @@ class StageTables:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
 
-    def keep(self, name: str, df: DataFrame) -> DataFrame:
+    def keep(self, name: str, df: DataFrame, by: str | None = None) -> DataFrame:
+        """Write ``df`` once, in one folder per value of ``by`` (a column of few values) so readers can skip folders."""
         path = f"{self.folder}/{name}"
-        df.write.mode("errorifexists").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        writer = df.write.mode("errorifexists")
+        (writer.partitionBy(by) if by else writer).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
     def drop(self) -> None:
         """Delete this object's own stage folder."""

@@ -33,12 +33,14 @@ def testdata_txn(spark: SparkSession, folder: str, item_grain: str = "name") ->
     parts = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     nations = table(spark, folder, "nation").select("n_nationkey", "n_name", "n_regionkey")
     customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
-    placed = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-
-    joined = (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .join(placed, F.col("o_custkey") == F.col("c_custkey"))
+    # country and date are attached to the orders first, so the line items meet each large table once
+    headers = (
+        orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+        .select("o_orderkey", "o_custkey", "o_orderdate", "n_name", "n_regionkey")
+    )
+    joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(
+        headers, F.col("l_orderkey") == F.col("o_orderkey")
     )
     copies = F.when(F.col("l_orderkey") % 97 == 0, 2).otherwise(1)
     quantity = F.col("l_quantity").cast("bigint")

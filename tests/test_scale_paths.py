@@ -197,7 +197,8 @@ def test_packing_against_a_loop(spark):
 
 
 def test_lines_of_one_item_pack_as_one(spark):
-    lines = spark.createDataFrame([("1", "A", 1)] * 500 + [("1", "K", 2)] * 300, "invoice string, stock_code string, quantity bigint")
+    lines = spark.createDataFrame([("1", "A", 1, None)] * 500 + [("1", "K", 2, None)] * 300,
+                                  "invoice string, stock_code string, quantity bigint, invoice_ts timestamp_ntz")
     sizes = spark.createDataFrame([("A", 40.0, 30.0, 20.0, 3.0), ("K", 10.0, 10.0, 5.0, 0.2)],
                                   "stock_code string, length_cm double, width_cm double, height_cm double, weight_kg double")
     got = fulfil.cartons(fulfil.item_quantities(lines.repartition(7), sizes)).first().cartons
@@ -269,7 +270,7 @@ def test_full_vehicles_leave_no_drop(spark):
 # ---- sampling a hot item
 def test_sample_of_a_hot_item_is_exact(spark, run):
     sizes = sample.SampleSizes(focus_items=2, focus_rows=40)
-    got = sample.stratified_sample(run.txn, sizes).filter("stratum = 'focus'")
+    got = sample.stratified_sample(run.classified, sizes).filter("stratum = 'focus'")
     counts = [r["count"] for r in got.groupBy("stock_code").count().collect()]
     assert counts == [40, 40]
     key = sample.row_key(42, "focus")
@@ -277,3 +278,15 @@ def test_sample_of_a_hot_item_is_exact(spark, run):
     best = run.txn.filter(F.col("stock_code") == code).select(key.alias("k")).orderBy("k").limit(40).collect()
     mine = got.filter(F.col("stock_code") == code).select(key.alias("k")).orderBy("k").collect()
     assert mine == best
+
+
+def test_sample_with_a_third_of_all_rows_in_one_group(spark):
+    rows = [(str(i), "A" if i % 2 else "K", "T", 1, dt.datetime(2020, 1, 6), 2.0, 7, "France", 1) for i in range(60)]
+    rows.append(("hot", "A", "T", 1, dt.datetime(2020, 1, 6), 2.0, 7, "France", 200_000))
+    df = spark.createDataFrame(
+        rows, "invoice string, stock_code string, description string, quantity bigint, invoice_ts timestamp_ntz, "
+        "price double, customer_id bigint, country string, copies bigint")
+    got = {(r.stratum, r.invoice): r["count"] for r in sample.stratified_sample(df).groupBy("stratum", "invoice").count().collect()}
+    assert got["duplicate", "hot"] == 200_000
+    assert sum(n for (s, _), n in got.items() if s == "random") == 1200
+    assert sum(n for (s, _), n in got.items() if s == "focus") == 30 + 300
