@@ -72,7 +72,7 @@ query("testdata_txn", "SELECT * FROM txn")(lambda r: r.txn)
 query("testdata_txn_brand_type", "SELECT * FROM txn", "brand_type")(lambda r: r.txn)
 query(
     "drop_exact_duplicates",
-    f"SELECT {O.EIGHT}, source, count(*) AS copies FROM txn GROUP BY ALL",
+    f"SELECT {O.EIGHT}, count(*) AS copies FROM txn GROUP BY ALL",
 )(lambda r: r.classified.drop("step_no"))
 query("clean_sales", "SELECT * EXCLUDE (week) FROM sales")(lambda r: r.sales)
 query("clean_returns", "SELECT * FROM returned")(lambda r: r.returns)

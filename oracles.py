@@ -41,7 +41,7 @@ JOIN customer ON c_custkey = o_custkey
 JOIN nation ON n_nationkey = c_nationkey"""
 
 
-PARTS["lines1"] = f"SELECT DISTINCT {EIGHT}, source FROM txn"
+PARTS["lines1"] = f"SELECT DISTINCT {EIGHT} FROM txn"
 PARTS["judged"] = f"""
 SELECT *, starts_with(invoice, 'C') AS cancelled,
        stock_code IN ({CODES}) OR starts_with(lower(stock_code), 'gift_') AS listed
@@ -49,10 +49,10 @@ FROM lines1"""
 _DERIVED = """CAST(quantity * price AS DECIMAL(18,4)) AS revenue, CAST(invoice_ts AS DATE) AS date,
        CAST(isoyear(invoice_ts) AS INT) AS iso_year, CAST(week(invoice_ts) AS INT) AS iso_week"""
 PARTS["sales"] = f"""
-SELECT {EIGHT}, source, customer_id IS NOT NULL AS known_customer, {_DERIVED},
+SELECT {EIGHT}, customer_id IS NOT NULL AS known_customer, {_DERIVED},
        CAST(date_trunc('week', invoice_ts) AS DATE) + 6 AS week
 FROM judged WHERE NOT cancelled AND NOT listed AND price > 0 AND quantity > 0"""
-PARTS["returned"] = f"SELECT {EIGHT}, source, {_DERIVED} FROM judged WHERE cancelled AND NOT listed"
+PARTS["returned"] = f"SELECT {EIGHT}, {_DERIVED} FROM judged WHERE cancelled AND NOT listed"
 PARTS["log_counts"] = """
 SELECT (SELECT count(*) FROM txn) AS n0, count(*) AS n1,
        count(*) FILTER (NOT cancelled) AS n2,

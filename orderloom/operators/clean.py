@@ -21,9 +21,12 @@ CANCELLED, NON_PRODUCT, NO_PRICE, NO_QUANTITY, KEPT = 2, 3, 4, 5, 6
 
 
 def drop_exact_duplicates(txn: DataFrame) -> DataFrame:
-    """One row per distinct line (NULLs equal); copies collapse on the map side before the shuffle."""
-    extra = [F.min("source").alias("source")] if "source" in txn.columns else []
-    return txn.groupBy(*COLUMNS).agg(F.count(F.lit(1)).alias("copies"), *extra)
+    """One row per distinct line (NULLs equal) with its number of copies.
+
+    Copies collapse on the map side before the shuffle. The source file is not carried along: a line
+    may come from several files, and a minimum over text would make Spark sort instead of hash.
+    """
+    return txn.groupBy(*COLUMNS).agg(F.count(F.lit(1)).alias("copies"))
 
 
 def with_derived(df: DataFrame) -> DataFrame:

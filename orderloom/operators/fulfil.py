@@ -140,17 +140,18 @@ def orders(quantities: DataFrame, picks: DataFrame, p: Params = DEFAULTS) -> Dat
     )
 
 
+def minute_of_day(ts: Column) -> Column:
+    """Minutes since midnight, whatever zone the session is in."""
+    return F.hour(ts) * 60 + F.minute(ts) + F.extract(F.lit("SECOND"), ts).cast("double") / 60.0
+
+
 def fulfilment_log(orders_df: DataFrame, p: Params = DEFAULTS, mode: str = "lanes") -> DataFrame:
     """Start, finish, wait and shipping day of every order.
 
     ``ample``: work starts on arrival. ``lanes``: the orders of a day go to the crew in turn and each
     picker works a queue in arrival order, idle at the start of the day.
     """
-    placed = orders_df.withColumn("arrival_day", F.to_date("arrival"))
-    since = F.unix_micros(F.col("arrival").cast("timestamp")) - F.unix_micros(
-        F.col("arrival_day").cast("timestamp")
-    )
-    placed = placed.withColumn("_at", since / F.lit(60e6))
+    placed = orders_df.withColumn("arrival_day", F.to_date("arrival")).withColumn("_at", minute_of_day(F.col("arrival")))
     if mode == "ample":
         done = placed.withColumn("lane", F.lit(None).cast("bigint")).withColumn(
             "_end", F.col("_at") + F.col("pick_minutes")
@@ -164,9 +165,7 @@ def fulfilment_log(orders_df: DataFrame, p: Params = DEFAULTS, mode: str = "lane
     else:
         raise ValueError(f"unknown crew mode: {mode}")
     first = orders_df.agg(F.min("arrival").alias("t")).scalar()
-    shift = (
-        F.unix_micros(F.col("arrival_day").cast("timestamp")) - F.unix_micros(first.cast("timestamp"))
-    ) / F.lit(60e6)
+    shift = F.date_diff("arrival_day", F.to_date(first)) * 1440.0 - minute_of_day(first)
     begin = F.col("_end") - F.col("pick_minutes")
     return done.select(
         "invoice", "arrival", "arrival_day", "lane",
