@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import oracles as O
 from orderloom.functions import provenance
+from orderloom.functions.expr import keyed_uniform, week_end
 from orderloom.operators import (
     assign, clean, costs, delivery, demand, forecast, fulfil, readout, reconcile, slotting, stock, whatif,
 )
@@ -94,6 +96,9 @@ FROM log_counts, LATERAL (VALUES
 # ---- demand and lines
 for _grain in ("name", "part"):
     query(f"tracked_items_{_grain}", "SELECT * FROM items", _grain)(lambda r: r.items)
+query("week_end", "SELECT date, week, count(*) AS lines FROM sales GROUP BY 1, 2")(
+    lambda r: r.sales.groupBy("date", week_end(F.col("invoice_ts")).alias("week")).agg(F.count(F.lit(1)).alias("lines"))
+)
 query("weekly_index", "SELECT * FROM weeks")(lambda r: r.weeks)
 query(
     "sales_in_window",
@@ -150,6 +155,19 @@ query("model_lag_linear", None, "name", "all")(
     .select("stock_code", "fold", F.posexplode("pred").alias("_i", "pred"))
     .select("stock_code", "fold", (F.col("_i") + 1).alias("step"), "pred")
 )
+query(
+    "model_user_supplied",
+    """
+SELECT f.stock_code, f.fold, round(avg(d.units), 6) AS pred
+FROM foldrows f JOIN demand d ON d.stock_code = f.stock_code AND d.idx < f.origin GROUP BY 1, 2""",
+    "brand_type",
+)(
+    lambda r: rounded(
+        forecast.vector_model(lambda y, h: np.full(h, y.mean()))(r.fold_frames, 1)
+        .select("stock_code", "fold", F.element_at("pred", 1).alias("pred")),
+        pred=6,
+    )
+)
 _CV = "SELECT stock_code, class, model, fold, train_weeks, round(mase, 6) AS mase, round(mae, 6) AS mae"
 for _grain in ("name", "brand_type"):
     query(f"cross_validate_{_grain}", _CV + " FROM cv", _grain)(
@@ -203,8 +221,16 @@ query(
 for _grain in ("name", "brand_type"):
     query(f"item_physical_{_grain}", "SELECT * FROM physical", _grain)(lambda r: r.physical)
 query("lead_times", "SELECT * FROM leads", "part")(lambda r: r.lead_times)
-query("rack_slots", "SELECT slots.* FROM slots WHERE (SELECT count(*) FROM items) > 0")(
-    lambda r: r.slots.filter(r.items.agg(F.count(F.lit(1)).alias("n")).scalar() > 0)
+for _grain in ("name", "brand_type"):
+    query(f"rack_slots_{_grain}", "SELECT * FROM slots", _grain)(lambda r: r.slots)
+query(
+    "keyed_uniform",
+    f"SELECT stock_code, round({O.u(42, 'length_cm', 'stock_code')}, 12) AS draw FROM (SELECT DISTINCT stock_code FROM sales)",
+    "part",
+)(
+    lambda r: r.sales.select("stock_code").distinct().withColumn(
+        "draw", F.round(keyed_uniform(42, "length_cm", F.col("stock_code")), 12)
+    )
 )
 query("customer_lookup", "SELECT * FROM lookup")(lambda r: r.customers)
 query(
@@ -717,8 +743,8 @@ for _fmt in ("csv", "parquet"):
 query("type_cast", f"SELECT {O.EIGHT} FROM txn")(
     lambda r: transactions.type_cast(r.txn.select(*[F.col(c).cast("string").alias(c) for c in transactions.COLUMNS]))
 )
-query("cached_copy", f"SELECT {O.EIGHT} FROM txn WHERE price <= 0")(
-    lambda r: transactions.cached_copy(r.txn.select(*transactions.COLUMNS), f"{r.stages.folder}/cache").filter("price <= 0")
+query("cached_copy", f"SELECT {O.EIGHT} FROM txn")(
+    lambda r: transactions.cached_copy(r.txn.select(*transactions.COLUMNS), f"{r.stages.folder}/cache")
 )
 query("stratified_sample", "SELECT * FROM sampled")(lambda r: sample.stratified_sample(r.classified))
 

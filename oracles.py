@@ -254,7 +254,7 @@ PARTS["slots"] = """
 SELECT s::INT AS slot_id, (s // 25)::INT AS aisle, (s % 25)::INT AS bay,
        round(3.0::DOUBLE * (s // 25), 2) AS x_m, round(4.0::DOUBLE + 1.2::DOUBLE * (s % 25), 2) AS y_m,
        round(3.0::DOUBLE * (s // 25) + 4.0::DOUBLE + 1.2::DOUBLE * (s % 25), 2) AS distance_m
-FROM range(200) t(s)"""
+FROM (SELECT unnest(range(0, ceil(count(*) / 25.0)::BIGINT * 25)) AS s FROM items)"""
 PARTS["lookup"] = """
 SELECT invoice, coalesce('cust:' || arg_min(customer_id, (invoice_ts, customer_id)) FILTER (customer_id IS NOT NULL),
                          'guest:' || invoice) AS customer_key,

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.functions.expr import keyed_uniform, size_class
+from orderloom.functions.expr import keyed_uniform, required, size_class
 from orderloom.params import DEFAULTS, HOME_COUNTRY, Params
 
 # Uniform ranges per size class (cm, cm, cm, kg).
@@ -48,13 +48,8 @@ def lead_times(items: DataFrame, forecasts: DataFrame, seed: int = DEFAULTS.seed
     return labelled.select("stock_code", "class", (base + jitter).alias("lead_time_weeks"))
 
 
-def make_slots(spark: SparkSession, min_slots: int) -> DataFrame:
-    """Whole aisles with room for ``min_slots``; distance is the one-way walk from dispatch."""
-    if min_slots < 1:
-        raise ValueError("at least one slot is needed")
-    aisles = math.ceil(min_slots / BAYS_PER_AISLE)
-    ids = spark.range(aisles * BAYS_PER_AISLE).select(F.col("id").cast("int").alias("slot_id"))
-    placed = ids.select(
+def _rack(slots: DataFrame) -> DataFrame:
+    placed = slots.select(
         "slot_id",
         F.floor(F.col("slot_id") / BAYS_PER_AISLE).cast("int").alias("aisle"),
         (F.col("slot_id") % BAYS_PER_AISLE).alias("bay"),
@@ -66,6 +61,22 @@ def make_slots(spark: SparkSession, min_slots: int) -> DataFrame:
     )
 
 
+def make_slots(spark: SparkSession, min_slots: int) -> DataFrame:
+    """Whole aisles with room for ``min_slots``; distance is the one-way walk from dispatch."""
+    if min_slots < 1:
+        raise ValueError("at least one slot is needed")
+    aisles = math.ceil(min_slots / BAYS_PER_AISLE)
+    return _rack(spark.range(aisles * BAYS_PER_AISLE).select(F.col("id").cast("int").alias("slot_id")))
+
+
+def slots_for(items: DataFrame) -> DataFrame:
+    """Whole aisles with room for every tracked item; no items at all fails the job."""
+    need = items.agg(F.nullif(F.count(F.lit(1)), F.lit(0)).alias("n"))
+    aisles = F.ceil(required(F.col("n"), "bigint", "at least one slot is needed") / BAYS_PER_AISLE)
+    last = (aisles * BAYS_PER_AISLE - 1).cast("int")
+    return _rack(need.select(F.explode(F.sequence(F.lit(0), last)).alias("slot_id")))
+
+
 def customer_lookup(sales: DataFrame) -> DataFrame:
     """Customer key and country per invoice, each the first non-null value by time.
 

@@ -147,7 +147,7 @@ class Run:
 
     @cached_property
     def slots(self) -> DataFrame:
-        return assign.make_slots(self.spark, self.params.n_items)
+        return self._keep("slots", assign.slots_for(self.items))
 
     @cached_property
     def customers(self) -> DataFrame:
