@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))  # this folder may not be the working folder
+
 import oracles as O
+import orderloom
 from orderloom.functions import provenance
 from orderloom.functions.expr import keyed_uniform, week_end
 from orderloom.operators import (
@@ -20,6 +26,9 @@ from orderloom.plans.summary import stage_summary
 from orderloom.sources import receipts, sample, transactions
 from orderloom.sources.tables import published_revenue, testdata_txn
 
+# the few functions that run inside Arrow batches travel with the plan, wherever the workers start
+cloudpickle.register_pickle_by_value(orderloom)
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 _RUNS: dict[tuple[str, ...], Run] = {}
 
