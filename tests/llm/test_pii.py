@@ -1,0 +1,76 @@
+"""Spans against the plain patterns, checks of the checksums, odd rows."""
+
+import hashlib
+import random
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from orderloom.llm import pii
+from tests.conftest import SMALL
+
+
+def plain(text):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if max(map(int, m[0].split("."))) <= 255:
+            out.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 13 <= len(d) <= 19 and (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0:
+            out.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append(("phone", *m.span()))
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a.@-_%+ 1205()\n", max_size=60))
+def test_base_spans_are_those_of_the_patterns(text):
+    assert [s for s in pii.find_spans(text) if s[0] != "iban"] == plain(text)
+
+
+def test_random_cards_and_phones():
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice("4 5-0123456789+(x.") for _ in range(80)) + "4111 1111 1111 1111 é +49 30 1234567"
+        assert [s for s in pii.find_spans(text) if s[0] != "iban"] == plain(text)
+
+
+def test_iban_and_context():
+    text = "Bank: DE89 3704 0044 0532 0130 00 BIC"
+    (kind, a, b), = [s for s in pii.find_spans(text) if s[0] == "iban"]
+    assert text[a:b] == "DE89 3704 0044 0532 0130 00"
+    assert pii.score(text, kind, a, b) > pii.score("x" * 50 + text[a:b], kind, 50, 50 + b - a)
+    assert not [s for s in pii.find_spans(text.replace("89", "88")) if s[0] == "iban"]
+
+
+def test_long_runs_are_linear():
+    for text in ("1" * 300_000, "a" * 300_000 + "@b", "1." * 200_000, "+1" + "(" * 300_000, "0" * 9000 + ".0.0.0"):
+        pii.find_spans(text)
+
+
+def test_odd_rows(spark):
+    rows = [(1, None, 7), (2, "", 7), (None, "mail a@b.co", 7), (3, "a@b.co", 7), (3, "a@b.co", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    got = sorted((tuple(r) for r in pii.digest(pii.detect(df)).select("doc_id", "n_email", "spans").collect()), key=str)
+    assert got == sorted([(1, 0, ""), (2, 0, ""), (None, 1, "email:5:11"), (3, 1, "email:0:6"), (3, 1, "email:0:6")], key=str)
+    assert pii.detect(df.limit(0)).count() == 0
+    clean = {r.text for r in pii.redact(df).collect()}
+    assert clean == {None, "", "mail [EMAIL]", "[EMAIL]"}
+    assert pii.redact(df).columns == df.columns
+
+
+def test_query_equals_brute_force(spark):
+    from orderloom.llm.queries import QUERIES
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in QUERIES["op4_pii"](spark, SMALL).collect()}
+    assert set(got) == set(docs)
+    for k, text in docs.items():
+        spans = plain(text)
+        base = ",".join(f"{n}:{a}:{b}" for n, a, b in spans)
+        assert got[k].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert (got[k].n_email, got[k].n_card) == tuple(sum(s[0] == n for s in spans) for n in ("email", "card"))
