@@ -791,6 +791,20 @@ query("decile_csv", "SELECT decile::INT AS decile, count(*) AS orders FROM cost_
 )
 
 
+try:  # the text operators are an optional part: without their files the rest works as before
+    import corpus_pipeline
+    from orderloom.llm import queries as texts
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "orderloom.llm"):
+        raise
+else:
+    Q.update(texts.QUERIES)
+    SQL.update(texts.SQL)
+    Q["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL is not None:
+        SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Zero-filled weekly demand of the tracked items."""
     return run_for(spark, SMOKE_DIR).demand
