@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import pii
+from orderloom.llm import pii, warc
 from orderloom.llm.common import table
+from orderloom.sources.stage import StageTables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,6 +24,23 @@ def _register(name: str, sql: str | None = None):
     return add
 
 
+@_register(
+    "op3_warc",
+    """
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+    f AS (SELECT digest, min(page_id) AS first_id FROM p GROUP BY digest)
+    SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+        CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+    FROM p JOIN f USING (digest)
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stage = StageTables(spark)
+    index = warc.write(table(spark, sf_dir, "pages"), stage)
+    return warc.resolve(stage.keep("records", warc.read(index, stage, payloads=False).drop("payload")))
+
+
 @_register("op4_pii")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
