@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import pii, warc
+from orderloom.llm import packing, pii, warc
 from orderloom.llm.common import table
 from orderloom.sources.stage import StageTables
 
@@ -44,3 +44,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op4_pii")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
+
+
+@_register("op8_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), StageTables(spark))
