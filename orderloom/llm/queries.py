@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import packing, pii, warc
+from orderloom.llm import mixing, packing, pii, warc
 from orderloom.llm.common import table
 from orderloom.sources.stage import StageTables
 
@@ -49,3 +49,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op8_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), StageTables(spark))
+
+
+@_register("op10_mixing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), StageTables(spark)).drop("key")
