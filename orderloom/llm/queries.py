@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import mixing, packing, pii, warc
+from orderloom.llm import extract, mixing, packing, pii, warc
 from orderloom.llm.common import table
 from orderloom.sources.stage import StageTables
 
@@ -54,3 +54,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op10_mixing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), StageTables(spark)).drop("key")
+
+
+@_register("op7_extract")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
