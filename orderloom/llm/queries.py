@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import extract, mixing, packing, pii, warc
+from orderloom.llm import extract, language, mixing, packing, pii, toxicity, warc
 from orderloom.llm.common import table
 from orderloom.sources.stage import StageTables
 
@@ -24,6 +24,12 @@ def _register(name: str, sql: str | None = None):
     return add
 
 
+@_register("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.digest(toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))))
+
+
 @_register(
     "op3_warc",
     """
@@ -59,3 +65,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op7_extract")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
+
+
+@_register("op9_language")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs))
