@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import extract, language, mixing, packing, pii, toxicity, warc
+from orderloom.llm import extract, language, mixing, neighbours, packing, pii, toxicity, warc
 from orderloom.llm.common import table
 from orderloom.sources.stage import StageTables
 
@@ -24,6 +24,11 @@ def _register(name: str, sql: str | None = None):
     return add
 
 
+@_register("op1_neighbours")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_rows(table(spark, sf_dir, "embeddings"), StageTables(spark))
+
+
 @_register("op2_toxicity")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
