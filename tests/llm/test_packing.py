@@ -22,7 +22,7 @@ TOKENIZER.encode_special_tokens = True
 @given(st.text(alphabet=" ab'sé1.\n\t  <|endoftext|>", max_size=40))
 def test_words_have_the_ids_of_the_whole_text(text):
     coder = packing.encoder(packing.VOCABULARY)
-    assert coder.encode(text).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert coder.encode([text])[0].tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=60, deadline=None)
@@ -41,7 +41,7 @@ def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr(packing, "CACHED_CHUNKS", 3)
     coder = packing.ChunkEncoder(packing.VOCABULARY)
     for text in ("a b c d e f", "g h a b", "a b c d e f g  h"):
-        assert coder.encode(text).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+        assert coder.encode([text])[0].tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
 def check_cover(rows, texts):
