@@ -27,7 +27,8 @@ from orderloom.sources.stage import StageTables
 SEQUENCE = 1024
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"  # a file of the public_tokenizers package, or a path
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 900_000
+PORTION_CHARS = 2_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -46,49 +47,48 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary if os.path.sep in vocabulary else public_tokenizers.path(vocabulary))
         self.tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
+        blank = np.array([self.tokenizer.id_to_token(i).startswith("\u0120") for i in range(self.tokenizer.get_vocab_size())])
+        self.leads = blank  # ids that begin with a blank
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.lengths = np.zeros(1 << 16, np.int64)
-        self.odd = np.zeros(1 << 16, bool)
-        self.used = 0
+        self.ids = np.zeros(0, np.uint32)
+        self.starts, self.lengths, self.odd = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[str]) -> None:
-        for chunk, found in zip(chunks, self.tokenizer.encode_batch([" " + c for c in chunks], add_special_tokens=False), strict=True):
-            at, n = len(self.known), len(found.ids)
-            while self.used + n > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            if at >= len(self.starts):
-                self.starts, self.lengths, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.odd))
-            self.ids[self.used : self.used + n] = found.ids
-            self.starts[at], self.lengths[at] = self.used, n
-            self.odd[at] = not chunk or chunk[0].isspace() or chunk[-1].isspace()
-            self.known[chunk] = at
-            self.used += n
-
-    def encode(self, text: str) -> np.ndarray:
-        first, *rest = text.split(" ")
-        if not rest:
-            return self.whole(text)
+        """Encode new chunks in one text; each one's ids begin at an id with a leading blank. Odd chunks have none."""
+        odd = np.array([not c or c[0].isspace() or c[-1].isspace() for c in chunks])
+        (found,) = self._ids(["".join(f" {c}" for c, o in zip(chunks, odd, strict=True) if not o)])
+        begins = np.append(np.flatnonzero(self.leads[found]), len(found))
+        starts, lengths = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        starts[~odd], lengths[~odd] = begins[:-1] + len(self.ids), np.diff(begins)
+        self.known.update(zip(chunks, range(len(self.starts), len(self.starts) + len(chunks)), strict=True))
+        self.ids = np.concatenate([self.ids, found])
+        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+        self.odd = np.concatenate([self.odd, odd])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHED_CHUNKS:
             self._forget()
-        try:
-            places = np.array([self.known[c] for c in rest])
-        except KeyError:
-            self._learn(list(dict.fromkeys(c for c in rest if c not in self.known)))
-            places = np.array([self.known[c] for c in rest])
-        if not first or first[-1:].isspace() or self.odd[places].any():
-            return self.whole(text)
-        lengths = self.lengths[places]
-        ends = np.cumsum(lengths)
-        at = np.arange(ends[-1]) + np.repeat(self.starts[places] - (ends - lengths), lengths)
-        return np.concatenate([self.whole(first), self.ids[at]])
+        split = [t.split(" ") for t in texts]
+        fresh = list(dict.fromkeys(c for chunks in split for c in chunks[1:] if c not in self.known))
+        if fresh:
+            self._learn(fresh)
+        out, look = [], self.known.__getitem__
+        for text, chunks, first in zip(texts, split, self._ids([c[0] for c in split]), strict=True):
+            places = np.fromiter(map(look, chunks[1:]), np.int64, len(chunks) - 1)
+            if len(places) and (not chunks[0] or chunks[0][-1].isspace() or self.odd[places].any()):
+                out += self._ids([text])
+                continue
+            lengths = self.lengths[places]
+            ends = np.cumsum(lengths)
+            at = np.arange(lengths.sum()) + np.repeat(self.starts[places] - (ends - lengths), lengths)
+            out.append(np.concatenate([first, self.ids[at]]))
+        return out
 
 
 def encoder(vocabulary: str) -> ChunkEncoder:
@@ -99,6 +99,19 @@ def encoder(vocabulary: str) -> ChunkEncoder:
     return vars(kept)[vocabulary]
 
 
+def portions(texts: list[str]) -> Iterator[list[str]]:
+    """Whole texts in turn, some million characters at a time."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size > PORTION_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SEQUENCE) -> DataFrame:
     """Pieces of at most ``size`` ids of every row of ``docs``: whole ``size`` ids while they last, then the rest.
 
@@ -107,9 +120,10 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SEQUENCE)
     """
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        coder, out = encoder(vocabulary), [[], [], [], [], []]
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ids = np.append(coder.encode(text) if text else np.zeros(0, np.uint32), np.uint32(END_ID)).astype("<u4")
+        coder, out, texts = encoder(vocabulary), [[], [], [], [], []], [t or "" for t in b.column(1).to_pylist()]
+        encoded = (ids for some in portions(texts) for ids in coder.encode(some))
+        for doc_id, ids in zip(b.column(0).to_pylist(), encoded, strict=True):
+            ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
             for start in range(0, len(ids), size):
                 piece = ids[start : start + size]
                 for column, value in zip(out, (doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)), strict=True):
