@@ -61,9 +61,10 @@ class Hasher:
         starts = np.cumsum([1] + [len(d) + 1 for d in data])
         first = np.searchsorted(begin, starts)
         n = self.words
-        whole = np.zeros(max(0, len(word) - n + 1), np.uint64)
+        count = max(0, len(word) - n + 1)
+        whole = np.zeros(count, np.uint64)
         for j in range(n):
-            whole += word[j : len(word) - n + 1 + j] * self.place[j]
+            whole += word[j : j + count] * self.place[j]
         whole = mix(whole)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             if b - a >= n:

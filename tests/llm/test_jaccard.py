@@ -54,6 +54,7 @@ def test_shingles():
     texts = ["A b\tC d e", "a B c", "", None, "é É x y z\x0b é É x y", " lead  trail ", "a b c d e", "É b c d É b c d É"]
     sets = list(Hasher(4).sets(texts))
     assert [len(s) for s in sets] == [len(plain_set(t)) for t in texts]
+    assert [len(s) for s in Hasher(4).sets(["", None, "one two"])] == [0, 0, 1] and list(Hasher(4).sets([])) == []
     all_ = {}
     for t, s in zip(["a b c d e", "b c d e f", "a b c d"], Hasher(4).sets(["a b c d e", "B C D E F", "a b c d"])):
         all_[t] = set(s.tolist())
