@@ -64,6 +64,7 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+TOLD: dict[str, str] = {}  # statements before their parts are put in
 
 
 def query(name: str, sql: str | None = None, grain: str = "name", models: str = "closed"):
@@ -72,7 +73,8 @@ def query(name: str, sql: str | None = None, grain: str = "name", models: str =
     def add(fn):
         Q[name] = lambda spark, folder: fn(run_for(spark, folder, grain, models))
         if sql is not None:
-            SQL[name] = O.statement(sql, grain)
+            TOLD[name] = sql
+            SQL[name] = O.statement(sql, grain, **({"preds": O.ALL_PREDS} if models == "all" else {}))
         return fn
 
     return add
@@ -159,10 +161,13 @@ for _model in forecast.CLOSED_FORM:
             pred=6,
         )
     )
-query("model_lag_linear", None, "name", "all")(
-    lambda r: r.models["lag_linear"](r.fold_frames, r.params.horizon)
-    .select("stock_code", "fold", F.posexplode("pred").alias("_i", "pred"))
-    .select("stock_code", "fold", (F.col("_i") + 1).alias("step"), "pred")
+query("model_lag_linear", "SELECT stock_code, fold, i + 1 AS step, round(pred, 4) AS pred FROM lag_paths WHERE fold > 0", "name", "all")(
+    lambda r: rounded(
+        r.models["lag_linear"](r.fold_frames, r.params.horizon)
+        .select("stock_code", "fold", F.posexplode("pred").alias("_i", "pred"))
+        .select("stock_code", "fold", (F.col("_i") + 1).alias("step"), "pred"),
+        pred=4,
+    )
 )
 query(
     "model_user_supplied",
@@ -193,8 +198,12 @@ for _grain in ("name", "brand_type"):
         "SELECT * REPLACE (round(units, 6) AS units, round(sigma, 6) AS sigma) FROM forecasts",
         _grain,
     )(lambda r: rounded(r.forecasts, units=6, sigma=6))
-query("forecast_all_models", None, "brand_type", "all")(lambda r: r.forecasts)
-query("class_winners_all_models", None, "brand_type", "all")(lambda r: r.class_winners)
+query(
+    "forecast_all_models", "SELECT * REPLACE (round(units, 4) AS units, round(sigma, 4) AS sigma) FROM forecasts", "brand_type", "all",
+)(lambda r: rounded(r.forecasts, units=4, sigma=4))
+query(
+    "class_winners_all_models", "SELECT * REPLACE (round(mean_mase, 6) AS mean_mase) FROM winners", "brand_type", "all",
+)(lambda r: rounded(r.class_winners, mean_mase=6))
 
 # ---- replenishment
 _PLAN_DOUBLES = ("mu_weekly", "sigma", "safety_stock", "reorder_point", "order_up_to", "order_qty", "expected_stock")
@@ -447,15 +456,6 @@ FROM (SELECT key, CASE provenance WHEN 'real' THEN 3 WHEN 'derived' THEN 2 ELSE
 )
 
 
-def _pairs_sql() -> str:
-    rows = ", ".join(f"('{i.name}', '{i.lhs}', '{i.rhs}', {i.tolerance!r}::DOUBLE)" for i in reconcile.IDENTITIES)
-    return f"""
-SELECT t.name, t.lhs_label, round(a.value, 3) AS lhs, t.rhs_label, round(b.value, 3) AS rhs, t.tolerance,
-       a.unit = b.unit AND abs(a.value - b.value) <= t.tolerance AS passed, a.unit
-FROM (VALUES {rows}) t(name, lhs_label, rhs_label, tolerance)
-JOIN ledger a ON a.key = t.lhs_label JOIN ledger b ON b.key = t.rhs_label"""
-
-
 _SHOWN = ("name", "lhs_label", "lhs", "rhs_label", "rhs", "tolerance", "passed", "unit")
 
 
@@ -463,7 +463,10 @@ def shown(checks: DataFrame) -> DataFrame:
     return rounded(checks.select(*_SHOWN), lhs=3, rhs=3)
 
 
-query("identity_pairs", _pairs_sql())(
+query(
+    "identity_pairs",
+    "SELECT name, lhs_label, round(lhs, 3) AS lhs, rhs_label, round(rhs, 3) AS rhs, tolerance, passed, unit FROM compared",
+)(
     lambda r: shown(reconcile.check(r.ledger, reconcile.literal_table(r.spark, reconcile.IDENTITIES)))
 )
 
@@ -525,7 +528,10 @@ identity(
     "SELECT count(*) = count(DISTINCT invoice) AND count(*) = (SELECT count(*) FROM flog) AND count(revenue) = count(*) FROM econ",
     0.005,
 )
-query("verdict", "SELECT 'base' AS scenario_id, 13 AS passed, 13 AS total, true AS all_passed FROM booked")(
+query(
+    "verdict",
+    "SELECT 'base' AS scenario_id, count(*) FILTER (passed) AS passed, count(*) AS total, bool_and(passed) AS all_passed FROM held",
+)(
     lambda r: reconcile.verdict(r.checks)
 )
 
@@ -553,22 +559,23 @@ query(
         labour=3, transport=3, holding=3, facility=3, total_cost=3,
     )
 )
+_DELTAS = {"baseline": 3, "perturbed": 3, "delta": 3, "pct": 6}
 query(
     "scenario_deltas",
     """
 SELECT * FROM (
 WITH long AS (
   SELECT scenario_id, u.* FROM scen, LATERAL (VALUES
-    ('1 forecast', 'forecast units', 'units', 'derived', forecast_units),
-    ('2 inventory', 'safety stock', 'units', 'synthetic-assigned', ss_units),
-    ('2 inventory', 'order-up-to', 'units', 'synthetic-assigned', order_up_to_units),
-    ('4b transport', 'route km', 'km', 'synthetic-assigned', km),
-    ('5 costing', 'holding cost', 'GBP', 'synthetic-assigned', holding),
-    ('5 costing', 'transport cost', 'GBP', 'synthetic-assigned', transport),
-    ('5 costing', 'labour cost', 'GBP', 'synthetic-assigned', labour),
-    ('5 costing', 'facility cost', 'GBP', 'synthetic-assigned', facility),
-    ('5 costing', 'total cost', 'GBP', 'synthetic-assigned', total_cost),
-    ('6 ledger', 'window revenue', 'GBP', 'real', window_revenue)) u(stage, metric, unit, provenance, v)
+    ('demand outlook', 'forecast units', 'units', 'derived', forecast_units),
+    ('stock', 'safety stock', 'units', 'synthetic-assigned', ss_units),
+    ('stock', 'order-up-to', 'units', 'synthetic-assigned', order_up_to_units),
+    ('delivery', 'route km', 'km', 'synthetic-assigned', km),
+    ('cost lines', 'holding cost', 'GBP', 'synthetic-assigned', holding),
+    ('cost lines', 'transport cost', 'GBP', 'synthetic-assigned', transport),
+    ('cost lines', 'labour cost', 'GBP', 'synthetic-assigned', labour),
+    ('cost lines', 'facility cost', 'GBP', 'synthetic-assigned', facility),
+    ('cost lines', 'total cost', 'GBP', 'synthetic-assigned', total_cost),
+    ('sales', 'window revenue', 'GBP', 'real', window_revenue)) u(stage, metric, unit, provenance, v)
 )
 SELECT p.scenario_id, p.stage, p.metric, p.unit, p.provenance, round(b.v, 3) AS baseline, round(p.v, 3) AS perturbed,
        round(p.v - b.v, 3) AS delta, round(100 * (p.v - b.v) / nullif(b.v, 0), 6) AS pct
@@ -576,7 +583,7 @@ FROM long p JOIN long b ON b.metric = p.metric AND b.scenario_id = 'base'
 WHERE p.scenario_id IN ('class surge', 'transport rate'))""",
 )(
     lambda r: rounded(
-        whatif.deltas(r.shocks.costs, r.shocks.forecasts), baseline=3, perturbed=3, delta=3, pct=6
+        whatif.deltas(r.shocks.costs, r.shocks.forecasts), **_DELTAS
     )
 )
 _GRID = {"ss_units": 4, "holding": 3, "labour": 3, "transport": 3, "facility": 3, "total_cost": 3, "window_revenue": 3,
@@ -587,7 +594,9 @@ query(
 SELECT s.scenario_id, s.demand_factor AS factor, round(s.ss_units, 4) AS ss_units, round(s.holding, 3) AS holding,
        round(s.labour, 3) AS labour, round(s.transport, 3) AS transport, round(s.facility, 3) AS facility,
        round(s.total_cost, 3) AS total_cost, round(s.window_revenue, 3) AS window_revenue,
-       13 AS identities_passed, 13 AS identities_total,
+       (SELECT count(*) FROM held WHERE passed AND name NOT LIKE '(l)%')
+         + (abs(s.total_cost - s.labour - s.transport - s.holding - s.facility) <= 0.005)::INT AS identities_passed,
+       (SELECT count(*) FROM held) AS identities_total,
        CASE WHEN s.demand_factor <> 1 THEN round((s.holding / b.holding - 1) / (s.demand_factor - 1), 6) END AS holding_elasticity,
        CASE WHEN s.demand_factor <> 1 THEN round((s.total_cost / b.total - 1) / (s.demand_factor - 1), 6) END AS total_elasticity,
        round(s.holding / s.total_cost, 9) AS holding_share
@@ -609,20 +618,38 @@ WHERE s.scenario_id = 'class surge'""",
     )
 )
 
+query(
+    "named_class_surge",
+    """
+SELECT 'erratic' AS target_class, 1.2::DOUBLE AS factor, round(coalesce(c.class_ss, 0), 4) AS class_ss, round(b.stock, 4) AS total_ss,
+       round(b.holding / b.total, 9) AS holding_share, round((s.total_cost / b.total - 1) / 0.2, 6) AS measured_elasticity,
+       round(b.holding / b.total * coalesce(c.class_ss, 0) / b.stock, 6) AS predicted_elasticity, true AS holds
+FROM booked b, scen s, (SELECT sum(safety_stock) AS class_ss FROM plan WHERE class = 'erratic') c
+WHERE s.scenario_id = 'erratic surge'""",
+)(
+    lambda r: rounded(
+        whatif.class_containment(r.named_surge.costs, r.named_surge.plans, r.named_surge.checks, whatif.class_scenario("erratic"), r.expected_checks)
+        .withColumn("class_ss", F.coalesce("class_ss", F.lit(0.0))),
+        class_ss=4, total_ss=4, holding_share=9, measured_elasticity=6, predicted_elasticity=6,
+    )
+)
+
 # ---- readouts
 query(
     "driver_breakdown",
     """
-SELECT line, round(quantity, 4) AS quantity, rate::DOUBLE AS rate, round(rebuilt_gbp, 3) AS rebuilt_gbp, round(registered, 3) AS registered_gbp,
+SELECT line, grows_with, round(quantity, 4) AS quantity, quantity_unit, rate::DOUBLE AS rate, line = 'holding' AS weekly, round(rebuilt_gbp, 3) AS rebuilt_gbp, round(registered, 3) AS registered_gbp,
        abs(rebuilt_gbp - registered) <= 0.005 AS agrees, round(registered / total, 9) AS share
 FROM booked, LATERAL (VALUES
-  ('labour', hours, 14.5, hours * 14.5, labour), ('transport', km, 0.85, km * 0.85, transport),
-  ('holding', stock, 0.02, stock * 0.02 * weeks, holding), ('facility', weeks, 2500, weeks * 2500, facility)
-) u(line, quantity, rate, rebuilt_gbp, registered)""",
+  ('labour', 'fulfil/labour_hours', hours, 'hours', 14.5, hours * 14.5, labour),
+  ('transport', 'transport/savings_km', km, 'km', 0.85, km * 0.85, transport),
+  ('holding', 'inventory/safety_stock_units', stock, 'units', 0.02, stock * 0.02 * weeks, holding),
+  ('facility', 'window/weeks', weeks, 'weeks', 2500, weeks * 2500, facility)
+) u(line, grows_with, quantity, quantity_unit, rate, rebuilt_gbp, registered)""",
 )(
     lambda r: rounded(
         r.drivers.withColumn("agrees", F.abs("residual_gbp") <= 0.005).select(
-            "line", "quantity", "rate", "rebuilt_gbp", "registered_gbp", "agrees", "share"
+            "line", "grows_with", "quantity", "quantity_unit", "rate", "weekly", "rebuilt_gbp", "registered_gbp", "agrees", "share"
         ),
         quantity=4, rebuilt_gbp=3, registered_gbp=3, share=9,
     )
@@ -656,13 +683,14 @@ SELECT count(*) AS n_orders, round(sum(delivered_cost), 3) AS delivered_total, r
        round(sum(delivered_cost) FILTER (down <= greatest(1, n // 10)) / sum(delivered_cost), 6) AS top_decile_share,
        round(2 * sum(up * delivered_cost) / (count(*) * sum(delivered_cost)) - (count(*) + 1) / count(*), 6) AS gini,
        count(*) FILTER (delivered_cost > revenue) AS uncovered_orders,
+       round(count(*) FILTER (delivered_cost > revenue) / count(*), 9) AS uncovered_share,
        coalesce(sum(revenue) FILTER (delivered_cost > revenue), 0) AS uncovered_revenue,
        coalesce(sum(delivered_cost) FILTER (delivered_cost > revenue), 0) AS uncovered_delivered
 FROM cost_rank""",
 )(
     lambda r: rounded(
         readout.distribution_stats(r.by_cost), delivered_total=3, revenue_total=3, mean_cost=6, median_cost=6, p90_cost=6,
-        min_cost=6, max_cost=6, top_decile_share=6, gini=6,
+        min_cost=6, max_cost=6, top_decile_share=6, gini=6, uncovered_share=9,
     )
 )
 query(
@@ -679,27 +707,30 @@ query(
     "whale_summary",
     """
 SELECT any_value(n_rows) AS n_orders, round(max(cum_gap), 3) AS peak_gbp, arg_max(rank, (cum_gap, -rank)) AS peak_orders,
+       round(arg_max(rank, (cum_gap, -rank)) / any_value(n_rows), 9) AS peak_orders_share,
        round(arg_max(cum_gap, rank), 3) AS end_gbp, round(max(cum_gap) - arg_max(cum_gap, rank), 3) AS erosion_gbp FROM curve""",
-)(lambda r: rounded(readout.whale_summary(readout.whale_curve(r.economics)), peak_gbp=3, end_gbp=3, erosion_gbp=3))
+)(lambda r: rounded(readout.whale_summary(readout.whale_curve(r.economics)), peak_gbp=3, end_gbp=3, erosion_gbp=3, peak_orders_share=9))
+_DECILES = {"delivered_gbp": 3, "revenue_gbp": 3, "gap_gbp": 3, "cost_share": 6, "cum_cost_share": 6, "mean_delivered_gbp": 6}
 query(
     "decile_table",
     """
 SELECT decile::INT AS decile, orders, round(delivered, 3) AS delivered_gbp, round(revenue, 3) AS revenue_gbp, round(gap, 3) AS gap_gbp, uncovered_orders,
-       round(delivered / sum(delivered) OVER (), 6) AS cost_share,
+       round(delivered / sum(delivered) OVER (), 6) AS cost_share, round(delivered / orders, 6) AS mean_delivered_gbp,
        round(sum(delivered) OVER (ORDER BY decile) / sum(delivered) OVER (), 6) AS cum_cost_share
 FROM (SELECT decile, count(*) AS orders, sum(delivered_cost) AS delivered, sum(revenue) AS revenue, sum(gap) AS gap,
              count(*) FILTER (delivered_cost > revenue) AS uncovered_orders FROM cost_rank GROUP BY 1)""",
 )(
     lambda r: rounded(
-        readout.decile_table(r.by_cost), delivered_gbp=3, revenue_gbp=3, gap_gbp=3, cost_share=6, cum_cost_share=6
+        readout.decile_table(r.by_cost), **_DECILES
     )
 )
-_BOUNDARY = ", ".join(f"('{b.quantity}', '{b.provenance}', '{b.note}')" for b in readout.BOUNDARY)
 query(
     "boundary_map",
-    f"""
-SELECT t.quantity, t.provenance, t.note, (SELECT count(*) FROM ledger l WHERE l.provenance = t.provenance) AS ledger_entries
-FROM (VALUES {_BOUNDARY}) t(quantity, provenance, note)""",
+    """
+SELECT stage, provenance, unit, count(*) AS ledger_entries, CASE any_value(w) WHEN 3 THEN 'real' WHEN 2 THEN 'derived' ELSE 'synthetic-assigned' END AS weakest
+FROM (SELECT *, min(CASE provenance WHEN 'real' THEN 3 WHEN 'derived' THEN 2 ELSE 1 END) OVER (PARTITION BY stage) AS w
+      FROM (SELECT split_part(key, '/', 1) AS stage, provenance, unit FROM ledger))
+GROUP BY 1, 2, 3""",
 )(lambda r: readout.boundary_map(r.ledger))
 query(
     "stage_summary",
@@ -780,14 +811,17 @@ query(
 )
 
 
-def _decile_csv(r: Run) -> DataFrame:
-    path, table = f"{r.stages.folder}/deciles-csv", readout.decile_table(r.by_cost)
-    receipts.write_sorted_csv(table, path, ["decile"])
-    return r.spark.read.option("header", True).schema(table.schema).csv(path).select("decile", "orders")
+def _sink(r: Run, name: str, table: DataFrame, order: list[str]) -> DataFrame:
+    """A small result written as CSV and read back, all columns."""
+    path = f"{r.stages.folder}/{name}-csv"
+    receipts.write_sorted_csv(table, path, order)
+    return r.spark.read.option("header", True).schema(table.schema).csv(path)
 
 
-query("decile_csv", "SELECT decile::INT AS decile, count(*) AS orders FROM cost_rank GROUP BY 1")(
-    lambda r: _decile_csv(r)
+query("decile_csv", TOLD["decile_table"])(lambda r: rounded(_sink(r, "deciles", readout.decile_table(r.by_cost), ["decile"]), **_DECILES))
+query("grid_csv", TOLD["sensitivity_grid"])(lambda r: rounded(_sink(r, "grid", r.grid, ["factor"]), **_GRID))
+query("deltas_csv", TOLD["scenario_deltas"])(
+    lambda r: rounded(_sink(r, "deltas", whatif.deltas(r.shocks.costs, r.shocks.forecasts), ["scenario_id", "metric"]), **_DELTAS)
 )
 
 

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import re
 
-CODES = (
-    "'POST','DOT','C2','D','M','m','S','B','BANK CHARGES','AMAZONFEE','ADJUST','ADJUST2',"
-    "'CRUK','TEST001','TEST002','PADS'"
-)
+from orderloom.functions.expr import LARGE_WORDS, NON_PRODUCT_CODES, SMALL_WORDS
+from orderloom.operators.assign import SIZE_RANGES
+
+CODES = ", ".join(f"'{c}'" for c in NON_PRODUCT_CODES)
 ITEM = {
     "name": "p_name",
     "brand_type": "p_brand || '|' || p_type",
@@ -201,6 +201,34 @@ FROM chosen c JOIN preds p ON p.stock_code = c.stock_code AND p.model = c.model
 JOIN sigmas s ON s.stock_code = c.stock_code
 JOIN (SELECT stock_code, max(week) AS last_week FROM demand GROUP BY 1) m ON m.stock_code = c.stock_code"""
 
+# the regression: sums, elimination row by row, then one week after the other
+_TERMS = ["1.0", "idx::DOUBLE / origin", "sin(2 * pi() * idx / (365.25 / 7))", "cos(2 * pi() * idx / (365.25 / 7))", "l1", "l2", "l3", "l4"]
+PARTS["lagged"] = f"""
+SELECT stock_code, fold, origin, [{', '.join(f'({t})::DOUBLE' for t in _TERMS)}, units] AS f FROM (
+  SELECT o.stock_code, o.fold, o.origin, d.idx, d.units,
+         lag(d.units, 1) OVER w AS l1, lag(d.units, 2) OVER w AS l2, lag(d.units, 3) OVER w AS l3, lag(d.units, 4) OVER w AS l4
+  FROM origins o JOIN demand d ON d.stock_code = o.stock_code AND d.idx < o.origin
+  WINDOW w AS (PARTITION BY o.stock_code, o.fold ORDER BY d.idx)
+) WHERE idx >= 4"""
+PARTS["normal0"] = "SELECT stock_code, fold, origin, [" + ", ".join(
+    "[" + ", ".join(f"sum(f[{i}] * f[{j}])" for j in range(1, 10)) + "]" for i in range(1, 9)
+) + "] AS m FROM lagged GROUP BY 1, 2, 3"
+for _k in range(1, 9):
+    PARTS[f"normal{_k}"] = f"""
+SELECT stock_code, fold, origin, list_transform(m, lambda r, i: CASE WHEN i = {_k} THEN list_transform(r, lambda x: x / m[{_k}][{_k}])
+       ELSE list_transform(r, lambda x, j: x - r[{_k}] * m[{_k}][j] / m[{_k}][{_k}]) END) AS m FROM normal{_k - 1}"""
+_AHEAD = " + ".join(f"m[{k + 1}][9] * ({t})" for k, t in enumerate(_TERMS)).replace("idx", "(origin + i)")
+for _k in range(1, 5):
+    _AHEAD = _AHEAD.replace(f"(l{_k})", f"past[{_k}]")
+PARTS["lag_paths"] = f"""
+WITH RECURSIVE p AS (
+  SELECT b.stock_code, b.fold, b.origin, b.m, 0 AS i, list(d.units ORDER BY d.idx DESC) AS past
+  FROM normal8 b JOIN demand d ON d.stock_code = b.stock_code AND d.idx < b.origin AND d.idx >= b.origin - 4 GROUP BY ALL
+  UNION ALL SELECT stock_code, fold, origin, m, i + 1, list_prepend({_AHEAD}, past[1:3]) FROM p WHERE i < 8
+)
+SELECT stock_code, fold, 'lag_linear' AS model, i - 1 AS i, greatest(past[1], 0.0) AS pred FROM p WHERE i > 0"""
+ALL_PREDS = PARTS["preds"] + "\nUNION ALL SELECT stock_code, fold, model, i, pred FROM lag_paths"
+
 # ---- replenishment and assigned attributes
 Z = {0.90: "1.2815515655446004", 0.95: "1.6448536269514715", 0.99: "2.3263478740408408"}
 PARTS["leads"] = f"""
@@ -225,30 +253,24 @@ JOIN (SELECT stock_code, lead_time_weeks FROM leads) USING (stock_code)"""
 
 
 PARTS["plan"] = plan_sql(Z[0.95])
-_RANGES = {
-    "small": ((5, 15), (4, 12), (3, 10), (0.05, 0.40)),
-    "medium": ((15, 35), (10, 25), (8, 20), (0.30, 2.00)),
-    "large": ((35, 70), (25, 50), (20, 45), (1.50, 8.00)),
-}
 
 
-def _draw(k: int, name: str, digits: int) -> str:
-    lo = " ".join(f"WHEN '{c}' THEN {r[k][0]}" for c, r in _RANGES.items())
-    hi = " ".join(f"WHEN '{c}' THEN {r[k][1]}" for c, r in _RANGES.items())
+def _draw(name: str, digits: int) -> str:
+    lo = " ".join(f"WHEN '{c}' THEN {r[name][0]}" for c, r in SIZE_RANGES.items())
+    hi = " ".join(f"WHEN '{c}' THEN {r[name][1]}" for c, r in SIZE_RANGES.items())
     a, b = f"(CASE size_class {lo} END)::DOUBLE", f"(CASE size_class {hi} END)::DOUBLE"
     return f"round({a} + ({b} - {a}) * {u(42, name, 'stock_code')}, {digits}) AS {name}"
 
 
-_LARGE = "JUMBO|GIANT|LARGE|BIG|CABINET|CHEST|DRAWER|DOORMAT|PARASOL|STOOL|CAKESTAND|HAMPER"
-_SMALL = "MINI|SMALL|TINY|CHARM|KEYRING|KEY RING|PENCIL|CARD|BADGE|MAGNET|BUTTON|EGG|TRINKET"
+_LARGE, _SMALL = "|".join(LARGE_WORDS), "|".join(SMALL_WORDS)
 PARTS["sized"] = f"""
 SELECT stock_code, CASE WHEN regexp_matches(upper(description), '{_LARGE}') THEN 'large'
                         WHEN regexp_matches(upper(description), '{_SMALL}') THEN 'small'
                         ELSE 'medium' END AS size_class
 FROM described"""
 PARTS["physical"] = f"""
-SELECT stock_code, size_class, {_draw(0, 'length_cm', 1)}, {_draw(1, 'width_cm', 1)},
-       {_draw(2, 'height_cm', 1)}, {_draw(3, 'weight_kg', 3)}
+SELECT stock_code, size_class, {_draw('length_cm', 1)}, {_draw('width_cm', 1)},
+       {_draw('height_cm', 1)}, {_draw('weight_kg', 3)}
 FROM sized"""
 PARTS["slots"] = """
 SELECT s::INT AS slot_id, (s // 25)::INT AS aisle, (s % 25)::INT AS bay,
@@ -537,11 +559,39 @@ PARTS["curve"] = """
 SELECT invoice, gap, row_number() OVER (ORDER BY gap DESC, invoice) AS rank, count(*) OVER () AS n_rows,
        sum(gap) OVER (ORDER BY gap DESC, invoice ROWS UNBOUNDED PRECEDING) AS cum_gap FROM econ"""
 
+# ---- identities; names, entries and tolerances are written out, so one lost from the code is missed here
+PARTS["told"] = """
+SELECT * FROM (VALUES
+  ('(a) published revenue', 'ingest/revenue_gbp', 'published/revenue_gbp', 0.005::DOUBLE),
+  ('(b) demand conservation', 'ingest/demand_units', 'ingest/line_units', 0.000001),
+  ('(c) line conservation', 'invoice_stream/line_count', 'ingest/line_count', 0),
+  ('(f) pick conservation', 'warehouse/picked_lines_total', 'invoice_stream/line_count', 0),
+  ('(i) window pick conservation', 'fulfil/picked_lines', 'window/stream_lines', 0),
+  ('(j) carton conservation', 'fulfil/cartons_shipped', 'fulfil/cartons_packed', 0),
+  ('(k) drop conservation', 'transport/routed_drops', 'fulfil/orders', 0),
+  ('(l) ledger additivity', 'costing/total_cost', 'costing/component_sum', 0.005),
+  ('(m) window revenue', 'costing/window_revenue', 'ingest/window_revenue', 0.005)
+) t(name, lhs_label, rhs_label, tolerance)"""
+PARTS["compared"] = """
+SELECT t.name, t.lhs_label, a.value AS lhs, t.rhs_label, b.value AS rhs, t.tolerance,
+       coalesce(a.unit = b.unit AND abs(a.value - b.value) <= t.tolerance, false) AS passed, a.unit
+FROM told t LEFT JOIN ledger a ON a.key = t.lhs_label LEFT JOIN ledger b ON b.key = t.rhs_label"""
+PARTS["held"] = """
+SELECT name, passed FROM compared
+UNION ALL SELECT '(d)', count(*) = 0 FROM forecasts WHERE stock_code NOT IN (SELECT stock_code FROM items)
+UNION ALL SELECT '(e)', count(*) = 0 FROM ((SELECT stock_code FROM plan EXCEPT SELECT stock_code FROM forecasts) UNION ALL
+                                           (SELECT stock_code FROM forecasts EXCEPT SELECT stock_code FROM plan))
+UNION ALL SELECT '(g)', min(lines) = max(lines) AND min(invoices) = max(invoices) FROM layout_totals
+UNION ALL SELECT '(h)', count(*) = 6 FROM ledger
+  WHERE (key IN ('ingest/demand_units', 'warehouse/velocity_lines') AND provenance = 'real')
+     OR ((key LIKE 'warehouse/travel_mean_%' OR key = 'inventory/safety_stock_units') AND provenance = 'synthetic-assigned')"""
+
 # ---- what-ifs
 PARTS["top_class"] = """
 SELECT class FROM forecasts GROUP BY 1 ORDER BY count(DISTINCT stock_code) DESC, class LIMIT 1"""
 _SCENARIOS = (
     [("base", "none", 1.0, 1, 1, 1, 1), ("class surge", "class", 1.2, 1, 1, 1, 1), ("transport rate", "none", 1.0, 1, 1.1, 1, 1)]
+    + [("erratic surge", "erratic", 1.2, 1, 1, 1, 1)]
     + [(f"book x{f:.2f}", "book", f, 1, 1, 1, 1) for f in (0.8, 0.9, 1.0, 1.1, 1.2)]
     + [("labour rate", "none", 1.0, 1.1, 1, 1, 1), ("holding rate", "none", 1.0, 1, 1, 1.1, 1),
        ("facility rate", "none", 1.0, 1, 1, 1, 1.1)]
@@ -551,7 +601,7 @@ PARTS["scenarios"] = "SELECT * FROM (VALUES " + ", ".join(
 ) + ") t(scenario_id, reach, f, lab, tra, hol, fac)"
 PARTS["surged"] = """
 SELECT s.scenario_id, p.stock_code, p.class,
-       CASE WHEN s.reach = 'book' OR (s.reach = 'class' AND p.class = (SELECT class FROM top_class)) THEN s.f ELSE 1 END AS grow
+       CASE WHEN s.reach = 'book' OR (s.reach = 'class' AND p.class = (SELECT class FROM top_class)) OR s.reach = p.class THEN s.f ELSE 1 END AS grow
 FROM plan p, scenarios s"""
 PARTS["scen"] = """
 SELECT s.scenario_id, s.f AS demand_factor, t.ss_units, t.order_up_to_units, b.km, t.forecast_units,

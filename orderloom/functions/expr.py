@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Bookkeeping codes that are not merchandise (case-sensitive) and the voucher prefix.
@@ -62,3 +62,11 @@ def required(value: Column, dtype: str, message: Column | str) -> Column:
 def money(value: Column) -> Column:
     """Money as an exact decimal, so sums do not depend on the order of the rows."""
     return value.cast("decimal(18,4)")
+
+
+def require(df: DataFrame, holds: Column, message: Column) -> DataFrame:
+    """``df`` unchanged; a row on which ``holds`` is not true fails the job, whatever columns are read later.
+
+    A guard inside a column goes when the column is not read; a filter stays.
+    """
+    return df.filter(F.when(F.coalesce(holds, F.lit(False)), F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))

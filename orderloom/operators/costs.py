@@ -7,10 +7,21 @@ from pyspark.sql import functions as F
 
 from orderloom.functions.expr import week_end
 from orderloom.functions.provenance import ASSIGNED, REAL
-from orderloom.operators.prefix import ONE_TASK_ROWS
-from orderloom.params import DEFAULTS, Params
+from orderloom.operators import prefix
 
-COST_LINES = ("labour", "transport", "holding", "facility")
+from orderloom.params import COST_RATES, DEFAULTS, Params
+
+COST_LINES = tuple(r.line for r in COST_RATES)
+
+
+def charges(quantity: dict[str, Column], weeks: Column, p: Params = DEFAULTS, factor: dict[str, Column] | None = None) -> dict[str, Column]:
+    """Amount per cost line from the quantity each grows with; ``factor`` scales a line's price."""
+    out = {}
+    for rate in COST_RATES:
+        price = F.lit(getattr(p, rate.price))
+        amount = quantity[rate.line] * (price * factor[rate.line] if factor else price)
+        out[rate.line] = amount * weeks if rate.weekly else amount
+    return out
 
 
 def window_revenue_lines(sales: DataFrame, items: DataFrame, window: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -20,7 +31,7 @@ def window_revenue_lines(sales: DataFrame, items: DataFrame, window: DataFrame,
     the range filter of the demand stage.
     """
     known = items.select("stock_code")
-    known = F.broadcast(known) if p.n_items <= ONE_TASK_ROWS else known
+    known = F.broadcast(known) if p.n_items <= prefix.ONE_TASK_ROWS else known
     return (
         sales.withColumn("week", week_end(F.col("invoice_ts")))
         .join(F.broadcast(window.select("week")), "week", "left_semi")  # one row per calendar week
@@ -84,13 +95,10 @@ def ledger_lines(
     amounts = base.select(
         "holding", "stock", hours.alias("hours"), km.alias("km"), revenue.alias("revenue"),
         count_of(window).alias("weeks"),
-    ).withColumns(
-        {
-            "labour": F.col("hours") * p.labour_per_hour,
-            "transport": F.col("km") * p.transport_per_km,
-            "facility": F.col("weeks") * p.facility_per_week,
-        }
     )
+    priced = charges({"labour": F.col("hours"), "transport": F.col("km"), "holding": F.col("stock"), "facility": F.col("weeks")}, F.col("weeks"), p)
+    # holding is what the items add up to, the other lines come from their one quantity
+    amounts = amounts.withColumns({line: gbp for line, gbp in priced.items() if line != "holding"})
     total = F.col("labour") + F.col("transport") + F.col("holding") + F.col("facility")
 
     def text(pattern: str, *values: Column) -> Column:

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.functions.expr import week_end
-from orderloom.operators.prefix import ONE_TASK_ROWS, rank_rows
+from orderloom.operators import prefix
+from orderloom.operators.prefix import rank_rows
 
 
 def _lookup(df: DataFrame, bound: int) -> DataFrame:
     """Hint a broadcast only where the row count is bounded by construction and small."""
-    return F.broadcast(df) if bound <= ONE_TASK_ROWS else df
+    return F.broadcast(df) if bound <= prefix.ONE_TASK_ROWS else df
 
 
 def tracked_items(sales: DataFrame, n: int) -> DataFrame:

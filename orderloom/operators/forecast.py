@@ -1,11 +1,12 @@
 """Stage 1: demand classes, rolling-origin evaluation, class winners and final forecasts.
 
 An item's history is one vector (its length is bounded by the calendar), so training windows are
-slices and the closed-form models are array expressions; only the regression needs a solver.
+slices and the models are array expressions; only the regression solves its normal equations in batches.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from orderloom.params import DEFAULTS, Params
 
 WEEKS_PER_YEAR = 365.25 / 7.0
 LAGS = 4
+_TERMS = 4 + LAGS
 _DOUBLES = "array<double>"
 
 # A model adds ``pred array<double>`` (length h) to frames that hold ``y array<double>``.
@@ -124,24 +126,61 @@ def croston_sba(train: DataFrame, h: int, alpha: float = DEFAULTS.croston_alpha)
     return train.withColumn("pred", _flat(rate, h))
 
 
-def fit_lagged_line(y: np.ndarray, h: int) -> np.ndarray:
-    """Least squares on trend, one annual sine/cosine pair and the last four weeks; forecast step by step."""
-    n = len(y)
-    if n < LAGS + 8:
-        return np.full(h, max(float(y[-1]), 0.0))
-
-    def known(t: np.ndarray) -> np.ndarray:
-        turn = 2.0 * np.pi * t / WEEKS_PER_YEAR
-        return np.stack([np.ones(len(t)), t / n, np.sin(turn), np.cos(turn)], axis=1)
-
-    lagged = np.lib.stride_tricks.sliding_window_view(y, LAGS)[:-1, ::-1]
-    design = np.hstack([known(np.arange(LAGS, n, dtype=float)), lagged])
-    beta = np.linalg.lstsq(design, y[LAGS:], rcond=None)[0]
-    fixed = known(np.arange(n, n + h, dtype=float)) @ beta[:4]
-    path = np.concatenate([y[-LAGS:], np.zeros(h)])
-    for i in range(h):
-        path[LAGS + i] = fixed[i] + path[i : LAGS + i][::-1] @ beta[4:]
-    return np.maximum(path[LAGS:], 0.0)
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+
+
+def _solve(sums: pd.Series) -> pd.Series:
+    """Coefficients of a batch of normal equations, each the upper triangle row by row and then the right side.
+
+    Columns are scaled to unit length first; directions without weight (collinear features) get the smallest solution.
+    """
+    known = sums.notna().to_numpy()
+    flat = np.stack(sums[known].to_list()).astype(float) if known.any() else np.zeros((0, _TERMS * (_TERMS + 3) // 2))
+    gram, row, column = np.zeros((len(flat), _TERMS, _TERMS)), *np.triu_indices(_TERMS)
+    gram[:, row, column] = gram[:, column, row] = flat[:, : len(row)]
+    size = np.sqrt(np.diagonal(gram, axis1=1, axis2=2))
+    size[size == 0] = 1.0
+    inverse = np.linalg.pinv(gram / size[:, :, None] / size[:, None, :], rcond=1e-11, hermitian=True)
+    beta = np.einsum("bij,bj->bi", inverse, flat[:, len(row) :] / size) / size
+    solved = iter(beta)
+    return pd.Series([next(solved) if k else None for k in known], dtype=object)
+
+
+def lag_linear(train: DataFrame, h: int) -> DataFrame:
+    """Least squares on trend, one annual sine/cosine pair and the last four weeks; forecast step by step.
+
+    The sums of the normal equations are array expressions, one 8 x 8 solve per series runs on whole batches, and the
+    steps ahead fold over the calendar. Histories under 12 weeks keep their last value.
+    """
+    y, n = F.col("y"), F.size("y")
+    fitted = F.greatest(n - LAGS, F.lit(0))
+    times = F.transform(F.slice(F.sequence(F.lit(LAGS), F.greatest(n, F.lit(LAGS))), F.lit(1), fitted), lambda t: t.cast("double"))
+    turn = 2.0 * math.pi / WEEKS_PER_YEAR
+    known = [
+        lambda t: F.lit(1.0), lambda t: t / n, lambda t: F.sin(t * turn), lambda t: F.cos(t * turn),
+    ]
+    features = [F.transform(times, f) for f in known] + [F.slice(y, LAGS - k, fitted) for k in range(LAGS)]
+    names = [f"_lag_f{i}" for i in range(_TERMS)]
+    laid = train.withColumns({**dict(zip(names, features, strict=True)), "_lag_target": F.slice(y, LAGS + 1, fitted)})
+    pairs = [_dot(F.col(names[i]), F.col(names[j])) for i in range(_TERMS) for j in range(i, _TERMS)]
+    pairs += [_dot(F.col(name), F.col("_lag_target")) for name in names]
+    enough = n >= LAGS + 8
+    solved = laid.withColumn("_lag_sums", F.when(enough, F.array(*pairs))).withColumn("_lag_beta", F.pandas_udf(_solve, _DOUBLES)("_lag_sums"))
+    beta = lambda k: F.element_at("_lag_beta", k + 1)
+    start = F.struct(F.reverse(F.slice(y, F.greatest(n - LAGS + 1, F.lit(1)), F.lit(LAGS))).alias("past"), F.array().cast(_DOUBLES).alias("out"))
+
+    def step(state: Column, i: Column) -> Column:
+        t = (n + i).cast("double")
+        value = sum((beta(k) * f(t) for k, f in enumerate(known)), F.lit(0.0))
+        value = sum((beta(4 + k) * F.element_at(state["past"], k + 1) for k in range(LAGS)), value)
+        return F.struct(
+            F.concat(F.array(value), F.slice(state["past"], 1, LAGS - 1)).alias("past"), F.concat(state["out"], F.array(_floor0(value))).alias("out")
+        )
+
+    path = F.aggregate(F.sequence(F.lit(0), F.lit(h - 1)), start, step, lambda s: s["out"])
+    pred = F.when(enough, path).otherwise(_flat(_last(y), h))
+    return solved.withColumn("pred", pred).drop(*names, "_lag_target", "_lag_sums", "_lag_beta")
 
 
 def vector_model(fit: Callable[[np.ndarray, int], np.ndarray]) -> Model:
@@ -162,7 +201,7 @@ MODELS: dict[str, Model] = {
     "naive": naive,
     "seasonal_naive": seasonal_naive,
     "croston_sba": croston_sba,
-    "lag_linear": vector_model(fit_lagged_line),
+    "lag_linear": lag_linear,
 }
 CLOSED_FORM = {name: MODELS[name] for name in ("naive", "seasonal_naive", "croston_sba")}
 

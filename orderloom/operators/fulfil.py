@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderloom.operators import prefix
 from orderloom.operators.prefix import (
-    ONE_TASK_ROWS, global_prefix, largest_group, queue_scan, rank_in_group,
+    global_prefix, largest_group, queue_scan, rank_in_group,
 )
 from orderloom.params import DEFAULTS, Params
 
@@ -23,7 +24,7 @@ def item_quantities(lines: DataFrame, physical: DataFrame, p: Params = DEFAULTS)
         "stock_code", (F.col("length_cm") * F.col("width_cm") * F.col("height_cm")).alias("unit_cm3"),
         F.col("weight_kg").alias("unit_kg"),
     )
-    known = F.broadcast(unit) if p.n_items <= ONE_TASK_ROWS else unit
+    known = F.broadcast(unit) if p.n_items <= prefix.ONE_TASK_ROWS else unit
     folded = lines.groupBy("invoice", "stock_code").agg(
         F.sum("quantity").alias("quantity"), F.min("invoice_ts").alias("arrival")
     )

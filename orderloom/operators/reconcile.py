@@ -12,6 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderloom.functions.expr import require
 from orderloom.functions.provenance import ASSIGNED, REAL
 from orderloom.params import PENNY, VARIANTS
 
@@ -65,8 +66,7 @@ def register(*sources: DataFrame) -> DataFrame:
     once = combined.groupBy("scenario_id", "key").agg(
         F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in ENTRY[2:]]
     )
-    value = F.when(F.col("_n") > 1, F.raise_error(twice).cast("double")).otherwise(F.col("value"))
-    return once.withColumn("value", value).select(*ENTRY)
+    return require(once, F.col("_n") == 1, twice).select(*ENTRY)
 
 
 def per_scenario(df: DataFrame, scenario_ids: Sequence[str]) -> DataFrame:
@@ -99,6 +99,7 @@ IDENTITIES = (
     Identity("(m) window revenue", "costing/window_revenue", "ingest/window_revenue", PENNY, "membership filter against range filter"),
 )
 
+# The entries whose tag is audited, and the tag each must carry.
 AUDITED_TAGS = {
     "ingest/demand_units": REAL,
     "warehouse/velocity_lines": REAL,
@@ -109,22 +110,29 @@ AUDITED_TAGS = {
 }
 
 
-def check(ledger: DataFrame, spec: DataFrame) -> DataFrame:
+def fan_out(small: DataFrame, scenario_ids: Sequence[str]) -> DataFrame:
+    """Every row of a small table once per scenario id."""
+    return small.withColumn("scenario_id", F.explode(F.array(*[F.lit(s) for s in scenario_ids])))
+
+
+def check(ledger: DataFrame, spec: DataFrame, scenario_ids: Sequence[str] = (BASE,)) -> DataFrame:
     """Compare two registered numbers per identity; different units fail at any tolerance.
 
-    ``spec`` is a table of identities, so it and both ledger lookups are a few dozen rows.
+    ``spec`` is a table of identities, so it and both ledger lookups are a few dozen rows. Each identity has a row in
+    each scenario: one whose left or right number is not registered fails.
     """
-    small = F.broadcast(spec.withColumnsRenamed({"lhs": "lhs_label", "rhs": "rhs_label", "note": "_note"}))
+    wanted = fan_out(spec.withColumnsRenamed({"lhs": "lhs_label", "rhs": "rhs_label", "note": "_note"}), scenario_ids)
     left = ledger.select(
         "scenario_id", F.col("key").alias("lhs_label"), F.col("value").alias("lhs"), F.col("unit").alias("_lu")
     )
     right = ledger.select(
         "scenario_id", F.col("key").alias("rhs_label"), F.col("value").alias("rhs"), F.col("unit").alias("_ru")
     )
-    both = left.join(small, "lhs_label").join(right, ["scenario_id", "rhs_label"], "left")
+    both = wanted.join(left, ["scenario_id", "lhs_label"], "left").join(right, ["scenario_id", "rhs_label"], "left")
     same = F.coalesce(F.col("_lu") == F.col("_ru"), F.lit(False))
     close = F.coalesce(F.abs(F.col("lhs") - F.col("rhs")) <= F.col("tolerance"), F.lit(False))
-    mismatch = F.concat(F.lit("UNIT MISMATCH "), "_lu", F.lit("!="), F.coalesce("_ru", F.lit("missing")))
+    absent = F.lit("not registered")
+    mismatch = F.concat(F.lit("units differ: "), F.coalesce("_lu", absent), F.lit(" / "), F.coalesce("_ru", absent))
     return both.select(
         "scenario_id", "name", "lhs_label", "lhs", "rhs_label", "rhs", "tolerance",
         (same & close).alias("passed"), F.when(same, F.col("_lu")).otherwise(mismatch).alias("unit"),
@@ -150,13 +158,20 @@ def _with_scenario(df: DataFrame) -> DataFrame:
     return df if "scenario_id" in df.columns else df.withColumn("scenario_id", F.lit(BASE))
 
 
-def forecast_coverage(forecasts: DataFrame, items: DataFrame) -> DataFrame:
+def _for_each(counts: DataFrame, scenario_ids: Sequence[str]) -> DataFrame:
+    """The counts of each scenario, zero where there is nothing to count."""
+    ids = fan_out(counts.sparkSession.range(1).select(), scenario_ids)
+    return ids.join(counts, "scenario_id", "left").fillna(0)
+
+
+def forecast_coverage(forecasts: DataFrame, items: DataFrame, scenario_ids: Sequence[str] = (BASE,)) -> DataFrame:
     """(d) every forecast item is a demand item."""
     have = _with_scenario(forecasts).select("scenario_id", "stock_code").distinct()
     known = items.select("stock_code", F.lit(True).alias("known"))
     counts = have.join(known, "stock_code", "left").groupBy("scenario_id").agg(
         F.count("known").alias("known"), F.count(F.lit(1)).alias("total")
     )
+    counts = _for_each(counts, scenario_ids)
     note = F.concat(F.lit("orphans: "), (F.col("total") - F.col("known")).cast("string"))
     return identity_row(
         counts, "(d) forecast coverage", ("forecast items known to demand", F.col("known")),
@@ -164,7 +179,7 @@ def forecast_coverage(forecasts: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def replenishment_coverage(plan: DataFrame, forecasts: DataFrame) -> DataFrame:
+def replenishment_coverage(plan: DataFrame, forecasts: DataFrame, scenario_ids: Sequence[str] = (BASE,)) -> DataFrame:
     """(e) planned items and forecast items are the same set."""
     planned = _with_scenario(plan).select("scenario_id", "stock_code").distinct().withColumn("p", F.lit(1))
     wanted = _with_scenario(forecasts).select("scenario_id", "stock_code").distinct().withColumn("f", F.lit(1))
@@ -172,6 +187,7 @@ def replenishment_coverage(plan: DataFrame, forecasts: DataFrame) -> DataFrame:
         F.count("p").alias("planned"), F.count("f").alias("wanted"),
         F.count_if(F.col("p").isNull()).alias("missing"), F.count_if(F.col("f").isNull()).alias("orphans"),
     )
+    counts = _for_each(counts, scenario_ids)
     note = F.concat(F.lit("missing: "), F.col("missing").cast("string"), F.lit("; orphans: "), F.col("orphans").cast("string"))
     return identity_row(
         counts, "(e) replenishment coverage", ("planned items", F.col("planned")), ("forecast items", F.col("wanted")),
@@ -203,8 +219,8 @@ def same_invoices(evaluated: DataFrame) -> DataFrame:
     passed = (F.col("ilo") == F.col("ihi")) & (F.col("lo") == F.col("hi")) & (F.col("uneven") == 0)
     note = F.format_string("invoices per variant %d to %d; uneven invoices: %d", "ilo", "ihi", "uneven")
     return identity_row(
-        one, "(g) same-invoice evaluation", ("min lines across variants", F.col("lo")),
-        ("max lines across variants", F.col("hi")), passed, "lines", note,
+        one, "(g) same-invoice evaluation", ("lines of the shortest layout", F.col("lo")),
+        ("lines of the longest layout", F.col("hi")), passed, "lines", note,
     )
 
 
@@ -213,17 +229,19 @@ class _Tag(NamedTuple):
     required: str
 
 
-def provenance_audit(ledger: DataFrame, tags: dict[str, str] | None = None) -> DataFrame:
+def provenance_audit(
+    ledger: DataFrame, tags: dict[str, str] | None = None, scenario_ids: Sequence[str] = (BASE,)
+) -> DataFrame:
     """(h) audited entries carry the tag they must carry; a missing entry counts as wrong."""
     spec = literal_table(ledger.sparkSession, [_Tag(k, v) for k, v in (tags or AUDITED_TAGS).items()])
     n = len(tags or AUDITED_TAGS)
-    found = ledger.join(F.broadcast(spec), "key", "right")
+    found = ledger.join(F.broadcast(spec), "key")  # one row per audited entry
     right = F.count_if(F.col("provenance") == F.col("required"))
-    counts = found.filter(F.col("scenario_id").isNotNull()).groupBy("scenario_id").agg(right.alias("right"))
-    note = F.concat(F.lit("wrong or missing: "), (F.lit(n) - F.col("right")).cast("string"))
+    counts = _for_each(found.groupBy("scenario_id").agg(right.alias("right")), scenario_ids)
+    note = F.format_string("%d of %d entries lack their tag", F.lit(n) - F.col("right"), F.lit(n))
     return identity_row(
-        counts, "(h) provenance audit", ("correctly labelled entries", F.col("right")),
-        ("entries audited", F.lit(n)), F.col("right") == n, "entries", note,
+        counts, "(h) provenance audit", ("entries with their own tag", F.col("right")),
+        ("entries looked up", F.lit(n)), F.col("right") == n, "entries", note,
     )
 
 
@@ -291,8 +309,19 @@ def allocation(
     )
 
 
-def verdict(checks: DataFrame) -> DataFrame:
-    """Passed and total identities per scenario."""
-    return checks.groupBy("scenario_id").agg(
-        F.count_if("passed").alias("passed"), F.count(F.lit(1)).alias("total"), F.bool_and("passed").alias("all_passed")
+class _Name(NamedTuple):
+    name: str
+
+
+# Every identity that a run checks at each scenario.
+CHECKED = (*[i.name for i in IDENTITIES], "(d) forecast coverage", "(e) replenishment coverage", "(g) same-invoice evaluation", "(h) provenance audit")
+
+
+def verdict(checks: DataFrame, expected: Sequence[str] = CHECKED, scenario_ids: Sequence[str] = (BASE,)) -> DataFrame:
+    """Passed and total identities per scenario; an expected one that is absent counts as failed."""
+    names = fan_out(literal_table(checks.sparkSession, [_Name(n) for n in expected]), scenario_ids)
+    held = checks.groupBy("scenario_id", "name").agg(F.bool_and("passed").alias("held"))
+    found = names.join(held, ["scenario_id", "name"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    return found.groupBy("scenario_id").agg(
+        F.count_if("held").alias("passed"), F.count(F.lit(1)).alias("total"), F.bool_and("held").alias("all_passed")
     )

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.functions.expr import keyed_uniform
-from orderloom.operators.prefix import ONE_TASK_ROWS, rank_rows
+from orderloom.functions.expr import keyed_uniform, require
+from orderloom.operators import prefix
+from orderloom.operators.prefix import rank_rows
 from orderloom.params import DEFAULTS, VARIANTS, Params
 
 
@@ -64,8 +65,8 @@ def slot(items_velocity: DataFrame, slots: DataFrame, n_items: int, seed: int =
         ),
     )
     matched = places.join(targets, ["kind", "place"], "left")
-    full = F.coalesce("slot_id", F.raise_error(F.lit("fewer slots than tracked items")).cast("int"))
-    return matched.select("variant", "stock_code", full.alias("slot_id"))
+    full = require(matched, F.col("slot_id").isNotNull(), F.lit("fewer slots than tracked items"))
+    return full.select("variant", "stock_code", "slot_id")
 
 
 def slotting_table(slotting: DataFrame, slots: DataFrame, items_velocity: DataFrame, variant: str) -> DataFrame:
@@ -143,7 +144,7 @@ def evaluate(lines: DataFrame, slotting: DataFrame, slots: DataFrame, p: Params
     stops = slotting.join(at, "slot_id").groupBy("stock_code").pivot("variant", list(VARIANTS)).agg(
         F.first(F.struct("slot_id", "x", "y"))
     )
-    known = F.broadcast(stops) if p.n_items <= ONE_TASK_ROWS else stops
+    known = F.broadcast(stops) if p.n_items <= prefix.ONE_TASK_ROWS else stops
     picked = lines.join(known, "stock_code")
     per_invoice = picked.groupBy("invoice").agg(
         F.count(F.lit(1)).alias("lines"),

@@ -8,7 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.functions.expr import required
+from orderloom.functions.expr import require
 from orderloom.params import DEFAULTS, Params
 
 
@@ -42,10 +42,8 @@ def plan(
         F.min("week").alias("order_week"),
     )
     missing = F.concat(F.lit("no lead time for item "), F.col("stock_code"))
-    joined = per_item.join(lead_times.select("stock_code", "lead_time_weeks"), "stock_code", "left").withColumn(
-        "lead_time_weeks", required(F.col("lead_time_weeks"), "int", missing)
-    )
-    return _sized(joined, keys, F.lit(z_score(p.service_level)), p)
+    joined = per_item.join(lead_times.select("stock_code", F.col("lead_time_weeks").cast("int")), "stock_code", "left")
+    return _sized(require(joined, F.col("lead_time_weeks").isNotNull(), missing), keys, F.lit(z_score(p.service_level)), p)
 
 
 def _sized(base: DataFrame, keys: Sequence[str], z: Column, p: Params) -> DataFrame:

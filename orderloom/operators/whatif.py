@@ -14,17 +14,19 @@ from pyspark.sql import functions as F
 
 from orderloom.functions.provenance import ASSIGNED, DERIVED, REAL
 from orderloom.operators import reconcile, stock
+from orderloom.operators.costs import COST_LINES, charges
 from orderloom.params import DEFAULTS, FACTORS, PENNY, RATE_SHOCK_FACTOR, SURGE_FACTOR, Params
 
 
 class Scenario(NamedTuple):
     scenario_id: str
-    scope: str = "none"  # none, book (every item) or class (the most populous class)
+    scope: str = "none"  # none, book (every item) or class (the named one, else the most populous)
     demand_factor: float = 1.0
     labour_factor: float = 1.0
     transport_factor: float = 1.0
     holding_factor: float = 1.0
     facility_factor: float = 1.0
+    target_class: str = ""
 
 
 BASE = Scenario(reconcile.BASE)
@@ -32,13 +34,17 @@ CLASS_SURGE = Scenario("class surge", "class", SURGE_FACTOR)
 TRANSPORT_SHOCK = Scenario("transport rate", transport_factor=RATE_SHOCK_FACTOR)
 
 
+def class_scenario(target_class: str, factor: float = SURGE_FACTOR) -> Scenario:
+    """A surge of the class the caller names."""
+    return Scenario(f"{target_class} surge", "class", factor, target_class=target_class)
+
+
 def book_scenarios(factors: Sequence[float] = FACTORS) -> list[Scenario]:
     return [Scenario(f"book x{f:.2f}", "book", f) for f in factors]
 
 
 def rate_scenarios(factor: float = RATE_SHOCK_FACTOR) -> list[Scenario]:
-    return [Scenario(f"{line} rate", **{f"{line}_factor": factor})
-            for line in ("labour", "transport", "holding", "facility")]
+    return [Scenario(f"{line} rate", **{f"{line}_factor": factor}) for line in COST_LINES]
 
 
 def most_populous_class(forecasts: DataFrame) -> DataFrame:
@@ -72,15 +78,16 @@ def scenario_forecasts(forecasts: DataFrame, scenarios: Sequence[Scenario]) -> D
         *[
             F.struct(
                 F.lit(s.scenario_id).alias("scenario_id"), F.lit(s.scope).alias("scope"),
-                F.lit(s.demand_factor).alias("demand_factor"),
+                F.lit(s.demand_factor).alias("demand_factor"), F.lit(s.target_class).alias("target_class"),
             )
             for s in scenarios
         ]
     )
     top = most_populous_class(forecasts).select("class").scalar()
     fanned = forecasts.withColumn("_top", top).select("*", F.inline(options))
-    reached = (F.col("scope") == "book") | ((F.col("scope") == "class") & (F.col("class") == F.col("_top")))
-    return _scaled(fanned, reached, F.col("demand_factor")).drop("_top", "scope", "demand_factor")
+    target = F.when(F.col("target_class") == "", F.col("_top")).otherwise(F.col("target_class"))
+    reached = (F.col("scope") == "book") | ((F.col("scope") == "class") & (F.col("class") == target))
+    return _scaled(fanned, reached, F.col("demand_factor")).drop("_top", "scope", "demand_factor", "target_class")
 
 
 def scenario_plan(forecasts: DataFrame, lead_times: DataFrame, scenarios: Sequence[Scenario], p: Params) -> DataFrame:
@@ -97,14 +104,9 @@ def scenario_costs(
     rates = F.broadcast(scenario_table(plans, scenarios))  # one row per scenario
     one = drivers.select(F.struct("*").alias("d")).scalar()
     joined = rates.join(stocks, "scenario_id", "left").withColumn("_d", one).select("*", "_d.*")
-    priced = joined.fillna(0.0, ["ss_units", "order_up_to_units"]).withColumns(
-        {
-            "labour": F.col("labour_hours") * (F.lit(p.labour_per_hour) * F.col("labour_factor")),
-            "transport": F.col("km") * (F.lit(p.transport_per_km) * F.col("transport_factor")),
-            "holding": F.col("ss_units") * (F.lit(p.holding_per_unit_week) * F.col("holding_factor")) * F.col("weeks"),
-            "facility": F.lit(p.facility_per_week) * F.col("facility_factor") * F.col("weeks"),
-        }
-    )
+    quantity = {"labour": F.col("labour_hours"), "transport": F.col("km"), "holding": F.col("ss_units"), "facility": F.col("weeks")}
+    factor = {line: F.col(f"{line}_factor") for line in COST_LINES}
+    priced = joined.fillna(0.0, ["ss_units", "order_up_to_units"]).withColumns(charges(quantity, F.col("weeks"), p, factor))
     total = F.col("labour") + F.col("transport") + F.col("holding") + F.col("facility")
     return priced.select(
         "scenario_id", "demand_factor", "ss_units", "order_up_to_units", "km", "labour", "transport", "holding",
@@ -133,25 +135,25 @@ class _Metric(NamedTuple):
 
 
 METRICS = (
-    _Metric("1 forecast", "forecast units", "forecast_units", "units", DERIVED),
-    _Metric("2 inventory", "safety stock", "ss_units", "units", ASSIGNED),
-    _Metric("2 inventory", "order-up-to", "order_up_to_units", "units", ASSIGNED),
-    _Metric("4b transport", "route km", "km", "km", ASSIGNED),
-    _Metric("5 costing", "holding cost", "holding", "GBP", ASSIGNED),
-    _Metric("5 costing", "transport cost", "transport", "GBP", ASSIGNED),
-    _Metric("5 costing", "labour cost", "labour", "GBP", ASSIGNED),
-    _Metric("5 costing", "facility cost", "facility", "GBP", ASSIGNED),
-    _Metric("5 costing", "total cost", "total_cost", "GBP", ASSIGNED),
-    _Metric("6 ledger", "window revenue", "window_revenue", "GBP", REAL),
+    _Metric("demand outlook", "forecast units", "forecast_units", "units", DERIVED),
+    _Metric("stock", "safety stock", "ss_units", "units", ASSIGNED),
+    _Metric("stock", "order-up-to", "order_up_to_units", "units", ASSIGNED),
+    _Metric("delivery", "route km", "km", "km", ASSIGNED),
+    _Metric("cost lines", "holding cost", "holding", "GBP", ASSIGNED),
+    _Metric("cost lines", "transport cost", "transport", "GBP", ASSIGNED),
+    _Metric("cost lines", "labour cost", "labour", "GBP", ASSIGNED),
+    _Metric("cost lines", "facility cost", "facility", "GBP", ASSIGNED),
+    _Metric("cost lines", "total cost", "total_cost", "GBP", ASSIGNED),
+    _Metric("sales", "window revenue", "window_revenue", "GBP", REAL),
 )
 
 
-def deltas(costs: DataFrame, forecasts_by_scenario: DataFrame) -> DataFrame:
+def deltas(costs: DataFrame, forecasts_by_scenario: DataFrame, target_class: str = "") -> DataFrame:
     """Each traced quantity under base and scenario; the percentage is NULL where the base is 0.
 
-    Forecast units are those of the most populous class, the one a class surge scales.
+    Forecast units are those of ``target_class``, else of the most populous class: the one a class surge scales.
     """
-    top = most_populous_class(forecasts_by_scenario).select("class").scalar()
+    top = F.lit(target_class) if target_class else most_populous_class(forecasts_by_scenario).select("class").scalar()
     units = forecasts_by_scenario.filter(F.col("class") == top).groupBy("scenario_id").agg(
         F.sum("units").alias("forecast_units")
     )
@@ -190,9 +192,11 @@ def arc_elasticity(base: Column, value: Column, factor: Column) -> Column:
     )
 
 
-def grid(costs: DataFrame, checks: DataFrame) -> DataFrame:
+def grid(
+    costs: DataFrame, checks: DataFrame, expected: Sequence[str] = reconcile.CHECKED, factors: Sequence[float] = FACTORS
+) -> DataFrame:
     """One row per book factor: ledger lines, elasticity of holding and total, identities that hold."""
-    passed = reconcile.verdict(checks).select(
+    passed = reconcile.verdict(checks, expected, [s.scenario_id for s in book_scenarios(factors)]).select(
         "scenario_id", F.col("passed").alias("identities_passed"), F.col("total").alias("identities_total")
     )
     everything = Window.partitionBy()  # one row per factor
@@ -242,10 +246,13 @@ def forecast_containment(grid_df: DataFrame, tol: float = PENNY) -> DataFrame:
     )
 
 
-def class_containment(costs: DataFrame, plans: DataFrame, checks: DataFrame, factor: float = SURGE_FACTOR) -> DataFrame:
+def class_containment(
+    costs: DataFrame, plans: DataFrame, checks: DataFrame, surge: Scenario = CLASS_SURGE,
+    expected: Sequence[str] = reconcile.CHECKED,
+) -> DataFrame:
     """A surge of one class moves the total by holding share x the class's share of safety stock."""
-    base_plan = plans.filter(F.col("scenario_id") == reconcile.BASE)
-    top = most_populous_class(base_plan).select("class").scalar()
+    base_plan, factor = plans.filter(F.col("scenario_id") == reconcile.BASE), surge.demand_factor
+    top = F.lit(surge.target_class) if surge.target_class else most_populous_class(base_plan).select("class").scalar()
     stocks = base_plan.withColumn("_top", top).agg(
         F.max("_top").alias("target_class"),
         F.sum(F.when(F.col("class") == F.col("_top"), F.col("safety_stock"))).alias("class_ss"),
@@ -254,9 +261,9 @@ def class_containment(costs: DataFrame, plans: DataFrame, checks: DataFrame, fac
     lines = costs.agg(
         F.max(F.when(F.col("scenario_id") == reconcile.BASE, F.col("total_cost"))).alias("base_total"),
         F.max(F.when(F.col("scenario_id") == reconcile.BASE, F.col("holding"))).alias("base_holding"),
-        F.max(F.when(F.col("scenario_id") == CLASS_SURGE.scenario_id, F.col("total_cost"))).alias("surged_total"),
+        F.max(F.when(F.col("scenario_id") == surge.scenario_id, F.col("total_cost"))).alias("surged_total"),
     ).select(F.struct("*").alias("c")).scalar()
-    held = reconcile.verdict(checks).filter(F.col("scenario_id") == CLASS_SURGE.scenario_id).select("all_passed").scalar()
+    held = reconcile.verdict(checks, expected, [surge.scenario_id]).select("all_passed").scalar()
     one = stocks.withColumn("_c", lines).withColumn("identities_hold", held).select("*", "_c.*")
     share = F.coalesce(F.try_divide(F.col("base_holding"), F.col("base_total")), F.lit(0.0))
     fraction = F.coalesce(F.try_divide(F.col("class_ss"), F.col("total_ss")), F.lit(0.0))

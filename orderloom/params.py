@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 HOME_COUNTRY = "United Kingdom"
 
@@ -46,6 +47,22 @@ class Params:
     facility_per_week: float = 2500.0
 
 
+class CostRate(NamedTuple):
+    """A cost line: the ledger entry it grows with, the price per unit of it, and whether each week is charged."""
+
+    line: str
+    grows_with: str
+    price: str  # the field of Params that holds it
+    weekly: bool = False
+
+
+COST_RATES = (
+    CostRate("labour", "fulfil/labour_hours", "labour_per_hour"),
+    CostRate("transport", "transport/savings_km", "transport_per_km"),
+    CostRate("holding", "inventory/safety_stock_units", "holding_per_unit_week", weekly=True),
+    CostRate("facility", "window/weeks", "facility_per_week"),
+)
+
 DEFAULTS = Params()
 PENNY = 0.005
 FACTORS = (0.80, 0.90, 1.00, 1.10, 1.20)

@@ -329,17 +329,22 @@ class Run:
     def ledger(self) -> DataFrame:
         return self._keep("ledger", reconcile.register(*self._ledger_sources()))
 
-    def checks_for(self, ledger: DataFrame, forecasts: DataFrame, plan: DataFrame) -> DataFrame:
-        """The cross-stage identities for every scenario found in ``ledger``."""
-        spec = [i for i in reconcile.IDENTITIES if self.published is not None or not i.name.startswith("(a)")]
-        scenarios = ledger.select("scenario_id").distinct()
-        layouts = reconcile.same_invoices(self.evaluated).drop("scenario_id")
+    @property
+    def expected_checks(self) -> list[str]:
+        """Names of the identities that this run can check."""
+        return [n for n in reconcile.CHECKED if self.published is not None or not n.startswith("(a)")]
+
+    def checks_for(
+        self, ledger: DataFrame, forecasts: DataFrame, plan: DataFrame, layouts: DataFrame, scenario_ids: list[str]
+    ) -> DataFrame:
+        """The cross-stage identities for every scenario; ``layouts`` is the one row of (g), which none moves."""
+        spec = [i for i in reconcile.IDENTITIES if i.name in self.expected_checks]
         parts = [
-            reconcile.check(ledger, reconcile.literal_table(self.spark, spec)),
-            reconcile.forecast_coverage(forecasts, self.items),
-            reconcile.replenishment_coverage(plan, forecasts),
-            scenarios.withColumn("_g", layouts.select(F.struct("*").alias("g")).scalar()).select("scenario_id", "_g.*"),
-            reconcile.provenance_audit(ledger),
+            reconcile.check(ledger, reconcile.literal_table(self.spark, spec), scenario_ids),
+            reconcile.forecast_coverage(forecasts, self.items, scenario_ids),
+            reconcile.replenishment_coverage(plan, forecasts, scenario_ids),
+            reconcile.fan_out(layouts.drop("scenario_id"), scenario_ids),
+            reconcile.provenance_audit(ledger, scenario_ids=scenario_ids),
         ]
         out = parts[0]
         for part in parts[1:]:
@@ -348,7 +353,8 @@ class Run:
 
     @cached_property
     def checks(self) -> DataFrame:
-        return self._keep("checks", self.checks_for(self.ledger, self.forecasts, self.plan))
+        layouts = reconcile.same_invoices(self.evaluated)
+        return self._keep("checks", self.checks_for(self.ledger, self.forecasts, self.plan, layouts, [reconcile.BASE]))
 
     # readouts
     @cached_property
@@ -385,6 +391,11 @@ class Run:
         """The base, a surge of the most populous class and a transport rate shock."""
         return self.what_if([whatif.BASE, whatif.CLASS_SURGE, whatif.TRANSPORT_SHOCK])
 
+    @cached_property
+    def named_surge(self) -> WhatIf:
+        """The base and a surge of a class that the caller names: here the erratic one."""
+        return self.what_if([whatif.BASE, whatif.class_scenario("erratic")])
+
     @cached_property
     def book_factors(self) -> WhatIf:
         return self.what_if(whatif.book_scenarios())
@@ -395,7 +406,7 @@ class Run:
 
     @cached_property
     def grid(self) -> DataFrame:
-        return self._keep("grid", whatif.grid(self.book_factors.costs, self.book_factors.checks))
+        return self._keep("grid", whatif.grid(self.book_factors.costs, self.book_factors.checks, self.expected_checks))
 
 
 class WhatIf:
@@ -431,4 +442,6 @@ class WhatIf:
     @cached_property
     def checks(self) -> DataFrame:
         kept = self.run._keep(f"{self.tag}-ledger", self.ledger)
-        return self.run._keep(f"{self.tag}-checks", self.run.checks_for(kept, self.forecasts, self.plans))
+        layouts = self.run.checks.filter(F.col("name").startswith("(g)"))  # no scenario moves the tours
+        ids = [s.scenario_id for s in self.scenarios]
+        return self.run._keep(f"{self.tag}-checks", self.run.checks_for(kept, self.forecasts, self.plans, layouts, ids))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.functions.expr import required
+from orderloom.functions.expr import require
 
 COLUMNS = (
     "invoice", "stock_code", "description", "quantity", "invoice_ts", "price", "customer_id", "country",
@@ -36,11 +36,11 @@ def type_cast(df: DataFrame) -> DataFrame:
     number = F.col("quantity").try_cast("double")
     shown = F.concat(F.lit("unreadable quantity: "), F.coalesce(F.col("quantity").cast("string"), F.lit("NULL")))
     keep = [F.col("source")] if "source" in df.columns else []
-    return renamed.select(
+    return require(renamed, number.cast("bigint").isNotNull(), shown).select(
         F.col("invoice").cast("string").alias("invoice"),
         F.col("stock_code").cast("string").alias("stock_code"),
         F.col("description").cast("string").alias("description"),
-        required(number, "bigint", shown).alias("quantity"),
+        number.cast("bigint").alias("quantity"),
         F.col("invoice_ts").try_cast("timestamp_ntz").alias("invoice_ts"),
         F.col("price").try_cast("double").alias("price"),
         F.col("customer_id").try_cast("double").cast("bigint").alias("customer_id"),
@@ -64,7 +64,13 @@ def read_transactions(spark: SparkSession, path: str | Sequence[str], fmt: str =
     return type_cast(raw.withColumn("source", F.col("_metadata.file_name")))
 
 
-def cached_copy(df: DataFrame, path: str) -> DataFrame:
-    """Write the typed frame once as Parquet and read that copy from then on."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def cached_copy(df: DataFrame, path: str, force: bool = False) -> DataFrame:
+    """The Parquet copy of the typed frame at ``path``; written if there is none yet, or anew with ``force``.
+
+    A finished write leaves a success mark, so a copy that was cut short is not taken for one.
+    """
+    spark = df.sparkSession
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if force or not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

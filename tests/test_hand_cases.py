@@ -75,6 +75,8 @@ def test_unreadable_quantity_fails_and_unreadable_date_is_null(spark):
     assert (row.quantity, row.invoice_ts, row.customer_id) == (6, None, 12345)
     with pytest.raises(Exception, match="unreadable quantity"):
         transactions.type_cast(raw.withColumn("Quantity", F.lit("six"))).collect()
+    with pytest.raises(Exception, match="unreadable quantity"):
+        transactions.type_cast(raw.withColumn("Quantity", F.lit("six"))).select("invoice", "price").collect()
 
 
 # ---- demand
@@ -175,15 +177,16 @@ def test_undefined_scores_are_skipped(spark):
 
 
 def plain_regression(y, h):
-    """The model written out term by term."""
-    n, w = len(y), 365.25 / 7
-    row = lambda t, past: [1, t / n, math.sin(2 * math.pi * t / w), math.cos(2 * math.pi * t / w), *[past[t - k] for k in (1, 2, 3, 4)]]
-    coef = np.linalg.lstsq(np.array([row(t, y) for t in range(4, n)]), np.array(y[4:]), rcond=None)[0]
-    past, out = list(y), []
-    for t in range(n, n + h):
-        past.append(float(np.dot(row(t, past), coef)))
-        out.append(max(past[-1], 0.0))
-    return out
+    """Normal equations of the same columns, then one week after the other."""
+    y, n = np.asarray(y, float), len(y)
+    columns = [lambda t, p: np.ones_like(t), lambda t, p: t / n, lambda t, p: np.sin(2 * np.pi * t * 7 / 365.25), lambda t, p: np.cos(2 * np.pi * t * 7 / 365.25)]
+    columns += [lambda t, p, k=k: p[t.astype(int) - k] for k in (1, 2, 3, 4)]
+    t = np.arange(4.0, n)
+    x = np.column_stack([c(t, y) for c in columns])
+    beta = np.linalg.solve(x.T @ x, x.T @ y[4:])
+    for step in range(n, n + h):
+        y = np.append(y, sum(b * c(np.array([float(step)]), y)[0] for b, c in zip(beta, columns)))
+    return np.maximum(y[n:], 0).tolist()
 
 
 def test_regression_model(spark):
@@ -303,7 +306,7 @@ def test_empty_readouts(spark):
     ranked = readout.by_cost(empty)
     assert set(readout.distribution_stats(ranked).first()) == {0, 0.0}
     assert [r.orders for r in readout.decile_table(ranked).collect()] == [0] * 10
-    assert tuple(readout.whale_summary(readout.whale_curve(empty)).first()) == (0, 0.0, 0, 0.0, 0.0)
+    assert tuple(readout.whale_summary(readout.whale_curve(empty)).first()) == (0, 0.0, 0, 0.0, 0.0, 0.0)
 
 
 def test_quantiles_interpolate(spark):

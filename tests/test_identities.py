@@ -47,7 +47,7 @@ def test_a_small_drift_fails(run, key, by, letter):
 def test_unit_clash_fails_at_any_tolerance(run):
     spec = reconcile.literal_table(run.spark, [reconcile.Identity("(a) x", "ingest/revenue_gbp", "ingest/demand_units", 1e12, "")])
     row = reconcile.check(run.ledger, spec).first()
-    assert not row.passed and row.unit == "UNIT MISMATCH GBP!=units"
+    assert not row.passed and row.unit == "units differ: GBP / units"
 
 
 def test_missing_side_fails(run):
@@ -55,9 +55,37 @@ def test_missing_side_fails(run):
     assert checks_on(run, lost)["(a)"] is False
 
 
+@pytest.mark.parametrize("identity", reconcile.IDENTITIES, ids=lambda i: i.name[:3])
+def test_a_lost_entry_fails_its_identity(run, identity):
+    for key in (identity.lhs, identity.rhs):
+        held = checks_on(run, run.ledger.filter(F.col("key") != key))
+        assert len(held) == len(reconcile.IDENTITIES) and held[identity.name[:3]] is False
+
+
+def test_nothing_to_check_fails(run):
+    none = run.ledger.limit(0)
+    assert set(checks_on(run, none).values()) == {False} and len(checks_on(run, none)) == len(reconcile.IDENTITIES)
+    assert passed(reconcile.forecast_coverage(run.forecasts.limit(0), run.items)) == {"(d)": True}
+    row = reconcile.replenishment_coverage(run.plan.limit(0), run.forecasts.limit(0)).first()
+    assert (row.lhs, row.rhs, row.passed) == (0.0, 0.0, True)
+    assert not passed(reconcile.replenishment_coverage(run.plan.limit(0), run.forecasts))["(e)"]
+    untagged = run.ledger.filter(~F.col("key").isin(*reconcile.AUDITED_TAGS))
+    for ledger in (none, untagged):
+        assert passed(reconcile.provenance_audit(ledger)) == {"(h)": False}
+
+
+def test_verdict_counts_absent_identities(run):
+    row = reconcile.verdict(run.checks.filter("name NOT LIKE '(k)%'")).first()
+    assert (row.passed, row.total, row.all_passed) == (12, 13, False)
+    row = reconcile.verdict(run.checks.limit(0)).first()
+    assert (row.passed, row.total, row.all_passed) == (0, 13, False)
+
+
 def test_duplicate_key_fails(run):
-    with pytest.raises(Exception, match="registered twice"):
-        reconcile.register(run.ledger, run.ledger.limit(1)).collect()
+    twice = reconcile.register(run.ledger, run.ledger.limit(1))
+    for read in (twice.collect, twice.select("key").collect, twice.count):
+        with pytest.raises(Exception, match="registered twice"):
+            read()
 
 
 def test_orphan_forecast_and_lost_plan_fail(run):
@@ -167,3 +195,12 @@ def test_unknown_receipt_version_is_rejected(run, tmp_path, monkeypatch):
     monkeypatch.setattr(receipts, "SCHEMA_VERSION", "1.0")
     with pytest.raises(Exception, match="unknown receipt version 2.0"):
         receipts.read_run(run.spark, str(tmp_path), "ledger", "a").collect()
+    for read in (lambda df: df.select("key", "value").collect(), lambda df: df.count()):
+        with pytest.raises(Exception, match="unknown receipt version 2.0"):
+            read(receipts.read_run(run.spark, str(tmp_path), "ledger", "a"))
+
+
+def test_run_ids_stay_text(run, tmp_path):
+    receipts.write_run(str(tmp_path), "20260101", {"checks": run.checks})
+    stored = receipts.read_run(run.spark, str(tmp_path), "checks", "20260101")
+    assert dict(stored.dtypes)["run_id"] == "string" and stored.first().run_id == "20260101"

@@ -14,14 +14,14 @@ def duck():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+# the text operators have tests of their own, which go with them
+OWN = {n for n, fn in QUERIES.items() if fn.__module__ == "__spark_entry__"}
+
+
+@pytest.mark.parametrize("name", sorted(OWN))
 def test_query(name, spark, duck):
-    df = QUERIES[name](spark, SMALL)
-    if name in SQL:
-        difference, _ = compare(df, duck, SQL[name])
-        assert difference is None, difference
-    else:
-        assert df.count() >= 0
+    difference, _ = compare(QUERIES[name](spark, SMALL), duck, SQL[name])
+    assert difference is None, difference
 
 
 def test_every_statement_has_a_query():
