@@ -45,23 +45,24 @@ def components(links: DataFrame, stage: StageTables, name: str) -> DataFrame:
     """Connected components of ``links(a, b)``: one row (node, component_id) per node, labelled by its smallest node.
 
     Alternating star contraction: every node hands its neighbours the smallest node it knows, first to
-    the larger ones, then to the smaller ones. Minima are pre-aggregated before they are shuffled, the
-    joins are plain equi-joins that adaptive execution can split, and every round is written to the
-    shared folder. It ends when a round leaves the set of links as it was.
+    the larger ones, then to the smaller ones. Minima are pre-aggregated before they are shuffled. They are joined
+    back by broadcast while the counted links are few, else by plain equi-joins that adaptive execution can split. Every
+    round is written to the shared folder. It ends when a round leaves the set of links as it was.
     """
     edges = stage.keep(
         f"{name}_0",
         links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
     )
     state, turn = _fingerprint(edges), 0
-    while True:
+    while state[0]:
         turn += 1
+        # a node has one minimum, so there are at most as many minima as ends of links
+        near = F.broadcast if 2 * state[0] <= BROADCAST_ROWS else (lambda df: df)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        large = both.filter("v > u").join(near(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(
+        small = large.join(near(low), "u").select(F.explode(F.array(
             F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))
         )).alias("e")).select("e.*").filter("u <> v").distinct()
         edges = stage.keep(f"{name}_{turn}", small)
@@ -76,5 +77,5 @@ def components(links: DataFrame, stage: StageTables, name: str) -> DataFrame:
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
-    """Two numbers that stand for the whole set of links."""
+    """The number of links and one number that stands for the whole set of them."""
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

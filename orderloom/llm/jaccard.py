@@ -30,6 +30,7 @@ SPARE = 0.15  # extra slots, so that the lightest can be dropped
 CLASS_RATIO = 1.5
 TREE_SETS, TREE_SHINGLES = 1000, 1_000_000  # sets and shingles in one tree, at most (one larger set is a tree alone)
 FAN = 8
+PORTION_SHINGLES = 1_000_000
 _SIGNATURE, _SIZE, _PAIR = 0, 1, 2
 
 
@@ -197,31 +198,33 @@ def _propose(rule: Rule):
             known = ~np.array(ids.is_null())
             # of equal sets in the batch one speaks for all
             _, speaker, inverse = np.unique(np.stack([*marks, n.astype(np.uint64)], 1), axis=0, return_index=True, return_inverse=True)
-            speaking = np.isin(np.arange(len(sets)), speaker) & known
-            place, signature = signatures([s if k else s[:0] for s, k in zip(sets, speaking, strict=True)], rule)
-            order = np.argsort(signature, kind="stable")
-            place, signature = place[order], signature[order]
-            fresh = np.append(True, signature[1:] != signature[:-1])[: len(signature)]
-            chain = ~fresh
-            pairs = np.stack([names[place[chain]], names[place[np.flatnonzero(chain) - 1]]], 1)
-            pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-            empty = np.zeros(0, np.int64)
-            columns = [
-                [signature[fresh].view(np.int64), names, pairs[:, 0]],
-                [np.full(fresh.sum(), _SIGNATURE), np.full(len(names), _SIZE), np.full(len(pairs), _PAIR)],
-                [names[place[fresh]], names, pairs[:, 0]],
-                [np.zeros(fresh.sum(), np.int64), marks[0].view(np.int64), pairs[:, 1]],
-                [np.zeros(fresh.sum(), np.int64), np.where(known, n, -1 - n), np.zeros(len(pairs), np.int64)],
-                [np.zeros(fresh.sum(), np.int64), marks[1].view(np.int64), np.zeros(len(pairs), np.int64)],
-            ]
-            arrays = [np.concatenate([*c, empty]).astype(np.int32 if k == 1 else np.int64) for k, c in enumerate(columns)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["key", "kind", "a", "b", "n", "more"])
+            speaking = np.isin(np.arange(len(sets)), speaker) & known & (n > 0)
+            yield _rows(names, _SIZE, names, marks[0].view(np.int64), np.where(known, n, -1 - n), marks[1].view(np.int64))
+            # some sets at a time, so that their slots fit in memory
+            taken = np.flatnonzero(speaking)
+            for part in np.split(taken, np.flatnonzero(np.diff(np.cumsum(n[taken]) // PORTION_SHINGLES)) + 1):
+                place, signature = signatures([sets[i] for i in part], rule)
+                ids_of = names[part][place]
+                order = np.lexsort((ids_of, signature))
+                ids_of, signature = ids_of[order], signature[order]
+                fresh = np.append(True, signature[1:] != signature[:-1])[: len(signature)]
+                yield _rows(signature[fresh].view(np.int64), _SIGNATURE, ids_of[fresh])
+                # the others of a signature pair with its smallest id
+                head = ids_of[fresh][np.cumsum(fresh) - 1]
+                pairs = np.unique(np.stack([ids_of, head], 1)[ids_of != head], axis=0)
+                yield _rows(pairs[:, 0], _PAIR, pairs[:, 0], pairs[:, 1])
 
     return run
 
 
+def _rows(key: np.ndarray, kind: int, a: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
+    none = np.zeros(len(key), np.int64)
+    columns = [key, np.full(len(key), kind, np.int32), a, *rest, *[none] * (3 - len(rest))]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["key", "kind", "a", "b", "n", "more"])
+
+
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: signatures become pairs of neighbours with the same one, all other rows pass."""
+    """Rows sorted by key and node: nodes of a signature pair with its smallest one, all other rows pass."""
     last_key = last_a = None
     for b in batches:
         key, kind, a, second, n, more = (c.to_numpy() for c in b.columns)
@@ -229,10 +232,12 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, x = key[own], a[own]
         if last_key is not None:
             k, x = np.append(last_key, k), np.append(last_a, x)
+        pairs = np.zeros((0, 2), np.int64)
         if len(k):
-            last_key, last_a = k[-1], x[-1]
-        same = np.flatnonzero((k[1:] == k[:-1]) & (x[1:] != x[:-1])) if len(k) else np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([x[same + 1], x[same]], 1), axis=0) if len(same) else np.zeros((0, 2), np.int64)
+            fresh = np.append(True, k[1:] != k[:-1])
+            head = x[fresh][np.cumsum(fresh) - 1]
+            last_key, last_a = k[-1], head[-1]
+            pairs = np.unique(np.stack([x, head], 1)[x != head], axis=0)
         rest = ~own
         arrays = [
             np.concatenate([kind[rest], np.full(len(pairs), _PAIR, np.int32)]), np.concatenate([a[rest], pairs[:, 0]]),
@@ -291,7 +296,7 @@ def join(docs: DataFrame, stage: StageTables, rule: Rule) -> DataFrame:
     proposed = narrow.mapInArrow(_propose(rule), "key long, kind int, a long, b long, n long, more long")
     found = stage.keep(
         "found",
-        proposed.repartition("key").sortWithinPartitions("key").mapInArrow(_chain, "kind int, a long, b long, n long, more long"),
+        proposed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_chain, "kind int, a long, b long, n long, more long"),
     )
     sizes = found.filter(F.col("kind") == _SIZE).select(
         F.when(F.col("n") >= 0, F.col("a")).alias("doc_id"), F.when(F.col("n") >= 0, F.col("n")).otherwise(-1 - F.col("n")).alias("n"), "b", "more",
