@@ -84,10 +84,12 @@ def customer_lookup(sales: DataFrame) -> DataFrame:
     """
 
     def first_known(name: str) -> Column:
-        seen = F.when(F.col(name).isNotNull(), F.struct(F.col("invoice_ts").alias("t"), F.col(name).alias("v")))
+        seen = F.when(F.col(name).isNotNull(), F.struct(F.col("t"), F.col(name).alias("v")))
         return F.min(seen)["v"]
 
-    firsts = sales.groupBy("invoice").agg(
+    # the least struct needs sorted rows, so all lines first fold to one row per invoice, customer and country
+    folded = sales.groupBy("invoice", "customer_id", "country").agg(F.min("invoice_ts").alias("t"))
+    firsts = folded.groupBy("invoice").agg(
         first_known("customer_id").alias("_id"), first_known("country").alias("country")
     )
     key = F.coalesce(F.concat(F.lit("cust:"), F.col("_id").cast("string")), F.concat(F.lit("guest:"), "invoice"))

@@ -1,4 +1,4 @@
-"""Stage 4b: shipments, full loads, savings routes per day, distances and bounds."""
+"""Stage 4b: shipments, full loads, savings routes per day and territory, distances and bounds."""
 
 from __future__ import annotations
 
@@ -34,22 +34,16 @@ def shipments(log: DataFrame, lookup: DataFrame, p: Params = DEFAULTS) -> DataFr
 def territories(shipments_df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Drops with the territory they are planned in.
 
-    A day of ordinary size is one territory, so its plan is the plan of the whole day. A larger day is
-    cut by bearing from the depot into equal parts of at most ``drops_per_territory`` drops; every drop
-    belongs to exactly one part, and no plan ever needs more than one bounded group.
+    One rule at every size: a day's drops are swept by bearing from the depot and every ``drops_per_territory`` of them
+    in turn are one territory. Savings are looked at inside a territory, so no task ever needs more than that.
     """
     nodes = shipments_df.filter("is_node").select(
         "day", "invoice", "x_km", "y_km", F.col("rem").cast("int").alias("load")
     )
-    largest = largest_group(nodes, ["day"])
-    if largest <= p.drops_per_territory:
-        return nodes.withColumn("territory", F.lit(0))
-    bearing = F.atan2("y_km", "x_km")
-    placed = rank_in_group(nodes, ["day"], [bearing, F.col("invoice")], largest, "_place")
-    sizes = nodes.groupBy("day").agg(F.count(F.lit(1)).alias("_n"))
-    parts = F.ceil(F.col("_n") / p.drops_per_territory)
-    number = F.floor((F.col("_place") - 1) * parts / F.col("_n")).cast("int")
-    return placed.join(sizes, "day").withColumn("territory", number).drop("_place", "_n")
+    bearing = F.round(F.atan2("y_km", "x_km"), 9)
+    placed = rank_in_group(nodes, ["day"], [bearing, F.col("invoice")], largest_group(nodes, ["day"]), "_place")
+    number = F.floor((F.col("_place") - 1) / p.drops_per_territory).cast("int")
+    return placed.withColumn("territory", number).drop("_place")
 
 
 def _pair_savings(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -80,14 +80,20 @@ def rank_in_group(
 ) -> DataFrame:
     """1-based rank inside each group; a plain window while every group fits one task.
 
-    Beyond that the groups are cut across ranges: global rank minus the rank at which the group starts.
+    Beyond that the groups are cut across ranges: a row's place in its range plus what earlier ranges hold of
+    its group. Rows are joined by range and group, so a large group stays spread over its ranges.
     """
     if largest <= ONE_TASK_ROWS:
         window = Window.partitionBy(*group).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))
-    ranked = global_prefix(df, [*[F.col(g) for g in group], *order])
-    starts = ranked.groupBy(*group).agg((F.min("rank") - 1).alias("_start"))
-    return ranked.join(starts, list(group)).select(*df.columns, (F.col("rank") - F.col("_start")).alias(name))
+    laid = lay_out(df, [*[F.col(g) for g in group], *order])
+    piece = ["_gp_part", *group]
+    # one row per (range, group): at most ranges + groups rows
+    pieces = laid.groupBy(*piece).agg(F.count(F.lit(1)).alias("_n"), F.min("_gp_pos").alias("_at"))
+    prior = Window.partitionBy(*group).orderBy("_gp_part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_base", F.coalesce(F.sum("_n").over(prior), F.lit(0)) - F.col("_at"))
+    joined = laid.join(pieces.select(*piece, "_base"), piece)
+    return joined.select(*df.columns, (F.col("_gp_pos") + F.col("_base") + 1).alias(name))
 
 
 def queue_scan(

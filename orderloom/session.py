@@ -16,7 +16,6 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.maxConcurrentOutputFileWriters", "8")  # stage tables by outcome need no sort
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
@@ -34,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
         return current.get()
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):  # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="orderloom-checkpoint-")
     context.setCheckpointDir(shared)

@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from orderloom.session import shared_folder
 
 
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+FOLDERS = 8  # values of ``by``, at most
+
+
 class StageTables:
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -22,7 +26,16 @@ class StageTables:
         """Write ``df`` once, in one folder per value of ``by`` (a column of few values) so readers can skip folders."""
         path = f"{self.folder}/{name}"
         writer = df.write.mode("errorifexists")
-        (writer.partitionBy(by) if by else writer).parquet(path)
+        if by is None:
+            writer.parquet(path)
+        else:
+            # with a writer open per folder Spark need not sort all rows by folder first
+            before = self.spark.conf.get(_WRITERS)
+            self.spark.conf.set(_WRITERS, str(max(FOLDERS, int(before))))
+            try:
+                writer.partitionBy(by).parquet(path)
+            finally:
+                self.spark.conf.set(_WRITERS, before)
         return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
     def drop(self) -> None:

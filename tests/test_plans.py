@@ -4,7 +4,9 @@ import re
 
 import pytest
 
-from orderloom.operators import assign, clean, costs, delivery, demand, fulfil, readout, slotting
+from pyspark.sql import functions as F
+
+from orderloom.operators import assign, clean, costs, delivery, demand, fulfil, prefix, readout, slotting
 from orderloom.sources import sample
 
 FACT_PLANS = {
@@ -59,6 +61,26 @@ def test_lookup_tables_are_broadcast_and_tours_take_one_shuffle(run):
     assert len(re.findall(r"Exchange hashpartitioning\(invoice", plan)) == 1
 
 
+def test_customers_fold_by_hash_before_any_sort(run):
+    plan = plan_of(assign.customer_lookup(run.sales))
+    scan = plan[plan.rindex("HashAggregate(keys=[invoice") :]
+    assert "SortAggregate" not in scan and "Sort [" not in scan
+
+
+def test_rows_of_a_hot_day_are_not_shuffled_by_day(run, monkeypatch):
+    monkeypatch.setattr(prefix, "ONE_TASK_ROWS", 0)
+    plan = plan_of(prefix.rank_in_group(run.log.select("day", "invoice"), ["day"], [F.col("invoice")], 10))
+    by_day = [line for line in plan.splitlines() if "Exchange hashpartitioning(day" in line]
+    assert len(by_day) <= 1  # the summary of ranges; rows are joined by range and day
+
+
+def test_what_ifs_do_not_read_the_tours_again(run):
+    what_if = run.shocks
+    layouts = run.checks.filter(F.col("name").startswith("(g)"))
+    checks = run.checks_for(what_if.ledger, what_if.forecasts, what_if.plans, layouts, ["base"])
+    assert not [f for f in checks.inputFiles() if "/evaluated/" in f]
+
+
 def test_samples_are_top_n(run):
     assert "TakeOrderedAndProject" in plan_of(sample.stratified_sample(run.classified))
 

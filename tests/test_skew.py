@@ -34,7 +34,7 @@ def hot(spark, tmp_path_factory):
     skewed.write.parquet(path)
     old = prefix.ONE_TASK_ROWS
     prefix.ONE_TASK_ROWS = 20
-    run = Run(spark.read.parquet(path), dataclasses.replace(DEFAULTS, drops_per_territory=15), forecast.CLOSED_FORM)
+    run = Run(spark.read.parquet(path), DEFAULTS, forecast.CLOSED_FORM)
     yield run, path
     prefix.ONE_TASK_ROWS = old
 
@@ -85,11 +85,20 @@ def test_crew_log(hot, check):
 def test_routes_cover_every_order_in_bounded_groups(hot):
     run = hot[0]
     sizes = run.nodes.groupBy("day", "territory").count()
-    assert sizes.agg(F.max("count")).first()[0] <= 15 and sizes.filter("territory > 0").count() > 0
+    assert sizes.agg(F.max("count")).first()[0] <= DEFAULTS.drops_per_territory
     assert sorted(r[0] for r in run.routes.select("invoice").collect()) == sorted(r[0] for r in run.nodes.select("invoice").collect())
     assert delivery.km_bounds(run.delivery_daily).filter("NOT inside").count() == 0
 
 
+def test_routes_of_a_hot_day_follow_the_one_rule(hot, check):
+    assert hot[0].nodes.agg(F.max("territory")).first()[0] > 0
+    check(
+        hot[0].delivery_daily,
+        "SELECT * REPLACE (round(km, 4) AS km, round(lo_km, 4) AS lo_km, round(hi_km, 4) AS hi_km) FROM dday",
+        km=4, lo_km=4, hi_km=4,
+    )
+
+
 def test_identities_hold(hot):
     run = hot[0]
     assert run.checks.filter("NOT passed").count() == 0 and run.checks.count() == 12  # no published figure here
