@@ -48,6 +48,17 @@ def sales_in_window(sales: DataFrame, items: DataFrame, weeks: DataFrame, n_item
     return inside.join(_lookup(items.select("stock_code"), n_items), "stock_code", "left_semi")
 
 
+def range_flags(sales: DataFrame, items: DataFrame, n_items: int, **ranges: DataFrame) -> DataFrame:
+    """All sales with a flag per range: a tracked item's line whose week lies inside the range's weeks."""
+    known = items.select("stock_code", F.lit(True).alias("_known"))
+    dated = sales.withColumn("week", week_end(F.col("invoice_ts"))).join(_lookup(known, n_items), "stock_code", "left")
+    flags = {}
+    for name, weeks in ranges.items():
+        lo, hi = week_bounds(weeks)
+        flags[name] = F.coalesce(F.col("_known") & (F.col("week") >= lo) & (F.col("week") <= hi), F.lit(False))
+    return dated.withColumns(flags).drop("_known")
+
+
 def weekly_demand(sales: DataFrame, items: DataFrame, weeks: DataFrame, n_items: int) -> DataFrame:
     """Units per item and week, zero-filled from the first non-zero week to the calendar's end.
 

@@ -252,8 +252,8 @@ class Run:
     # stage 6: ledger and identities; both sides of an identity come from different frames
     def _ledger_sources(self) -> list[DataFrame]:
         one, distinct = F.count(F.lit(1)), F.count_distinct
-        in_range = demand.sales_in_window(self.sales, self.items, self.weeks, self.params.n_items)
-        in_window = demand.sales_in_window(self.sales, self.items, self.window, self.params.n_items)
+        # one scan of the sales serves all three sums over ranges
+        flagged = demand.range_flags(self.sales, self.items, self.params.n_items, in_range=self.weeks, in_window=self.window)
         made = reconcile.entries
 
         def of_variant(column: str, variant: str):
@@ -280,12 +280,13 @@ class Run:
         ]
         parts = F.sum(F.when(F.col("item").isin(*costs.COST_LINES), F.col("gbp")))
         sources = [
-            made(self.sales, [Entry("ingest/revenue_gbp", F.sum("revenue"), "GBP", REAL, "cleaned revenue")]),
-            made(self.demand, [Entry("ingest/demand_units", F.sum("units"), "units", REAL, "sum of weekly demand")]),
-            made(in_range, [
-                Entry("ingest/line_units", F.sum("quantity"), "units", REAL, "sum of line quantities"),
-                Entry("ingest/line_count", one, "lines", REAL, "sales lines of tracked items"),
+            made(flagged, [
+                Entry("ingest/revenue_gbp", F.sum("revenue"), "GBP", REAL, "cleaned revenue"),
+                Entry("ingest/line_units", F.sum(F.when(F.col("in_range"), F.col("quantity"))), "units", REAL, "sum of line quantities"),
+                Entry("ingest/line_count", F.count_if("in_range"), "lines", REAL, "sales lines of tracked items"),
+                Entry("ingest/window_revenue", F.sum(F.when(F.col("in_window"), F.col("revenue"))), "GBP", REAL, "range filter"),
             ]),
+            made(self.demand, [Entry("ingest/demand_units", F.sum("units"), "units", REAL, "sum of weekly demand")]),
             made(self.lines, [Entry("invoice_stream/line_count", one, "lines", REAL, "lines to pick")]),
             made(self.forecasts, [
                 Entry("forecast/rows", one, "rows", DERIVED, "item x future week"),
@@ -318,7 +319,6 @@ class Run:
                 Entry("transport/out_and_back_km", F.sum("hi_km"), "km", ASSIGNED, "one trip per drop"),
             ]),
             made(self.ledger_lines, [*booked, Entry("costing/component_sum", parts, "GBP", ASSIGNED, "four lines added again")]),
-            made(in_window, [Entry("ingest/window_revenue", F.sum("revenue"), "GBP", REAL, "range filter")]),
         ]
         if self.published is not None:
             value = F.sum(self.published.columns[0])

@@ -315,3 +315,13 @@ def test_quantiles_interpolate(spark):
     df = spark.createDataFrame([(float(v), i) for i, v in enumerate(values)], "v double, k int")
     row = fulfil.quantiles(df, "v", "k", {"a": 0.5, "b": 0.95, "c": 0.123}).first()
     assert tuple(row) == pytest.approx(tuple(np.quantile(values, [0.5, 0.95, 0.123])))
+
+
+def test_cached_copy_is_read_again_until_forced(spark, tmp_path):
+    path, columns = str(tmp_path / "copy"), "invoice string, price double"
+    first, second = (spark.createDataFrame([(k, 1.0)], columns) for k in "ab")
+    assert transactions.cached_copy(first, path).first().invoice == "a"
+    assert transactions.cached_copy(second, path).first().invoice == "a"
+    assert transactions.cached_copy(second, path, force=True).first().invoice == "b"
+    (tmp_path / "copy" / "_SUCCESS").unlink()  # a write that was cut short is no copy
+    assert transactions.cached_copy(first, path).first().invoice == "a"
