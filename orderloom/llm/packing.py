@@ -134,7 +134,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SEQUENCE)
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths in order, number of sequences). Longest first; a length goes to the fullest packs it fits.
+    """Patterns (lengths in order, number of sequences). Lengths go longest first, each to the shortest pack it fits.
 
     Packs of equal pattern are one entry with a count. ``open_packs[gap]`` holds the patterns that miss ``gap`` ids.
     """
@@ -142,7 +142,7 @@ def shortest_pack_first(histogram: dict[int, int], size: int = SEQUENCE) -> list
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
-            gap = next((g for g in range(length, size + 1) if open_packs.get(g)), None)
+            gap = next((g for g in range(size, length - 1, -1) if open_packs.get(g)), None)
             if gap is None:
                 pattern, count = (), left
             else:
