@@ -635,6 +635,15 @@ WHERE s.scenario_id = 'erratic surge'""",
 )
 
 # ---- readouts
+def _breakdown(drivers: DataFrame) -> DataFrame:
+    return rounded(
+        drivers.withColumn("agrees", F.abs("residual_gbp") <= 0.005).select(
+            "line", "grows_with", "quantity", "quantity_unit", "rate", "weekly", "rebuilt_gbp", "registered_gbp", "agrees", "share"
+        ),
+        quantity=4, rebuilt_gbp=3, registered_gbp=3, share=9,
+    )
+
+
 query(
     "driver_breakdown",
     """
@@ -647,12 +656,7 @@ FROM booked, LATERAL (VALUES
   ('facility', 'window/weeks', weeks, 'weeks', 2500, weeks * 2500, facility)
 ) u(line, grows_with, quantity, quantity_unit, rate, rebuilt_gbp, registered)""",
 )(
-    lambda r: rounded(
-        r.drivers.withColumn("agrees", F.abs("residual_gbp") <= 0.005).select(
-            "line", "grows_with", "quantity", "quantity_unit", "rate", "weekly", "rebuilt_gbp", "registered_gbp", "agrees", "share"
-        ),
-        quantity=4, rebuilt_gbp=3, registered_gbp=3, share=9,
-    )
+    lambda r: _breakdown(r.drivers)
 )
 query(
     "verify_elasticity",
@@ -795,6 +799,17 @@ def _receipt(r: Run, run_id: str, ledger: DataFrame, **more: DataFrame) -> DataF
     return receipts.read_run(r.spark, folder, "ledger", run_id)
 
 
+def _saved(r: Run, name: str, table: DataFrame) -> DataFrame:
+    """One table of a run as its receipt holds it; nothing is worked out again."""
+    folder = f"{r.stages.folder}/receipts"
+    receipts.write_run(folder, "saved", {name: table})
+    return receipts.read_run(r.spark, folder, name, "saved").select(*table.columns)
+
+
+query("receipt_drivers", TOLD["driver_breakdown"])(lambda r: _breakdown(_saved(r, "drivers", r.drivers)))
+query("receipt_boundary", TOLD["boundary_map"])(lambda r: _saved(r, "boundary", readout.boundary_map(r.ledger)))
+
+
 query("receipt_ledger", "SELECT key, round(value, 3) AS value, unit FROM ledger")(
     lambda r: rounded(_receipt(r, "first", r.ledger, checks=r.checks, stages=stage_summary(r)).select("key", "value", "unit"), value=3)
 )
