@@ -164,7 +164,7 @@ def search(index: Index, queries: DataFrame, k: int, share: float = SHARE, least
     key = ["c1", "part", "tile"]
     best = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(rank, "query_id long, c1 int, ids array<bigint>, scores array<double>")
     pairs = best.withColumn("found", F.transform(F.arrays_zip("ids", "scores"), lambda p: F.struct((-p["scores"]).alias("s"), p["ids"].alias("i"))))
-    merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("found")
+    merged = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found")
     # first per shard, then per query, so no list holds more than a shard's tiles or the shards
     top = pairs.groupBy("query_id", "c1").agg(merged).groupBy("query_id").agg(merged)
     return top.select("query_id", F.posexplode("found").alias("at", "f")).select(
