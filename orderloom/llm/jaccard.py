@@ -30,7 +30,7 @@ SPARE = 0.15  # extra slots, so that the lightest can be dropped
 CLASS_RATIO = 1.5
 TREE_SETS, TREE_SHINGLES = 1000, 1_000_000  # sets and shingles in one tree, at most (one larger set is a tree alone)
 FAN = 8
-PORTION_SHINGLES = 1_000_000
+BATCH_ROWS, PORTION_SHINGLES = 2_500, 1_000_000  # texts and shingles of them that a task holds at a time
 _SIGNATURE, _SIZE, _PAIR = 0, 1, 2
 
 
@@ -189,7 +189,7 @@ def _propose(rule: Rule):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(rule.words)
-        for b in batches:
+        for b in (whole.slice(at, BATCH_ROWS) for whole in batches for at in range(0, whole.num_rows, BATCH_ROWS)):
             texts, ids = b.column(1).to_pylist(), b.column(0)
             sets = list(hasher.sets(texts))
             n = np.array([len(s) for s in sets], np.int64)

@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import itertools
 import os
-import sys
-import types
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -20,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import map_arrow
 from orderloom.operators.prefix import lay_out
 from orderloom.sources.stage import StageTables
 
@@ -28,7 +25,7 @@ SEQUENCE = 1024
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"  # a file of the public_tokenizers package, or a path
 CACHED_CHUNKS = 900_000
-PORTION_CHARS = 2_000_000
+PORTION_CHARS = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -91,14 +88,6 @@ class ChunkEncoder:
         return out
 
 
-def encoder(vocabulary: str) -> ChunkEncoder:
-    """The worker's encoder: kept in the process, so that later tasks find its words known."""
-    kept = sys.modules.setdefault("_kept_encoders", types.ModuleType("_kept_encoders"))
-    if vocabulary not in vars(kept):
-        setattr(kept, vocabulary, ChunkEncoder(vocabulary))
-    return vars(kept)[vocabulary]
-
-
 def portions(texts: list[str]) -> Iterator[list[str]]:
     """Whole texts in turn, some million characters at a time."""
     held, size = [], 0
@@ -119,18 +108,20 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SEQUENCE)
     than doc_id and text are not read.
     """
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        coder, out, texts = encoder(vocabulary), [[], [], [], [], []], [t or "" for t in b.column(1).to_pylist()]
-        encoded = (ids for some in portions(texts) for ids in coder.encode(some))
-        for doc_id, ids in zip(b.column(0).to_pylist(), encoded, strict=True):
-            ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-            for start in range(0, len(ids), size):
-                piece = ids[start : start + size]
-                for column, value in zip(out, (doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)), strict=True):
-                    column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), PIECES, batch)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = ChunkEncoder(vocabulary)
+        for b in batches:
+            out, texts = [[], [], [], [], []], [t or "" for t in b.column(1).to_pylist()]
+            encoded = (ids for some in portions(texts) for ids in coder.encode(some))
+            for doc_id, ids in zip(b.column(0).to_pylist(), encoded, strict=True):
+                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
+                for start in range(0, len(ids), size):
+                    piece = ids[start : start + size]
+                    for column, value in zip(out, (doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
