@@ -4,6 +4,8 @@ Finding who may meet: two sets that link differ in at most k shingles, k given b
 hash into k + 1 + m slots, so at least m + 1 slots hold the same shingles in both sets. Each set drops its m lightest
 slots and hands out a hash of each of the others; as the order of slots depends only on what they hold, a linking pair
 has a hash in common. Components of equal hashes are candidate classes, and no linking pair lies across two of them.
+The lightest slots are those with the fewest shingles that are not common: a fixed number of counters, summed over all texts,
+tells which are, so passages that many texts share do not draw their classes together.
 
 Deciding who does: in each class the sets form a signature tree. A node holds the OR of its sets' token bitmaps and the
 range of their sizes; two trees (or one with itself) are walked together from their roots, and a pair of nodes
@@ -14,11 +16,13 @@ cut into trees that are compared pair by pair where their components differ.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,9 +32,11 @@ from orderloom.sources.stage import StageTables
 
 SPARE = 0.15  # extra slots, so that the lightest can be dropped
 CLASS_RATIO = 1.5
-TREE_SETS, TREE_SHINGLES = 1000, 1_000_000  # sets and shingles in one tree, at most (one larger set is a tree alone)
+TREE_SETS, TREE_SHINGLES = 2500, 1_500_000  # sets and shingles in one tree, at most (one larger set is a tree alone)
 FAN = 8
 BATCH_ROWS, PORTION_SHINGLES = 2_500, 1_000_000  # texts and shingles of them that a task holds at a time
+COUNTERS = 1 << 20
+_COUNTER_SHIFT, _SEGMENTS = np.uint64(44), 16
 _SIGNATURE, _SIZE, _PAIR = 0, 1, 2
 
 
@@ -59,8 +65,43 @@ class Rule:
         return differing + 1 + spare, spare
 
 
-def signatures(sets: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the set, signature) of all sets of at least one shingle."""
+def common_shingles(docs: DataFrame, rule: Rule) -> np.ndarray:
+    """Which of ``COUNTERS`` counters hold common shingles: those well above the mean over all texts.
+
+    Counters are summed in two steps, so that no group holds more than a share of the tasks' counts.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, counts = Hasher(rule.words), np.zeros(COUNTERS, np.int64)
+        for b in (whole.slice(at, BATCH_ROWS) for whole in batches for at in range(0, whole.num_rows, BATCH_ROWS)):
+            counts += _counted(list(hasher.sets(b.column(0).to_pylist())))
+        task = TaskContext.get().partitionId() % 64
+        parts = [zlib.compress(p.tobytes(), 1) for p in counts.reshape(_SEGMENTS, -1)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(_SEGMENTS, task)), pa.array(np.arange(_SEGMENTS)), pa.array(parts, pa.binary())], ["share", "segment", "counts"]
+        )
+
+    def add(table):
+        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in table.column("counts").to_pylist())
+        first = [table.column(c)[:1] for c in ("share", "segment")]
+        return pa.table([*first, pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["share", "segment", "counts"])
+
+    types = "share long, segment long, counts binary"
+    summed = docs.select("text").mapInArrow(count, types).groupBy("share", "segment").applyInArrow(add, types)
+    rows = summed.groupBy("segment").applyInArrow(add, types).orderBy("segment").collect()  # one row per segment
+    if not rows:
+        return np.zeros(COUNTERS, bool)
+    counts = np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), np.int64) for r in rows])
+    return counts > max(2 * counts.mean(), 20)
+
+
+def _counted(sets: list[np.ndarray]) -> np.ndarray:
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    return np.bincount((flat >> _COUNTER_SHIFT).astype(np.int64), minlength=COUNTERS)
+
+
+def signatures(sets: list[np.ndarray], rule: Rule, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the set, signature) of all sets of at least one shingle. ``common`` tells the counters of common shingles."""
     size = np.array([len(s) for s in sets], np.int64)
     if not size.any():
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -68,6 +109,7 @@ def signatures(sets: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarr
     own = np.searchsorted(upper, size)
     flat = np.concatenate(sets)
     weighed = mix(flat + np.uint64(0x5851F42D4C957F2D))
+    rare = np.ones(len(flat), bool) if common is None else ~common[(flat >> _COUNTER_SHIFT).astype(np.int64)]
     begin = np.cumsum(size) - size
     out = []
     for step in (0, 1):
@@ -90,7 +132,9 @@ def signatures(sets: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarr
         owner = np.repeat(np.arange(len(taking)), slots)
         number = (np.arange(total) - base[owner]).astype(np.uint64)
         signature = mix(held ^ mix(number + (kind[owner].astype(np.uint64) << np.uint64(32)) + (count.astype(np.uint64) << np.uint64(44))))
-        order = np.lexsort((signature, count, owner))
+        # the same shingles give the same weight, so equal slots stand alike in both orders
+        weight = np.bincount(place[rare[at]], minlength=total)
+        order = np.lexsort((signature, count, weight, owner))
         kept = order[(np.arange(total) - base[owner[order]]) >= spare[owner[order]]]
         out.append((taking[owner[kept]], signature[kept]))
     return np.concatenate([x for x, _ in out]), np.concatenate([s for _, s in out])
@@ -184,11 +228,11 @@ def forest(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray | None,
     return links
 
 
-def _propose(rule: Rule):
+def _propose(rule: Rule, bits: bytes):
     """Rows (key, kind, a, b, n, more) of a batch of texts: signatures, sizes and pairs that share a signature here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(rule.words)
+        hasher, common = Hasher(rule.words), np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
         for b in (whole.slice(at, BATCH_ROWS) for whole in batches for at in range(0, whole.num_rows, BATCH_ROWS)):
             texts, ids = b.column(1).to_pylist(), b.column(0)
             sets = list(hasher.sets(texts))
@@ -203,7 +247,7 @@ def _propose(rule: Rule):
             # some sets at a time, so that their slots fit in memory
             taken = np.flatnonzero(speaking)
             for part in np.split(taken, np.flatnonzero(np.diff(np.cumsum(n[taken]) // PORTION_SHINGLES)) + 1):
-                place, signature = signatures([sets[i] for i in part], rule)
+                place, signature = signatures([sets[i] for i in part], rule, common)
                 ids_of = names[part][place]
                 order = np.lexsort((ids_of, signature))
                 ids_of, signature = ids_of[order], signature[order]
@@ -293,7 +337,8 @@ def join(docs: DataFrame, stage: StageTables, rule: Rule) -> DataFrame:
     Other columns are not read. An empty table gives an empty result.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    proposed = narrow.mapInArrow(_propose(rule), "key long, kind int, a long, b long, n long, more long")
+    bits = np.packbits(common_shingles(narrow, rule)).tobytes()
+    proposed = narrow.mapInArrow(_propose(rule, bits), "key long, kind int, a long, b long, n long, more long")
     found = stage.keep(
         "found",
         proposed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_chain, "kind int, a long, b long, n long, more long"),

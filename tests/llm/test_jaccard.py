@@ -72,8 +72,9 @@ def test_linking_sets_share_a_signature(percent):
         a = np.unique(np.concatenate([common, rng.integers(0, 1 << 63, int(rng.integers(0, extra + 1))).astype(np.uint64)]))
         b = np.unique(np.concatenate([common, rng.integers(0, 1 << 63, extra).astype(np.uint64)]))
         if rule.links(jaccard.overlap(a, b), len(a), len(b)):
-            place, signature = jaccard.signatures([a, b], rule)
-            assert set(signature[place == 0].tolist()) & set(signature[place == 1].tolist())
+            for common in (None, rng.random(jaccard.COUNTERS) < 0.3):
+                place, signature = jaccard.signatures([a, b], rule, common)
+                assert set(signature[place == 0].tolist()) & set(signature[place == 1].tolist())
 
 
 def test_walk_loses_no_pair():
