@@ -26,6 +26,7 @@ from orderloom.sources.stage import StageTables
 MIN_REVISIT_BYTES = 100
 ARCHIVE_BYTES = 512 << 20
 RANGE_BYTES, RANGE_GAP = 8 << 20, 64 << 10
+TASK_BYTES = 16 << 20  # stored bytes that a reading task fetches
 WRITTEN_AT = "2000-01-01T00:00:00Z"  # one date for all records, so that a rerun writes the same bytes
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -191,7 +192,10 @@ def read(index: DataFrame, stage: StageTables, name: str = "warc", payloads: boo
                 at = upto
 
     places = index.select("archive", "offset", "length")
-    return places.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset").mapInArrow(fetch, READ)
+    # the rows of the index are small, what they point to is not: tasks are cut by the bytes they will read
+    total = places.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    dealt = places.repartitionByRange(max(1, -(-total // TASK_BYTES)), "archive", "offset")
+    return dealt.sortWithinPartitions("archive", "offset").mapInArrow(fetch, READ)
 
 
 def resolve(records: DataFrame) -> DataFrame:
