@@ -1,15 +1,17 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 A page's markup is stripped into lines, one per block element. Declared furniture (scripts, menus,
-footers, forms, adverts, comments and the like) leaves empty lines behind. The text lengths of the
-lines, less their link texts, are summed over a sliding window; where the sums surge a text begins, where
-they dive to nothing it ends. The runs between are weighed, and the article is the heaviest run together with
-every other run of the same article or main element.
+footers, forms and the like) leaves empty lines behind. So do elements whose class or id names furniture, unless they
+hold the page's article or, on a page without one, most of its text. The text lengths of the lines, less their link
+texts, are summed over a sliding window; where the sums surge a text begins, where they dive it ends. The heaviest run
+and all that stands in the container of its text are the page's undeclared text, less thin lines of other
+containers and link lines at either end. A declared article or main element is taken in full instead, the heaviest if there are several.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
 
 import pyarrow as pa
@@ -20,7 +22,7 @@ from orderloom.llm.common import map_arrow
 
 WINDOW = 3
 GAP = WINDOW  # empty lines left by furniture, enough to bring any window to nothing
-SURGE = 1.0
+SURGE = 86.0  # characters in a window that make a text; a page that nowhere has as many counts by its densest window
 
 # Fixed values of HTML: elements without content, with raw content, that start a new line, that hold no article text.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -57,57 +59,100 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
 _ENDS_ITSELF = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 
 
-def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
+SURE, BY_CLASS = 2, 1
+
+
+def is_furniture(tag: str, attributes: str, in_article: bool) -> int:
+    """``SURE`` by the tag, its role or its being hidden, ``BY_CLASS`` by a word of its class or id, else 0."""
     if tag in FURNITURE or (tag == "header" and not in_article):
-        return True
+        return SURE
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
+    found = 0
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in ROLES):
-            return True
+            return SURE
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
+            return SURE
         if name in ("class", "id"):
             words = {w.lower() for w in _MARK.findall(value)}
             if words & MARKS or (words & HEADER_MARKS and not in_article):
-                return True
-    return False
+                found = BY_CLASS
+    return found
+
+
+def released(lines: list[tuple[str, int, int, int, int]], marks: list[tuple[int, int]], articles: list[int]) -> list[bool]:
+    """Which marked elements (those with a furniture word in class or id) stay, by their number; 0 stands for none.
+
+    ``marks`` has each one's surrounding marked element and article, ``articles`` the marked element around each article.
+    """
+    own, weight, rest = [0] * len(marks), [0] * len(articles), [0] * len(articles)
+    for text, plain, article, _, mark in lines:
+        own[mark] += plain
+        if article:
+            if mark == articles[article]:
+                weight[article] += plain
+            if not mark:
+                rest[article] += plain
+    held, best = own[:], [0] * len(marks)  # text in the element, and in its heaviest article
+    for a in range(1, len(articles)):
+        best[articles[a]] = max(best[articles[a]], weight[a])
+    unmarked = best[0] > 0
+    for m in range(len(marks) - 1, 0, -1):
+        held[marks[m][0]] += held[m]
+        best[marks[m][0]] = max(best[marks[m][0]], best[m])
+    stays = [True] * len(marks)
+    for m in range(1, len(marks)):
+        around, article = marks[m]
+        most = 2 * held[m] > held[0]
+        if article and not articles[article]:
+            good = most and rest[article] < SURGE  # the article has no other text
+        elif unmarked:
+            good = 2 * best[m] > held[0]
+        else:
+            good = most or best[m] > 0
+        stays[m] = stays[around] and good
+    return stays
 
 
-def lines_of(page: str) -> list[tuple[str, int, int, int]]:
+def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int], set[int]]:
     """Lines of a page: text, characters outside links, numbers of the enclosing article (or 0) and container.
 
-    Furniture leaves empty lines.
+    Furniture leaves empty lines. Also each container's surrounding one, and the containers that are bodies.
     """
-    lines: list[tuple[str, int, int, int]] = []
+    lines: list[tuple[str, int, int, int, int]] = []
     parts: list[str] = []
-    linked = articles = 0
-    open_tags: list[tuple[str, int, int, bool]] = []  # name, article and container around it, whether it starts furniture
-    skipping = links = current = inside = containers = 0
-    empty = [("", 0, 0, 0)] * GAP
+    linked = 0
+    open_tags: list[tuple[str, int, int, int, int]] = []  # name, article, container and marked element around it, whether it is furniture
+    skipping = links = current = inside = mark = 0
+    parents, bodies, articles, marks = [0], {0}, [0], [(0, 0)]
+    empty = [("", 0, 0, 0, 0)] * GAP
 
     def flush() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            lines.append((text, max(0, len(text) - linked), current, inside))
+            lines.append((text, max(0, len(text) - linked), current, inside, mark))
         parts.clear()
         linked = 0
 
     def close(name: str) -> None:
         """Close the innermost open element of that name with all inside it; without one nothing is closed."""
-        nonlocal skipping, links, current, inside
+        nonlocal skipping, links, current, inside, mark
         if not any(t[0] == name for t in open_tags):
             return
         while True:
-            tag, around, container, starts = open_tags.pop()
+            tag, around, container, marked, starts = open_tags.pop()
             if tag == "a":
                 links -= 1
-            if starts:
+            if starts == SURE:
                 skipping -= 1
                 parts.clear()
                 lines.extend(empty)
+            if mark != marked:
+                flush()
+                mark = marked
             if current != around:
                 flush()
                 current = around
@@ -156,71 +201,113 @@ def lines_of(page: str) -> list[tuple[str, int, int, int]]:
                 if name in BLOCK:
                     break
         starts = is_furniture(tag, attributes, current > 0)
-        if starts:
+        if starts == SURE:
             flush()
             skipping += 1
             lines.extend(empty)
-        open_tags.append((tag, current, inside, starts))
+        open_tags.append((tag, current, inside, mark, starts))
+        if starts == BY_CLASS and not skipping:
+            flush()
+            marks.append((mark, current))
+            mark = len(marks) - 1
+            lines.append(("", 0, 0, 0, mark))
         if tag in _CONTAINERS:
-            containers += 1
-            inside = containers
+            parents.append(inside)
+            inside = len(parents) - 1
+            if tag == "body":
+                bodies.add(inside)
         if tag == "a":
             links += 1
         if tag in ("article", "main") and not skipping and not current:
             flush()
-            articles += 1
-            current = articles
+            articles.append(mark)
+            current = len(articles) - 1
             lines.extend(empty)
     flush()
-    return lines
+    stays, out = released(lines, marks, articles), []
+    for *line, m in lines:
+        if stays[m]:
+            out.append(tuple(line))
+        elif not out or out[-1][0]:
+            out.extend(x[:4] for x in empty)
+    return out, parents, bodies
+
+
+def window_sums(lengths: list[int]) -> list[int]:
+    """Sum of each line and the next ones in its window."""
+    before = [0, *itertools.accumulate(lengths)]
+    return [before[min(i + WINDOW, len(lengths))] - before[i] for i in range(len(lengths))]
 
 
-def runs(lengths: list[int]) -> list[tuple[int, int]]:
+def runs(lengths: list[int], surge: float = 1.0) -> list[tuple[int, int]]:
     """Stretches [start, end) between surge and dive points of the windowed sums of line lengths."""
-    n = len(lengths)
-    sums, total = [], 0
-    for i in range(n):  # the window starts at line i
-        if i == 0:
-            total = sum(lengths[:WINDOW])
-        else:
-            total += (lengths[i + WINDOW - 1] if i + WINDOW - 1 < n else 0) - lengths[i - 1]
-        sums.append(total)
     found, start = [], None
-    for i, s in enumerate(sums):
-        if start is None and s >= SURGE and lengths[i]:
+    for i, s in enumerate(window_sums(lengths)):
+        if start is None and s >= surge and lengths[i]:
             start = i
-        elif start is not None and s < SURGE:
+        elif start is not None and s < surge:
             found.append((start, i))
             start = None
     if start is not None:
-        found.append((start, n))
+        found.append((start, len(lengths)))
     return found
 
 
+def undeclared_text(lines: list[tuple[str, int, int, int]], parents: list[int], bodies: set[int]) -> list[int]:
+    """Places of the lines of the heaviest run outside declared articles, and of what belongs to it."""
+    lengths = [0 if article else plain for _, plain, article, _ in lines]
+    sums = window_sums(lengths)
+    surge = min(SURGE, max(sums, default=0))
+    if not surge:
+        return []
+    stretches = runs(lengths, surge)
+    # lines that are dense beside what stands in the same container
+    dense = [False] * len(lines)
+    for i in range(len(lines)):
+        window = [j for j in range(i, min(i + WINDOW, len(lines))) if lengths[j] and lines[j][3] == lines[i][3]]
+        if sum(lengths[j] for j in window) >= surge:
+            for j in window:
+                dense[j] = True
+    first, end = max(stretches, key=lambda x: sum(lengths[x[0] : x[1]]))
+    # home is the innermost container with most of the heaviest run; what stands in it belongs to the text, also after a gap
+    direct = [0] * len(parents)
+    for i in range(first, end):
+        direct[lines[i][3]] += lengths[i]
+    held = direct[:]
+    for c in range(len(parents) - 1, 0, -1):
+        held[parents[c]] += held[c]
+    home = max(c for c in range(len(parents)) if 2 * held[c] > held[0])
+    # of a body only what stands in it directly, where that is how the text stands
+    within = [False] * len(parents)
+    within[home] = home not in bodies or 2 * direct[home] > held[0]
+    for c in range(home + 1, len(parents)):
+        within[c] = home not in bodies and within[parents[c]]
+    kept = [bool(text) and not article and within[c] for text, _, article, c in lines]
+    for x in stretches:
+        if x[0] == first or any(kept[i] and lengths[i] for i in range(*x)):
+            good = [i for i in range(*x) if lengths[i] and (kept[i] or dense[i])]
+            if not good and x[0] == first:
+                good = list(range(*x))
+            for i in range(good[0], good[-1] + 1) if good else ():
+                kept[i] = bool(lines[i][0]) and not lines[i][2]
+    places = [i for i, k in enumerate(kept) if k]
+    while places and 2 * lengths[places[0]] < len(lines[places[0]][0]):
+        places.pop(0)
+    while places and 2 * lengths[places[-1]] < len(lines[places[-1]][0]):
+        places.pop()
+    return places
+
+
 def main_text(page: str) -> str:
     """The article's text: its blocks in page order with single blanks between; nothing of it is capped."""
-    lines = lines_of(page)
-    # a line inside a declared article counts in full; elsewhere link texts do not count
-    lengths = [len(text) if article else plain for text, plain, article, _ in lines]
-    stretches = runs(lengths)
-    if not stretches:
-        return ""
-    # a declared article weighs as much as all its stretches, any other stretch stands for itself
-    weight: dict[tuple[int, int], int] = {}
-    for start, end in stretches:
-        key = (lines[start][2], 0) if lines[start][2] else (0, start)
-        weight[key] = weight.get(key, 0) + sum(lengths[start:end])
-    article, first = max([k for k in weight if k[0]] or weight, key=lambda k: weight[k])
-    if article:
-        kept = [x for x in stretches if lines[x[0]][2] == article]
-    else:
-        # furniture may cut a text in two: what stands in the container that holds most of the heaviest stretch belongs to it
-        held: dict[int, int] = {}
-        for i in range(first, dict(stretches)[first]):
-            held[lines[i][3]] = held.get(lines[i][3], 0) + lengths[i]
-        home = max(held, key=lambda c: held[c])
-        kept = [x for x in stretches if x[0] == first or any(lines[i][3] == home and lengths[i] for i in range(*x))]
-    return " ".join(text for start, end in kept for text, *_ in lines[start:end] if text)
+    lines, parents, bodies = lines_of(page)
+    weight: dict[int, int] = {}  # a declared article counts in full
+    for text, _, article, _ in lines:
+        if article:
+            weight[article] = weight.get(article, 0) + len(text)
+    heaviest = max(weight, key=lambda k: weight[k], default=0)
+    kept = [i for i, x in enumerate(lines) if x[0] and x[2] == heaviest] if heaviest else undeclared_text(lines, parents, bodies)
+    return " ".join(lines[i][0] for i in kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -54,3 +54,26 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None, "a"), (2, "u", "", "a"), (None, "u", P, "b"), (2, "u", P, "b")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in extract(df).collect()) == [(0, T), (1, ""), (2, ""), (2, T)]
     assert extract(df.limit(0)).count() == 0
+
+
+def test_thin_lines_of_other_containers_go():
+    cases = ["<div>&copy; 2020 Us</div>", "<p>&copy; 2020 Us</p>", "<div>Home News Contact</div>", "<p><a href=x>Home</a> | <a href=y>News</a></p>"]
+    for x in cases:
+        assert main_text(f"<body>{x}<div>{P}{P}<p>Short.</p>{P}<p>End.</p></div>{x}") == f"{T} {T} Short. {T} End.", x
+    assert main_text(f"<body><table><tr><td>Menu text<td>{P}{P}<td>Site notice</table>") == f"{T} {T}"
+    assert main_text(f"<body><p><a href=x>One</a><p><a href=y>Two</a>{P}{P}") == f"{T} {T}"
+    assert main_text(f"<body><div>Menu</div><div>{T} {T}</div><div>{T} {T}</div><div>&copy; Us</div>") == f"{T} {T} {T} {T}"
+
+
+def test_lines_of_the_same_container_stay():
+    lines = [f"Line {i} of a poem." for i in range(9)]
+    assert main_text("<body><div>" + "".join(f"<p>{x}</p>" for x in lines) + "</div>") == " ".join(lines)
+    assert main_text(f"<body><div><h1>Title</h1>{P}{P}<p>No.<p>Yes.<p>No.<p>Yes.{P}</div>") == f"Title {T} {T} No. Yes. No. Yes. {T}"
+
+
+def test_one_class_word_does_not_drop_the_article():
+    assert main_text(f"<body><div class='page widget'><article>{P}{P}</article></div><div>Other</div>") == f"{T} {T}"
+    assert main_text(f"<body><div>Menu</div><div class=promo>{P}{P}<div class=ad>Buy</div><p>End.</div>") == f"{T} {T} End."
+    assert main_text(f"<article><div class=notice>{P}{P}</div></article>") == f"{T} {T}"
+    assert main_text(f"<article>{P}{P}<div class=comments>{P}{P}{P}{P}{P}</div></article>") == f"{T} {T}"
+    assert main_text(f"<article>{P}</article><div class=related><article>Teaser</article></div>") == T
