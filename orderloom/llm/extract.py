@@ -5,7 +5,8 @@ footers, forms and the like) leaves empty lines behind. So do elements whose cla
 hold the page's article or, on a page without one, most of its text. The text lengths of the lines, less their link
 texts, are summed over a sliding window; where the sums surge a text begins, where they dive it ends. The heaviest run
 and all that stands in the container of its text are the page's undeclared text, less thin lines of other
-containers and link lines at either end. A declared article or main element is taken in full instead, the heaviest if there are several.
+containers and link lines at either end. The heaviest article or main element, which counts in
+full, is taken instead unless the undeclared text outweighs it.
 """
 
 from __future__ import annotations
@@ -301,12 +302,14 @@ def undeclared_text(lines: list[tuple[str, int, int, int]], parents: list[int],
 def main_text(page: str) -> str:
     """The article's text: its blocks in page order with single blanks between; nothing of it is capped."""
     lines, parents, bodies = lines_of(page)
-    weight: dict[int, int] = {}  # a declared article counts in full
+    weight: dict[int, int] = {}
     for text, _, article, _ in lines:
         if article:
             weight[article] = weight.get(article, 0) + len(text)
     heaviest = max(weight, key=lambda k: weight[k], default=0)
-    kept = [i for i, x in enumerate(lines) if x[0] and x[2] == heaviest] if heaviest else undeclared_text(lines, parents, bodies)
+    kept = undeclared_text(lines, parents, bodies)
+    if heaviest and sum(lines[i][1] for i in kept) <= weight[heaviest]:
+        kept = [i for i, x in enumerate(lines) if x[0] and x[2] == heaviest]
     return " ".join(lines[i][0] for i in kept)
 
 

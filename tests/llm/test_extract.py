@@ -77,3 +77,9 @@ def test_one_class_word_does_not_drop_the_article():
     assert main_text(f"<article><div class=notice>{P}{P}</div></article>") == f"{T} {T}"
     assert main_text(f"<article>{P}{P}<div class=comments>{P}{P}{P}{P}{P}</div></article>") == f"{T} {T}"
     assert main_text(f"<article>{P}</article><div class=related><article>Teaser</article></div>") == T
+
+
+def test_the_heavier_of_declared_and_undeclared_text():
+    teasers = "<article><h2>Other</h2><p>A teaser.</p></article>" * 2
+    assert main_text(f"<body><div class=content>{P}{P}{P}</div><div>{teasers}</div>") == f"{T} {T} {T}"
+    assert main_text(f"<body><div>{P}</div><article>{P}{P}</article>") == f"{T} {T}"
