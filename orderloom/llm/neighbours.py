@@ -141,16 +141,22 @@ def search(index: Index, queries: DataFrame, k: int, share: float = SHARE, least
             mask = column(left, "mask").to_numpy().view(np.uint64)
             ids, cell = right.column("ids").to_pylist(), column(right, "c2").to_numpy().astype(np.uint64)
             names, shard = left.column("query_id").to_pylist(), left.column("c1")[0].as_py()
+            lowest = np.array([i[0] for i in ids])
+            # products of the matrix and exact ones differ by rounding only
+            slack = 4 * v.shape[1] * np.finfo(float).eps * np.sqrt((v * v).sum(1).max() * (q * q).sum(1))
             for at in range(0, len(q), 256):
                 seen = (mask[at : at + 256, None] >> cell[None, :]) & np.uint64(1)
                 near = np.where(seen, q[at : at + 256] @ v.T, -np.inf)
-                few = min(k + 8, near.shape[1])
-                best = np.argpartition(-near, few - 1, axis=1)[:, :few]
+                few = min(k + 1, near.shape[1])  # one may be the query's own
+                least = -np.partition(-near, few - 1, axis=1)[:, few - 1] - slack[at : at + 256]
                 for row in range(len(near)):
-                    own = best[row][np.isfinite(near[row, best[row]])]
+                    own = np.flatnonzero((near[row] >= least[row]) & seen[row].astype(bool))
                     if not len(own):
                         continue
                     exact = (v[own] * q[at + row]).sum(1)
+                    # an entry behind k + 1 others by score and smallest id has nothing among the first k
+                    first_ones = np.lexsort((lowest[own], -exact))[:few]
+                    own, exact = own[first_ones], exact[first_ones]
                     name = names[at + row]
                     found = sorted((-s, i) for s, j in zip(exact.tolist(), own.tolist(), strict=True) for i in ids[j] if i != name)[:k]
                     if found:

@@ -78,3 +78,15 @@ def test_ties_and_odd_rows(spark):
     few = neighbours.nearest_rows(df.filter("vec_id in (0, 501, 3)"), StageTables(spark)).collect()
     assert [(r.rank, r.vec_id, r.score) for r in sorted(few)] == [(1, 3, 6.0), (2, 501, 0.0)]
     assert neighbours.nearest_rows(df.limit(0), StageTables(spark)).count() == 0
+
+
+def test_more_equal_scores_than_ranks(spark):
+    rng = np.random.default_rng(2)
+    # 400 different vectors with the query's first component alone in common; scores tie at every rank
+    rows = [(i, [1.0, *[float(x) for x in rng.permutation(np.eye(1, 30)[0])], *[float(x) for x in rng.integers(0, 2, 9)]]) for i in range(400)]
+    rows = [(i, v) for i, v in rows if i % 20] + [(i, [1.0] + [0.0] * 39) for i in range(0, 400, 20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for r in neighbours.nearest_rows(df, StageTables(spark)).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    assert {q: [x[i] for i in range(1, 21)] for q, x in got.items()} == brute(rows)
