@@ -240,12 +240,12 @@ def _propose(rule: Rule, bits: bytes):
             marks = [np.array([mix(s + np.uint64(c)).sum(dtype=np.uint64) for s in sets], np.uint64) for c in (1, 2)]
             names = ids.fill_null(-1).to_numpy(zero_copy_only=False)
             known = ~np.array(ids.is_null())
-            # of equal sets in the batch one speaks for all
-            _, speaker, inverse = np.unique(np.stack([*marks, n.astype(np.uint64)], 1), axis=0, return_index=True, return_inverse=True)
-            speaking = np.isin(np.arange(len(sets)), speaker) & known & (n > 0)
+            # of equal sets in the batch one with an id speaks for all
+            able = np.flatnonzero(known & (n > 0))
+            _, speaker = np.unique(np.stack([*marks, n.astype(np.uint64)], 1)[able], axis=0, return_index=True)
             yield _rows(names, _SIZE, names, marks[0].view(np.int64), np.where(known, n, -1 - n), marks[1].view(np.int64))
             # some sets at a time, so that their slots fit in memory
-            taken = np.flatnonzero(speaking)
+            taken = np.sort(able[speaker])
             for part in np.split(taken, np.flatnonzero(np.diff(np.cumsum(n[taken]) // PORTION_SHINGLES)) + 1):
                 place, signature = signatures([sets[i] for i in part], rule, common)
                 ids_of = names[part][place]

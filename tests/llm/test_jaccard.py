@@ -113,3 +113,13 @@ def test_odd_rows(spark):
     assert got == [(-1, 57, None), (1, 0, 1), (2, 0, 2), (3, 57, 3), (3, 57, 3), (4, 0, 4), (5, 57, 3), (6, 1, 6), (7, 1, 6), (8, 1, 8), (9, 58, 3),
                    (10, 1, 10), (11, 1, 10)]
     assert jaccard.join(df.limit(0), StageTables(spark), RULE).count() == 0
+
+
+def test_a_null_id_before_its_copies_hides_no_link(spark):
+    long = " ".join(f"x{i}" for i in range(60))
+    rows = [(None, long), (5, long), (None, long), (3, long.upper()), (9, long + " more"), (None, "few words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id or -1, r.component_id) for r in jaccard.join(df, StageTables(spark), RULE).collect())
+    assert got == [(-1, None), (-1, None), (-1, None), (3, 3), (5, 3), (9, 3)]
+    nulls = jaccard.join(df.filter("doc_id IS NULL"), StageTables(spark), RULE).collect()
+    assert [r.component_id for r in nulls] == [None] * 3
