@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orderloom.llm import jaccard, mixing, packing, pii, toxicity
 from orderloom.llm.common import small_side, table
+from orderloom.operators.prefix import global_prefix
 from orderloom.sources.stage import StageTables
 
 NEAR = jaccard.Rule(words=5, percent=80)
@@ -22,18 +23,33 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest id. Rows with a null id, which are in no group, stay.
 
-    Of rows that repeat the smallest id one stays.
+    Rows that repeat an id and its text are one document, of which one row stays; with another text they are another document.
     """
     stage = StageTables(spark)
-    found = jaccard.join(docs, stage, NEAR)
+    columns, docs = docs.columns, _numbered(docs, stage)
+    found = jaccard.join(docs.select(F.col("_node").alias("doc_id"), "text"), stage, NEAR)
     gone = stage.keep("gone", found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    kept = docs.join(small_side(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    kept = docs.join(small_side(gone), F.col("_node") == F.col("_gone"), "left_anti")
     twice = stage.keep("twice", found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_twice")).count().filter("count > 1").drop("count"))
     if not twice.limit(1).count():
-        return kept
+        return kept.select(*columns)
     near = small_side(twice)
-    single = kept.join(near, kept["doc_id"] == F.col("_twice"), "left_anti")
-    return single.unionByName(kept.join(near, kept["doc_id"] == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"]))
+    single = kept.join(near, F.col("_node") == F.col("_twice"), "left_anti").select(*columns)
+    repeats = kept.join(near, F.col("_node") == F.col("_twice"), "left_semi")
+    # which row stays depends on its content alone
+    one = repeats.groupBy("_node").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row")).select("_row.*")
+    return single.unionByName(one)
+
+
+def _numbered(docs: DataFrame, stage: StageTables) -> DataFrame:
+    """``docs`` with ``_node``, which orders as doc_id does: the id itself, or where an id has several texts a number per id and text."""
+    named = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64("text"))
+    several = named.filter("_id IS NOT NULL").groupBy("_id").agg(F.min("_hash").alias("low"), F.max("_hash").alias("high")).filter("low <> high")
+    if not several.limit(1).count():
+        return named.withColumnRenamed("_id", "_node").drop("_hash")
+    pairs = named.filter("_id IS NOT NULL").select("_id", "_hash").distinct()
+    numbers = stage.keep("numbers", global_prefix(pairs, [F.col("_id"), F.col("_hash")]).select("_id", "_hash", F.col("rank").alias("_node")))
+    return named.join(small_side(numbers), ["_id", "_hash"], "left").drop("_id", "_hash")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,3 +97,11 @@ def test_empty_and_odd_documents(spark):
         assert frame.columns[:3] == ["doc_id", "start", "length"]
 
 
+def test_other_texts_of_a_repeated_id_stay(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, "one thing here", "en", "a", 1), (7, "another one altogether", "en", "a", 2), (7, "", "en", "a", 3), (3, near, "en", "a", 4), (7, near + " more", "en", "a", 5),
+            (8, near, "en", "a", 6), (7, "one thing here", "en", "b", 7), (None, near, "en", "a", 8), (9, "few words", "en", "a", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [sorted(r.n_chars for r in stages.drop_near_copies(spark, docs.repartition(n), SMALL).collect()) for n in (1, 3, 5)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 6
+    assert {2, 3, 4, 8, 9} < set(kept[0]) and len({1, 7} & set(kept[0])) == 1
