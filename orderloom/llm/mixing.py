@@ -15,11 +15,11 @@ import random
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.llm.common import small_side
-from orderloom.operators.prefix import global_prefix
+from orderloom.operators.prefix import ONE_TASK_ROWS, global_prefix, rank_in_group
 from orderloom.sources.stage import StageTables
 
 WEIGHTS = (5, 2, 1)
@@ -171,13 +171,21 @@ def row_key(docs: DataFrame):
 def apply(docs: DataFrame, stage: StageTables, weights: tuple = WEIGHTS, share: float = SHARE) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it; rows taken 0 times go.
 
-    Equal rows share one key, so their copies are added up and dealt over them.
+    Equal rows share one key, so their copies are added up and dealt over them. Only rows whose copies do not divide evenly
+    are numbered, over key ranges, so a group of any size stays spread.
     """
-    decided = mix(docs, stage, weights, share).groupBy(F.col("key").alias("_key")).agg(
+    decided = stage.keep("mix-decided", mix(docs, stage, weights, share).groupBy(F.col("key").alias("_key")).agg(
         F.sum("copies").alias("_copies"), F.count("*").alias("_rows"),
-    )
-    turn = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    joined = docs.withColumn("_key", row_key(docs)).join(decided, "_key").withColumn("_turn", turn)
-    own = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_turn") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    repeated = joined.withColumn("_each", F.explode(F.array_repeat(F.lit(0), own.cast("int"))))
-    return repeated.select(*docs.columns)
+    ))
+    joined = docs.withColumn("_key", row_key(docs)).join(small_side(decided), "_key")
+    even, left = F.floor(F.col("_copies") / F.col("_rows")), F.col("_copies") % F.col("_rows")
+
+    def repeated(rows: DataFrame, times: Column) -> DataFrame:
+        return rows.withColumn("_each", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*docs.columns)
+
+    if not decided.filter(left > 0).limit(1).count():
+        return repeated(joined, even)
+    # equal rows differ in the last column of the order alone, so that ranges can part them
+    placed = stage.keep("mix-uneven", joined.filter(left > 0).withColumn("_order", F.xxhash64(*docs.columns)).withColumn("_lot", F.rand(1)))
+    turned = rank_in_group(placed, ["_key"], [F.col("_order"), F.col("_lot")], ONE_TASK_ROWS + 1, "_turn")
+    return repeated(joined.filter(left == 0), even).unionByName(repeated(turned, even + (F.col("_turn") <= left).cast("int")))

@@ -85,3 +85,20 @@ def test_odd_rows(spark):
     assert taken.columns == df.columns and taken.count() == sum(r.copies for r in out)
     assert mixing.mix(df.limit(0), StageTables(spark)).count() == 0
     check(mixing.mix(df.filter("doc_id < 3"), StageTables(spark)).collect())
+
+
+def test_equal_rows_do_not_meet_in_one_task(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(None, "a b c", "s", "en" if i % 2 else "fr") for i in range(3000)] + [(i, "x " * (1 + i % 7), "s" if i % 2 else "t", "en") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(8)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        copies = sum(r.copies for r in mixing.mix(df, StageTables(spark)).collect() if r.doc_id is None)
+        taken = mixing.apply(df, StageTables(spark))
+        hot = [r["count"] for r in taken.filter("doc_id IS NULL").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert copies % 3000 and sum(hot) == copies and max(hot) < copies / 2
+    assert [tuple(r) for r in taken.groupBy("lang").count().orderBy("lang").collect()] == [tuple(r) for r in mixing.apply(df, StageTables(spark)).groupBy("lang").count().orderBy("lang").collect()]
