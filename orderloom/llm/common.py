@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,19 @@ def map_arrow(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.Reco
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int, most_rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of whole rows whose ``column`` (text or bytes) holds about ``most_bytes`` at most; a larger row is a part alone."""
+    if not batch.num_rows:
+        return
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = min(at + most_rows, max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def small_side(df: DataFrame) -> DataFrame:
     """``df`` (already stored) with a broadcast hint when its counted rows are few; the join's rows are the same."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

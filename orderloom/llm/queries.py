@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import extract, jaccard, language, mixing, near_vectors, neighbours, packing, pii, toxicity, warc
+from orderloom.llm import divergence, extract, jaccard, language, mixing, near_vectors, neighbours, packing, pii, toxicity, warc
 from orderloom.llm.common import table
 from orderloom.sources.stage import StageTables
 
@@ -127,3 +127,43 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.predict(docs, language.fit(docs))
+
+
+@_register(
+    "op11_divergence",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+    t AS (
+        SELECT r, lang, source,
+            unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM d
+    ),
+    k AS (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+    c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+    l AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM k GROUP BY lang),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    s AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY ALL),
+    p AS (
+        SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 2) // (coalesce(s.total, 0) + 2 * l.v) AS p,
+            1 + 1000000000 * (k.n + 2) // (l.total + 2 * l.v) AS q
+        FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN s USING (lang, source) LEFT JOIN c USING (lang, source, term)
+    ),
+    pair AS (
+        SELECT a.lang, a.source, b.source AS item, (
+            SELECT coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) FROM p x JOIN p y USING (lang, term)
+            WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source
+        )::BIGINT AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    ),
+    own AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+    r AS (
+        SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pair
+        UNION ALL
+        SELECT * FROM (SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM own)
+        WHERE rank <= 10
+    )
+    SELECT * FROM r
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), StageTables(spark))
