@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import divergence, extract, jaccard, language, mixing, near_vectors, neighbours, packing, pii, toxicity, warc
+from orderloom.llm import divergence, extract, jaccard, language, mixing, near_vectors, neighbours, packing, pii, substrings, toxicity, warc
 from orderloom.llm.common import table
 from orderloom.sources.stage import StageTables
 
@@ -167,3 +167,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), StageTables(spark))
+
+
+@_register(
+    "op13_substrings",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    x AS (SELECT r, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+    k AS (SELECT r, w.words, i FROM (
+        SELECT r, n, i, list(word) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS words FROM x
+    ) w WHERE i + 34 <= n),
+    c AS (SELECT words FROM k GROUP BY words HAVING count(*) > 1),
+    g AS (SELECT DISTINCT r, i + unnest(range(0, 35)) AS i FROM k SEMI JOIN c USING (words)),
+    kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS t FROM x ANTI JOIN g USING (r, i) GROUP BY r),
+    gone AS (SELECT r, count(*) AS n FROM g GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(gone.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (r) LEFT JOIN gone USING (r)
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.remove(table(spark, sf_dir, "documents"), StageTables(spark)))

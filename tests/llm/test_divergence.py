@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from orderloom.llm import divergence
@@ -66,13 +67,23 @@ def test_against_brute_force(spark, seed):
     assert found(spark, [(i, *r) for i, r in enumerate(rows)]) == brute(rows)
 
 
-def test_flushes_and_long_runs(spark, monkeypatch):
-    monkeypatch.setattr(divergence, "HELD_TERMS", 3)
-    monkeypatch.setattr(divergence, "PORTION_BYTES", 7)
-    rows = corpus(120, 3)
+def test_portions_and_what_a_task_hands_out(monkeypatch):
     text = "aB cd-é ab" * 5
+    monkeypatch.setattr(divergence, "PORTION_BYTES", 7)
     assert divergence.term_counts(text.encode()) == Counter(t.encode() for t in TERM.findall(text.lower()))
-    assert found(spark, [(i, *r) for i, r in enumerate(rows)]) == brute(rows)
+    rows = [(l or "", s or "", t.encode()) for t, l, s in corpus(60, 3)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 20])], ["lang", "source", "text"]) for i in (0, 20, 40)]
+
+    def summed(held):
+        monkeypatch.setattr(divergence, "HELD_TERMS", held)
+        n, docs, out = Counter(), Counter(), list(divergence._count(iter(batches)))
+        for r in (r for b in out for r in b.to_pylist()):
+            n[r["lang"], r["source"], r["term"]] += r["n"]
+            docs[r["lang"], r["source"], r["term"]] += r["docs"]
+        return len(out), n, docs
+
+    few, many = summed(3), summed(10**6)
+    assert few[0] > many[0] == 1 and few[1:] == many[1:]
 
 
 def test_odd_rows(spark):
