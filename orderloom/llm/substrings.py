@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import BROADCAST_ROWS, slices
+from orderloom.llm.common import slices
 from orderloom.llm.shingles import mix
 from orderloom.llm.words import WordHasher, joined
 from orderloom.sources.stage import StageTables
@@ -243,9 +243,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _per_text(rows: DataFrame, *columns: str) -> DataFrame:
-    """The rows of each text as one list, no longer than the text; broadcast when the counted rows are few."""
-    lists = rows.groupBy("a", "b").agg(F.collect_list(F.struct(*columns)).alias("rows"))
-    return F.broadcast(lists) if rows.count() <= BROADCAST_ROWS else lists
+    """The rows of each text as one list, no longer than the text. Joined by shuffling unless Spark's own size check finds it small."""
+    return rows.groupBy("a", "b").agg(F.collect_list(F.struct(*columns)).alias("rows"))
 
 
 def repeats(docs: DataFrame, stage: StageTables, window: int = WINDOW, seed: int = SEED) -> DataFrame:

@@ -71,7 +71,7 @@ def test_other_windows(spark, window, seed):
 
 def test_small_portions_stretches_and_hot_anchors(spark, monkeypatch):
     # few bytes a portion, so nothing meets in a task, and every kind but the first of an anchor is dealt out
-    for name, value in (("PORTION_BYTES", 500), ("STRETCH", 40), ("AT_HOME", 1), ("BROADCAST_ROWS", 0)):
+    for name, value in (("PORTION_BYTES", 500), ("STRETCH", 40), ("AT_HOME", 1)):
         monkeypatch.setattr(substrings, name, value)
     rng = random.Random(5)
     hot = [f"h{i}" for i in range(40)]
