@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import divergence, extract, jaccard, language, mixing, near_vectors, neighbours, packing, pii, substrings, toxicity, warc
+from orderloom.llm import collocations, divergence, extract, jaccard, language, mixing, near_vectors, neighbours, packing, pii, substrings, toxicity, warc
 from orderloom.llm.common import table
 from orderloom.sources.stage import StageTables
 
@@ -187,3 +187,32 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.remove(table(spark, sf_dir, "documents"), StageTables(spark)))
+
+
+@_register(
+    "op12_collocations",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+    g AS (
+        SELECT lang, unnest(flatten(list_transform([1, 2, 3], lambda k: list_transform(range(1, len(w) - k + 2), lambda i: w[i : i + k - 1])))) AS g
+        FROM p WHERE len(w) > 0
+    ),
+    f AS (SELECT lang, g, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+    n AS (SELECT lang, sum(f) AS n FROM f WHERE len(g) = 1 GROUP BY lang),
+    c AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1 AND f >= 10),
+    longer AS (SELECT lang, unnest([g[1:2], g[2:3]]) AS g, a FROM c WHERE len(g) = 3),
+    gone AS (SELECT DISTINCT c.lang, c.g FROM c JOIN longer USING (lang, g) WHERE 100 * longer.a >= 50 * c.a),
+    cut AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM c ANTI JOIN gone USING (lang, g)),
+    s AS (
+        SELECT cut.lang, array_to_string(cut.g, ' ') AS phrase, a, x.f AS l, y.f AS r, 1000000 * a * a // (x.f * y.f) AS score,
+            row_number() OVER (PARTITION BY cut.lang, cut.g ORDER BY 1000000 * a * a // (x.f * y.f), k) AS nth
+        FROM cut JOIN f x ON x.lang = cut.lang AND x.g = cut.g[1:k] JOIN f y ON y.lang = cut.lang AND y.g = cut.g[k + 1 :]
+    ),
+    r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s WHERE nth = 1)
+    SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM r JOIN n USING (lang) WHERE rank <= 2000
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"), StageTables(spark))

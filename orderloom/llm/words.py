@@ -41,15 +41,19 @@ class WordHasher:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
+    def between(self, flat: np.ndarray, begins: list[np.ndarray], ends: list[np.ndarray]) -> list[np.ndarray]:
+        """Hashes of the bytes from each of ``begins`` up to its one of ``ends``; those of a word equal the ones of ``words``."""
+        self._powers(len(flat) + 1)
+        sums = np.zeros(len(flat) + 1, np.uint64)
+        np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * self.power[: len(flat)], out=sums[1:])
+        return [mix((sums[e] - sums[b]) * self.inverse[b] + (e - b).astype(np.uint64)) for b, e in zip(begins, ends, strict=True)]
+
     def _stretch(self, flat: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         inside = np.zeros(len(flat) + 2, bool)
         np.logical_not(self.blank[flat], out=inside[1:-1])
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         begin, end = edge[::2], edge[1::2]
-        self._powers(len(flat) + 1)
-        sums = np.zeros(len(flat) + 1, np.uint64)
-        np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * self.power[: len(flat)], out=sums[1:])
-        word = mix((sums[end] - sums[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64))
+        (word,) = self.between(flat, [begin], [end])
         return word, begin + at, end + at
 
 
