@@ -41,7 +41,9 @@ PORTION_BYTES = 4 << 20
 SLOTS = 1 << 18  # counters of words and as many of pairs
 LEAST_SPLIT = 100_000  # occurrences; a counter above that, and above four times the mean, is dealt finer
 _TABLE = bytes(0x0A if c in b".,;:!?\n\x0b\x0c\r" else 0x20 if c in b" \t" else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
-_WORD, _PAIR, _EDGE = 1, 2, 3  # kinds of rows, by their words; also how an edge was dealt, in the last bits of its home
+_WORD, _PAIR, _EDGE = 1, 2, 3  # kinds of rows, by their words; also how an edge was dealt, in the last bits of its spot
+_HOME_BITS, _PAIR_BITS = 24, 16
+STEP_ROWS = 50_000
 
 
 def pieces(text: bytes) -> Iterator[tuple[list[bytes], bool]]:
@@ -111,7 +113,11 @@ def blanks_of(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _edges(hot_bits: bytes, held_edges: int):
-    """Rows (home, gram, n) of texts (lang, text): the edges of a task's texts, behind their language and a line feed."""
+    """Rows (spot, gram, n) of texts (lang, text): the edges of a task's texts, behind their language and a line feed.
+
+    ``spot`` is where an edge goes: few bits of its first word, then few of its pair, then how it is dealt. An edge that is dealt by its
+    pair or as a whole has bits of these in the first word's place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = np.unpackbits(np.frombuffer(hot_bits, np.uint8)).astype(bool).reshape(2, SLOTS)
@@ -129,10 +135,11 @@ def _edges(hot_bits: bytes, held_edges: int):
                 pair = pair_hash(first, second)
                 fine = hot[0][(first & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64)
                 finest = fine * hot[1][(pair & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64)
-                home = np.where(finest > 0, pair_hash(pair, third), np.where(fine > 0, pair, first))
-                home = (home & ~np.uint64(3)) | (np.uint64(_WORD) + fine + finest)
+                home = np.where(finest > 0, pair_hash(pair, third), np.where(fine > 0, pair, first)) >> np.uint64(64 - _HOME_BITS)
+                near = (pair & np.uint64((1 << _PAIR_BITS) - 1)) << np.uint64(2)
+                spot = (home << np.uint64(_PAIR_BITS + 2)) | near | (np.uint64(_WORD) + fine + finest)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(home.view(np.int64)), grams, pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], ["home", "gram", "n"]
+                    [pa.array(spot.view(np.int64)), grams, pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], ["spot", "gram", "n"]
                 )
             held.clear()
 
@@ -149,55 +156,52 @@ def _edges(hot_bits: bytes, held_edges: int):
 
 
 def _flow(least: int):
-    """Edges of a partition in order: rows (kind, gram, n) of the edges of ``least`` or more, of pairs that may have as many, and of all words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(b" \n")
-        open_: dict[int, list] = {}  # kind -> [gram, n, dealt by edge] that the next batch may continue
+    """Edges in order of their spots: rows (kind, gram, n) of edges of ``least`` or more, of pairs that may have as many, and of all words.
 
-        def rows(kind: int, found: list[tuple[bytes, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(found), kind, np.int32)), pa.array([g for g, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())],
-                ["kind", "gram", "n"],
-            )
+    Equal edges have the same spot, and so have all edges of a pair unless it was dealt finer; other edges may share it. Rows of one spot are
+    summed together. Sums of a word, and of a pair that was dealt finer, are parts of theirs.
+    """
 
-        def wanted(kind: int, gram: bytes, n: int, finest: bool) -> bool:
+    def rows(kind: int, grams: list[bytes], n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), kind, np.int32)), pa.array(grams, pa.binary()), pa.array(n)], ["kind", "gram", "n"])
+
+    def summed(held: list[pa.RecordBatch], hasher: WordHasher) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        spot, grams, n = whole.column("spot").to_numpy(), whole.column("gram").chunk(0), whole.column("n").to_numpy()
+        offsets = np.frombuffer(grams.buffers()[1], np.int32)[grams.offset : grams.offset + len(grams) + 1].astype(np.int64)
+        flat = np.frombuffer(grams.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        offsets -= offsets[0]
+        one, two = blanks_of(flat, offsets)
+        run = np.cumsum(np.append(0, spot[1:] != spot[:-1])).astype(np.uint64) << np.uint64(40)
+        finest = (spot & 3) == _EDGE
+        for kind, ends in ((_EDGE, offsets[1:]), (_PAIR, two), (_WORD, one)):
+            (key,) = hasher.between(flat, [offsets[:-1]], [ends])
+            if kind != _WORD:
+                key = run | (key >> np.uint64(24))
+            order = np.argsort(key, kind="stable")
+            head = np.flatnonzero(np.append(True, key[order[1:]] != key[order[:-1]]))
+            total, at = np.add.reduceat(n[order], head), order[head]
             # the end is no word: such edges, and the pair of a piece's last word with it, are flow alone
-            return not gram.endswith(b" ") and (kind == _WORD or n >= least or kind == _PAIR and finest)
+            real = np.ones(len(at), bool)
+            if kind != _WORD:
+                real = (ends[at] > (two if kind == _EDGE else one)[at] + 1) & ((total >= least) | (kind == _PAIR) & finest[at])
+            at, total = at[real], total[real]
+            if len(at):
+                yield rows(kind, [flat[a:b].tobytes() for a, b in zip(offsets[at].tolist(), ends[at].tolist(), strict=True)], total)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, held, size = WordHasher(b" \n"), [], 0
         for b in batches:
-            home, grams, n = b.column(0).to_numpy(), b.column(1), b.column(2).to_numpy()
-            offsets = np.frombuffer(grams.buffers()[1], np.int32)[grams.offset : grams.offset + len(grams) + 1].astype(np.int64)
-            flat = np.frombuffer(grams.buffers()[2], np.uint8)
-            one, two = blanks_of(flat, offsets)
-            finest, out = (home & 3) == _EDGE, []
-            prefixes = hasher.between(flat, [offsets[:-1]] * 3, [offsets[1:], two, one])
-            for kind, ends, prefix in zip((_EDGE, _PAIR, _WORD), (offsets[1:], two, one), prefixes, strict=True):
-                fresh = np.concatenate([[True], prefix[1:] != prefix[:-1]])
-                head = np.flatnonzero(fresh)
-                total, fine = np.add.reduceat(n, head), np.logical_or.reduceat(finest, head)
-                key = lambda i, ends=ends, head=head: flat[offsets[head[i]] : ends[head[i]]].tobytes()
-                found = []
-                first = key(0)
-                if kind in open_:
-                    if open_[kind][0] == first:
-                        total[0] += open_[kind][1]
-                        fine[0] |= open_[kind][2]
-                    elif wanted(kind, *open_[kind]):
-                        found.append(tuple(open_[kind][:2]))
-                last = len(head) - 1
-                open_[kind] = [key(last), int(total[last]), bool(fine[last])]
-                some = np.arange(last) if kind == _WORD else np.flatnonzero((total[:last] >= least) | fine[:last])
-                for i in some.tolist():
-                    gram = key(i)
-                    if wanted(kind, gram, int(total[i]), bool(fine[i])):
-                        found.append((gram, int(total[i])))
-                if found:
-                    out.append(rows(kind, found))
-            yield from out
-        for kind, (gram, n, finest) in open_.items():
-            if wanted(kind, gram, n, finest):
-                yield rows(kind, [(gram, n)])
+            spot = b.column(0).to_numpy()
+            last = int(np.searchsorted(spot, spot[-1]))  # the last spot's rows may go on in the next batch
+            whole = last > 0 or size and held[-1].column(0)[-1].as_py() != spot[-1]
+            if whole and size + last >= STEP_ROWS:
+                yield from summed([*held, b.slice(0, last)], hasher)
+                held, size, b = [], 0, b.slice(last)
+            held.append(b)
+            size += b.num_rows
+        if size:
+            yield from summed(held, hasher)
 
     return run
 
@@ -214,7 +218,7 @@ def graph(docs: DataFrame, stage: StageTables, least: int = LEAST) -> tuple[Data
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"),
     )
     hot = np.packbits(hot_slots(texts)).tobytes()
-    dealt = texts.mapInArrow(_edges(hot, HELD_EDGES), "home long, gram binary, n long").repartition("home").sortWithinPartitions("gram")
+    dealt = texts.mapInArrow(_edges(hot, HELD_EDGES), "spot long, gram binary, n long").repartition(F.shiftright("spot", _PAIR_BITS + 2)).sortWithinPartitions("spot")
     found = stage.keep("flow", dealt.mapInArrow(_flow(least), "kind int, gram binary, n long"))
 
     def of(kind: int) -> DataFrame:
