@@ -14,6 +14,7 @@ from orderloom.sources.stage import StageTables
 
 # A side of a join is broadcast only after its rows were counted and are at most this many narrow rows.
 BROADCAST_ROWS = 500_000
+TEXT_BYTES = 4 << 20  # of text that a task has in Python at a time, and one longer text at most
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,13 +26,13 @@ def id_remainder(column: str, divisor: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % divisor, F.lit(-1))
 
 
-def map_arrow(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch of ``df``; batches without rows are passed over."""
+def map_arrow(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: int | None = None) -> DataFrame:
+    """Apply ``fn`` to each Arrow batch of ``df``, in parts of some megabytes of column ``text``; batches without rows are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+            for part in [batch] if text is None else slices(batch, text, TEXT_BYTES):
+                out = fn(part) if part.num_rows else None
                 if out is not None and out.num_rows:
                     yield out
 

@@ -326,6 +326,6 @@ def extract(pages: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string"))
-    return map_arrow(narrow, "page_id long, url string, text string, n_chars long", batch)
+    return map_arrow(narrow, "page_id long, url string, text string, n_chars long", batch, text=2)
 
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import components, map_arrow, small_side
+from orderloom.llm.common import TEXT_BYTES, components, map_arrow, slices, small_side
 from orderloom.llm.shingles import Hasher, mix
 from orderloom.sources.stage import StageTables
 
@@ -73,7 +73,7 @@ def common_shingles(docs: DataFrame, rule: Rule) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, counts = Hasher(rule.words), np.zeros(COUNTERS, np.int64)
-        for b in (whole.slice(at, BATCH_ROWS) for whole in batches for at in range(0, whole.num_rows, BATCH_ROWS)):
+        for b in (p for whole in batches for p in slices(whole, 0, TEXT_BYTES, BATCH_ROWS)):
             counts += _counted(list(hasher.sets(b.column(0).to_pylist())))
         task = TaskContext.get().partitionId() % 64
         parts = [zlib.compress(p.tobytes(), 1) for p in counts.reshape(_SEGMENTS, -1)]
@@ -233,7 +233,7 @@ def _propose(rule: Rule, bits: bytes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, common = Hasher(rule.words), np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
-        for b in (whole.slice(at, BATCH_ROWS) for whole in batches for at in range(0, whole.num_rows, BATCH_ROWS)):
+        for b in (p for whole in batches for p in slices(whole, 1, TEXT_BYTES, BATCH_ROWS)):
             texts, ids = b.column(1).to_pylist(), b.column(0)
             sets = list(hasher.sets(texts))
             n = np.array([len(s) for s in sets], np.int64)
@@ -301,7 +301,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("_text"))
     joined = texts.join(small_side(wanted), "node").select("class", "node", "trees", "_text")
-    return map_arrow(joined, "class long, node long, trees long, s binary", batch)
+    return map_arrow(joined, "class long, node long, trees long, s binary", batch, text=3)
 
 
 def _links_of_groups(rule: Rule):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import id_remainder
+from orderloom.llm.common import TEXT_BYTES, id_remainder, slices
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -190,7 +190,7 @@ def predict(docs: DataFrame, net: ByteNet) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value)
-        for b in batches:
+        for b in (p for whole in batches for p in slices(whole, 2, TEXT_BYTES)):
             names, scores = reader.score(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())],

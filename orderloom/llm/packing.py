@@ -18,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderloom.llm.common import slices
 from orderloom.operators.prefix import lay_out
 from orderloom.sources.stage import StageTables
 
 SEQUENCE = 1024
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"  # a file of the public_tokenizers package, or a path
-CACHED_CHUNKS = 900_000
-PORTION_CHARS = 1_000_000
+CACHED_CHUNKS = 200_000  # words whose ids a worker process keeps
+PORTION_BYTES = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -34,7 +35,7 @@ class ChunkEncoder:
 
     The vocabulary cuts a text before every single blank between two other characters and encodes what
     lies between on its own, so a word with its leading blank always has the same ids. A text with any
-    other white space next to a blank is encoded in one go.
+    other white space next to a blank, or with a token that the file adds to its vocabulary, is encoded in one go.
     """
 
     def __init__(self, vocabulary: str):
@@ -43,15 +44,22 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary if os.path.sep in vocabulary else public_tokenizers.path(vocabulary))
-        self.tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
         blank = np.array([self.tokenizer.id_to_token(i).startswith("\u0120") for i in range(self.tokenizer.get_vocab_size())])
         self.leads = blank  # ids that begin with a blank
-        self._forget()
-
-    def _forget(self) -> None:
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
-        self.starts, self.lengths, self.odd = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.starts, self.lengths, self.used, self.odd = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def _forget(self) -> None:
+        """Keep the words used most, half of what may be kept; all uses count half from now on."""
+        kept = np.sort(np.argsort(-self.used, kind="stable")[: CACHED_CHUNKS // 2])
+        words = list(self.known)
+        self.known = {words[i]: at for at, i in enumerate(kept.tolist())}
+        lengths = self.lengths[kept]
+        ends = np.cumsum(lengths)
+        self.ids = self.ids[np.arange(lengths.sum()) + np.repeat(self.starts[kept] - (ends - lengths), lengths)]
+        self.starts, self.lengths, self.used, self.odd = ends - lengths, lengths, self.used[kept] // 2, self.odd[kept]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -66,39 +74,44 @@ class ChunkEncoder:
         self.known.update(zip(chunks, range(len(self.starts), len(self.starts) + len(chunks)), strict=True))
         self.ids = np.concatenate([self.ids, found])
         self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
-        self.odd = np.concatenate([self.odd, odd])
+        self.odd, self.used = np.concatenate([self.odd, odd]), np.concatenate([self.used, np.zeros(len(chunks), np.int64)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHED_CHUNKS:
-            self._forget()
-        split = [t.split(" ") for t in texts]
-        fresh = list(dict.fromkeys(c for chunks in split for c in chunks[1:] if c not in self.known))
+        out: list[np.ndarray | None] = [None] * len(texts)
+        plain = [i for i, t in enumerate(texts) if not any(a in t for a in self.added)]
+        split = [texts[i].split(" ") for i in plain]
+        rest = [c for chunks in split for c in chunks[1:]]
+        fresh = [c for c in dict.fromkeys(rest) if c not in self.known]
         if fresh:
             self._learn(fresh)
-        out, look = [], self.known.__getitem__
-        for text, chunks, first in zip(texts, split, self._ids([c[0] for c in split]), strict=True):
-            places = np.fromiter(map(look, chunks[1:]), np.int64, len(chunks) - 1)
-            if len(places) and (not chunks[0] or chunks[0][-1].isspace() or self.odd[places].any()):
-                out += self._ids([text])
-                continue
-            lengths = self.lengths[places]
-            ends = np.cumsum(lengths)
-            at = np.arange(lengths.sum()) + np.repeat(self.starts[places] - (ends - lengths), lengths)
-            out.append(np.concatenate([first, self.ids[at]]))
+        places = np.fromiter(map(self.known.__getitem__, rest), np.int64, len(rest))
+        self.used += np.bincount(places, minlength=len(self.used))
+        lengths, odd = self.lengths[places], self.odd[places]
+        ends = np.cumsum(lengths)
+        flat = self.ids[np.arange(lengths.sum()) + np.repeat(self.starts[places] - (ends - lengths), lengths)]
+        upto = np.append(0, ends)
+        at = 0
+        for i, chunks, first in zip(plain, split, self._ids([c[0] for c in split]), strict=True):
+            to = at + len(chunks) - 1
+            if to == at or not (not chunks[0] or chunks[0][-1].isspace() or odd[at:to].any()):
+                out[i] = np.concatenate([first, flat[upto[at] : upto[to]]])
+            at = to
+        whole = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        if len(self.known) > CACHED_CHUNKS:
+            self._forget()
         return out
 
 
-def portions(texts: list[str]) -> Iterator[list[str]]:
-    """Whole texts in turn, some million characters at a time."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text)
-        if size > PORTION_CHARS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+_CODERS: dict[str, ChunkEncoder] = {}
+
+
+def coder_of(vocabulary: str) -> ChunkEncoder:
+    """The process's one encoder of this vocabulary; it outlives tasks, and what it remembers is bounded."""
+    if vocabulary not in _CODERS:
+        _CODERS[vocabulary] = ChunkEncoder(vocabulary)
+    return _CODERS[vocabulary]
 
 
 def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SEQUENCE) -> DataFrame:
@@ -109,11 +122,10 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SEQUENCE)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkEncoder(vocabulary)
-        for b in batches:
-            out, texts = [[], [], [], [], []], [t or "" for t in b.column(1).to_pylist()]
-            encoded = (ids for some in portions(texts) for ids in coder.encode(some))
-            for doc_id, ids in zip(b.column(0).to_pylist(), encoded, strict=True):
+        coder = coder_of(vocabulary)
+        for b in (p for whole in batches for p in slices(whole, 1, PORTION_BYTES)):
+            out = [[], [], [], [], []]
+            for doc_id, ids in zip(b.column(0).to_pylist(), coder.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
                 ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                 for start in range(0, len(ids), size):
                     piece = ids[start : start + size]

@@ -151,7 +151,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], ["_id", "spans"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    out = map_arrow(narrow, "_id long, spans array<struct<kind:string,start:int,end:int,score:double>>", batch)
+    out = map_arrow(narrow, "_id long, spans array<struct<kind:string,start:int,end:int,score:double>>", batch, text=1)
     return out.withColumnRenamed("_id", id_col)
 
 
@@ -163,7 +163,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         texts = [t if t is None else masked(t, find_spans(t)) for t in b.column(at).to_pylist()]
         return b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
-    return map_arrow(docs, docs.schema, batch)
+    return map_arrow(docs, docs.schema, batch, text=docs.columns.index(text_col))
 
 
 def digest(found: DataFrame) -> DataFrame:

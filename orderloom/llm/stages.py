@@ -14,10 +14,12 @@ NEAR = jaccard.Rule(words=5, percent=80)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject; it learns from the labels of the documents at hand."""
-    net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    kept = toxicity.predict(docs.withColumn("_row", F.struct(*docs.columns)), net, keep=("_row",))
-    return kept.filter("_predicted = 0").select("_row.*")
+    """Documents that the classifier does not reject, in all their columns; it learns from the labels of the documents at hand.
+
+    Documents without a text or an id stay, repeated rows are judged alike, extra columns of any name pass, and an empty table
+    stays empty. Without labels of both classes nothing is rejected.
+    """
+    return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

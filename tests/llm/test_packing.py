@@ -15,7 +15,6 @@ from orderloom.sources.stage import StageTables
 from tests.conftest import SMALL
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-TOKENIZER.encode_special_tokens = True
 CODER = packing.ChunkEncoder(packing.VOCABULARY)
 
 
@@ -40,10 +39,17 @@ def test_every_piece_has_one_place(histogram):
 def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr(packing, "CACHED_CHUNKS", 3)
     coder = packing.ChunkEncoder(packing.VOCABULARY)
-    for text in ("a b c d e f", "g h a b", "a b c d e f g  h"):
+    for text in ("a b c d e f", "g h a b", "a b c d e f g  h", "x a y z a", "a b c"):
+        assert len(coder.known) <= 3
         assert coder.encode([text])[0].tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+def test_a_token_that_the_file_adds():
+    texts = ["foo <|endoftext|> bar", "a<|endoftext|>b", "<|endoftext|>", "foo <| endoftext|> bar", "plain foo bar"]
+    assert [x.tolist() for x in CODER.encode(texts)] == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in CODER.encode(texts)[0]
+
+
 def check_cover(rows, texts):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
