@@ -25,17 +25,17 @@ from orderloom.sources.stage import StageTables
 SEQUENCE = 1024
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"  # a file of the public_tokenizers package, or a path
-CACHED_CHUNKS = 200_000  # words whose ids a worker process keeps
+CACHED_CHUNKS = 500_000  # units whose ids a worker process keeps
 PORTION_BYTES = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class ChunkEncoder:
-    """Token ids of texts, with the ids of each word kept.
+    """Token ids of texts, with the ids of each unit kept: a word with the blank or the line feed before it.
 
-    The vocabulary cuts a text before every single blank between two other characters and encodes what
-    lies between on its own, so a word with its leading blank always has the same ids. A text with any
-    other white space next to a blank, or with a token that the file adds to its vocabulary, is encoded in one go.
+    The vocabulary cuts a text before every single blank and around every single line feed between two other characters and encodes
+    what lies between on its own, so a unit always has the same ids. A text with any other white space next to a blank or a line feed, or with a token that the file
+    adds to its vocabulary, is encoded in one go.
     """
 
     def __init__(self, vocabulary: str):
@@ -45,7 +45,8 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary if os.path.sep in vocabulary else public_tokenizers.path(vocabulary))
         blank = np.array([self.tokenizer.id_to_token(i).startswith("\u0120") for i in range(self.tokenizer.get_vocab_size())])
-        self.leads = blank  # ids that begin with a blank
+        self.leads = blank  # ids that begin with a blank, and the line feed's
+        self.leads[[i for i in (self.tokenizer.token_to_id("\u010a"),) if i is not None]] = True
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
@@ -64,31 +65,33 @@ class ChunkEncoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks in one text; each one's ids begin at an id with a leading blank. Odd chunks have none."""
-        odd = np.array([not c or c[0].isspace() or c[-1].isspace() for c in chunks])
-        (found,) = self._ids(["".join(f" {c}" for c, o in zip(chunks, odd, strict=True) if not o)])
+    def _learn(self, units: list[str]) -> None:
+        """Encode new units in one text; each one's ids begin at an id with a leading blank or at the line feed's. Odd units have none."""
+        odd = np.array([not u or u[-1].isspace() or u[0].isspace() and (u[0] != "\n" or u[1:2].isspace()) for u in units], bool)
+        (found,) = self._ids(["".join(u if u[0] == "\n" else " " + u for u, o in zip(units, odd.tolist(), strict=True) if not o)])
         begins = np.append(np.flatnonzero(self.leads[found]), len(found))
-        starts, lengths = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        starts, lengths = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
         starts[~odd], lengths[~odd] = begins[:-1] + len(self.ids), np.diff(begins)
-        self.known.update(zip(chunks, range(len(self.starts), len(self.starts) + len(chunks)), strict=True))
+        self.known.update(zip(units, range(len(self.starts), len(self.starts) + len(units)), strict=True))
         self.ids = np.concatenate([self.ids, found])
         self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
-        self.odd, self.used = np.concatenate([self.odd, odd]), np.concatenate([self.used, np.zeros(len(chunks), np.int64)])
+        self.odd, self.used = np.concatenate([self.odd, odd]), np.concatenate([self.used, np.zeros(len(units), np.int64)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         plain = [i for i, t in enumerate(texts) if not any(a in t for a in self.added)]
-        split = [texts[i].split(" ") for i in plain]
+        split = [texts[i].replace("\n", " \n").split(" ") for i in plain]
         rest = [c for chunks in split for c in chunks[1:]]
-        fresh = [c for c in dict.fromkeys(rest) if c not in self.known]
-        if fresh:
-            self._learn(fresh)
-        places = np.fromiter(map(self.known.__getitem__, rest), np.int64, len(rest))
+        places = np.fromiter(map(self.known.get, rest, itertools.repeat(-1)), np.int64, len(rest))
+        unknown = np.flatnonzero(places < 0).tolist()
+        if unknown:
+            self._learn(list(dict.fromkeys(rest[i] for i in unknown)))
+            places[unknown] = [self.known[rest[i]] for i in unknown]
         self.used += np.bincount(places, minlength=len(self.used))
         lengths, odd = self.lengths[places], self.odd[places]
         ends = np.cumsum(lengths)
-        flat = self.ids[np.arange(lengths.sum()) + np.repeat(self.starts[places] - (ends - lengths), lengths)]
+        # a portion has far fewer ids than 2^31
+        flat = self.ids[np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32) + np.repeat((self.starts[places] - (ends - lengths)).astype(np.int32), lengths)]
         upto = np.append(0, ends)
         at = 0
         for i, chunks, first in zip(plain, split, self._ids([c[0] for c in split]), strict=True):
