@@ -367,21 +367,21 @@ query(
 query(
     "savings_best_partner",
     """
-SELECT day, territory, invoice, arg_max(partner, (s, partner)) AS partner, max(s) AS saving_km
+SELECT day, invoice, arg_max(partner, (s, partner)) AS partner, max(s) AS saving_km
 FROM (
-  SELECT day, territory, invoice_i AS invoice, invoice_j AS partner, round(saving, 6) AS s FROM pairs
-  UNION ALL SELECT day, territory, invoice_j, invoice_i, round(saving, 6) FROM pairs
-) WHERE s > 0 GROUP BY 1, 2, 3""",
+  SELECT day, invoice_i AS invoice, invoice_j AS partner, round(saving, 6) AS s FROM pairs
+  UNION ALL SELECT day, invoice_j, invoice_i, round(saving, 6) FROM pairs
+) WHERE s > 0 GROUP BY 1, 2""",
 )(lambda r: delivery.best_savings(r.nodes))
 query(
     "savings_routes",
-    "SELECT day, territory, stops, array_to_string(visits, ' ') AS visits, round(km, 6) AS km FROM route_sums",
+    "SELECT day, stops, array_to_string(visits, ' ') AS visits, round(km, 6) AS km FROM route_sums",
 )(
     lambda r: rounded(
-        r.routes.groupBy("day", "territory", "route")
+        r.routes.groupBy("day", "route")
         .agg(F.array_join(F.array_sort(F.collect_list(F.struct("seq", "invoice")))["invoice"], " ").alias("visits"))
-        .join(r.route_lengths, ["day", "territory", "route"])
-        .select("day", "territory", "stops", "visits", "km"),
+        .join(r.route_lengths, ["day", "route"])
+        .select("day", "stops", "visits", "km"),
         km=6,
     )
 )

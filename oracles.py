@@ -412,20 +412,19 @@ FROM (
   FROM flog l JOIN placed p USING (invoice)
 )"""
 PARTS["stops"] = """
-SELECT day, invoice, x_km, y_km, away, rem AS load, row_number() OVER (PARTITION BY day ORDER BY invoice) AS k,
-       ((row_number() OVER (PARTITION BY day ORDER BY round(atan2(y_km, x_km), 9), invoice) - 1) // 40)::INT AS territory
+SELECT day, invoice, x_km, y_km, away, rem AS load, row_number() OVER (PARTITION BY day ORDER BY invoice) AS k
 FROM ship WHERE is_node"""
 PARTS["pairs"] = """
-SELECT a.day, a.territory, a.k AS i, b.k AS j, a.invoice AS invoice_i, b.invoice AS invoice_j,
+SELECT a.day, a.k AS i, b.k AS j, a.invoice AS invoice_i, b.invoice AS invoice_j,
        a.away + b.away - sqrt((a.x_km - b.x_km) * (a.x_km - b.x_km) + (a.y_km - b.y_km) * (a.y_km - b.y_km)) AS saving
-FROM stops a JOIN stops b ON a.day = b.day AND a.territory = b.territory AND a.k < b.k"""
+FROM stops a JOIN stops b ON a.day = b.day AND a.k < b.k"""
 PARTS["tried"] = """
-SELECT s.day, s.territory, s.alone, coalesce(p.pairs, []) AS pairs
-FROM (SELECT day, territory, list({'seq': [k], 'load': load::BIGINT} ORDER BY k) AS alone FROM stops GROUP BY 1, 2) s
-LEFT JOIN (SELECT day, territory, list({'i': i, 'j': j} ORDER BY saving DESC, i DESC, j DESC) AS pairs
-           FROM pairs WHERE saving > 0 GROUP BY 1, 2) p USING (day, territory)"""
+SELECT s.day, s.alone, coalesce(p.pairs, []) AS pairs
+FROM (SELECT day, list({'seq': [k], 'load': load::BIGINT} ORDER BY k) AS alone FROM stops GROUP BY 1) s
+LEFT JOIN (SELECT day, list({'i': i, 'j': j} ORDER BY saving DESC, i DESC, j DESC) AS pairs
+           FROM pairs WHERE saving > 0 GROUP BY 1) p USING (day)"""
 PARTS["joined"] = """
-SELECT day, territory, list_reduce(pairs, lambda rs, p:
+SELECT day, list_reduce(pairs, lambda rs, p:
   list_transform([{'a': list_filter(rs, lambda r: r.seq[1] = p.i OR r.seq[-1] = p.i),
                    'b': list_filter(rs, lambda r: r.seq[1] = p.j OR r.seq[-1] = p.j)}],
     lambda m: CASE
@@ -438,17 +437,18 @@ SELECT day, territory, list_reduce(pairs, lambda rs, p:
       ELSE rs END)[1], alone) AS routes
 FROM tried"""
 PARTS["tour_rows"] = """
-SELECT r.day, r.territory, r.route, r.pos, r.size, s.invoice, s.x_km, s.y_km, s.away
+SELECT r.day, r.route, r.pos, r.size, s.invoice, s.x_km, s.y_km, s.away
 FROM (
-  SELECT day, territory, route, generate_subscripts(seq, 1) AS pos, len(seq) AS size, unnest(seq) AS k
-  FROM (SELECT day, territory, generate_subscripts(routes, 1) AS route, unnest(routes).seq AS seq FROM joined)
+  SELECT day, route, generate_subscripts(seq, 1) AS pos, len(seq) AS size, unnest(seq) AS k
+  FROM (SELECT day, route, CASE WHEN seq[1] <= seq[-1] THEN seq ELSE list_reverse(seq) END AS seq
+        FROM (SELECT day, generate_subscripts(routes, 1) AS route, unnest(routes).seq AS seq FROM joined))
 ) r JOIN stops s ON s.day = r.day AND s.k = r.k"""
 PARTS["route_sums"] = """
-SELECT day, territory, route, count(*) AS stops, list(invoice ORDER BY pos) AS visits,
+SELECT day, route, count(*) AS stops, list(invoice ORDER BY pos) AS visits,
        sum(CASE WHEN pos = 1 THEN away ELSE leg END) + sum(CASE WHEN pos = size THEN away ELSE 0 END) AS km
 FROM (SELECT *, sqrt(pow(x_km - lag(x_km) OVER w, 2) + pow(y_km - lag(y_km) OVER w, 2)) AS leg
-      FROM tour_rows WINDOW w AS (PARTITION BY day, territory, route ORDER BY pos))
-GROUP BY 1, 2, 3"""
+      FROM tour_rows WINDOW w AS (PARTITION BY day, route ORDER BY pos))
+GROUP BY 1, 2"""
 PARTS["dday"] = """
 SELECT s.day, s.drops, s.cartons, s.direct_trips, coalesce(r.km, 0) + s.direct_km AS km,
        coalesce(r.routes, 0) + s.direct_trips AS vehicles, s.lo_km, s.hi_km

@@ -1,4 +1,4 @@
-"""Stage 4b: shipments, full loads, savings routes per day and territory, distances and bounds."""
+"""Stage 4b: shipments, full loads, savings routes per day, distances and bounds."""
 
 from __future__ import annotations
 
@@ -7,12 +7,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderloom.operators import routing
 from orderloom.operators.assign import with_customer_xy
 from orderloom.operators.prefix import largest_group, rank_in_group
 from orderloom.params import DEFAULTS, Params
+from orderloom.sources.stage import StageTables
 
 _BLOCK = 4096
 TIE_KM = 1e-6
+DAY_IN_TASK = 1500  # drops of a day that one task plans; its table of pairs has as many rows squared, halved
 
 
 def shipments(log: DataFrame, lookup: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -31,19 +34,19 @@ def shipments(log: DataFrame, lookup: DataFrame, p: Params = DEFAULTS) -> DataFr
     )
 
 
-def territories(shipments_df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Drops with the territory they are planned in.
+def drops(shipments_df: DataFrame) -> DataFrame:
+    """Drops to be routed, numbered by invoice within their day."""
+    nodes = shipments_df.filter("is_node").select("day", "invoice", "x_km", "y_km", F.col("rem").cast("int").alias("load"))
+    return rank_in_group(nodes, ["day"], [F.col("invoice")], largest_group(nodes, ["day"]), "k")
 
-    One rule at every size: a day's drops are swept by bearing from the depot and every ``drops_per_territory`` of them
-    in turn are one territory. Savings are looked at inside a territory, so no task ever needs more than that.
-    """
-    nodes = shipments_df.filter("is_node").select(
-        "day", "invoice", "x_km", "y_km", F.col("rem").cast("int").alias("load")
-    )
-    bearing = F.round(F.atan2("y_km", "x_km"), 9)
-    placed = rank_in_group(nodes, ["day"], [bearing, F.col("invoice")], largest_group(nodes, ["day"]), "_place")
-    number = F.floor((F.col("_place") - 1) / p.drops_per_territory).cast("int")
-    return placed.withColumn("territory", number).drop("_place")
+
+def _by_size(nodes: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """Days that fit one task and larger ones; the plan is the same, the way to it differs."""
+    sizes = nodes.groupBy("day").count()
+    if sizes.filter(F.col("count") > DAY_IN_TASK).limit(1).count() == 0:
+        return nodes, None
+    large = sizes.filter(F.col("count") > DAY_IN_TASK).select("day")
+    return nodes.join(large, "day", "left_anti"), nodes.join(large, "day", "left_semi")
 
 
 def _pair_savings(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -89,57 +92,84 @@ def merge_by_savings(x: np.ndarray, y: np.ndarray, load: np.ndarray, capacity: i
 
 
 def savings_routes(nodes: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Vehicle routes per day and territory, one row per drop in visiting order."""
+    """Vehicle routes of whole days, one row per drop in visiting order, from the end that sorts first.
+
+    A day of a size that fits a task is planned there; larger ones are merged in rounds over all their drops (``routing``).
+    """
     capacity = p.vehicle_cartons
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("invoice", kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values("k", kind="stable").reset_index(drop=True)
         routes = merge_by_savings(
             pdf["x_km"].to_numpy(), pdf["y_km"].to_numpy(), pdf["load"].to_numpy(), capacity
         )
-        visits = [(r, s, k) for r, route in enumerate(routes) for s, k in enumerate(route)]
+        routes = [r if r[0] <= r[-1] else r[::-1] for r in routes]
+        visits = [(min(route), s, k) for route in routes for s, k in enumerate(route)]
         route, seq, node = (np.array(c, dtype=np.int64) for c in zip(*visits))
         return pd.DataFrame(
             {
                 "day": pdf["day"].iloc[0],
-                "territory": pdf["territory"].iloc[0],
-                "route": route.astype("int32"),
+                "route": pdf["k"].to_numpy()[route],
                 "seq": seq.astype("int32"),
                 "invoice": pdf["invoice"].to_numpy()[node],
             }
         )
 
-    return nodes.groupBy("day", "territory").applyInPandas(
-        plan, "day date, territory int, route int, seq int, invoice string"
-    )
+    small, large = _by_size(nodes)
+    planned = small.groupBy("day").applyInPandas(plan, "day date, route bigint, seq int, invoice string")
+    if large is None:
+        return planned
+    merged = routing.merge_in_rounds(large.select("day", "k", "x_km", "y_km", F.col("load").cast("bigint").alias("load")), capacity)
+    return planned.unionByName(merged.join(large.select("day", "k", "invoice"), ["day", "k"]).drop("k"))
 
 
 def best_savings(nodes: DataFrame) -> DataFrame:
-    """For each drop the partner it saves most with, if any saving is positive; one row per drop at most.
+    """For each drop the partner of its day it saves most with, if any saving is positive; one row per drop at most.
 
     Savings are compared at 6 decimals, equal ones take the partner that sorts last.
     """
 
     def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("invoice", kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values("k", kind="stable").reset_index(drop=True)
         gain = np.round(_pair_savings(pdf["x_km"].to_numpy(), pdf["y_km"].to_numpy()), 6)
         np.fill_diagonal(gain, -np.inf)
         n = len(pdf)
         partner = n - 1 - np.argmax(gain[:, ::-1], axis=1)
         saved = gain[np.arange(n), partner]
         names = pdf["invoice"].to_numpy()
-        out = pdf[["day", "territory", "invoice"]].assign(partner=names[partner], saving_km=saved)
+        out = pdf[["day", "invoice"]].assign(partner=names[partner], saving_km=saved)
         return out[saved > 0]
 
-    return nodes.groupBy("day", "territory").applyInPandas(
-        rank, "day date, territory int, invoice string, partner string, saving_km double"
-    )
+    small, large = _by_size(nodes)
+    found = small.groupBy("day").applyInPandas(rank, "day date, invoice string, partner string, saving_km double")
+    return found if large is None else found.unionByName(_best_of_large_days(large))
+
+
+def _best_of_large_days(nodes: DataFrame) -> DataFrame:
+    """Best partners by places: drops at one place differ only in their number, so a place speaks through its last drop.
+
+    A drop's own place offers its last drop, or its last but one to that drop itself.
+    """
+    stage = StageTables(nodes.sparkSession)
+    place = ["day", "x_km", "y_km"]
+    ends = nodes.groupBy(*place).agg(F.max("k").alias("last"))
+    before = nodes.join(ends, place).filter("k < last").groupBy(*place).agg(F.max("k").alias("second"))
+    places = stage.keep("places", ends.join(before, place, "left"))
+    rows = places.select("day", F.col("last").alias("k"), F.col("last").alias("route"), F.lit(0).cast("bigint").alias("load"), "x_km", "y_km")
+    laid = stage.keep("blocks", routing.in_blocks(rows))
+    apart = routing.best_partners(laid, stage.keep("boxes", routing.boxes(laid)), stage, "partners", digits=6).select("day", F.col("route").alias("last"), "gain", F.col("mate").alias("other"))
+    here = F.when(F.col("k") == F.col("last"), F.col("second")).otherwise(F.col("last"))
+    own = F.when(here.isNotNull(), F.struct(F.round(2 * F.sqrt(F.col("x_km") * F.col("x_km") + F.col("y_km") * F.col("y_km")), 6).alias("saving_km"), here.alias("mate")))
+    away = F.when(F.col("gain").isNotNull(), F.struct(F.col("gain").alias("saving_km"), F.col("other").alias("mate")))
+    offered = nodes.join(places, place).join(apart, ["day", "last"], "left").withColumn("best", F.greatest(own, away)).filter("best.saving_km > 0")
+    names = nodes.select("day", F.col("k").alias("mate"), F.col("invoice").alias("partner"))
+    return offered.select("day", "invoice", "best.*").join(names, ["day", "mate"]).select("day", "invoice", "partner", "saving_km")
 
 
 def route_km(routes: DataFrame, places: DataFrame) -> DataFrame:
     """Length of each route, depot to depot; a route holds at most one vehicle load of drops."""
     stops = routes.join(places.select("invoice", "x_km", "y_km"), "invoice")
-    key = ["day", "territory", "route"]
+    key = ["day", "route"]
     order = Window.partitionBy(*key).orderBy("seq")
     legs = stops.select(
         *key, "x_km", "y_km",

@@ -39,7 +39,6 @@ class Params:
     carton_kg: float = 20.0
     # delivery
     vehicle_cartons: int = 80
-    drops_per_territory: int = 40  # a few vehicle loads
     # rates, GBP
     labour_per_hour: float = 14.50
     transport_per_km: float = 0.85

@@ -206,7 +206,7 @@ class Run:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return delivery.territories(self.shipments, self.params)
+        return self._keep("nodes", delivery.drops(self.shipments))
 
     @cached_property
     def routes(self) -> DataFrame:

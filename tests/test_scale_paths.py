@@ -236,28 +236,82 @@ def test_savings_against_a_loop(seed):
     assert sorted(map(tuple, got)) == plain_savings(pts, load, 80)
 
 
-def test_a_hot_day_is_cut_into_whole_territories(spark, path):
-    p = Params(drops_per_territory=50)
-    rng = random.Random(8)
-    rows = []
-    for i in range(900):
-        day = DAY if i % 3 else DAY + dt.timedelta(rng.randrange(1, 30))
-        x, y = (10.0, 10.0) if i % 5 == 0 else (rng.uniform(-99, 99), rng.uniform(-99, 99))
-        rows.append((f"o{i:04d}", day, x, y, i % 80 + 1, i % 80 + 1, 0, True, 0.0, i % 80 + 1))
-    ship = spark.createDataFrame(
-        rows, "invoice string, day date, x_km double, y_km double, cartons bigint, packed bigint, full_trips bigint, is_node boolean, direct_km double, rem bigint"
+def shipped(spark, rows):
+    """Drops (invoice, day, x, y, load) as shipments."""
+    return spark.createDataFrame(
+        [(i, d, x, y, load, load, 0, True, 0.0, load) for i, d, x, y, load in rows],
+        "invoice string, day date, x_km double, y_km double, cartons bigint, packed bigint, full_trips bigint, is_node boolean, direct_km double, rem bigint",
     )
-    nodes = delivery.territories(ship, p)
-    sizes = {(r.day, r.territory): r["count"] for r in nodes.groupBy("day", "territory").count().collect()}
-    assert max(sizes.values()) <= 50 and sum(sizes.values()) == 900
-    assert all(t == 0 for d, t in sizes if d != DAY)
-    routes = delivery.savings_routes(nodes, p)
-    assert sorted(r.invoice for r in routes.collect()) == sorted(r[0] for r in rows)
-    loads = routes.join(nodes.select("invoice", "load"), "invoice").groupBy("day", "territory", "route").agg(F.sum("load").alias("l"))
-    assert loads.agg(F.max("l")).first()[0] <= 80
-    daily = delivery.per_day(delivery.route_km(routes, ship), ship, p)
+
+
+def day_of(n, seed, at_one_place=0, day=DAY):
+    rng = random.Random(seed)
+    spot = (rng.uniform(-90, 90), rng.uniform(-90, 90))
+    places = [(rng.uniform(-120, 120), rng.uniform(-120, 120)) for _ in range(max(1, 2 * n // 3))]
+    return [(f"o{i:05d}", day, *(spot if i % n < at_one_place else rng.choice(places)), rng.randrange(1, 40)) for i in range(n)]
+
+
+def routes_of(df):
+    """The drops of each route in order, by day."""
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r.day, r.route, r.seq)):
+        out.setdefault((r.day, r.route), []).append(r.invoice)
+    return sorted((d, tuple(v)) for (d, _), v in out.items())
+
+
+@pytest.mark.parametrize("n, block", [(41, 15), (70, 1024)])
+def test_days_of_any_size_have_the_whole_days_plan(spark, monkeypatch, n, block):
+    rows = day_of(n, n, n // 8) + [(f"x{i}", DAY + dt.timedelta(1), float(i), 5.0, 30) for i in range(5)]
+    nodes = delivery.drops(shipped(spark, rows)).cache()
+    monkeypatch.setattr(delivery, "DAY_IN_TASK", 10**9)
+    whole = routes_of(delivery.savings_routes(nodes))
+    monkeypatch.setattr(delivery, "DAY_IN_TASK", 10)
+    merge = delivery.routing.merge_in_rounds
+    monkeypatch.setattr(delivery.routing, "merge_in_rounds", lambda df, capacity: merge(df, capacity, block))
+    assert routes_of(delivery.savings_routes(nodes)) == whole
+    assert sorted(i for _, v in whole for i in v) == sorted(r[0] for r in rows)
+    points = [(x, y) for _, d, x, y, _ in rows if d == DAY]
+    plain = plain_savings(points, [r[4] for r in rows[:n]], 80)
+    assert sorted(v for d, v in whole if d == DAY) == sorted(tuple(f"o{k:05d}" for k in (r if r[0] <= r[-1] else r[::-1])) for r in plain)
+    nodes.unpersist()
+
+
+@pytest.mark.parametrize("n", [400, 1000])
+def test_larger_days_are_planned_as_one(spark, n):
+    ship = shipped(spark, day_of(n, n, n // 4))
+    nodes = delivery.drops(ship).collect()
+    nodes.sort(key=lambda r: r.k)
+    plain = plain_savings([(r.x_km, r.y_km) for r in nodes], [r.load for r in nodes], 80) if n <= 400 else None
+    routes = delivery.savings_routes(delivery.drops(ship))
+    found = sorted(tuple(int(i[1:]) for i in v) for _, v in routes_of(routes))
+    assert sorted(k for v in found for k in v) == list(range(n))
+    assert plain is None or found == sorted(r if r[0] <= r[-1] else r[::-1] for r in plain)
+    daily = delivery.per_day(delivery.route_km(routes, ship), ship)
     assert delivery.km_bounds(daily).filter("NOT inside").count() == 0
-    assert delivery.routed_drops(delivery.route_km(routes, ship), ship).first()[0] == 900
+    assert delivery.routed_drops(delivery.route_km(routes, ship), ship).first()[0] == n
+
+
+@pytest.mark.parametrize("block", [64, 1024])
+def test_best_partners_of_a_day_with_a_full_place(spark, monkeypatch, block):
+    rows = day_of(1000, 7, 300) + [("depot", DAY, 0.0, 0.0, 1), ("depot2", DAY, 0.0, 0.0, 1)]
+    nodes = delivery.drops(shipped(spark, rows)).cache()
+    monkeypatch.setattr(delivery, "DAY_IN_TASK", 10**9)
+    want = {r.invoice: (r.partner, r.saving_km) for r in delivery.best_savings(nodes).collect()}
+    blocks = delivery.routing.in_blocks
+    monkeypatch.setattr(delivery.routing, "in_blocks", lambda df: blocks(df, block))
+    monkeypatch.setattr(delivery, "DAY_IN_TASK", 10)
+    found = delivery.best_savings(nodes)
+    assert {r.invoice: (r.partner, r.saving_km) for r in found.collect()} == want and len(want) == 1000
+    nodes.unpersist()
+
+
+def test_days_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(delivery, "DAY_IN_TASK", 0)
+    for rows in ([], [("a", DAY, 3.0, 4.0, 5)], [("a", DAY, 3.0, 4.0, 79), ("b", DAY, 3.0, 4.0, 79)], [("a", DAY, 3.0, 4.0, 1), ("b", DAY, -3.0, -4.0, 1)]):
+        nodes = delivery.drops(shipped(spark, rows))
+        assert routes_of(delivery.savings_routes(nodes)) == sorted((DAY, (r[0],)) for r in rows)
+        pairs = [(r.invoice, r.partner, r.saving_km) for r in delivery.best_savings(nodes).orderBy("invoice").collect()]
+        assert pairs == ([("a", "b", 10.0), ("b", "a", 10.0)] if len(rows) == 2 and rows[1][2] > 0 else [])
 
 
 def test_full_vehicles_leave_no_drop(spark):
