@@ -406,6 +406,29 @@ query(
     "SELECT day, round(lo_km, 4) AS lo_km, round(km, 4) AS km, round(hi_km, 4) AS hi_km, true AS inside FROM dday",
 )(lambda r: rounded(delivery.km_bounds(r.delivery_daily), **_DAILY))
 
+query(
+    "sweep_routes",
+    "SELECT day, stops, array_to_string(visits, ' ') AS visits, round(km, 6) AS km FROM sweep_sums",
+)(
+    lambda r: rounded(
+        r.sweep.groupBy("day", "route")
+        .agg(F.array_join(F.array_sort(F.collect_list(F.struct("seq", "invoice")))["invoice"], " ").alias("visits"))
+        .join(r.sweep_lengths, ["day", "route"])
+        .select("day", "stops", "visits", "km"),
+        km=6,
+    )
+)
+query(
+    "plans_per_day", "SELECT * REPLACE (round(km, 4) AS km, round(sweep_km, 4) AS sweep_km) FROM plans",
+)(lambda r: rounded(r.plans_daily, km=4, sweep_km=4))
+query(
+    "method_record_sweep",
+    """
+SELECT count(*) FILTER (km < sweep_km - 1e-6) AS wins, count(*) FILTER (abs(km - sweep_km) <= 1e-6) AS ties,
+       count(*) FILTER (km > sweep_km + 1e-6) AS losses, round(100 * sum(km - sweep_km) / sum(sweep_km), 6) AS delta_pct
+FROM plans""",
+)(lambda r: rounded(delivery.method_record(r.plans_daily, "km", "sweep_km"), delta_pct=6))
+
 # ---- costs
 query(
     "window_revenue",

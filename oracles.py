@@ -459,6 +459,26 @@ FROM (
   FROM ship GROUP BY 1
 ) s LEFT JOIN (SELECT day, sum(km) AS km, count(*) AS routes FROM route_sums GROUP BY 1) r USING (day)"""
 
+PARTS["sweep_walk"] = """
+WITH RECURSIVE o AS (
+  SELECT day, k, load, row_number() OVER (PARTITION BY day ORDER BY round(atan2(y_km, x_km), 9), k) AS n FROM stops
+), w AS (
+  SELECT day, k, n, load AS held, 0 AS route FROM o WHERE n = 1
+  UNION ALL
+  SELECT o.day, o.k, o.n, CASE WHEN w.held + o.load > 80 THEN o.load ELSE w.held + o.load END, w.route + (w.held + o.load > 80)::INT
+  FROM w JOIN o ON o.day = w.day AND o.n = w.n + 1
+)
+SELECT w.day, w.route, w.n AS pos, s.invoice, s.x_km, s.y_km, s.away FROM w JOIN stops s ON s.day = w.day AND s.k = w.k"""
+PARTS["sweep_sums"] = """
+SELECT day, route, count(*) AS stops, list(invoice ORDER BY pos) AS visits, sum(coalesce(leg, away)) + arg_max(away, pos) AS km
+FROM (SELECT *, sqrt(pow(x_km - lag(x_km) OVER w, 2) + pow(y_km - lag(y_km) OVER w, 2)) AS leg
+      FROM sweep_walk WINDOW w AS (PARTITION BY day, route ORDER BY pos))
+GROUP BY 1, 2"""
+PARTS["plans"] = """
+SELECT d.day, d.drops, d.km, d.vehicles, coalesce(r.km, 0) + s.direct_km AS sweep_km, coalesce(r.routes, 0) + d.direct_trips AS sweep_vehicles
+FROM dday d JOIN (SELECT day, sum(direct_km) AS direct_km FROM ship GROUP BY 1) s USING (day)
+LEFT JOIN (SELECT day, sum(km) AS km, count(*) AS routes FROM sweep_sums GROUP BY 1) r USING (day)"""
+
 # ---- costs
 PARTS["rev_lines"] = """
 SELECT * FROM sales s WHERE EXISTS (SELECT 1 FROM win w WHERE w.week = s.week)

@@ -123,6 +123,18 @@ def savings_routes(nodes: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     return planned.unionByName(merged.join(large.select("day", "k", "invoice"), ["day", "k"]).drop("k"))
 
 
+def sweep_routes(nodes: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Routes by bearing from the depot, one row per drop in visiting order: the plan that savings are compared with."""
+    swept = routing.sweep(nodes.withColumn("load", F.col("load").cast("bigint")), p.vehicle_cartons)
+    return swept.join(nodes.select("day", "k", "invoice"), ["day", "k"]).select("day", "route", "seq", "invoice")
+
+
+def plans_by_day(daily: DataFrame, other: DataFrame, name: str) -> DataFrame:
+    """Distance and vehicles of two plans of the same drops, both as ``per_day`` gives them; the second's columns begin with ``name``."""
+    second = other.select("day", F.col("km").alias(f"{name}_km"), F.col("vehicles").alias(f"{name}_vehicles"))
+    return daily.select("day", "drops", "km", "vehicles").join(second, "day")
+
+
 def best_savings(nodes: DataFrame) -> DataFrame:
     """For each drop the partner of its day it saves most with, if any saving is positive; one row per drop at most.
 

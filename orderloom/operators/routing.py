@@ -16,10 +16,10 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderloom.operators.prefix import largest_group, rank_in_group
+from orderloom.operators.prefix import largest_group, lay_out, rank_in_group
 from orderloom.sources.stage import StageTables
 
 BLOCK_DROPS = 1024
@@ -141,3 +141,49 @@ def merge_in_rounds(nodes: DataFrame, capacity: int, size: int = BLOCK_DROPS) ->
         routes = routes.drop("meets")
     path = F.when(first <= last, F.col("path")).otherwise(F.reverse("path"))
     return routes.select("day", "route", F.posexplode(path).alias("seq", "k"))
+
+
+def sweep(nodes: DataFrame, capacity: int) -> DataFrame:
+    """A second plan: a day's drops by bearing, each vehicle filled until the next drop does not fit. Rows (day, route, seq, k).
+
+    The state is the running load, which starts anew with each vehicle. A piece of a day (what one range holds of it) is first a table
+    from every load it may begin with to the load it ends with and the vehicles it adds; a day's tables, one per range,
+    are composed in order, and then every piece numbers its drops from its own beginning.
+    """
+    laid = lay_out(nodes.select("day", "k", "load", F.round(F.atan2("y_km", "x_km"), 9).alias("bearing")), [F.col("day"), F.col("bearing"), F.col("k")])
+    piece = ["day", "_gp_part"]
+
+    def table_of(rows: pa.Table) -> pa.Table:
+        load, added = np.arange(capacity + 1), np.zeros(capacity + 1, np.int64)
+        for own in rows.column("load").to_numpy()[np.argsort(rows.column("_gp_pos").to_numpy())].tolist():
+            full = load + own > capacity
+            added += full
+            load = np.where(full, own, load + own)
+        first = [rows.column(c).slice(0, 1) for c in piece]
+        return pa.table([*first, pa.array([load.tolist()]), pa.array([added.tolist()])], names=[*piece, "load", "added"])
+
+    def begin_of(rows: pa.Table) -> pa.Table:
+        out, load, route = [], 0, 0
+        for r in sorted(rows.to_pylist(), key=lambda r: r["_gp_part"]):
+            out.append({"day": r["day"], "_gp_part": r["_gp_part"], "load0": load, "route0": route})
+            load, route = r["load"][load], route + r["added"][load]
+        return pa.Table.from_pylist(out, pa.schema([("day", pa.date32()), ("_gp_part", pa.int64()), ("load0", pa.int64()), ("route0", pa.int64())]))
+
+    def number(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column("_gp_pos").to_numpy())
+        load, route = rows.column("load0")[0].as_py(), rows.column("route0")[0].as_py()
+        found = []
+        for own in rows.column("load").to_numpy()[order].tolist():
+            if load + own > capacity:
+                load, route = 0, route + 1
+            load += own
+            found.append(route)
+        return pa.table([rows.column("day").take(pa.array(order)), pa.array(found, pa.int64()), rows.column("k").take(pa.array(order)),
+                         rows.column("bearing").take(pa.array(order))], names=["day", "route", "k", "bearing"])
+
+    # one row per range and day
+    tables = laid.groupBy(*piece).applyInArrow(table_of, "day date, _gp_part bigint, load array<bigint>, added array<bigint>")
+    begins = tables.groupBy("day").applyInArrow(begin_of, "day date, _gp_part bigint, load0 bigint, route0 bigint")
+    numbered = laid.join(begins, piece).groupBy(*piece).applyInArrow(number, "day date, route bigint, k bigint, bearing double")
+    order = Window.partitionBy("day", "route").orderBy("bearing", "k")  # a vehicle load of drops at most
+    return numbered.select("day", "route", (F.row_number().over(order) - 1).alias("seq"), "k")

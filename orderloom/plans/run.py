@@ -222,6 +222,19 @@ class Run:
             "delivery_daily", delivery.per_day(self.route_lengths, self.shipments, self.params)
         )
 
+    @cached_property
+    def sweep_lengths(self) -> DataFrame:
+        return delivery.route_km(self.sweep, self.shipments)
+
+    @cached_property
+    def sweep(self) -> DataFrame:
+        return self._keep("sweep", delivery.sweep_routes(self.nodes, self.params))
+
+    @cached_property
+    def plans_daily(self) -> DataFrame:
+        other = delivery.per_day(self.sweep_lengths, self.shipments, self.params)
+        return self._keep("plans_daily", delivery.plans_by_day(self.delivery_daily, other, "sweep"))
+
     # stage 5: costs
     @cached_property
     def revenue_lines(self) -> DataFrame:

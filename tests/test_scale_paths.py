@@ -344,3 +344,29 @@ def test_sample_with_a_third_of_all_rows_in_one_group(spark):
     assert got["duplicate", "hot"] == 200_000
     assert sum(n for (s, _), n in got.items() if s == "random") == 1200
     assert sum(n for (s, _), n in got.items() if s == "focus") == 30 + 300
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_sweep_resets_with_each_vehicle(spark, parts):
+    rows = day_of(300, 5, 30) + [(f"y{i}", DAY + dt.timedelta(i % 3 + 1), float(i), 1.0, 79) for i in range(9)]
+    nodes = delivery.drops(shipped(spark, rows)).cache()
+    want = []
+    for day in sorted({r[1] for r in rows}):
+        own = sorted((r for r in nodes.collect() if r.day == day), key=lambda r: (round(math.atan2(r.y_km, r.x_km), 9), r.k))
+        held, route = 0, []
+        for r in own:
+            if held + r.load > 80:
+                want.append((day, tuple(route)))
+                held, route = 0, []
+            held += r.load
+            route.append(r.invoice)
+        want.append((day, tuple(route)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert routes_of(delivery.sweep_routes(nodes)) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        nodes.unpersist()
