@@ -20,6 +20,7 @@ WEEKS_PER_YEAR = 365.25 / 7.0
 LAGS = 4
 _TERMS = 4 + LAGS
 _DOUBLES = "array<double>"
+_WEEKS_AT_ONCE = 300_000
 
 # A model adds ``pred array<double>`` (length h) to frames that hold ``y array<double>``.
 Model = Callable[[DataFrame, int], DataFrame]
@@ -126,61 +127,58 @@ def croston_sba(train: DataFrame, h: int, alpha: float = DEFAULTS.croston_alpha)
     return train.withColumn("pred", _flat(rate, h))
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
-
-
-def _solve(sums: pd.Series) -> pd.Series:
-    """Coefficients of a batch of normal equations, each the upper triangle row by row and then the right side.
-
-    Columns are scaled to unit length first; directions without weight (collinear features) get the smallest solution.
-    """
-    known = sums.notna().to_numpy()
-    flat = np.stack(sums[known].to_list()).astype(float) if known.any() else np.zeros((0, _TERMS * (_TERMS + 3) // 2))
-    gram, row, column = np.zeros((len(flat), _TERMS, _TERMS)), *np.triu_indices(_TERMS)
-    gram[:, row, column] = gram[:, column, row] = flat[:, : len(row)]
+def _solved(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Coefficients of many normal equations. Columns are scaled to unit length first; collinear features get the smallest solution."""
     size = np.sqrt(np.diagonal(gram, axis1=1, axis2=2))
     size[size == 0] = 1.0
     inverse = np.linalg.pinv(gram / size[:, :, None] / size[:, None, :], rcond=1e-11, hermitian=True)
-    beta = np.einsum("bij,bj->bi", inverse, flat[:, len(row) :] / size) / size
-    solved = iter(beta)
-    return pd.Series([next(solved) if k else None for k in known], dtype=object)
+    return np.einsum("bij,bj->bi", inverse, right / size) / size
+
+
+def _lag_paths(flat: np.ndarray, n: np.ndarray, h: int) -> np.ndarray:
+    """Forecasts (series x h) of series of lengths ``n`` that lie one after the other; every week of every series is one row of one matrix."""
+    turn, fitted, start = 2.0 * math.pi / WEEKS_PER_YEAR, n - LAGS, np.cumsum(n) - n
+    known = lambda t, n: (np.ones(len(t)), t / n, np.sin(t * turn), np.cos(t * turn))
+    begin = np.cumsum(fitted) - fitted
+    week = np.arange(fitted.sum()) - np.repeat(begin, fitted) + LAGS
+    at = np.repeat(start, fitted) + week
+    features = [*known(week.astype(float), np.repeat(n, fitted)), *(flat[at - 1 - k] for k in range(LAGS))]
+    gram, right = np.zeros((len(n), _TERMS, _TERMS)), np.zeros((len(n), _TERMS))
+    for i, f in enumerate(features):
+        right[:, i] = np.add.reduceat(f * flat[at], begin)
+        for j in range(i, _TERMS):
+            gram[:, i, j] = gram[:, j, i] = np.add.reduceat(f * features[j], begin)
+    beta = _solved(gram, right)
+    past, out = np.stack([flat[start + n - 1 - k] for k in range(LAGS)], 1), []
+    for step in range(h):
+        now = np.stack(known((n + step).astype(float), n), 1)
+        value = (beta[:, :4] * now).sum(1) + (beta[:, 4:] * past).sum(1)
+        past = np.concatenate([value[:, None], past[:, :-1]], 1)
+        out.append(np.maximum(value, 0.0))
+    return np.stack(out, 1)
 
 
 def lag_linear(train: DataFrame, h: int) -> DataFrame:
     """Least squares on trend, one annual sine/cosine pair and the last four weeks; forecast step by step.
 
-    The sums of the normal equations are array expressions, one 8 x 8 solve per series runs on whole batches, and the
-    steps ahead fold over the calendar. Histories under 12 weeks keep their last value.
+    The series of an Arrow batch are fitted together, some hundred thousand weeks at a time: sums of the normal equations run over
+    all their weeks at once, and so do the solves and the steps ahead. Histories under 12 weeks keep their last value.
     """
-    y, n = F.col("y"), F.size("y")
-    fitted = F.greatest(n - LAGS, F.lit(0))
-    times = F.transform(F.slice(F.sequence(F.lit(LAGS), F.greatest(n, F.lit(LAGS))), F.lit(1), fitted), lambda t: t.cast("double"))
-    turn = 2.0 * math.pi / WEEKS_PER_YEAR
-    known = [
-        lambda t: F.lit(1.0), lambda t: t / n, lambda t: F.sin(t * turn), lambda t: F.cos(t * turn),
-    ]
-    features = [F.transform(times, f) for f in known] + [F.slice(y, LAGS - k, fitted) for k in range(LAGS)]
-    names = [f"_lag_f{i}" for i in range(_TERMS)]
-    laid = train.withColumns({**dict(zip(names, features, strict=True)), "_lag_target": F.slice(y, LAGS + 1, fitted)})
-    pairs = [_dot(F.col(names[i]), F.col(names[j])) for i in range(_TERMS) for j in range(i, _TERMS)]
-    pairs += [_dot(F.col(name), F.col("_lag_target")) for name in names]
-    enough = n >= LAGS + 8
-    solved = laid.withColumn("_lag_sums", F.when(enough, F.array(*pairs))).withColumn("_lag_beta", F.pandas_udf(_solve, _DOUBLES)("_lag_sums"))
-    beta = lambda k: F.element_at("_lag_beta", k + 1)
-    start = F.struct(F.reverse(F.slice(y, F.greatest(n - LAGS + 1, F.lit(1)), F.lit(LAGS))).alias("past"), F.array().cast(_DOUBLES).alias("out"))
-
-    def step(state: Column, i: Column) -> Column:
-        t = (n + i).cast("double")
-        value = sum((beta(k) * f(t) for k, f in enumerate(known)), F.lit(0.0))
-        value = sum((beta(4 + k) * F.element_at(state["past"], k + 1) for k in range(LAGS)), value)
-        return F.struct(
-            F.concat(F.array(value), F.slice(state["past"], 1, LAGS - 1)).alias("past"), F.concat(state["out"], F.array(_floor0(value))).alias("out")
-        )
-
-    path = F.aggregate(F.sequence(F.lit(0), F.lit(h - 1)), start, step, lambda s: s["out"])
-    pred = F.when(enough, path).otherwise(_flat(_last(y), h))
-    return solved.withColumn("pred", pred).drop(*names, "_lag_target", "_lag_sums", "_lag_beta")
+
+    def paths(series: pd.Series) -> pd.Series:
+        out = [None] * len(series)
+        lengths = series.map(lambda v: 0 if v is None else len(v)).to_numpy()
+        own = np.flatnonzero(lengths >= LAGS + 8)
+        for some in np.split(own, np.flatnonzero(np.diff(np.cumsum(lengths[own]) // _WEEKS_AT_ONCE)) + 1):
+            if len(some):
+                found = _lag_paths(np.concatenate([series.iat[i] for i in some]).astype(float), lengths[some].astype(np.int64), h)
+                for i, path in zip(some.tolist(), found, strict=True):
+                    out[i] = path
+        return pd.Series(out, dtype=object)
+
+    paths.__annotations__ = {"series": pd.Series, "return": pd.Series}
+    fitted = train.withColumn("_lag_path", F.pandas_udf(paths, _DOUBLES)("y"))
+    return fitted.withColumn("pred", F.coalesce("_lag_path", _flat(_last(F.col("y")), h))).drop("_lag_path")
 
 
 def vector_model(fit: Callable[[np.ndarray, int], np.ndarray]) -> Model:
