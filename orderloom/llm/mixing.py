@@ -172,20 +172,21 @@ def apply(docs: DataFrame, stage: StageTables, weights: tuple = WEIGHTS, share:
     """``docs`` with every row repeated as often as the mix takes it; rows taken 0 times go.
 
     Equal rows share one key, so their copies are added up and dealt over them. Only rows whose copies do not divide evenly
-    are numbered, over key ranges, so a group of any size stays spread.
+    are numbered, over key ranges, so a group of any size stays spread. Null texts, ids and sources count as in ``mix``; a row travels as
+    one struct, so its columns may have any names; an empty table stays empty.
     """
     decided = stage.keep("mix-decided", mix(docs, stage, weights, share).groupBy(F.col("key").alias("_key")).agg(
         F.sum("copies").alias("_copies"), F.count("*").alias("_rows"),
     ))
-    joined = docs.withColumn("_key", row_key(docs)).join(small_side(decided), "_key")
+    joined = docs.select(F.struct(*docs.columns).alias("_row"), row_key(docs).alias("_key")).join(small_side(decided), "_key")
     even, left = F.floor(F.col("_copies") / F.col("_rows")), F.col("_copies") % F.col("_rows")
 
     def repeated(rows: DataFrame, times: Column) -> DataFrame:
-        return rows.withColumn("_each", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*docs.columns)
+        return rows.withColumn("_each", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select("_row.*")
 
     if not decided.filter(left > 0).limit(1).count():
         return repeated(joined, even)
     # equal rows differ in the last column of the order alone, so that ranges can part them
-    placed = stage.keep("mix-uneven", joined.filter(left > 0).withColumn("_order", F.xxhash64(*docs.columns)).withColumn("_lot", F.rand(1)))
+    placed = stage.keep("mix-uneven", joined.filter(left > 0).withColumn("_order", F.xxhash64("_row")).withColumn("_lot", F.rand(1)))
     turned = rank_in_group(placed, ["_key"], [F.col("_order"), F.col("_lot")], ONE_TASK_ROWS + 1, "_turn")
     return repeated(joined.filter(left == 0), even).unionByName(repeated(turned, even + (F.col("_turn") <= left).cast("int")))

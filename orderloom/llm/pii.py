@@ -156,7 +156,10 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every confirmed span of ``text_col`` replaced by its kind; null texts stay null."""
+    """``docs`` with every confirmed span of ``text_col`` replaced by its kind; null texts stay null.
+
+    Ids are not read; repeated rows are masked alike; an empty table stays empty; columns of any name pass as they are.
+    """
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         at = b.schema.get_field_index(text_col)

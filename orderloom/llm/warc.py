@@ -40,7 +40,12 @@ READ = "page_id long, record_type string, refers_to long, payload_digest string,
 
 def open_store(folder: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a folder given as a plain path or as an address (file, hdfs, s3, gs)."""
-    return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
+    return pafs.FileSystem.from_uri(address(folder))
+
+
+def address(folder: str) -> str:
+    """Spark's name of a folder as Arrow knows it: Hadoop's s3a and s3n are s3."""
+    return re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", folder))
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -168,7 +173,8 @@ def read(index: DataFrame, stage: StageTables, name: str = "warc", payloads: boo
     """The records that the rows of ``index`` point to; every payload is checked against its digest.
 
     Ranges of sorted places are dealt out evenly, so one large archive is read by many tasks. Without
-    ``payloads`` that column is null. Repeated index rows give repeated records.
+    ``payloads`` that column is null. Repeated index rows give repeated records, null ids and addresses come back null, other columns of
+    the index are not read, and an empty index gives no records.
     """
     folder = f"{stage.folder}/{name}-archives"
 
@@ -199,7 +205,10 @@ def read(index: DataFrame, stage: StageTables, name: str = "warc", payloads: boo
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """One row per record of ``records`` (stored); a revisit gets the payload's size from the response it refers to."""
+    """One row per record of ``records`` (stored); a revisit gets the payload's size from the response it refers to.
+
+    Only record columns are read; records with null ids keep their rows; an empty table stays empty.
+    """
     responses = records.filter("record_type = 'response'")
     sizes = responses.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.first("payload_bytes").alias("payload_bytes"))
     revisits = records.filter("record_type = 'revisit'").drop("payload_bytes").join(sizes, ["refers_to", "payload_digest"], "left")

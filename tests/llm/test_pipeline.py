@@ -105,3 +105,28 @@ def test_other_texts_of_a_repeated_id_stay(spark):
     kept = [sorted(r.n_chars for r in stages.drop_near_copies(spark, docs.repartition(n), SMALL).collect()) for n in (1, 3, 5)]
     assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 6
     assert {2, 3, 4, 8, 9} < set(kept[0]) and len({1, 7} & set(kept[0])) == 1
+
+
+ODD = [
+    (1, "Some plain text of eight words or so", "en", "a", 3), (1, "Some plain text of eight words or so", "en", "a", 3), (1, "another text of the same id", None, None, 3),
+    (None, "no id and a@b.example.org in it", "en", "a", 0), (None, None, None, None, None), (2, "", "de", "b", 0), (3, "   ", "de", "b", 3), (4, "long words " * 20_000, "en", "b", 1),
+]
+TYPES = "doc_id long, text string, lang string, source string, n_chars int"
+CLASHING = {"_id": 7, "_hash": 8, "_key": "k", "_copies": 9, "_row": 1, "_node": 2, "_text": "t", "key": 5, "size": 6, "_each": 4, "spans": "s", "score": 0.5}
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_odd_rows_and_columns_of_any_name(spark, name, stage):
+    types = TYPES + "".join(f", {n} {'string' if isinstance(v, str) else 'double' if isinstance(v, float) else 'int'}" for n, v in CLASHING.items())
+    plain = stage(spark, spark.createDataFrame(ODD, TYPES), SMALL)
+    wide = stage(spark, spark.createDataFrame([(*r, *CLASHING.values()) for r in ODD], types), SMALL)
+    if name == "packing":
+        assert rows(wide) == rows(plain)
+    else:
+        assert wide.columns == [*plain.columns, *CLASHING] and dict(wide.dtypes) == {**dict(plain.dtypes), **{n: t for n, t in wide.dtypes if n in CLASHING}}
+        found = wide.collect()
+        assert all(tuple(r)[5:] == tuple(CLASHING.values()) for r in found)
+        if name != "mixing":  # the draw goes by row, and there are two sorts of rows
+            assert Counter(tuple(r)[:5] for r in found) == rows(plain)
+    empty = stage(spark, spark.createDataFrame([], types), SMALL)
+    assert empty.count() == 0 and empty.columns == wide.columns

@@ -52,3 +52,9 @@ def test_ranges():
 def test_query_equals_statement(spark):
     difference, n = compare(QUERIES["op3_warc"](spark, SMALL), connect(SMALL), SQL["op3_warc"])
     assert difference is None and n > 0, difference
+
+
+def test_addresses_that_spark_uses():
+    assert warc.address("s3a://bucket/a/b") == "s3://bucket/a/b" and warc.address("s3://bucket/a") == "s3://bucket/a"
+    assert warc.address("file:/tmp/x") == "file:///tmp/x" and warc.address("hdfs://host/s3a:x") == "hdfs://host/s3a:x"
+    assert warc.open_store("/tmp/x")[1] == "/tmp/x"
