@@ -5,8 +5,8 @@ footers, forms and the like) leaves empty lines behind. So do elements whose cla
 hold the page's article or, on a page without one, most of its text. The text lengths of the lines, less their link
 texts, are summed over a sliding window; where the sums surge a text begins, where they dive it ends. The heaviest run
 and all that stands in the container of its text are the page's undeclared text, less thin lines of other
-containers and link lines at either end. The heaviest article or main element, which counts in
-full, is taken instead unless the undeclared text outweighs it.
+containers and link lines at either end. The heaviest article or main element, with others of at least half its weight, counts in
+full and is taken instead unless the undeclared text outweighs it.
 """
 
 from __future__ import annotations
@@ -47,12 +47,13 @@ MARKS = {
 # "header" outside an article is furniture, inside one it holds the title
 HEADER_MARKS = {"header", "masthead"}
 
+# a quote opens a value directly behind "=" only, and one that never closes is an ordinary sign
 _TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S  # quotes that do not close
+    r"<!--.*?(?:--!?>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/=>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _MARK = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_HEADINGS, _PARAGRAPHS = {"h1", "h2", "h3", "h4", "h5", "h6"}, {"p", "blockquote", "pre", "dd", "li"}
 _CONTAINERS = {"body", "div", "section", "td", "article", "main"}
 _SPACE = re.compile(r"\s+")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
@@ -71,22 +72,23 @@ def is_furniture(tag: str, attributes: str, in_article: bool) -> int:
         return 0
     found = 0
     for name, *values in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), next((v for v in values if v), "")
+        name, value = name.lower(), html.unescape(next((v for v in values if v), ""))
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in ROLES):
             return SURE
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return SURE
-        if name in ("class", "id"):
+        if name in ("class", "id") and not found:
             words = {w.lower() for w in _MARK.findall(value)}
             if words & MARKS or (words & HEADER_MARKS and not in_article):
                 found = BY_CLASS
     return found
 
 
-def released(lines: list[tuple[str, int, int, int, int]], marks: list[tuple[int, int]], articles: list[int]) -> list[bool]:
+def released(lines: list[tuple[str, int, int, int, int]], marks: list[tuple[int, int, str]], articles: list[int]) -> list[bool]:
     """Which marked elements (those with a furniture word in class or id) stay, by their number; 0 stands for none.
 
-    ``marks`` has each one's surrounding marked element and article, ``articles`` the marked element around each article.
+    ``marks`` has each one's surrounding marked element, article and tag, ``articles`` the marked element around each article. Inside an
+    article a heading stays, and a paragraph unless it is thin.
     """
     own, weight, rest = [0] * len(marks), [0] * len(articles), [0] * len(articles)
     for text, plain, article, _, mark in lines:
@@ -105,10 +107,11 @@ def released(lines: list[tuple[str, int, int, int, int]], marks: list[tuple[int,
         best[marks[m][0]] = max(best[marks[m][0]], best[m])
     stays = [True] * len(marks)
     for m in range(1, len(marks)):
-        around, article = marks[m]
+        around, article, tag = marks[m]
         most = 2 * held[m] > held[0]
         if article and not articles[article]:
-            good = most and rest[article] < SURGE  # the article has no other text
+            dense = tag in _HEADINGS or tag in _PARAGRAPHS and held[m] >= SURGE
+            good = dense or most and rest[article] < SURGE  # the article has no other text
         elif unmarked:
             good = 2 * best[m] > held[0]
         else:
@@ -127,7 +130,8 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int], set
     linked = 0
     open_tags: list[tuple[str, int, int, int, int]] = []  # name, article, container and marked element around it, whether it is furniture
     skipping = links = current = inside = mark = 0
-    parents, bodies, articles, marks = [0], {0}, [0], [(0, 0)]
+    parents, bodies, articles, marks = [0], {0}, [0], [(0, 0, "")]
+    opened: dict[str, int] = {}  # open elements by name
     empty = [("", 0, 0, 0, 0)] * GAP
 
     def flush() -> None:
@@ -141,10 +145,11 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int], set
     def close(name: str) -> None:
         """Close the innermost open element of that name with all inside it; without one nothing is closed."""
         nonlocal skipping, links, current, inside, mark
-        if not any(t[0] == name for t in open_tags):
+        if not opened.get(name):
             return
         while True:
             tag, around, container, marked, starts = open_tags.pop()
+            opened[tag] -= 1
             if tag == "a":
                 links -= 1
             if starts == SURE:
@@ -177,7 +182,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int], set
         if m is None:
             break
         at = m.end()
-        ends, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        ends, tag, attributes = m[1], m[2], m[3]
         if not tag:
             continue
         tag = tag.lower()
@@ -194,7 +199,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int], set
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
-        if tag in _ENDS_ITSELF:
+        if tag in _ENDS_ITSELF and opened.get(tag):
             for name, *_ in reversed(open_tags):
                 if name == tag:
                     close(tag)
@@ -207,9 +212,10 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int], set
             skipping += 1
             lines.extend(empty)
         open_tags.append((tag, current, inside, mark, starts))
+        opened[tag] = opened.get(tag, 0) + 1
         if starts == BY_CLASS and not skipping:
             flush()
-            marks.append((mark, current))
+            marks.append((mark, current, tag))
             mark = len(marks) - 1
             lines.append(("", 0, 0, 0, mark))
         if tag in _CONTAINERS:
@@ -306,10 +312,12 @@ def main_text(page: str) -> str:
     for text, _, article, _ in lines:
         if article:
             weight[article] = weight.get(article, 0) + len(text)
-    heaviest = max(weight, key=lambda k: weight[k], default=0)
+    # an article in several parts of like weight is one text; cards beside it weigh less
+    most = max(weight.values(), default=0)
+    parts = {a for a, w in weight.items() if w == most or 2 * w >= most and w >= SURGE}
     kept = undeclared_text(lines, parents, bodies)
-    if heaviest and sum(lines[i][1] for i in kept) <= weight[heaviest]:
-        kept = [i for i, x in enumerate(lines) if x[0] and x[2] == heaviest]
+    if parts and sum(lines[i][1] for i in kept) <= sum(weight[a] for a in parts):
+        kept = [i for i, x in enumerate(lines) if x[0] and x[2] in parts]
     return " ".join(lines[i][0] for i in kept)
 
 

@@ -10,6 +10,7 @@ spanning forest.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.llm.common import components, map_arrow
-from orderloom.llm.vectors import as_matrix, one_length, valid_vectors
+from orderloom.llm.vectors import as_matrix, by_length, scaled, valid_vectors
 from orderloom.sources.stage import StageTables
 
 THRESHOLD = 0.9
@@ -42,7 +43,7 @@ def rotation(unique: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(1, keepdims=True)  # no overflow of squares
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -50,7 +51,7 @@ class Side:
     """Rows of one block, ready to be compared: rotated, with the suffix norm behind the leading coordinates."""
 
     def __init__(self, ids: np.ndarray, copies: np.ndarray, v: np.ndarray, turn: np.ndarray):
-        self.ids, self.copies, self.v = ids, copies, v
+        v = scaled(v)  # a cosine stays what it is
         y = unit(v) @ turn
         order = np.argsort(y[:, 0], kind="stable")
         self.ids, self.copies, self.v, self.y = ids[order], copies[order], v[order], y[order]
@@ -152,21 +153,34 @@ def compare(a: Side, b: Side | None, threshold: float) -> tuple[list, list, list
 def near_duplicates(embeddings: DataFrame, stage: StageTables, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``embeddings``: vec_id, n_links, component_id, kept.
 
-    A vector that is null, zero or holds null or non-finite components, and one of another length than most, links with
-    nothing and is its own component; so does a row with a null id, whose other columns are 0, null and null. Equal
-    vectors of different ids link. Rows that repeat an id and a vector are one vector, with equal results on each row.
+    A vector that is null, zero or holds null or non-finite components links with nothing and is its own component; so does a row
+    with a null id, whose other columns are 0, null and null. Vectors of different lengths do not link; those of each length are compared
+    among themselves. Equal vectors of different ids link. Rows that repeat an id and a vector are one vector, with equal results on each row.
     Other columns are not read. An empty table gives an empty result.
     """
     ids = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"))
-    rows = one_length(stage.keep("near-valid", valid_vectors(embeddings).distinct()))
-    unique = stage.keep("near-unique", rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    rows = stage.keep("near-valid", valid_vectors(embeddings).distinct())
+    found = [_classes(own, stage, threshold, f"near-{i}") for i, own in enumerate(by_length(rows))]
+    classes = functools.reduce(DataFrame.union, found) if found else rows.select("v", F.lit(0).alias("n_links"), F.col("vec_id").alias("component_id"))
+    # rows of one id and different vectors: their links add up and their classes are one by the id; the smallest is shown
+    per_id = rows.join(classes, "v").groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    known = stage.keep("near-result", per_id)
+    return ids.join(known, "vec_id", "left").select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
+        (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept"),
+    )
+
+
+def _classes(rows: DataFrame, stage: StageTables, threshold: float, name: str) -> DataFrame:
+    """(v, n_links, component_id) of every different vector of ``rows`` (vec_id, v), which are of one length."""
+    unique = stage.keep(f"{name}-unique", rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     turn = rotation(unique)
 
     def lead(b: pa.RecordBatch) -> pa.RecordBatch:
         y = unit(as_matrix(b.column(0))) @ turn[:, :1]
         return pa.RecordBatch.from_arrays([*b.columns, pa.array(y[:, 0])], ["v", "rep", "copies", "y"])
 
-    led = stage.keep("near-led", map_arrow(unique, "v binary, rep long, copies long, y double", lead))
+    led = stage.keep(f"{name}-led", map_arrow(unique, "v binary, rep long, copies long, y double", lead))
     n_blocks = max(1, -(-led.count() // BLOCK))
     cuts = led.approxQuantile("y", [k / n_blocks for k in range(1, n_blocks)], 0.2 / n_blocks) if n_blocks > 1 else []
     cut = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
@@ -174,7 +188,7 @@ def near_duplicates(embeddings: DataFrame, stage: StageTables, threshold: float
     upto = F.size(F.filter(cut, lambda c: c <= F.col("y")))
     # rows that share a cut value are dealt over all blocks it bounds
     block = (below + F.pmod(F.xxhash64("rep"), upto - below + 1)).cast("int")
-    blocked = stage.keep("near-blocks", led.withColumn("block", block))
+    blocked = stage.keep(f"{name}-blocks", led.withColumn("block", block))
     spans = blocked.groupBy("block").agg(F.min("y").alias("low"), F.max("y").alias("high")).orderBy("block").collect()
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
     # blocks follow each other on the first coordinate, so those that a block must meet are neighbours
@@ -182,7 +196,7 @@ def near_duplicates(embeddings: DataFrame, stage: StageTables, threshold: float
     for r in spans:
         own = [s["block"] for s in spans if s["low"] - r["high"] <= reach and r["low"] - s["high"] <= reach]
         meets.append((r["block"], min(own), max(own)))
-    spark = embeddings.sparkSession
+    spark = rows.sparkSession
     near = spark.createDataFrame(meets, "block int, first int, last int")
     dealt = blocked.join(F.broadcast(near), "block").withColumn("other", F.explode(F.sequence("first", "last"))).select(
         "v", "rep", "copies", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
@@ -201,19 +215,12 @@ def near_duplicates(embeddings: DataFrame, stage: StageTables, threshold: float
             return schema.empty_table()
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in compare(sides[0], sides[1] if len(sides) > 1 else None, threshold)], schema=schema)
 
-    found = stage.keep("near-found", dealt.groupBy("p", "q").applyInArrow(pair, "a long, b long, n long"))
+    found = stage.keep(f"{name}-found", dealt.groupBy("p", "q").applyInArrow(pair, "a long, b long, n long"))
     counts = found.filter("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    labels = components(found.filter("n IS NULL").select("a", "b"), stage, "near-links")
-    classes = stage.keep(
-        "near-classes",
+    labels = components(found.filter("n IS NULL").select("a", "b"), stage, f"{name}-links")
+    return stage.keep(
+        f"{name}-classes",
         unique.join(counts, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
             "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"),
         ),
     )
-    # rows of one id and different vectors: their links add up and their classes are one by the id; the smallest is shown
-    per_id = rows.join(classes, "v").groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    known = stage.keep("near-result", per_id)
-    return ids.join(known, "vec_id", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
-        (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept"),
-    )

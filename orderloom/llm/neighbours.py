@@ -8,6 +8,7 @@ into tiles of bounded size on both sides, and only each tile's best come out.
 
 from __future__ import annotations
 
+import functools
 import heapq
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.llm.common import map_arrow
-from orderloom.llm.vectors import as_matrix, distinct_vectors, one_length, valid_vectors
+from orderloom.llm.vectors import as_matrix, by_length, distinct_vectors, scaled, valid_vectors
 from orderloom.sources.stage import StageTables
 
 CENTROIDS = 64  # per half; a query's open cells of one first-half centroid are the bits of one long
@@ -53,24 +54,26 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres * centres).sum(1) - 2 * (x @ centres.T)).argmin(1)
 
 
-def build(vectors: DataFrame, stage: StageTables, keep: int, centroids: int = CENTROIDS, sample: int = SAMPLE) -> Index:
+def build(vectors: DataFrame, stage: StageTables, keep: int, centroids: int = CENTROIDS, sample: int = SAMPLE, name: str = "imi") -> Index:
     """Index every different vector of ``vectors`` (vec_id, v), each with its ``keep`` smallest ids."""
-    unique = stage.keep("imi-vectors", distinct_vectors(vectors, keep))
+    unique = stage.keep(f"{name}-vectors", distinct_vectors(vectors, keep))
     n = unique.count()
     key = F.pmod(F.xxhash64("v"), F.lit(1 << 30))
     drawn = unique.filter(key < int(min(1.0, 1.1 * sample / max(1, n)) * (1 << 30))).select("v").collect()
     x = np.stack([np.frombuffer(r["v"], "<f8") for r in sorted(drawn)[:sample]]) if drawn else np.zeros((1, 2))
     if not drawn and n:  # a handful of vectors of which the hash took none
         x = np.stack([np.frombuffer(r["v"], "<f8") for r in unique.limit(sample).select("v").collect()])
-    half = x.shape[1] // 2
+    # one power of two for all vectors, so that squares neither overflow nor vanish and products keep their order
+    shift = -int(np.frexp(np.abs(x).max())[1])
+    x, half = np.ldexp(x, shift), x.shape[1] // 2
     first, second = kmeans(x[:, :half], centroids, 1), kmeans(x[:, half:], centroids, 2)
 
     def assign(b: pa.RecordBatch) -> pa.RecordBatch:
-        m = as_matrix(b.column(0))
+        m = np.clip(np.ldexp(as_matrix(b.column(0)), shift), -1e100, 1e100)
         cells = [pa.array(nearest(m[:, :half], first).astype(np.int32)), pa.array(nearest(m[:, half:], second).astype(np.int32))]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cells], ["v", "ids", "c1", "c2"])
 
-    entries = stage.keep("imi-entries", map_arrow(unique, "v binary, ids array<bigint>, c1 int, c2 int", assign))
+    entries = stage.keep(f"{name}-entries", map_arrow(unique, "v binary, ids array<bigint>, c1 int, c2 int", assign))
     counts = np.zeros((len(first), len(second)), np.int64)
     for r in entries.groupBy("c1", "c2").count().collect():  # at most K x K rows
         counts[r["c1"], r["c2"]] = r["count"]
@@ -111,7 +114,7 @@ def search(index: Index, queries: DataFrame, k: int, share: float = SHARE, least
     def open_cells(b: pa.RecordBatch) -> pa.RecordBatch:
         ids, vectors, shards, masks = [], [], [], []
         for query, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            v = np.frombuffer(raw, "<f8")
+            v = scaled(np.frombuffer(raw, "<f8")[None, :])[0]
             for shard, mask in enumerate(walk(first @ v[:half], second @ v[half:], counts, wanted)):
                 if mask:
                     ids.append(query)
@@ -143,17 +146,25 @@ def search(index: Index, queries: DataFrame, k: int, share: float = SHARE, least
             names, shard = left.column("query_id").to_pylist(), left.column("c1")[0].as_py()
             lowest = np.array([i[0] for i in ids])
             # products of the matrix and exact ones differ by rounding only
-            slack = 4 * v.shape[1] * np.finfo(float).eps * np.sqrt((v * v).sum(1).max() * (q * q).sum(1))
+            size = lambda x: np.abs(x).max(1) * np.sqrt(x.shape[1])  # noqa: E731  no less than the norm
+            with np.errstate(over="ignore"):
+                slack = 4 * v.shape[1] * np.finfo(float).eps * size(v).max() * size(q)
             for at in range(0, len(q), 256):
                 seen = (mask[at : at + 256, None] >> cell[None, :]) & np.uint64(1)
-                near = np.where(seen, q[at : at + 256] @ v.T, -np.inf)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    near = q[at : at + 256] @ v.T
+                # products beyond double precision are decided by the exact ones
+                near = np.where(seen, np.where(np.isfinite(near), near, np.inf), -np.inf)
                 few = min(k + 1, near.shape[1])  # one may be the query's own
-                least = -np.partition(-near, few - 1, axis=1)[:, few - 1] - slack[at : at + 256]
+                least = -np.partition(-near, few - 1, axis=1)[:, few - 1]
+                with np.errstate(invalid="ignore"):
+                    least = np.where(np.isfinite(slack[at : at + 256]), least - slack[at : at + 256], -np.inf)
                 for row in range(len(near)):
                     own = np.flatnonzero((near[row] >= least[row]) & seen[row].astype(bool))
                     if not len(own):
                         continue
-                    exact = (v[own] * q[at + row]).sum(1)
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        exact = np.nan_to_num((v[own] * q[at + row]).sum(1), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
                     # an entry behind k + 1 others by score and smallest id has nothing among the first k
                     first_ones = np.lexsort((lowest[own], -exact))[:few]
                     own, exact = own[first_ones], exact[first_ones]
@@ -182,9 +193,14 @@ def nearest_rows(embeddings: DataFrame, stage: StageTables, k: int = 20, divisor
     """Search all of ``embeddings`` with the rows whose id ``divisor`` divides.
 
     Null ids and vectors that are null, zero or hold null or non-finite components take no part. Equal vectors and
-    repeated rows tie and go by id. An empty table gives an empty result. Other columns are not read.
+    repeated rows tie and go by id. A query's candidates are the vectors of its length. Products beyond double precision are infinite, tie
+    and go by id. An empty table gives an empty result. Other columns are not read.
     """
-    vectors = one_length(stage.keep("imi-valid", valid_vectors(embeddings)))
-    index = build(vectors, stage, k + 1)
-    queries = vectors.filter(F.col("vec_id") % divisor == 0).select(F.col("vec_id").alias("query_id"), "v")
-    return search(index, queries, k, **how)
+    valid, found = stage.keep("imi-valid", valid_vectors(embeddings)), []
+    for i, vectors in enumerate(by_length(valid)):
+        index = build(vectors, stage, k + 1, name=f"imi-{i}")
+        queries = vectors.filter(F.col("vec_id") % divisor == 0).select(F.col("vec_id").alias("query_id"), "v")
+        found.append(search(index, queries, k, **how))
+    if not found:
+        return valid.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+    return functools.reduce(DataFrame.union, found)

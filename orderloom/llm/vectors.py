@@ -39,10 +39,15 @@ def valid_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     return narrow.mapInArrow(run, "vec_id long, v binary")
 
 
-def one_length(vectors: DataFrame) -> DataFrame:
-    """The vectors of the most common length (the shorter one of a tie); others cannot be compared with them."""
-    lengths = vectors.groupBy(F.octet_length("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
-    return vectors.filter(F.octet_length("v") == (lengths["n"] if lengths else 0))
+def by_length(vectors: DataFrame) -> list[DataFrame]:
+    """The vectors of each length; those of another cannot be compared with them. One row per length is read."""
+    lengths = sorted(r["n"] for r in vectors.select(F.octet_length("v").alias("n")).distinct().collect())
+    return [vectors.filter(F.octet_length("v") == n) for n in lengths] if len(lengths) != 1 else [vectors]
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Every row times a power of two that brings its largest component near 1: exact, and squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
 
 
 def distinct_vectors(vectors: DataFrame, most: int) -> DataFrame:

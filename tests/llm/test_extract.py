@@ -2,7 +2,11 @@
 
 import html
 import re
+import time
 
+import pytest
+
+from orderloom.llm import extract
 from orderloom.llm.extract import main_text, runs
 from orderloom.llm.queries import QUERIES
 from tests.conftest import SMALL
@@ -83,3 +87,34 @@ def test_the_heavier_of_declared_and_undeclared_text():
     teasers = "<article><h2>Other</h2><p>A teaser.</p></article>" * 2
     assert main_text(f"<body><div class=content>{P}{P}{P}</div><div>{teasers}</div>") == f"{T} {T} {T}"
     assert main_text(f"<body><div>{P}</div><article>{P}{P}</article>") == f"{T} {T}"
+
+
+LEAD = "lead words " * 20
+
+
+@pytest.mark.parametrize("page, want", [
+    # attributes by whole name; quotes open a value directly behind "=" only
+    ("<article><p>one</p><p title=\"hidden gems\">two</p><div data-hidden=\"false\">three</div><p data-note='hidden'>four</p></article>", "one two three four"),
+    ("<article><p>see <a href='/hidden-gems'>word</a> here</p></article>", "see word here"),
+    ("<article><div data-class='menu share'>one</div><p data-id='nav'>two</p><p hidden>gone</p><p HIDDEN=''>gone</p></article>", "one two"),
+    ("<article><p title=it's>FIRST</p><p>MID</p><p title=it's>LAST</p></article>", "FIRST MID LAST"),
+    ("<article><p title = 'a > b' class = \"share\">no</p><p title=\"x>y\">one two</p></article>", "one two"),
+    ("<article><p>one</p><p title=\"open>two</p></article>", "one two"),
+    # a class word takes a heading never, and a paragraph of an article only where it is thin
+    (f"<article><h1 class='banner'>Title</h1><p class='lead widget'>{LEAD}</p><p>rest</p><p class=share>Share this</p><div class=related>{LEAD}</div></article>",
+     f"Title {LEAD.strip()} rest"),
+    # parts of one article count together, a card does not
+    (f"<article><p>{LEAD}</p></article><article><p>{LEAD}two</p></article><article><p>card</p></article>", f"{LEAD}{LEAD}two"),
+])
+def test_attributes_classes_and_parts(page, want):
+    assert extract.main_text(page) == want
+
+
+def test_deep_nesting_takes_linear_time():
+    def seconds(n):
+        begin = time.perf_counter()
+        extract.main_text("<div>" * n + "text" + "</div>" * n + "<b>" * n + "x" + "</b>" * n)
+        return time.perf_counter() - begin
+
+    seconds(100)
+    assert seconds(40_000) < 40 * max(seconds(4_000), 0.01)

@@ -70,3 +70,17 @@ def test_odd_rows(spark):
     none = spark.createDataFrame([(None, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in near_vectors.near_duplicates(none, StageTables(spark)).collect()] == [(None, 0, None, None)]
     assert near_vectors.near_duplicates(df.limit(0), StageTables(spark)).count() == 0
+
+
+@pytest.mark.parametrize("scale", [1e-200, 5e-324, 1.0, 1e200])
+def test_scales_change_no_link(spark, scale):
+    rows = [(i, [round(x * 8) * scale for x in v]) for i, v in cloud(120, 4, 4)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors.near_duplicates(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>"), StageTables(spark)).collect()}
+    assert got == brute([(i, [x / scale for x in v]) for i, v in rows])
+
+
+def test_every_length_is_compared_with_its_own(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.01, 0.0]), (6, [2.0])]
+    got = [tuple(r) for r in near_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), StageTables(spark)).orderBy("vec_id").collect()]
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True)]

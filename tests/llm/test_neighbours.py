@@ -90,3 +90,28 @@ def test_more_equal_scores_than_ranks(spark):
     for r in neighbours.nearest_rows(df, StageTables(spark)).collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
     assert {q: [x[i] for i in range(1, 21)] for q, x in got.items()} == brute(rows)
+
+
+def found_by(spark, rows):
+    out = {}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for r in sorted(neighbours.nearest_rows(df, StageTables(spark)).collect(), key=lambda r: (r.query_id, r.rank)):
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return out
+
+
+def test_scales_change_no_neighbour(spark):
+    rng = np.random.default_rng(8)
+    base = [(i, np.round(rng.normal(size=8) * 64).tolist()) for i in range(60)]
+    for power in (-500, 0, 500):
+        rows = [(i, np.ldexp(v, power).tolist()) for i, v in base]
+        truth = brute(rows)
+        assert {q: [i for i, _ in x] for q, x in found_by(spark, rows).items()} == {q: [i for i, _ in x] for q, x in truth.items()}
+    # squares beyond double precision: nothing is lost, and what is infinite ties
+    huge = found_by(spark, [(i, (np.array(v) * 1e160).tolist()) for i, v in base])
+    assert {q: len(x) for q, x in huge.items()} == {0: 20, 20: 20, 40: 20}
+
+
+def test_every_length_has_its_own_neighbours(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.5, 0.0]), (20, [1.0, 0.0, 0.0]), (21, [2.0, 0.0, 0.0]), (40, [3.0])]
+    assert found_by(spark, rows) == {0: [(1, 1.0), (2, 0.5)], 20: [(21, 2.0)]}
