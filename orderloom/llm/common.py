@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,10 +36,21 @@ def map_arrow(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.Reco
                 out = fn(part) if part.num_rows else None
                 if out is not None and out.num_rows:
                     yield out
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+
+
+def give_back() -> None:
+    """Return freed memory to the system; a worker process lives on between tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int, most_rows: int = 10_000) -> Iterator[pa.RecordBatch]:
     """``batch`` in parts of whole rows whose ``column`` (text or bytes) holds about ``most_bytes`` at most; a larger row is a part alone."""
     if not batch.num_rows:

@@ -26,15 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import TEXT_BYTES, components, map_arrow, slices, small_side
+from orderloom.llm.common import TEXT_BYTES, components, give_back, map_arrow, slices, small_side
 from orderloom.llm.shingles import Hasher, mix
 from orderloom.sources.stage import StageTables
 
 SPARE = 0.15  # extra slots, so that the lightest can be dropped
 CLASS_RATIO = 1.5
-TREE_SETS, TREE_SHINGLES = 2500, 1_500_000  # sets and shingles in one tree, at most (one larger set is a tree alone)
+TREE_SETS, TREE_SHINGLES = 1500, 1_000_000  # sets and shingles in one tree, at most (one larger set is a tree alone)
 FAN = 8
-BATCH_ROWS, PORTION_SHINGLES = 2_500, 1_000_000  # texts and shingles of them that a task holds at a time
+BATCH_ROWS, PORTION_SHINGLES = 2_500, 500_000  # texts and shingles of them that a task holds at a time
 COUNTERS = 1 << 20
 _COUNTER_SHIFT, _SEGMENTS = np.uint64(44), 16
 _SIGNATURE, _SIZE, _PAIR = 0, 1, 2
@@ -76,6 +76,7 @@ def common_shingles(docs: DataFrame, rule: Rule) -> np.ndarray:
         for b in (p for whole in batches for p in slices(whole, 0, TEXT_BYTES, BATCH_ROWS)):
             counts += _counted(list(hasher.sets(b.column(0).to_pylist())))
         task = TaskContext.get().partitionId() % 64
+        give_back()
         parts = [zlib.compress(p.tobytes(), 1) for p in counts.reshape(_SEGMENTS, -1)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(_SEGMENTS, task)), pa.array(np.arange(_SEGMENTS)), pa.array(parts, pa.binary())], ["share", "segment", "counts"]
@@ -257,6 +258,7 @@ def _propose(rule: Rule, bits: bytes):
                 head = ids_of[fresh][np.cumsum(fresh) - 1]
                 pairs = np.unique(np.stack([ids_of, head], 1)[ids_of != head], axis=0)
                 yield _rows(pairs[:, 0], _PAIR, pairs[:, 0], pairs[:, 1])
+            give_back()
 
     return run
 
@@ -324,6 +326,7 @@ def _links_of_groups(rule: Rule):
             for x, y in forest(sets, parts[0], parts[1] if len(parts) > 1 else None, group, rule):
                 a.append(int(nodes[rows[x]]))
                 b.append(int(nodes[rows[y]]))
+        give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run

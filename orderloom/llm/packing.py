@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import slices
+from orderloom.llm.common import give_back, slices
 from orderloom.operators.prefix import lay_out
 from orderloom.sources.stage import StageTables
 
 SEQUENCE = 1024
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"  # a file of the public_tokenizers package, or a path
-CACHED_CHUNKS = 500_000  # units whose ids a worker process keeps
+CACHED_CHUNKS = 250_000  # units whose ids a worker process keeps
 PORTION_BYTES = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -135,6 +135,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SEQUENCE)
                     for column, value in zip(out, (doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
