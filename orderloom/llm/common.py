@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,14 +43,18 @@ def map_arrow(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.Reco
     return df.mapInArrow(run, schema)
 
 
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
-
-
 def give_back() -> None:
     """Return freed memory to the system; a worker process lives on between tasks, beside those of other stages."""
     pa.default_memory_pool().release_unused()
-    if _TRIM is not None:
-        _TRIM(0)
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
+def kept_in_process(name: str) -> dict:
+    """A dict that outlives tasks of a worker process, also where functions travel to it by value and modules are not imported."""
+    home = sys.modules.setdefault("_orderloom_process", types.ModuleType("_orderloom_process"))
+    return home.__dict__.setdefault(name, {})
 
 
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int, most_rows: int = 10_000) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import give_back, slices
+from orderloom.llm.common import give_back, kept_in_process, slices
 from orderloom.operators.prefix import lay_out
 from orderloom.sources.stage import StageTables
 
@@ -107,14 +107,12 @@ class ChunkEncoder:
         return out
 
 
-_CODERS: dict[str, ChunkEncoder] = {}
-
-
 def coder_of(vocabulary: str) -> ChunkEncoder:
     """The process's one encoder of this vocabulary; it outlives tasks, and what it remembers is bounded."""
-    if vocabulary not in _CODERS:
-        _CODERS[vocabulary] = ChunkEncoder(vocabulary)
-    return _CODERS[vocabulary]
+    coders = kept_in_process("coders")
+    if vocabulary not in coders:
+        coders[vocabulary] = ChunkEncoder(vocabulary)
+    return coders[vocabulary]
 
 
 def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SEQUENCE) -> DataFrame:
