@@ -95,12 +95,12 @@ query(
 SELECT u.step_no, u.step, u.rows_in, u.rows_out, u.rows_in - u.rows_out AS rows_removed,
        CASE WHEN u.rows_in > 0 THEN (u.rows_in - u.rows_out) / u.rows_in ELSE 0 END AS pct_removed, u.note
 FROM log_counts, LATERAL (VALUES
-  (1, 'drop exact duplicates', n0, n1, 'all eight input columns identical'),
-  (2, 'separate cancellations', n1, n2, 'kept as returns, excluded from sales'),
-  (3, 'remove non-product codes', n2, n3, 'bookkeeping list and voucher prefix'),
-  (4, 'drop price <= 0', n3, n4, 'no revenue information'),
-  (5, 'drop quantity <= 0', n4, n5, 'stock adjustments outside cancellations'),
-  (6, 'flag missing customer', n5, n5, format('{:,}', unknown) || ' rows flagged, kept for revenue')
+  (1, 'collapse repeated lines', n0, n1, 'every input field the same'),
+  (2, 'set returns apart', n1, n2, 'a table of their own, no sales'),
+  (3, 'leave out codes that are no goods', n2, n3, 'listed service codes and gift vouchers'),
+  (4, 'leave out lines without a price', n3, n4, 'nothing was charged'),
+  (5, 'leave out lines without units', n4, n5, 'stock corrections that are no returns'),
+  (6, 'count unnamed customers', n5, n5, format('{:,}', unknown) || ' lines without a customer stay in sales')
 ) u(step_no, step, rows_in, rows_out, note)""",
 )(lambda r: r.cleaning_log)
 

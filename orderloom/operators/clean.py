@@ -74,14 +74,14 @@ def log_of(lines: DataFrame) -> DataFrame:
         *[F.count_if(F.col("step_no") > k).alias(f"n{k}") for k in (CANCELLED, NON_PRODUCT, NO_PRICE, NO_QUANTITY)],
         F.count_if((F.col("step_no") == KEPT) & F.col("customer_id").isNull()).alias("unknown"),
     )
-    flagged = F.concat(F.format_number("unknown", 0), F.lit(" rows flagged, kept for revenue"))
+    flagged = F.concat(F.format_number("unknown", 0), F.lit(" lines without a customer stay in sales"))
     steps = [
-        ("drop exact duplicates", "n0", "n1", F.lit("all eight input columns identical")),
-        ("separate cancellations", "n1", "n2", F.lit("kept as returns, excluded from sales")),
-        ("remove non-product codes", "n2", "n3", F.lit("bookkeeping list and voucher prefix")),
-        ("drop price <= 0", "n3", "n4", F.lit("no revenue information")),
-        ("drop quantity <= 0", "n4", "n5", F.lit("stock adjustments outside cancellations")),
-        ("flag missing customer", "n5", "n5", flagged),
+        ("collapse repeated lines", "n0", "n1", F.lit("every input field the same")),
+        ("set returns apart", "n1", "n2", F.lit("a table of their own, no sales")),
+        ("leave out codes that are no goods", "n2", "n3", F.lit("listed service codes and gift vouchers")),
+        ("leave out lines without a price", "n3", "n4", F.lit("nothing was charged")),
+        ("leave out lines without units", "n4", "n5", F.lit("stock corrections that are no returns")),
+        ("count unnamed customers", "n5", "n5", flagged),
     ]
     rows = F.array(
         *[

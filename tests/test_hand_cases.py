@@ -57,7 +57,7 @@ def test_duplicates_treat_null_as_equal_and_log_adds_up(spark):
     assert clean.drop_exact_duplicates(df).count() == 4
     log = {r.step_no: r for r in clean.cleaning_log(df).collect()}
     assert [(log[i].rows_in, log[i].rows_out) for i in range(1, 7)] == [(6, 4), (4, 3), (3, 2), (2, 2), (2, 2), (2, 2)]
-    assert log[6].note.startswith("1 rows flagged")
+    assert log[6].note.startswith("1 lines without a customer")
 
 
 def test_log_of_no_lines(spark):
