@@ -1,8 +1,13 @@
-"""Personal data in texts: patterns propose spans, checksums confirm them, nearby words adjust the score."""
+"""Personal data in texts: patterns propose spans, checksums confirm them, nearby words adjust the score.
+
+The score decides: spans of an added kind count from ``SHOWN_AT`` on, and ``redact`` masks spans from ``MASKED_AT`` on.
+"""
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,8 +15,10 @@ from pyspark.sql import functions as F
 
 from orderloom.llm.common import map_arrow
 
-KINDS = ("email", "ip", "card", "phone", "iban")
+KINDS = ("email", "ip", "card", "phone", "iban", "key", "secret")
 BASE_KINDS = ("email", "ip", "card", "phone")
+SHOWN_AT = 0.7  # least score of a span of an added kind
+MASKED_AT = 0.4  # least score of a span that is masked
 
 # Lengths of the account numbers of some countries.
 IBAN_LENGTH = {
@@ -20,7 +27,7 @@ IBAN_LENGTH = {
 }
 
 # A kind's score without context, after its check; what has a checksum starts higher.
-START_SCORE = {"email": 0.8, "ip": 0.5, "card": 0.8, "phone": 0.6, "iban": 0.9}
+START_SCORE = {"email": 0.8, "ip": 0.5, "card": 0.8, "phone": 0.6, "iban": 0.9, "key": 0.9, "secret": 0.5}
 CONTEXT_SHARE, CONTEXT_CHARS = 0.2, 48
 FOR_WORDS = {
     "email": {"email", "mail", "contact", "kontakt", "correo", "courriel", "write"},
@@ -28,6 +35,8 @@ FOR_WORDS = {
     "card": {"card", "credit", "visa", "karte", "carte", "tarjeta", "payment", "pay"},
     "phone": {"phone", "tel", "call", "mobile", "telefon", "fax", "telephone"},
     "iban": {"iban", "account", "bank", "konto", "compte", "cuenta"},
+    "key": {"key", "token", "access", "auth"},
+    "secret": {"secret", "token", "key", "apikey", "password", "passwd", "pwd", "passwort", "auth", "bearer", "credential", "credentials"},
 }
 AGAINST_WORDS = {"version", "release", "example", "sample", "build", "isbn", "serial"}
 
@@ -38,6 +47,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+# A run of key characters as a whole; longer runs are encoded data and no keys.
+_RUN = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,256}(?![A-Za-z0-9_+/-])")
+# Shapes of access keys that their issuers publish.
+_KEY_SHAPE = re.compile(r"AKIA[A-Z0-9]{16}|ASIA[A-Z0-9]{16}|AIza[A-Za-z0-9_-]{35}|gh[opsu]_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9-]{12,}")
+LEAST_BITS = 3.0  # entropy a character of a secret, from its own characters
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -114,15 +128,55 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def entropy(s: str) -> float:
+    """Bits a character of ``s``."""
+    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
+
+
+def find_secrets(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans of kind ``key`` (a published shape) and ``secret`` (letters and digits of high entropy) outside ``taken``."""
+    keys, secrets = [], []
+    if _DIGIT.search(text) is None:
+        return []
+    for m in _RUN.finditer(text):
+        run = m.group()
+        if any(a < m.end() and m.start() < b for _, a, b in taken):
+            continue
+        if _KEY_SHAPE.fullmatch(run):
+            keys.append(("key", *m.span()))
+        elif _DIGIT.search(run) and not run.isdecimal() and _WORD.search(run) and entropy(run) >= LEAST_BITS:
+            secrets.append(("secret", *m.span()))
+    return keys + secrets
+
+
+def _words_beside(text: str, start: int, end: int) -> set[str]:
+    """Lower-case words within ``CONTEXT_CHARS`` of a span; one that the limit cuts is none."""
+    low, high = max(0, start - CONTEXT_CHARS), end + CONTEXT_CHARS
+    found = set()
+    for a, b in ((low, start), (end, high)):
+        for m in _WORD.finditer(text[a:b]):
+            cut = a == low and low and not m.start() and text[low - 1].isalpha()
+            cut = cut or b == high and a + m.end() == high and text[high : high + 1].isalpha()
+            if not cut:
+                found.add(m.group().lower())
+    return found
+
+
 def score(text: str, kind: str, start: int, end: int) -> float:
     """The kind's start score, raised or lowered by the words next to the span."""
-    near = {w.lower() for w in _WORD.findall(text[max(0, start - CONTEXT_CHARS) : start])}
-    near |= {w.lower() for w in _WORD.findall(text[end : end + CONTEXT_CHARS])}
+    near = _words_beside(text, start, end)
     value = START_SCORE[kind]
     value += CONTEXT_SHARE * bool(near & FOR_WORDS[kind]) - CONTEXT_SHARE * bool(near & AGAINST_WORDS)
     return round(min(1.0, max(0.0, value)), 3)
 
 
+def judged(text: str) -> list[tuple[str, int, int, float]]:
+    """Spans (kind, start, end, score) that count: every confirmed base span, and those of added kinds from ``SHOWN_AT`` on."""
+    found = find_spans(text)
+    scored = [(*s, score(text, *s)) for s in found + find_secrets(text, found)]
+    return [s for s in scored if s[0] in BASE_KINDS or s[3] >= SHOWN_AT]
+
+
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
     """``text`` with each span replaced by its kind in brackets; of overlapping spans the first names the place."""
     parts, done = [], 0
@@ -144,9 +198,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         spans = []
         for text in b.column(1).to_pylist():
-            spans.append([
-                {"kind": k, "start": s, "end": e, "score": score(text, k, s, e)} for k, s, e in find_spans(text or "")
-            ])
+            spans.append([{"kind": k, "start": s, "end": e, "score": v} for k, s, e, v in judged(text or "")])
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], ["_id", "spans"])
 
@@ -155,15 +207,15 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return out.withColumnRenamed("_id", id_col)
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every confirmed span of ``text_col`` replaced by its kind; null texts stay null.
+def redact(docs: DataFrame, text_col: str = "text", least: float = MASKED_AT) -> DataFrame:
+    """``docs`` with each span of ``text_col`` whose score is at least ``least`` replaced by its kind; null texts stay null.
 
     Ids are not read; repeated rows are masked alike; an empty table stays empty; columns of any name pass as they are.
     """
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         at = b.schema.get_field_index(text_col)
-        texts = [t if t is None else masked(t, find_spans(t)) for t in b.column(at).to_pylist()]
+        texts = [t if t is None else masked(t, [s[:3] for s in judged(t) if s[3] >= least]) for t in b.column(at).to_pylist()]
         return b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
     return map_arrow(docs, docs.schema, batch, text=docs.columns.index(text_col))

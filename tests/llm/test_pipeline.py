@@ -49,7 +49,8 @@ def test_one_of_each_group_stays(passed):
 
 def test_personal_data_is_masked(passed):
     before, after = passed["pii"]
-    want = {r.doc_id: pii.masked(r.text, pii.find_spans(r.text)) for r in before.collect()}
+    spans = lambda text: [s[:3] for s in pii.judged(text) if s[3] >= pii.MASKED_AT]
+    want = {r.doc_id: pii.masked(r.text, spans(r.text)) for r in before.collect()}
     assert {r.doc_id: r.text for r in after.collect()} == want
     assert all(r.n_chars == len(r.text) for r in after.collect()) and after.columns == before.columns
 
