@@ -25,7 +25,7 @@ from orderloom.sources.stage import StageTables
 SEQUENCE = 1024
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"  # a file of the public_tokenizers package, or a path
-CACHED_CHUNKS = 250_000  # units whose ids a worker process keeps
+CACHED_UNITS = 500_000  # units whose ids a worker process keeps, about 250 bytes each
 PORTION_BYTES = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -38,7 +38,7 @@ class ChunkEncoder:
     adds to its vocabulary, is encoded in one go.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, most_units: int = CACHED_UNITS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -47,6 +47,7 @@ class ChunkEncoder:
         blank = np.array([self.tokenizer.id_to_token(i).startswith("\u0120") for i in range(self.tokenizer.get_vocab_size())])
         self.leads = blank  # ids that begin with a blank, and the line feed's
         self.leads[[i for i in (self.tokenizer.token_to_id("\u010a"),) if i is not None]] = True
+        self.most_units = most_units
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
@@ -54,7 +55,7 @@ class ChunkEncoder:
 
     def _forget(self) -> None:
         """Keep the words used most, half of what may be kept; all uses count half from now on."""
-        kept = np.sort(np.argsort(-self.used, kind="stable")[: CACHED_CHUNKS // 2])
+        kept = np.sort(np.argsort(-self.used, kind="stable")[: self.most_units // 2])
         words = list(self.known)
         self.known = {words[i]: at for at, i in enumerate(kept.tolist())}
         lengths = self.lengths[kept]
@@ -102,20 +103,21 @@ class ChunkEncoder:
         whole = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        if len(self.known) > CACHED_CHUNKS:
+        if len(self.known) > self.most_units:
             self._forget()
         return out
 
 
-def coder_of(vocabulary: str) -> ChunkEncoder:
+def coder_of(vocabulary: str, most_units: int) -> ChunkEncoder:
     """The process's one encoder of this vocabulary; it outlives tasks, and what it remembers is bounded."""
     coders = kept_in_process("coders")
     if vocabulary not in coders:
-        coders[vocabulary] = ChunkEncoder(vocabulary)
+        coders[vocabulary] = ChunkEncoder(vocabulary, most_units)
+    coders[vocabulary].most_units = most_units
     return coders[vocabulary]
 
 
-def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SEQUENCE) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SEQUENCE, most_units: int = CACHED_UNITS) -> DataFrame:
     """Pieces of at most ``size`` ids of every row of ``docs``: whole ``size`` ids while they last, then the rest.
 
     A null or empty text is its end id alone. Null and repeated ids keep their own pieces. Columns other
@@ -123,7 +125,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SEQUENCE)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_of(vocabulary)
+        coder = coder_of(vocabulary, most_units)
         for b in (p for whole in batches for p in slices(whole, 1, PORTION_BYTES)):
             out = [[], [], [], [], []]
             for doc_id, ids in zip(b.column(0).to_pylist(), coder.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
@@ -177,14 +179,16 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]
     return {length: np.array(r, np.int64) for length, r in rows.items()}
 
 
-def pack(docs: DataFrame, stage: StageTables, vocabulary: str = VOCABULARY, size: int = SEQUENCE) -> DataFrame:
+def pack(
+    docs: DataFrame, stage: StageTables, vocabulary: str = VOCABULARY, size: int = SEQUENCE, most_units: int = CACHED_UNITS
+) -> DataFrame:
     """Pieces of ``docs`` with their sequence and their offset in it.
 
     Pieces are ordered by length in ranges, which may cut a very common length into many; a rank within a
     length is then the piece's place in its range plus what earlier ranges hold of that length. An empty
-    table gives no pieces.
+    table gives no pieces. ``most_units`` trades a worker's memory for time and changes no id.
     """
-    laid = lay_out(stage.keep("pieces", pieces(docs, vocabulary, size)), [F.col("length"), F.col("doc_id"), F.col("start")])
+    laid = lay_out(stage.keep("pieces", pieces(docs, vocabulary, size, most_units)), [F.col("length"), F.col("doc_id"), F.col("start")])
     # one row per range and length: ranges are ordered by length, so there are at most ranges + lengths rows
     held = laid.groupBy("_gp_part", "length").agg(F.count("*").alias("n"), F.min("_gp_pos").alias("at")).orderBy("_gp_part", "length").collect()
     histogram: dict[int, int] = defaultdict(int)

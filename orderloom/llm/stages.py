@@ -11,6 +11,7 @@ from orderloom.operators.prefix import global_prefix
 from orderloom.sources.stage import StageTables
 
 NEAR = jaccard.Rule(words=5, percent=80)
+PACKING_UNITS = 250_000  # workers of earlier stages live on beside the encoders, so these remember less
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,4 +78,4 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null or empty text is its end id alone; null ids and repeated rows keep their own pieces; only doc_id and text are read; an
     empty table gives no pieces.
     """
-    return packing.pack(docs, StageTables(spark))
+    return packing.pack(docs, StageTables(spark), most_units=PACKING_UNITS)

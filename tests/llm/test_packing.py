@@ -36,9 +36,8 @@ def test_every_piece_has_one_place(histogram):
     assert used == Counter(histogram)
 
 
-def test_forgetting_changes_nothing(monkeypatch):
-    monkeypatch.setattr(packing, "CACHED_CHUNKS", 3)
-    coder = packing.ChunkEncoder(packing.VOCABULARY)
+def test_forgetting_changes_nothing():
+    coder = packing.ChunkEncoder(packing.VOCABULARY, 3)
     for text in ("a b c d e f", "g h a b", "a b c d e f g  h", "x a y z a", "a b c"):
         assert len(coder.known) <= 3
         assert coder.encode([text])[0].tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
