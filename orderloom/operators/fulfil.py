@@ -9,6 +9,7 @@ from orderloom.operators import prefix
 from orderloom.operators.prefix import (
     global_prefix, largest_group, queue_scan, rank_in_group,
 )
+from orderloom.operators.quantile import quantiles
 from orderloom.params import DEFAULTS, Params
 
 SLACK = 1e-9
@@ -215,17 +216,6 @@ def concurrency_profile(log: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     )
 
 
-def quantiles(df: DataFrame, column: str, tie: str, at: dict[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, read off a global rank; one row, one column each."""
-    ranked = global_prefix(df.select(column, tie), [F.col(column), F.col(tie)])
-    return interpolate(ranked, column, at)
-
-
-def interpolate(ranked: DataFrame, column: str, at: dict[str, float]) -> DataFrame:
-    """Quantiles of a frame that already carries ``rank`` (ascending) and ``n_rows``."""
-    return ranked.agg(*quantile_aggs(column, F.col("rank"), at))
-
-
 def quantile_aggs(column: str, rank: Column, at: dict[str, float]) -> list[Column]:
     out = []
     for name, q in at.items():
@@ -238,7 +228,7 @@ def quantile_aggs(column: str, rank: Column, at: dict[str, float]) -> list[Colum
 
 def crew_summary(log: DataFrame, daily: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Labour hours, use of the crew's shift time, mean and 95th percentile wait."""
-    waits = quantiles(log, "wait_min", "invoice", {"p95": 0.95}).select("p95").scalar()
+    waits = quantiles(log, "wait_min", {"p95": 0.95}).scalar()
     hours = daily.agg(F.count(F.lit(1)).alias("days"), F.sum("labour_hours").alias("labour_hours"))
     mean = log.agg(F.avg("wait_min").alias("m")).scalar()
     return hours.select(

@@ -18,8 +18,15 @@ from orderloom.operators import (
 )
 from orderloom.operators.reconcile import Entry
 from orderloom.params import DEFAULTS, VARIANTS, Params
+from orderloom.sources import receipts
 from orderloom.sources.stage import StageTables
 
+# The stage tables of a receipt: what later stages and readers need, without the raw lines.
+SAVED = (
+    "items", "weeks", "demand", "lines", "window", "window_lines", "cv", "forecasts", "plan", "velocity", "slotting", "evaluated",
+    "orders", "log", "shipments", "delivery_daily", "per_invoice", "per_item", "ledger_lines", "ledger", "checks",
+)
+
 
 class Run:
     """``published`` is the revenue another source states for the same lines: a one-row frame."""
@@ -48,6 +55,22 @@ class Run:
             other.__dict__[name] = getattr(self, name)
         return other
 
+    def save(self, folder: str, run_id: str) -> None:
+        """Write the run's stage tables as one receipt."""
+        receipts.write_run(folder, run_id, {name: getattr(self, name) for name in SAVED})
+
+    @classmethod
+    def load(
+        cls, txn: DataFrame, folder: str, run_id: str, params: Params = DEFAULTS,
+        models: dict[str, forecast.Model] | None = None, published: DataFrame | None = None,
+    ) -> Run:
+        """A run whose saved stage tables are read; ``params`` and ``models`` are those it was saved with, and ``txn`` serves the rest."""
+        run = cls(txn, params, models, published)
+        for name in receipts.run_tables(run.spark, folder, run_id):
+            if name in SAVED:
+                run.__dict__[name] = receipts.read_run(run.spark, folder, name, run_id).drop("run_id", "schema_version")
+        return run
+
     def close(self) -> None:
         self.stages.drop()
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderloom.functions import provenance
-from orderloom.operators import assign, clean, demand, forecast, fulfil, readout, slotting, stock
+from orderloom.operators import assign, clean, demand, forecast, fulfil, quantile, readout, slotting, stock
 from orderloom.params import DEFAULTS
 from orderloom.sources import transactions
 
@@ -313,7 +313,7 @@ def test_quantiles_interpolate(spark):
     rng = np.random.default_rng(3)
     values = rng.normal(size=101).round(1)
     df = spark.createDataFrame([(float(v), i) for i, v in enumerate(values)], "v double, k int")
-    row = fulfil.quantiles(df, "v", "k", {"a": 0.5, "b": 0.95, "c": 0.123}).first()
+    row = quantile.quantiles(df, "v", {"a": 0.5, "b": 0.95, "c": 0.123}).first()
     assert tuple(row) == pytest.approx(tuple(np.quantile(values, [0.5, 0.95, 0.123])))
 
 

@@ -204,3 +204,47 @@ def test_run_ids_stay_text(run, tmp_path):
     receipts.write_run(str(tmp_path), "20260101", {"checks": run.checks})
     stored = receipts.read_run(run.spark, str(tmp_path), "checks", "20260101")
     assert dict(stored.dtypes)["run_id"] == "string" and stored.first().run_id == "20260101"
+
+
+def test_a_run_cut_short_is_not_seen(run, tmp_path):
+    folder, spark = str(tmp_path), run.spark
+    receipts.write_run(folder, "a", {"ledger": run.ledger, "checks": run.checks})
+    broken = run.checks.withColumn("name", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        receipts.write_run(folder, "a", {"ledger": change(run.ledger, "costing/labour", 1.0), "checks": broken})
+    seen = receipts.read_run(spark, folder, "ledger", "a")
+    assert receipts.run_diff(seen, run.ledger, ["scenario_id", "key"]).count() == 0
+    with pytest.raises(LookupError):
+        receipts.read_run(spark, folder, "ledger", "b")
+    assert receipts.run_tables(spark, folder, "a") == ["checks", "ledger"]
+
+
+def test_equal_receipts_are_read_once(run, tmp_path):
+    folder, spark = str(tmp_path), run.spark
+    for k in "ab":
+        receipts.write_run(folder, k, {"demand": run.demand})
+    a, b = (receipts.read_run(spark, folder, "demand", k) for k in "ab")
+    same = receipts.run_diff(a, b, ["stock_code", "week"])
+    assert "FileScan" not in same._jdf.queryExecution().executedPlan().toString() and same.count() == 0
+    item = run.demand.first()
+    moved = b.withColumn("units", F.when((F.col("stock_code") == item.stock_code) & (F.col("week") == item.week), -1).otherwise(F.col("units")))
+    buckets = receipts.differing(a, moved, ["stock_code", "week"], ["units"])
+    assert len(buckets) == 1
+    (row,) = receipts.run_diff(a, moved, ["stock_code", "week"]).collect()
+    assert (row.stock_code, row.week, row.difference) == (item.stock_code, item.week, "changed")
+
+
+def test_nulls_differ_from_values_and_repeats_count(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, x int, y int")
+    diff = lambda a, b: sorted(r.difference for r in receipts.run_diff(a, b, ["k"]).collect())
+    assert diff(rows((1, None, 5)), rows((1, 5, None))) == ["changed"]
+    assert diff(rows((1, None, None)), rows((1, None, None))) == []
+    assert diff(rows((1, 2, 3), (2, 2, 3)), rows((2, 2, 3), (3, 1, 1))) == ["only left", "only right"]
+    assert diff(rows(), rows()) == [] and diff(rows(), rows((1, 1, 1))) == ["only right"]
+
+
+def test_saved_run_is_read_and_not_worked_out(run, tmp_path):
+    run.save(str(tmp_path), "day")
+    again = type(run).load(run.txn.limit(0), str(tmp_path), "day", run.params, run.models)
+    assert sorted(map(tuple, again.checks.collect()), key=str) == sorted(map(tuple, run.checks.collect()), key=str)
+    assert sorted(map(tuple, again.plan.collect())) == sorted(map(tuple, run.plan.collect()))
