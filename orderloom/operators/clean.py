@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.functions.expr import is_cancelled, is_non_product, money
+from orderloom.sources.stage import StageTables
 from orderloom.sources.transactions import COLUMNS
 
+MOST_DIGESTS = 500_000  # digests of repeated lines, 8 bytes each, that are broadcast
+
 
 class Cleaned(NamedTuple):
     sales: DataFrame
@@ -29,6 +32,23 @@ def drop_exact_duplicates(txn: DataFrame) -> DataFrame:
     return txn.groupBy(*COLUMNS).agg(F.count(F.lit(1)).alias("copies"))
 
 
+def distinct_by_digest(txn: DataFrame, stage: StageTables, most: int = MOST_DIGESTS) -> DataFrame:
+    """The rows of :func:`drop_exact_duplicates` for lines that mostly occur once: only repeated lines are shuffled whole.
+
+    A 64-bit digest per line is counted first. Lines whose digest occurs once pass where they are; the others, among them
+    different lines that share a digest, are grouped by all their columns. With more than ``most`` repeated digests, too many
+    to broadcast, all lines are. The lines are read three times, so their source should be stored.
+    """
+    digest = F.xxhash64(*COLUMNS)
+    counted = txn.select(digest.alias("_digest")).groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"))
+    repeated = stage.keep("repeated_digests", counted.filter("_n > 1").select("_digest"))
+    if repeated.count() > most:
+        return drop_exact_duplicates(txn)
+    marked, again = txn.select(*COLUMNS, digest.alias("_digest")), F.broadcast(repeated)
+    once = marked.join(again, "_digest", "left_anti").select(*COLUMNS, F.lit(1).cast("long").alias("copies"))
+    return once.unionByName(drop_exact_duplicates(marked.join(again, "_digest", "left_semi")))
+
+
 def with_derived(df: DataFrame) -> DataFrame:
     revenue = money(F.col("quantity") * F.col("price"))
     return (
@@ -40,6 +60,10 @@ def with_derived(df: DataFrame) -> DataFrame:
 
 
 def classified(txn: DataFrame) -> DataFrame:
+    return with_step(drop_exact_duplicates(txn))
+
+
+def with_step(distinct: DataFrame) -> DataFrame:
     """Distinct lines with ``copies`` and ``step_no``: the first cleaning step that takes the line out of sales.
 
     Sales, returns and the log are all read from this one frame, so the lines are shuffled once.
@@ -51,7 +75,7 @@ def classified(txn: DataFrame) -> DataFrame:
         .when(~F.coalesce(F.col("quantity") > 0, F.lit(False)), NO_QUANTITY)
         .otherwise(KEPT)
     )
-    return drop_exact_duplicates(txn).withColumn("step_no", step)
+    return distinct.withColumn("step_no", step)
 
 
 def sales_of(lines: DataFrame) -> DataFrame:

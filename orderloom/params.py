@@ -10,6 +10,8 @@ HOME_COUNTRY = "United Kingdom"
 
 @dataclass(frozen=True)
 class Params:
+    # cleaning: lines are stored and few repeat, so only repeated ones are shuffled whole
+    mostly_unique: bool = False
     # demand
     n_items: int = 200
     # forecast

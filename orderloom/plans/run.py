@@ -78,7 +78,11 @@ class Run:
     @cached_property
     def classified(self) -> DataFrame:
         """Distinct lines; sales, returns and the log each read only the folders of their own steps."""
-        return self._keep("classified", clean.classified(self.txn), by="step_no")
+        if self.params.mostly_unique:
+            distinct = clean.distinct_by_digest(self.txn, self.stages)
+        else:
+            distinct = clean.drop_exact_duplicates(self.txn)
+        return self._keep("classified", clean.with_step(distinct), by="step_no")
 
     @cached_property
     def sales(self) -> DataFrame:
