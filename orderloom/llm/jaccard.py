@@ -30,8 +30,6 @@ from orderloom.llm.common import TEXT_BYTES, components, give_back, map_arrow, s
 from orderloom.llm.shingles import Hasher, mix
 from orderloom.sources.stage import StageTables
 
-SPARE = 0.15  # extra slots, so that the lightest can be dropped
-CLASS_RATIO = 1.5
 TREE_SETS, TREE_SHINGLES = 2500, 1_500_000  # sets and shingles in one tree, at most (one larger set is a tree alone)
 FAN = 8
 BATCH_ROWS, PORTION_SHINGLES = 2_500, 500_000  # texts and shingles of them that a task holds at a time
@@ -42,10 +40,17 @@ _SIGNATURE, _SIZE, _PAIR = 0, 1, 2
 
 @dataclass(frozen=True)
 class Rule:
-    """Link when 100 * intersection >= percent * union."""
+    """Link when 100 * intersection >= percent * union.
+
+    ``spare`` is the share of extra slots, so that the lightest can be dropped, and ``ratio`` that of the bounds of size classes, 100 / percent at least.
+    Both change which sets meet and never what links. Where slots hold few shingles, so that unlike sets drop too few empty ones
+    and meet by them, more spare slots and narrower classes keep candidate classes small.
+    """
 
     words: int
     percent: int
+    spare: float = 0.15
+    ratio: float = 1.5
 
     def links(self, overlap, a, b):
         return (100 + self.percent) * overlap >= self.percent * (a + b)
@@ -55,13 +60,13 @@ class Rule:
         upper = max(1, -(-(100 + self.percent) // (2 * (100 - self.percent))) - 1) if self.percent < 100 else largest
         out = [upper]
         while out[-1] < largest:
-            out.append(max(out[-1] + 1, int(out[-1] * CLASS_RATIO)))
+            out.append(max(out[-1] + 1, int(out[-1] * self.ratio)))
         return np.array(out, np.int64)
 
     def slots(self, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Slots of a class and how many of them a set drops."""
         differing = 2 * upper * (100 - self.percent) // (100 + self.percent)
-        spare = (SPARE * (differing + 1)).astype(np.int64)
+        spare = (self.spare * (differing + 1)).astype(np.int64)
         return differing + 1 + spare, spare
 
 

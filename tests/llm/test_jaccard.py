@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ import pytest
 from orderloom.llm import jaccard
 from orderloom.llm.queries import QUERIES, SQL
 from orderloom.llm.shingles import Hasher
+from orderloom.llm.stages import NEAR
 from orderloom.sources.stage import StageTables
 from tests.llm.brute import classes
 from tests.oracle_check import compare, connect
@@ -61,10 +63,9 @@ def test_shingles():
     assert len(all_["a b c d e"] & all_["b c d e f"]) == 1 and all_["a b c d"] < all_["a b c d e"]
 
 
-@pytest.mark.parametrize("percent", [70, 80, 85, 95, 100])
-def test_linking_sets_share_a_signature(percent):
-    rng = np.random.default_rng(percent)
-    rule = jaccard.Rule(4, percent)
+@pytest.mark.parametrize("rule", [*[jaccard.Rule(4, p) for p in (70, 80, 85, 95, 100)], NEAR, jaccard.Rule(4, 85, 0.5, 1.2)])
+def test_linking_sets_share_a_signature(rule):
+    rng = np.random.default_rng(rule.percent)
     for _ in range(300):
         n = int(rng.integers(1, 150))
         common = rng.integers(0, 1 << 63, n).astype(np.uint64)
@@ -77,6 +78,17 @@ def test_linking_sets_share_a_signature(percent):
                 assert set(signature[place == 0].tolist()) & set(signature[place == 1].tolist())
 
 
+def test_unlike_sets_seldom_meet():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 63, int(n)).astype(np.uint64) << np.uint64(1)) for n in rng.integers(12, 300, 6000)]
+    place, signature = jaccard.signatures(sets, NEAR)
+    meeting = {}
+    for p, s in zip(place.tolist(), signature.tolist(), strict=True):
+        meeting.setdefault(s, []).append(p)
+    root = classes(range(len(sets)), [(m[0], x) for m in meeting.values() for x in m[1:]])
+    assert max(Counter(root.values()).values()) < 60
+
+
 def test_walk_loses_no_pair():
     sets = [s for s in Hasher(4).sets([t for _, t in corpus(400, 3)]) if len(s)]
     tree = jaccard.Tree(sets, 512)
@@ -90,11 +102,12 @@ def test_walk_loses_no_pair():
 
 
 @pytest.mark.parametrize("sets,percent,words", [(1000, 85, 4), (5, 85, 4), (7, 80, 5)])
-def test_equals_brute_force(spark, monkeypatch, sets, percent, words):
+@pytest.mark.parametrize("shape", [{}, {"spare": 0.8, "ratio": 1.25}])
+def test_equals_brute_force(spark, monkeypatch, sets, percent, words, shape):
     monkeypatch.setattr(jaccard, "TREE_SETS", sets)
     rows = corpus(500, sets)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df, StageTables(spark), jaccard.Rule(words, percent)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df, StageTables(spark), jaccard.Rule(words, percent, **shape)).collect()}
     assert got == brute(rows, words, percent)
 
 
