@@ -10,7 +10,7 @@ from orderloom.llm.common import small_side, table
 from orderloom.operators.prefix import global_prefix
 from orderloom.sources.stage import StageTables
 
-NEAR = jaccard.Rule(words=5, percent=80, spare=0.8, ratio=1.25)
+NEAR = jaccard.Rule(words=5, percent=80, spare=0.65, ratio=1.25, shared=0.15)
 PACKING_UNITS = 125_000  # workers of earlier stages live on beside the encoders, so these remember less
 
 

@@ -136,3 +136,50 @@ def test_a_null_id_before_its_copies_hides_no_link(spark):
     assert got == [(-1, None), (-1, None), (-1, None), (3, 3), (5, 3), (9, 3)]
     nulls = jaccard.join(df.filter("doc_id IS NULL"), StageTables(spark), RULE).collect()
     assert [r.component_id for r in nulls] == [None] * 3
+
+
+class Counted(StageTables):
+    """Remembers how many rows each table got."""
+
+    def keep(self, name, df, by=None):
+        out = super().keep(name, df, by)
+        self.rows = getattr(self, "rows", {}) | {name: out.count()}
+        return out
+
+
+def test_copies_are_one_node(spark):
+    """Copies in other batches meet by their content once, not by a row for each signature that they share."""
+    rng = random.Random(8)
+    texts = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(300)) for _ in range(4)]
+    rows = [(k * 4 + i, t) for k in range(12) for i, t in enumerate(texts)]
+    stage = Counted(spark)
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), stage, NEAR).collect()}
+    assert got == {i: i % 4 for i, _ in rows}
+    measured = sum(stage.rows.pop(x, 0) for x in ["measured"])
+    assert measured <= len(rows) + 16 * 6 and max(stage.rows.values()) <= len(rows), stage.rows
+
+
+def test_long_texts_that_share_a_passage_are_no_class(spark):
+    rng = random.Random(9)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    passage = [word() for _ in range(250)]
+    rows = [(i, " ".join([word() for _ in range(300)] + passage + [word() for _ in range(300)])) for i in range(18)]
+    rows.append((18, rows[3][1] + " " + word()))
+    stage = Counted(spark)
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), stage, NEAR).collect()}
+    assert got == {i: 3 if i == 18 else i for i, _ in rows}
+    assert stage.rows["wanted"] == 2, stage.rows
+
+
+def test_linking_sets_share_as_many_signatures_as_needed():
+    rng = np.random.default_rng(4)
+    for rule in (NEAR, jaccard.Rule(4, 85, 0.2, 1.5, 0.5)):
+        for _ in range(200):
+            n = int(rng.integers(1, 400))
+            common, extra = rng.integers(0, 1 << 63, n).astype(np.uint64), int(rng.integers(0, n // 4 + 1))
+            a, b = (np.unique(np.concatenate([common, rng.integers(0, 1 << 63, x).astype(np.uint64)])) for x in (extra // 2, extra - extra // 2))
+            if rule.links(jaccard.overlap(a, b), len(a), len(b)):
+                place, signature, need = jaccard.signed([a, b], rule)
+                held = [dict(zip(signature[place == i].tolist(), (need[place == i] & 255).tolist(), strict=True)) for i in (0, 1)]
+                both = held[0].keys() & held[1].keys()
+                assert both and all(held[0][s] == held[1][s] for s in both) and len(both) >= min(held[0][s] for s in both)
